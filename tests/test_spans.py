@@ -1,0 +1,113 @@
+"""Native span resolution against the brute-force statement of it."""
+
+import pytest
+from brute import PATTERNS, resolve
+from corpus import lines
+from pyspark.sql import functions as F
+
+from maskwell.functions.catalog import BUILTIN, NAMES, custom_pattern
+from maskwell.operators.spans import scrub, summary_by_category
+from maskwell.plans.policy import Policy
+
+EDGES = [
+    None, "", " ", "Bearer abc", "Bearer ab", "Bearer a", "Bearer abcdefgh", "AB12CDEF",
+    "postgres://u:p@10.0.0.1", "api_key=sk-ant-" + "a1" * 15, "Bearer eyJabc.def.ghi",
+    "4111-1111-1111-1112", "x" * 300 + "@" + "y" * 300 + ".com",
+]
+
+
+def check(spark, values, policy, **expect):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    rows = df.select("i", F.inline(F.array(scrub(F.col("t"), policy)))).collect()
+    assert len(rows) == len(values)
+    hits = set()
+    for row in rows:
+        text, found = resolve(values[row.i], **expect)
+        assert [tuple(f) for f in row.findings] == found, repr(values[row.i])
+        assert row.text == text
+        hits.update(f[0] for f in found)
+    return hits
+
+
+def test_catalog_is_complete():
+    assert [(p.name, p.category, p.confidence) for p in BUILTIN] == [p[:3] for p in PATTERNS]
+
+
+def test_every_pattern_wins_somewhere(spark):
+    assert check(spark, EDGES + lines(4000), Policy()) == set(NAMES)
+
+
+@pytest.mark.parametrize("style", ["label", "full", "redacted", "token"])
+def test_styles(spark, style):
+    check(spark, EDGES + lines(400, seed=11), Policy(mask_style=style), style=style)
+
+
+@pytest.mark.parametrize("char", ["#", "xy", ""])
+@pytest.mark.parametrize("style", ["partial", "full"])
+def test_mask_char(spark, style, char):
+    values = EDGES + lines(150, seed=12)
+    check(spark, values, Policy(mask_style=style, mask_char=char), style=style, char=char)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_one_pattern_alone(spark, name):
+    others = [n for n in NAMES if n != name]
+    assert check(spark, lines(600, seed=13), Policy.only(name), disabled=others) == {name}
+
+
+def test_floor_allowlist_and_disabled(spark):
+    values = EDGES + lines(400, seed=14) + ["postgres://u:p@10.0.0.1 and 10.0.0.1"]
+    allow = {"postgres://u:p@", "10.0.0.1", "4111111111111111", "AB12CDEF"}
+    check(
+        spark,
+        values,
+        Policy(allowlist=frozenset(allow), min_confidence=0.7, disabled_patterns=frozenset({"phone"})),
+        allow=allow,
+        floor=0.7,
+        disabled={"phone"},
+    )
+
+
+def test_value_with_very_many_spans(spark):
+    text = " ".join(f"user{i % 700}@x{i}.com 10.0.{i % 256}.{i % 200}" for i in range(3000))
+    for style in ("partial", "token"):
+        check(spark, [text, "é" + text], Policy(mask_style=style), style=style)
+
+
+def test_no_patterns_leaves_text(spark):
+    row = spark.sql("select 'a@b.com' t").select(
+        scrub(F.col("t"), Policy.from_standard("none")).alias("s")
+    ).first()
+    assert row.s.text == "a@b.com" and row.s.findings == []
+
+
+def test_documents_of_the_test_data(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()
+    assert check(spark, [r.text for r in rows], Policy()) >= {"email", "phone", "ipv4"}
+
+
+def test_summary_by_category(spark):
+    df = spark.sql("select 'a@b.com 10.0.0.1 c@d.org' t")
+    row = df.select(summary_by_category(scrub(F.col("t"))["findings"]).alias("s")).first()
+    assert row.s == {"pii": 2, "network": 1}
+
+
+def test_custom_patterns(spark):
+    mask = lambda m: (lambda v: v[:2] + "*" * max(4, len(v) - 2) if len(v) > 4 else "****")(
+        m.group(1) if m.re.groups and m.group(1) else m.group()
+    )
+    specs = [
+        ("employee", "pii", 1.0, r"EMP-\d{6}", mask),
+        ("ticket", "custom", 0.9, r"\bJIRA-(\d{4,6})\b", mask),
+        ("word", "custom", 0.5, r"(?i)straße\s[^\s]+", mask),
+    ]
+    import re
+
+    compiled = [(n, c, f, r, lambda m, k=k: k(m)) for n, c, f, r, k in specs]
+    values = ["EMP-123456 JIRA-12345 éJIRA-1234 JIRA-777", "STRASSE x straße yy STRAßE a@b.com", "EMP-٠١٢٣٤٥"]
+    extra = tuple(custom_pattern(n, r, c, f) for n, c, f, r, _ in specs)
+    check(spark, values, Policy(extra_patterns=extra), extra=compiled)
+    for bad in (("", "x"), ("n", ""), ("n", "("), ("n", "a*")):
+        with pytest.raises(ValueError):
+            custom_pattern(*bad)
+    assert re.compile(specs[0][3])
