@@ -1,4 +1,4 @@
-"""Scrub inside structs, arrays, maps and JSON text; keys and non-text stay."""
+"""Scrub inside structs, arrays and maps; keys and values that are not text stay."""
 
 from __future__ import annotations
 
@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwell.functions.lists import empty, let, running
+from maskwell.functions.lists import empty, let
 from maskwell.operators import spans as S
 from maskwell.operators.scrub import barrier
 from maskwell.plans.policy import Policy
 
-# -- columns with a schema ------------------------------------------------------
-
 
 def has_text(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.StructType):
@@ -94,112 +92,3 @@ def scrub_nested_columns(
         cols = [F.col("_nested.value").alias(c) if c == name else F.col(f"`{c}`") for c in df.columns]
         df = work.select(*cols, F.col("_nested.findings").alias(f"{name}_found"))
     return df
-
-
-# -- JSON text ------------------------------------------------------------------
-
-JSON_VALUE = "struct<b0:int,b1:int,value:string>"
-
-
-def _literal(text: Column) -> Column:
-    """JSON string literal of a text."""
-    packed = F.to_json(F.array(text))
-    return F.substring(packed, F.lit(2), F.length(packed) - 2)
-
-
-def json_values(text: Column) -> Column:
-    """Every string value of a valid JSON text, decoded, with its byte range.
-
-    Keys are left out.  Escapes are first blanked to the same length, so a
-    string literal is simply a run between two quotes and no regex recursion
-    is needed however long the value.
-    """
-    shadow = F.regexp_replace(text, r"\\.", "__")
-    token = r'"[^"]*+"(?:[ \t\r\n]*+:)?'
-
-    def place(blank: Column, raw: Column) -> Column:
-        found = F.regexp_extract_all(blank, F.lit(token), F.lit(0))
-        gaps = F.split(blank, token, -1)
-
-        def step(at: Column, p: Column) -> tuple[Column, Column]:
-            b0 = at + F.octet_length(p["gap"])
-            b1 = b0 + F.octet_length(p["m"])
-            literal = F.substring(raw, b0 + 1, b1 - b0).cast("string")
-            decoded = F.from_json(
-                F.concat(F.lit("["), literal, F.lit("]")), "array<string>"
-            ).getItem(0)
-            row = F.struct(b0.alias("b0"), b1.alias("b1"), decoded.alias("value"))
-            is_key = F.endswith(p["m"], F.lit(":"))
-            return b1, F.when(is_key, empty(JSON_VALUE)).otherwise(F.array(row))
-
-        pairs = let(
-            found,
-            lambda ms: F.slice(
-                F.arrays_zip(ms.alias("m"), gaps.alias("gap")), F.lit(1), F.size(ms)
-            ),
-        )
-        return running(pairs, F.lit(0), step, JSON_VALUE)
-
-    return let(shadow, lambda s: let(text.cast("binary"), lambda raw: place(s, raw)))
-
-
-def scrub_json(text: Column, policy: Policy | None = None) -> Column:
-    """``struct<text, findings>`` of a JSON text column, without a schema.
-
-    Only string values change: keys, numbers, their spelling, key order and
-    layout stay as they are.  Text that is not valid JSON is scrubbed as plain
-    text.  Values are looked at without their key, positions are within the
-    decoded value, and the token style numbers over the whole document.
-    """
-    policy = policy or Policy()
-
-    def splice(t: Column, values: Column, done: Column) -> Column:
-        def build(raw: Column) -> Column:
-            def piece(v: Column, i: Column) -> Column:
-                after = F.coalesce(F.get(values, i - 1)["b1"], F.lit(0))
-                gap = F.substring(raw, after + 1, v["b0"] - after).cast("string")
-                same = F.substring(raw, v["b0"] + 1, v["b1"] - v["b0"]).cast("string")
-                mine = F.get(done, i)
-                changed = F.size(mine["findings"]) > 0
-                return F.concat(gap, F.when(changed, _literal(mine["text"])).otherwise(same))
-
-            last = F.get(values, F.size(values) - 1)["b1"]
-            tail = F.substring(raw, last + 1, F.octet_length(raw) - last).cast("string")
-            return F.concat(F.array_join(F.transform(values, piece), ""), tail)
-
-        found = F.flatten(F.transform(done, lambda d: d["findings"]))
-        return let(
-            found,
-            lambda f: F.struct(
-                F.when(F.size(f) == 0, t)
-                .otherwise(let(t.cast("binary"), build))
-                .alias("text"),
-                f.alias("findings"),
-            ),
-        )
-
-    def as_json(t: Column) -> Column:
-        def scrubbed(values: Column) -> Column:
-            texts = F.transform(values, lambda v: v["value"])
-            return let(
-                S.scrub_values(texts, policy, shared_tokens=True),
-                lambda done: splice(t, values, done),
-            )
-
-        return let(json_values(t), scrubbed)
-
-    return let(
-        text,
-        lambda t: F.when(
-            F.call_function("try_parse_json", t).isNotNull(), as_json(t)
-        ).otherwise(S.scrub(t, policy)),
-    )
-
-
-def scrub_json_column(
-    df: DataFrame, column: str, policy: Policy | None = None, found: str | None = None
-) -> DataFrame:
-    """Scrub a JSON text column in place, findings in ``<column>_found``."""
-    work = barrier(df, _json=scrub_json(F.col(f"`{column}`"), policy))
-    cols = [F.col("_json.text").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
-    return work.select(*cols, F.col("_json.findings").alias(found or f"{column}_found"))

@@ -52,7 +52,7 @@ def span_rows(
         .select(
             *id_cols,
             F.get(F.array(*(F.lit(f) for f in names)), F.col("field_at")).alias("field"),
-            "*" if not id_cols else F.col("field_at"),
+            "field_at",
             *(c.split()[0] for c in S.SPAN.split(", ")),
             *(F.get(lookup, F.col("rank")).alias(name) for name, lookup in by_rank.items()),
         )

@@ -31,10 +31,7 @@ def empty_tokens(spark: SparkSession) -> DataFrame:
 def last_number(tokens: DataFrame) -> int:
     """Highest number in a stored map; tokens of another form are ignored."""
     digits = F.regexp_extract("token", r"-([0-9]+)\]\n?\z", 1)
-    numbers = tokens.select(F.expr("try_cast(n as bigint)").alias("n")) if "n" in tokens.columns else (
-        tokens.select(F.when(digits != "", digits.cast("bigint")).alias("n"))
-    )
-    return numbers.agg(F.max("n")).first()[0] or 0
+    return tokens.agg(F.max(digits.try_cast("bigint"))).first()[0] or 0
 
 
 def number_rows(df: DataFrame, order: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:

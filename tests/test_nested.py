@@ -5,7 +5,8 @@ from brute import resolve
 from corpus import lines
 from pyspark.sql import functions as F
 
-from maskwell.operators.nested import scrub_json_column, scrub_nested_columns
+from maskwell.operators.documents import scrub_files, scrub_json_column, tokenize_files
+from maskwell.operators.nested import scrub_nested_columns
 from maskwell.plans.policy import Policy
 
 
@@ -77,3 +78,52 @@ def test_map_keys_and_types_survive(spark):
     out = scrub_nested_columns(df, ["m"])
     assert out.schema["m"].dataType.simpleString() == "map<string,array<string>>"
     assert out.first().m == {"k": ["a***@b.com", "x"]}
+
+
+CSV = 'name,mail,"note, ""a@b.com"""\nbob,a@b.com,"say ""c@d.org"", ok\n10.0.0.1"\r\n,,\nx"y,"",4111 1111 1111 1111\n'
+
+
+def csv_expect(text, style, tokens):
+    import csv
+    import io
+
+    rows = list(csv.reader(io.StringIO(text, newline="")))
+    found = []
+    out = [rows[0]]
+    for row in rows[1:]:
+        done = [resolve(cell, style=style, tokens=tokens) for cell in row]
+        out.append([d[0] for d in done])
+        found += [f for d in done for f in d[1]]
+    return out, found
+
+
+@pytest.mark.parametrize("style", ["partial", "token"])
+def test_csv_text(spark, style):
+    import csv
+    import io
+
+    df = spark.createDataFrame([("a.csv", "csv", CSV), ("b.csv", "csv", None)], "source string, format string, text string")
+    rows = {r.source: r for r in scrub_files(df, Policy(mask_style=style)).collect()}
+    expect, found = csv_expect(CSV, style, {})
+    assert list(csv.reader(io.StringIO(rows["a.csv"].text, newline=""))) == expect
+    assert [tuple(f) for f in rows["a.csv"].findings] == found
+    assert rows["b.csv"].text is None
+
+
+def test_files_share_one_token_map(spark):
+    files = [
+        ("c.txt", "text", "z@z.com then a@b.com"),
+        ("a.json", "json", '{"k": "a@b.com", "l": ["q\\n@x", "c@d.org"]}'),
+        ("b.csv", "csv", CSV),
+        ("d.json", "json", "{broken 10.0.0.1"),
+    ]
+    df = spark.createDataFrame(files, "source string, format string, text string").repartition(3)
+    got = {r.source: r.text for r in tokenize_files(df).rows.collect()}
+    tokens = {}
+    assert json.loads(got["a.json"]) == walk(json.loads(files[1][2]), tokens, "token", [])
+    import csv
+    import io
+
+    assert list(csv.reader(io.StringIO(got["b.csv"], newline=""))) == csv_expect(CSV, "token", tokens)[0]
+    assert got["c.txt"] == resolve(files[0][2], style="token", tokens=tokens)[0]
+    assert got["d.json"] == resolve(files[3][2], style="token", tokens=tokens)[0]
