@@ -151,17 +151,14 @@ def findings(
     names = present(df, fields)
     slim = df.select(*dict.fromkeys([*ids, *names]))
     work = with_scrubbed(slim, names, policy)
-    tagged = F.flatten(
-        F.array(
-            *(
-                F.transform(
-                    F.col("_scrubbed").getItem(i)["findings"],
-                    lambda x, n, f=f: F.struct(F.lit(f).alias("field"), n.alias("seq"), x.alias("f")),
-                )
-                for i, f in enumerate(names)
-            )
+
+    def rows(i: int, name: str) -> Column:
+        return F.transform(
+            F.col("_scrubbed").getItem(i)["findings"],
+            lambda x, n: F.struct(F.lit(name).alias("field"), n.alias("seq"), x.alias("f")),
         )
-    )
+
+    tagged = F.flatten(F.array(*(rows(i, f) for i, f in enumerate(names))))
     return work.select(*ids, F.inline(tagged)).select(*ids, "field", "seq", "f.*")
 
 
