@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from maskwell.functions import dialect, masks
 from maskwell.functions.dialect import DIGIT, EDGE, NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE
 
-# may this text match at all?
-Guard = Callable[[Column], Column]
+# a mask is SQL text over the variable _m, or a function of a column
+Mask = str | Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -22,43 +22,25 @@ class PatternSpec:
 
     ``regex`` is in Java syntax.  ``mask`` maps matched text to masked text as
     a native expression; ``py_mask`` is an arbitrary ``str -> str`` callable,
-    run as an Arrow-batched UDF by the DataFrame-level operators.  ``guard``
-    must be implied by the regex: it only saves scans.  ``needs_digit`` says
-    that every match holds a decimal digit (of any script).
+    run as an Arrow-batched UDF by the DataFrame-level operators.
+
+    ``all_of``, ``any_of`` and ``needs_digit`` are implied by the regex and
+    only save scans: literals every match (one of which any match) holds, and
+    whether each match holds a decimal digit of any script.  Literals are a
+    byte search, without decoding the text or running a regex.
     """
 
     name: str
     category: str
     regex: str
     confidence: float = 1.0
-    mask: masks.Mask | None = None
-    guard: Guard | None = None
+    mask: Mask | None = None
+    all_of: tuple[str, ...] = ()
+    any_of: tuple[str, ...] = ()
     needs_digit: bool = False
     py_mask: Callable[[str], str] | None = None
 
 
-def has(*literals: str) -> Guard:
-    """Every literal occurs: a byte search, no regex and no decoding."""
-
-    def guard(text: Column) -> Column:
-        out = F.contains(text, F.lit(literals[0]))
-        for literal in literals[1:]:
-            out = out & F.contains(text, F.lit(literal))
-        return out
-
-    return guard
-
-
-def any_of(*literals: str) -> Guard:
-    def guard(text: Column) -> Column:
-        out = F.contains(text, F.lit(literals[0]))
-        for literal in literals[1:]:
-            out = out | F.contains(text, F.lit(literal))
-        return out
-
-    return guard
-
-
 HAS_DIGIT = DIGIT
 
 # The look-aheads put in front test the first character before the costlier
@@ -72,35 +54,35 @@ BUILTIN: tuple[PatternSpec, ...] = (
         "jwt",
         "credentials",
         rf"{NOT_AFTER_WORD}eyJ[a-zA-Z0-9_\-]++\.[a-zA-Z0-9_\-]++\.[a-zA-Z0-9_\-]+{EDGE}",
-        mask=masks.jwt,
-        guard=has("eyJ"),
+        mask=masks.JWT,
+        all_of=("eyJ",),
     ),
     PatternSpec(
         "bearer_token",
         "credentials",
         rf"(?=[bB])(?iu)(Bearer[{SPACE}]+)([a-zA-Z0-9\-._~+/]+=*)",
-        mask=masks.bearer,
+        mask=masks.BEARER,
     ),
     PatternSpec(
         "openai_key",
         "credentials",
         rf"{NOT_AFTER_WORD}sk-[a-zA-Z0-9]{{32,}}{NOT_BEFORE_WORD}",
-        mask=masks.api_key,
-        guard=has("sk-"),
+        mask=masks.API_KEY,
+        all_of=("sk-",),
     ),
     PatternSpec(
         "github_token",
         "credentials",
         rf"(?=gh){NOT_AFTER_WORD}gh[poushr]_[a-zA-Z0-9]{{36}}{NOT_BEFORE_WORD}",
-        mask=masks.api_key,
-        guard=any_of("ghp_", "gho_", "ghu_", "ghs_", "ghh_", "ghr_"),
+        mask=masks.API_KEY,
+        any_of=("ghp_", "gho_", "ghu_", "ghs_", "ghh_", "ghr_"),
     ),
     PatternSpec(
         "aws_access_key",
         "credentials",
         rf"{NOT_AFTER_WORD}AKIA[0-9A-Z]{{16}}{NOT_BEFORE_WORD}",
-        mask=masks.api_key,
-        guard=has("AKIA"),
+        mask=masks.API_KEY,
+        all_of=("AKIA",),
     ),
     PatternSpec(
         "generic_credential",
@@ -109,58 +91,58 @@ BUILTIN: tuple[PatternSpec, ...] = (
         r"|auth[_\-]?token|secret[_\-]?key)"
         rf"""(?:["{SPACE}:=']+)([a-zA-Z0-9\-_.+/]{{20,}})""",
         confidence=0.8,
-        mask=masks.assigned_value,
+        mask=masks.ASSIGNED,
     ),
     PatternSpec(
         "slack_token",
         "credentials",
         rf"{NOT_AFTER_WORD}xox[baprs]-[0-9A-Za-z\-]{{24,}}{EDGE}",
-        mask=masks.api_key,
-        guard=has("xox"),
+        mask=masks.API_KEY,
+        all_of=("xox",),
     ),
     PatternSpec(
         "stripe_key",
         "credentials",
         rf"{NOT_AFTER_WORD}(?:sk|pk|rk)_(?:live|test)_[0-9a-zA-Z]{{24,}}{NOT_BEFORE_WORD}",
-        mask=masks.api_key,
-        guard=any_of("k_live_", "k_test_"),
+        mask=masks.API_KEY,
+        any_of=("k_live_", "k_test_"),
     ),
     PatternSpec(
         "google_api_key",
         "credentials",
         rf"{NOT_AFTER_WORD}AIzaSy[0-9A-Za-z\-_]{{33}}{EDGE}",
-        mask=masks.api_key,
-        guard=has("AIzaSy"),
+        mask=masks.API_KEY,
+        all_of=("AIzaSy",),
     ),
     PatternSpec(
         "anthropic_key",
         "credentials",
         rf"{NOT_AFTER_WORD}sk-ant-[a-zA-Z0-9\-_]{{20,}}{EDGE}",
-        mask=masks.api_key,
-        guard=has("sk-ant-"),
+        mask=masks.API_KEY,
+        all_of=("sk-ant-",),
     ),
     PatternSpec(
         "sendgrid_key",
         "credentials",
         rf"{NOT_AFTER_WORD}SG\.[a-zA-Z0-9_\-]{{10,}}+\.[a-zA-Z0-9_\-]{{10,}}{EDGE}",
         confidence=0.9,
-        mask=masks.api_key,
-        guard=has("SG."),
+        mask=masks.API_KEY,
+        all_of=("SG.",),
     ),
     PatternSpec(
         "email",
         "pii",
         rf"(?=[a-zA-Z0-9._%+\-]){EDGE}[a-zA-Z0-9._%+\-]++@"
         rf"[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}{NOT_BEFORE_WORD}",
-        mask=masks.email,
-        guard=has("@"),
+        mask=masks.EMAIL,
+        all_of=("@",),
     ),
     PatternSpec(
         "ssn",
         "pii",
         rf"(?={DIGIT}){NOT_AFTER_WORD}{DIGIT}{{3}}-{DIGIT}{{2}}-{DIGIT}{{4}}{NOT_BEFORE_WORD}",
-        mask=masks.ssn,
-        guard=has("-"),
+        mask=masks.SSN,
+        all_of=("-",),
         needs_digit=True,
     ),
     PatternSpec(
@@ -168,7 +150,7 @@ BUILTIN: tuple[PatternSpec, ...] = (
         "pii",
         rf"(?=[+({DIGIT}])(?<!{DIGIT})(?:\+?1[{SPACE}.\-]?)?(?:\(?{DIGIT}{{3}}\)?[{SPACE}.\-])"
         rf"{DIGIT}{{3}}[{SPACE}.\-]{DIGIT}{{4}}(?!{DIGIT})",
-        mask=masks.phone,
+        mask=masks.PHONE,
         needs_digit=True,
     ),
     PatternSpec(
@@ -176,7 +158,7 @@ BUILTIN: tuple[PatternSpec, ...] = (
         "pii",
         rf"(?=[A-Z][0-9]){NOT_AFTER_WORD}[A-Z][0-9]{{8}}{NOT_BEFORE_WORD}",
         confidence=0.6,
-        mask=masks.first_only,
+        mask=masks.FIRST_ONLY,
         needs_digit=True,
     ),
     PatternSpec(
@@ -184,7 +166,7 @@ BUILTIN: tuple[PatternSpec, ...] = (
         "financial",
         rf"(?=[A-Z]{{2}}[0-9]){NOT_AFTER_WORD}[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{4,30}}{NOT_BEFORE_WORD}",
         confidence=0.75,
-        mask=masks.iban,
+        mask=masks.IBAN,
         needs_digit=True,
     ),
     PatternSpec(
@@ -194,15 +176,15 @@ BUILTIN: tuple[PatternSpec, ...] = (
         rf"3[47][0-9]{{2}}[\-{SPACE}]?[0-9]{{6}}[\-{SPACE}]?[0-9]{{5}}"
         r"|(?:4[0-9]{3}|5[1-5][0-9]{2}|6(?:011|5[0-9]{2}))"
         rf"(?:[\-{SPACE}]?[0-9]{{4}}){{3}}){NOT_BEFORE_WORD}",
-        mask=masks.card,
+        mask=masks.CARD,
         needs_digit=True,
     ),
     PatternSpec(
         "url_credentials",
         "network",
         rf"([a-zA-Z][a-zA-Z0-9+\-.]*+://)([^:@/{SPACE}]+):([^@/{SPACE}]+)@",
-        mask=masks.url_login,
-        guard=has("://", "@"),
+        mask=masks.URL_LOGIN,
+        all_of=("://", "@"),
     ),
     PatternSpec(
         "ipv4",
@@ -211,8 +193,8 @@ BUILTIN: tuple[PatternSpec, ...] = (
         rf"(?:(?:25[0-5]|2[0-4]{DIGIT}|[01]?{DIGIT}{DIGIT}?)\.){{3}}"
         rf"(?:25[0-5]|2[0-4]{DIGIT}|[01]?{DIGIT}{DIGIT}?){NOT_BEFORE_WORD}",
         confidence=0.7,
-        mask=masks.ipv4,
-        guard=has("."),
+        mask=masks.IPV4,
+        all_of=(".",),
         needs_digit=True,
     ),
     PatternSpec(
@@ -220,8 +202,8 @@ BUILTIN: tuple[PatternSpec, ...] = (
         "network",
         rf"(?=[0-9A-Fa-f]{{2}}[:\-]){NOT_AFTER_WORD}(?:[0-9A-Fa-f]{{2}}[:\-]){{5}}"
         rf"[0-9A-Fa-f]{{2}}{NOT_BEFORE_WORD}",
-        mask=masks.mac,
-        guard=any_of(":", "-"),
+        mask=masks.MAC,
+        any_of=(":", "-"),
     ),
 )
 
@@ -240,7 +222,7 @@ def custom_pattern(
     regex: str,
     category: str = "custom",
     confidence: float = 1.0,
-    mask: masks.Mask | None = None,
+    mask: Mask | None = None,
     py_mask: Callable[[str], str] | None = None,
 ) -> PatternSpec:
     """A checked user pattern, ``regex`` in Python syntax.

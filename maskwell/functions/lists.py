@@ -1,4 +1,11 @@
-"""Small array-expression helpers used inside one column expression."""
+"""Pieces of SQL expression text, and how to apply them to a column.
+
+The scan of one value is an expression of about a thousand nodes.  Written as
+SQL text it reaches Spark in a single call and is parsed in milliseconds;
+built node by node from Python it would take seconds per query.  All names in
+the texts are lambda variables with a leading underscore, so no column of the
+caller's table can be meant by accident.
+"""
 
 from __future__ import annotations
 
@@ -10,59 +17,57 @@ from pyspark.sql import functions as F
 BLOCK = 128
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it any number of times in ``body``."""
-    return F.transform(F.array(value), body).getItem(0)
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
 
+def apply(value: Column, name: str, body: str) -> Column:
+    """Evaluate SQL text with ``name`` standing for a column."""
+    return F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")).getItem(0)
 
-def empty(ddl: str) -> Column:
+
+def empty(ddl: str) -> str:
+    return f"cast(array() AS array<{ddl}>)"
+
+
+def empty_array(ddl: str) -> Column:
     return F.array().cast(f"array<{ddl}>")
 
 
-def running(
-    items: Column,
-    state: Column,
-    step: Callable[[Column, Column], tuple[Column, Column]],
-    out_ddl: str,
-) -> Column:
+def running(items: str, state: str, step: Callable[[str, str], str], out_ddl: str) -> str:
     """Left-to-right pass over ``items`` that carries a state and emits rows.
 
-    ``step(state, item)`` returns the next state and an array of emitted
-    elements.  Items are folded in blocks, so appending to the growing result
-    copies a block rather than everything emitted so far: a value with a
-    million matches stays near-linear.
+    ``step(state, item)`` is a ``struct(... AS state, ... AS emit)`` with the
+    next state and an array of emitted elements.  Items are folded in blocks,
+    so appending to the growing result copies a block rather than everything
+    emitted so far: a value with a million matches stays near-linear.
     """
-
-    def add(acc: Column, item: Column) -> Column:
-        nxt, emitted = step(acc["state"], item)
-        return F.struct(nxt.alias("state"), F.concat(acc["out"], emitted).alias("out"))
-
-    def fold(block: Column, start: Column) -> Column:
-        return F.aggregate(
-            block, F.struct(start.alias("state"), empty(out_ddl).alias("out")), add
-        )
-
-    def add_block(xs: Column, acc: Column, i: Column) -> Column:
-        return let(
-            fold(F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)), acc["state"]),
-            lambda r: F.struct(
-                r["state"].alias("state"),
-                F.concat(acc["out"], F.array(r["out"])).alias("out"),
-            ),
-        )
-
-    def run(xs: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
-        many = F.aggregate(
-            blocks,
-            F.struct(state.alias("state"), empty(f"array<{out_ddl}>").alias("out")),
-            lambda acc, i: add_block(xs, acc, i),
-            lambda acc: F.flatten(acc["out"]),
-        )
-        return (
-            F.when(F.size(xs) == 0, empty(out_ddl))
-            .when(F.size(xs) <= BLOCK, fold(xs, state)["out"])
-            .otherwise(many)
-        )
-
-    return let(items, run)
+    merge = let(
+        step("_acc.state", "_x"),
+        "_next",
+        "struct(_next.state AS state, concat(_acc.out, _next.emit) AS out)",
+    )
+
+    def fold(block: str, start: str) -> str:
+        zero = f"struct({start} AS state, {empty(out_ddl)} AS out)"
+        return f"aggregate({block}, {zero}, (_acc, _x) -> {merge})"
+
+    one_block = let(
+        fold(f"slice(_xs, _b * {BLOCK} + 1, {BLOCK})", "_all.state"),
+        "_part",
+        "struct(_part.state AS state, concat(_all.out, array(_part.out)) AS out)",
+    )
+    blocks = f"sequence(0, cast(floor((size(_xs) - 1) / {BLOCK}) AS int))"
+    zero = f"struct({state} AS state, {empty(f'array<{out_ddl}>')} AS out)"
+    many = f"aggregate({blocks}, {zero}, (_all, _b) -> {one_block}, _all -> flatten(_all.out))"
+    cases = (
+        f"CASE WHEN size(_xs) = 0 THEN {empty(out_ddl)} "
+        f"WHEN size(_xs) <= {BLOCK} THEN {fold('_xs', state)}.out ELSE {many} END"
+    )
+    return let(items, "_xs", cases)

@@ -1,145 +1,85 @@
-"""Format-preserving masks: matched text in, masked text out, all built-ins."""
+"""Format-preserving masks: SQL text over ``_m``, the matched text."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from maskwell.functions.dialect import SPACE
-
-Mask = Callable[[Column], Column]
-
-
-def stars(n: Column | int) -> Column:
-    return F.repeat(F.lit("*"), n if isinstance(n, Column) else F.lit(n))
+from maskwell.functions.lists import let, quoted
 
 
-def keep_ends(value: Column, head: int = 1, tail: int = 0, least: int = 3) -> Column:
+def keep_ends(value: str, head: int, tail: int, least: int) -> str:
     """Keep ``head`` and ``tail`` characters, at least ``least`` stars between.
 
     A value shorter than ``tail`` shows its last ``tail - length`` characters,
     which is what the data format calls for on very short bearer tokens.
     """
-    n = F.length(value)
-    middle = stars(F.greatest(F.lit(least), n - (head + tail)))
-    if not tail:
-        return F.concat(F.left(value, F.lit(head)), middle)
-    shown = F.when(n >= tail, F.lit(tail)).otherwise(F.lit(tail) - n)
-    return F.concat(F.left(value, F.lit(head)), middle, F.right(value, shown))
-
-
-def digits_only(value: Column) -> Column:
-    return F.regexp_replace(value, r"\P{Nd}", "")
-
-
-def last4(value: Column) -> Column:
-    return F.right(value, F.lit(4))
-
-
-def email(m: Column) -> Column:
-    return F.concat(F.left(m, F.lit(1)), F.lit("***@"), F.substring_index(m, "@", -1))
-
-
-def ssn(m: Column) -> Column:
-    return F.concat(F.lit("***-**-"), last4(digits_only(m)))
-
-
-def phone(m: Column) -> Column:
-    return F.concat(F.lit("***-***-"), last4(digits_only(m)))
-
-
-def first_only(m: Column) -> Column:
-    return F.concat(F.left(m, F.lit(1)), stars(F.length(m) - 1))
-
-
-def api_key(m: Column) -> Column:
-    """Keep a short vendor prefix (two to four letters and ``-`` or ``_``)."""
-    prefix = F.regexp_extract(m, r"^([A-Za-z]{2,4}[-_])", 1)
-    rest = F.length(m) - F.length(prefix)
+    n = f"length({value})"
     return (
-        F.when(prefix == "", F.concat(F.left(m, F.lit(4)), F.lit("****..."), last4(m)))
-        .when(rest > 8, F.concat(prefix, F.lit("****..."), last4(m)))
-        .otherwise(F.concat(prefix, F.lit("****")))
+        f"concat(left({value}, {head}), repeat('*', greatest({least}, {n} - {head + tail})), "
+        f"right({value}, if({n} >= {tail}, {tail}, {tail} - {n})))"
     )
 
 
-def jwt(m: Column) -> Column:
-    part = F.split(m, r"\.", 3)
-    return F.concat(
-        F.left(part.getItem(0), F.lit(10)),
-        F.lit("*****."),
-        F.right(part.getItem(2), F.lit(8)),
-    )
+def _digits(value: str) -> str:
+    return f"regexp_replace({value}, {quoted(r'\P{Nd}')}, '')"
 
 
-def bearer(m: Column) -> Column:
-    token = F.regexp_extract(m, rf"([^{SPACE}]+)\z", 1)
-    lead = F.left(m, F.length(m) - F.length(token))
-    return F.concat(lead, keep_ends(token, 4, 4, 4))
-
-
-def assigned_value(m: Column) -> Column:
-    """Mask the value of a ``key = value`` assignment, keep the key."""
-    value = F.regexp_extract(m, rf"([^\"{SPACE}:=']+)\z", 1)
-    lead = F.left(m, F.length(m) - F.length(value))
-    return F.concat(lead, keep_ends(value, 4, 4, 4))
-
-
-def card(m: Column) -> Column:
-    """4-4-4-4 or 4-6-5 grouping; text that fails the Luhn check is kept."""
-    number = F.regexp_replace(m, rf"[\-{SPACE}]", "")
-    sep = F.when(F.contains(m, F.lit("-")), F.lit("-")).when(
-        F.contains(m, F.lit(" ")), F.lit(" ")
-    )
-    head, tail = F.left(number, F.lit(4)), last4(number)
-    amex = F.length(number) == 15
-    return (
-        F.when(~F.call_function("luhn_check", number), m)
-        .when(amex & sep.isNotNull(), F.concat(head, sep, stars(6), sep, F.lit("*"), tail))
-        .when(sep.isNotNull(), F.concat(head, sep, stars(4), sep, stars(4), sep, tail))
-        .otherwise(F.concat(head, stars(F.length(number) - 8), tail))
+def _after(regex: str) -> str:
+    """Mask only what the regex's group finds at the end of the match."""
+    value = f"regexp_extract(_m, {quoted(regex)}, 1)"
+    return let(
+        value, "_v", f"concat(left(_m, length(_m) - length(_v)), {keep_ends('_v', 4, 4, 4)})"
     )
 
 
-def iban(m: Column) -> Column:
-    return F.concat(
-        F.left(m, F.lit(4)),
-        stars(F.greatest(F.lit(0), F.length(m) - 8)),
-        last4(m),
-    )
-
-
-def ipv4(m: Column) -> Column:
-    return F.concat(F.substring_index(m, ".", 2), F.lit(".*.*"))
-
-
-def url_login(m: Column) -> Column:
-    """``scheme://user:secret@`` keeps scheme and user."""
-    return F.concat(F.regexp_extract(m, r"^([^:]+://[^:]+):", 1), F.lit(":****@"))
-
-
-def mac(m: Column) -> Column:
-    sep = F.when(F.contains(m, F.lit(":")), F.lit(":")).otherwise(F.lit("-"))
-    hidden = F.concat(sep, F.lit("**"))
-    return F.concat(
-        F.left(m, F.lit(2)), sep, F.substring(m, 4, 2), hidden, hidden, hidden, hidden
-    )
-
-
-def custom(java_regex: str, groups: int) -> Mask:
+EMAIL = "concat(left(_m, 1), '***@', substring_index(_m, '@', -1))"
+SSN = f"concat('***-**-', right({_digits('_m')}, 4))"
+PHONE = f"concat('***-***-', right({_digits('_m')}, 4))"
+FIRST_ONLY = "concat(left(_m, 1), repeat('*', length(_m) - 1))"
+
+# keeps a short vendor prefix: two to four letters and - or _
+API_KEY = let(
+    f"regexp_extract(_m, {quoted('^([A-Za-z]{2,4}[-_])')}, 1)",
+    "_p",
+    "CASE WHEN _p = '' THEN concat(left(_m, 4), '****...', right(_m, 4)) "
+    "WHEN length(_m) - length(_p) > 8 THEN concat(_p, '****...', right(_m, 4)) "
+    "ELSE concat(_p, '****') END",
+)
+JWT = "concat(left(substring_index(_m, '.', 1), 10), '*****.', right(substring_index(_m, '.', -1), 8))"
+BEARER = _after(rf"([^{SPACE}]+)\z")
+# the value of a key = value assignment; the key stays
+ASSIGNED = _after(rf"""([^"{SPACE}:=']+)\z""")
+
+# 4-4-4-4 or 4-6-5 grouping; text that fails the Luhn check is kept
+CARD = let(
+    f"struct(regexp_replace(_m, {quoted(rf'[\-{SPACE}]')}, '') AS n, "
+    "CASE WHEN contains(_m, '-') THEN '-' WHEN contains(_m, ' ') THEN ' ' ELSE '' END AS sep)",
+    "_c",
+    "CASE WHEN NOT luhn_check(_c.n) THEN _m "
+    "WHEN length(_c.n) = 15 AND _c.sep <> '' THEN "
+    "concat(left(_c.n, 4), _c.sep, '******', _c.sep, '*', right(_c.n, 4)) "
+    "WHEN _c.sep <> '' THEN "
+    "concat(left(_c.n, 4), _c.sep, '****', _c.sep, '****', _c.sep, right(_c.n, 4)) "
+    "ELSE concat(left(_c.n, 4), repeat('*', length(_c.n) - 8), right(_c.n, 4)) END",
+)
+IBAN = "concat(left(_m, 4), repeat('*', greatest(0, length(_m) - 8)), right(_m, 4))"
+IPV4 = "concat(substring_index(_m, '.', 2), '.*.*')"
+# scheme://user:secret@ keeps scheme and user
+URL_LOGIN = f"concat(regexp_extract(_m, {quoted('^([^:]+://[^:]+):')}, 1), ':****@')"
+MAC = let(
+    "if(contains(_m, ':'), ':', '-')",
+    "_s",
+    "concat(left(_m, 2), _s, substring(_m, 4, 2), repeat(concat(_s, '**'), 4))",
+)
+
+
+def custom(java_regex: str, groups: int) -> str:
     """Default mask of user patterns: group 1 if it matched, else the match."""
-
-    def mask(m: Column) -> Column:
-        value = m
-        if groups:
-            g1 = F.regexp_extract(m, java_regex, 1)
-            value = F.when(g1 == "", m).otherwise(g1)
-        n = F.length(value)
-        return F.when(
-            n > 4,
-            F.concat(F.left(value, F.lit(2)), stars(F.greatest(F.lit(4), n - 2))),
-        ).otherwise(F.lit("****"))
-
-    return mask
+    value = "_m"
+    if groups:
+        g1 = f"regexp_extract(_m, {quoted(java_regex)}, 1)"
+        value = f"coalesce(nullif({g1}, ''), _m)"
+    return let(
+        value,
+        "_v",
+        "if(length(_v) > 4, concat(left(_v, 2), repeat('*', greatest(4, length(_v) - 2))), '****')",
+    )

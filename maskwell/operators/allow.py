@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.functions.lists import let
+from maskwell.functions.lists import apply
 from maskwell.operators import spans as S
+from maskwell.operators.scrub import barrier
 from maskwell.operators.span_tables import join_by_value, span_rows, splice
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
@@ -51,19 +52,19 @@ def exclude_allowed(
     allowed = scratch.kept(in_use.join(listed, "_key", "left_semi"))
     left = join_by_value(cands, allowed, ["_key"], "left_anti")
 
-    span_cols = [c.split()[0] for c in S.SPAN.split(", ")]
     per_value = left.groupBy(*ids, "field_at", "field").agg(
-        F.sort_array(F.collect_list(F.struct(*span_cols))).alias("_cands")
+        F.sort_array(F.collect_list(F.struct(*S.SPAN_COLUMNS))).alias("_cands")
     )
-    done = let(
-        S.sweep(F.col("_cands")),
-        lambda kept: let(
-            S.masks_of(kept, policy),
-            lambda m: F.arrays_zip(kept.alias("s"), S.as_findings(kept, m, policy).alias("f")),
-        ),
+    swept_col = apply(F.col("_cands"), "_cands", S.sweep_sql("_cands"))
+    masked = barrier(per_value, _kept=swept_col).withColumn(
+        "_masked", S.masks_of(F.col("_kept"), policy)
+    )
+    zipped = F.arrays_zip(
+        F.col("_kept").alias("s"),
+        F.expr(S.findings_sql("_kept", "_masked", policy)).alias("f"),
     )
     swept = scratch.kept(
-        per_value.select(*ids, "field_at", "field", F.posexplode(done).alias("seq", "x"))
+        masked.select(*ids, "field_at", "field", F.posexplode(zipped).alias("seq", "x"))
     )
     rows = splice(
         df,

@@ -7,53 +7,49 @@ their spelling, order, layout - stay as they are.  No schema is needed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.functions.lists import empty, let, running
+from maskwell.functions.lists import apply, empty, let, quoted, running
 from maskwell.operators import spans as S
-from maskwell.operators.scrub import barrier
+from maskwell.operators.scrub import barrier, with_python_masks
 from maskwell.operators.span_tables import splice
 from maskwell.operators.tokens import Tokenized, tokenize
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
 VALUE = "struct<b0:int,b1:int,literal:string,value:string>"
-# literal of the original -> its decoded value; (literal, new value) -> new literal
-Decode = Callable[[Column], Column]
-Encode = Callable[[Column, Column], Column]
 
 
-def _values(text: Column, token: str, skip: Callable[[Column, Column], Column], decode: Decode) -> Column:
+def _values(text: str, token: str, is_value: str, value: str) -> str:
     """Byte ranges and decoded values of the tokens of a text.
 
-    ``skip(token, line)`` tells tokens that are not values; ``line`` counts
-    the gaps with a line break seen so far.  The repeated parts of the token
-    regexes are possessive, which Java runs as loops, not as recursion.
+    ``is_value`` and ``value`` are texts over ``_x.m``, the token, and
+    ``_line``, the number of gaps with a line break before it.  The repeated
+    parts of the token regexes are possessive, which Java runs as loops, not
+    as recursion.
     """
 
-    def step(at: Column, p: Column) -> tuple[Column, Column]:
-        b0 = at["b"] + F.octet_length(p["gap"])
-        b1 = b0 + F.octet_length(p["m"])
-        line = at["line"] + p["gap"].rlike("[\r\n]").cast("int")
-        row = F.struct(
-            b0.alias("b0"), b1.alias("b1"), p["m"].alias("literal"), decode(p["m"]).alias("value")
+    def step(at: str, p: str) -> str:
+        measure = (
+            f"struct({at}.b + octet_length({p}.gap) AS b0, octet_length({p}.m) AS size, "
+            f"{at}.line + if(rlike({p}.gap, '[\\\\r\\\\n]'), 1, 0) AS line)"
         )
-        emitted = F.when(skip(p["m"], line), empty(VALUE)).otherwise(F.array(row))
-        return F.struct(b1.alias("b"), line.alias("line")), emitted
-
-    def placed(found: Column) -> Column:
-        gaps = F.split(text, token, -1)
-        pairs = F.arrays_zip(found.alias("m"), gaps.alias("gap"))
-        start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("line"))
-        return running(F.slice(pairs, F.lit(1), F.size(found)), start, step, VALUE)
-
-    return let(
-        F.regexp_extract_all(text, F.lit(token), F.lit(0)),
-        lambda found: F.when(F.size(found) == 0, empty(VALUE)).otherwise(placed(found)),
+        row = (
+            f"struct(_at.b0 AS b0, _at.b0 + _at.size AS b1, {p}.m AS literal, {value} AS value)"
+        )
+        rows = let("_at.line", "_line", f"if({is_value}, array({row}), {empty(VALUE)})")
+        state = "struct(_at.b0 + _at.size AS b, _at.line AS line)"
+        return let(measure, "_at", f"struct({state} AS state, {rows} AS emit)")
+
+    pairs = "transform(_found, (_m, _i) -> struct(_m AS m, _gaps[_i] AS gap))"
+    placed = let(
+        f"split({text}, {quoted(token)}, -1)",
+        "_gaps",
+        running(pairs, "struct(0 AS b, 0 AS line)", step, VALUE),
     )
+    found = f"regexp_extract_all({text}, {quoted(token)}, 0)"
+    return let(found, "_found", f"if(size(_found) = 0, {empty(VALUE)}, {placed})")
 
 
 # -- JSON -----------------------------------------------------------------------
@@ -61,144 +57,167 @@ def _values(text: Column, token: str, skip: Callable[[Column, Column], Column],
 JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:[ \t\r\n]*+:)?'
 
 
-def json_values(text: Column) -> Column:
+def json_values_sql(text: str) -> str:
     """String values of a valid JSON text; a token ending in ``:`` is a key."""
+    decoded = "from_json(concat('[', _x.m, ']'), 'array<string>')[0]"
+    return _values(text, JSON_TOKEN, "NOT endswith(_x.m, ':')", decoded)
 
-    def decode(literal: Column) -> Column:
-        whole = F.concat(F.lit("["), literal, F.lit("]"))
-        return F.from_json(whole, "array<string>").getItem(0)
-
-    return _values(text, JSON_TOKEN, lambda m, _line: F.endswith(m, F.lit(":")), decode)
 
+def json_literal_sql(_old: str, value: str) -> str:
+    return let(f"to_json(array({value}))", "_js", "substring(_js, 2, length(_js) - 2)")
 
-def json_literal(_old: Column, value: Column) -> Column:
-    packed = F.to_json(F.array(value))
-    return F.substring(packed, F.lit(2), F.length(packed) - 2)
 
-
-def is_json(text: Column) -> Column:
-    return F.call_function("try_parse_json", text).isNotNull()
+def is_json_sql(text: str) -> str:
+    return f"try_parse_json({text}) IS NOT NULL"
 
 
 # -- CSV ------------------------------------------------------------------------
 
 
 def csv_token(sep: str) -> str:
-    s = "\\" + sep if sep in "|" else sep
+    s = "\\" + sep if sep == "|" else sep
     return rf'"[^"]*+(?:""[^"]*+)*+"|[^"{s}\r\n][^{s}\r\n]*+'
 
 
-def csv_values(text: Column, sep: str = ",", header: bool = True) -> Column:
+def csv_values_sql(text: str, sep: str = ",", header: bool = True) -> str:
     """Non-empty cells of a CSV text, the first line left out as a header."""
+    inner = """replace(substring(_x.m, 2, length(_x.m) - 2), '""', '"')"""
+    value = f"""if(startswith(_x.m, '"'), {inner}, _x.m)"""
+    return _values(text, csv_token(sep), "_line > 0" if header else "true", value)
 
-    def decode(cell: Column) -> Column:
-        inner = F.replace(
-            F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"')
-        )
-        return F.when(F.startswith(cell, F.lit('"')), inner).otherwise(cell)
-
-    def skip(_m: Column, line: Column) -> Column:
-        return (line == 0) if header else F.lit(False)
-
-    return _values(text, csv_token(sep), skip, decode)
-
-
-def csv_cell(sep: str) -> Encode:
-    def encode(old: Column, value: Column) -> Column:
-        quote = F.startswith(old, F.lit('"')) | value.rlike(f'["{sep}\r\n]'.replace("|", r"\|"))
-        doubled = F.replace(value, F.lit('"'), F.lit('""'))
-        return F.when(quote, F.concat(F.lit('"'), doubled, F.lit('"'))).otherwise(value)
 
-    return encode
+def csv_cell_sql(old: str, value: str, sep: str = ",") -> str:
+    s = "\\" + sep if sep == "|" else sep
+    special = quoted(f'["{s}\r\n]')
+    quote = f"""startswith({old}, '"') OR rlike({value}, {special})"""
+    return f"""if({quote}, concat('"', replace({value}, '"', '""'), '"'), {value})"""
 
 
 # -- scrub ----------------------------------------------------------------------
 
 
-def _scrub_in_place(text: Column, values: Column, encode: Encode, policy: Policy) -> Column:
-    def splice_in(vs: Column, done: Column, found: Column) -> Column:
-        literals = F.zip_with(
-            vs,
-            done,
-            lambda v, d: F.when(F.size(d["findings"]) > 0, encode(v["literal"], d["text"]))
-            .otherwise(v["literal"]),
-        )
-        new = let(literals, lambda m: S.assemble(text, vs, m))
-        return F.struct(
-            F.when(F.size(found) == 0, text).otherwise(new).alias("text"), found.alias("findings")
-        )
+def _values_sql(text: str, form: str, sep: str, header: bool) -> str:
+    """Values of a document by its form; plain text is one value."""
+    whole = f"array(struct(0 AS b0, octet_length({text}) AS b1, {text} AS literal, {text} AS value))"
+    return (
+        f"CASE {form} WHEN 'json' THEN {json_values_sql(text)} "
+        f"WHEN 'csv' THEN {csv_values_sql(text, sep, header)} ELSE {whole} END"
+    )
 
-    def scrubbed(vs: Column) -> Column:
-        texts = F.transform(vs, lambda v: v["value"])
-        return let(
-            S.scrub_values(texts, policy, shared_tokens=True),
-            lambda done: let(
-                F.flatten(F.transform(done, lambda d: d["findings"])),
-                lambda found: splice_in(vs, done, found),
-            ),
-        )
 
-    return let(values, scrubbed)
+def _literal_sql(form: str, old: str, value: str, sep: str) -> str:
+    return (
+        f"CASE {form} WHEN 'json' THEN {json_literal_sql(old, value)} "
+        f"WHEN 'csv' THEN {csv_cell_sql(old, value, sep)} ELSE {value} END"
+    )
 
 
-def scrub_json(text: Column, policy: Policy | None = None) -> Column:
-    """``struct<text, findings>`` of a JSON text column.
+def _form_sql(text: str, hint: str) -> str:
+    """Form a text is really in: JSON that does not parse is plain text."""
+    return (
+        f"CASE WHEN {text} IS NULL THEN 'text' "
+        f"WHEN {hint} = 'json' AND {is_json_sql(text)} THEN 'json' "
+        f"WHEN {hint} = 'csv' THEN 'csv' ELSE 'text' END"
+    )
 
-    Text that is not valid JSON is scrubbed as plain text.  Values are looked
-    at without their key, positions are within the decoded value, and the
-    token style numbers over the whole document.
-    """
-    policy = policy or Policy()
+
+def _spliced_sql(text: str, values: str, done: str, form: str, sep: str) -> str:
+    literal = _literal_sql(form, "_v.literal", "_d.text", sep)
+    literals = (
+        f"zip_with({values}, {done}, "
+        f"(_v, _d) -> if(size(_d.findings) > 0, {literal}, _v.literal))"
+    )
+    new = let(literals, "_lits", S.assemble_sql(text, values, "_lits"))
     return let(
-        text,
-        lambda t: F.when(is_json(t), _scrub_in_place(t, json_values(t), json_literal, policy))
-        .otherwise(S.scrub(t, policy)),
+        f"flatten(transform({done}, _d -> _d.findings))",
+        "_all_found",
+        f"struct(if(size(_all_found) = 0, {text}, {new}) AS text, _all_found AS findings)",
     )
 
 
-def scrub_csv(
-    text: Column, policy: Policy | None = None, sep: str = ",", header: bool = True
-) -> Column:
-    """``struct<text, findings>`` of a column that holds whole CSV texts."""
+def scrub_documents(
+    df: DataFrame,
+    column: str,
+    form: Column | str,
+    policy: Policy | None = None,
+    found: str | None = None,
+    sep: str = ",",
+    header: bool = True,
+) -> DataFrame:
+    """Scrub a column of whole documents in place, findings in ``<column>_found``.
+
+    ``form`` is ``json``, ``csv`` or ``text``, a constant or a column.  Values
+    are looked at without their key, positions are within the decoded value,
+    and the token style numbers over the whole document.
+    """
     policy = policy or Policy()
-    return let(
-        text,
-        lambda t: F.when(
-            t.isNotNull(), _scrub_in_place(t, csv_values(t, sep, header), csv_cell(sep), policy)
-        ).otherwise(S.scrub(t, policy)),
+    hint = F.lit(form) if isinstance(form, str) else form
+    text = F.col(f"`{column}`")
+    packed = F.struct(text.alias("t"), hint.alias("hint"))
+    work = df.withColumn("_form", apply(packed, "_r", _form_sql("_r.t", "_r.hint")))
+    packed = F.struct(text.alias("t"), F.col("_form").alias("form"))
+    values = apply(
+        packed, "_r", let("_r.t", "_doc", _values_sql("_doc", "_r.form", sep, header))
     )
+    work = barrier(work, _vals=values)
+    plain = F.expr("transform(_vals, _v -> _v.value)")
+    if S.python_masked(policy):
+        work = with_python_masks(work, plain, policy, "_done")
+    else:
+        work = barrier(work, _done=S.scrub_values(plain, policy, shared_tokens=True))
+    packed = F.struct(*(F.col(c) for c in ("_form", "_vals", "_done")), text.alias("_text"))
+    spliced = _spliced_sql("_r._text", "_r._vals", "_r._done", "_r._form", sep)
+    work = barrier(work, _new=apply(packed, "_r", spliced))
+    cols = [F.col("_new.text").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
+    return work.select(*cols, F.col("_new.findings").alias(found or f"{column}_found"))
 
 
 def scrub_json_column(
     df: DataFrame, column: str, policy: Policy | None = None, found: str | None = None
 ) -> DataFrame:
-    """Scrub a JSON text column in place, findings in ``<column>_found``."""
-    work = barrier(df, _json=scrub_json(F.col(f"`{column}`"), policy))
-    cols = [F.col("_json.text").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
-    return work.select(*cols, F.col("_json.findings").alias(found or f"{column}_found"))
+    """JSON text; what does not parse is scrubbed as plain text."""
+    return scrub_documents(df, column, "json", policy, found)
 
 
-def scrub_files(
-    files: DataFrame,
+def scrub_csv_column(
+    df: DataFrame,
+    column: str,
     policy: Policy | None = None,
+    found: str | None = None,
     sep: str = ",",
     header: bool = True,
-    findings: str = "findings",
 ) -> DataFrame:
-    """Scrub a table of files (``text`` and ``format``), each by its format.
+    return scrub_documents(df, column, "csv", policy, found, sep, header)
+
+
+def scrub_files(
+    files: DataFrame, policy: Policy | None = None, sep: str = ",", header: bool = True
+) -> DataFrame:
+    """Scrub a table of files (``text`` and ``format``), findings in ``findings``.
 
     The token style numbers per file; see ``tokenize_files`` for one map.
     """
+    return scrub_documents(files, "text", F.col("format"), policy, "findings", sep, header)
+
+
+def scrub_json(text: Column, policy: Policy | None = None) -> Column:
+    """``struct<text, findings>`` of JSON text as one expression.
+
+    For use inside other expressions; not for the token style, which numbers
+    over the document and is left to ``scrub_json_column``.
+    """
     policy = policy or Policy()
-    text, kind = F.col("text"), F.col("format")
-    done = (
-        F.when(kind == "json", scrub_json(text, policy))
-        .when(kind == "csv", scrub_csv(text, policy, sep, header))
-        .otherwise(S.scrub(text, policy))
+    if policy.mask_style == "token" or S.column_masked(policy) or S.python_masked(policy):
+        raise ValueError("use scrub_json_column() for tokens and for masks that are functions")
+    texts = "transform(_vals, _v -> _v.value)"
+    done = S.scrub_values_sql(texts, policy, False)
+    inside = let(
+        json_values_sql("_doc"),
+        "_vals",
+        let(done, "_done", _spliced_sql("_doc", "_vals", "_done", "'json'", ",")),
     )
-    work = barrier(files, _done=done)
-    cols = [F.col("_done.text").alias("text") if c == "text" else F.col(c) for c in files.columns]
-    return work.select(*cols, F.col("_done.findings").alias(findings))
+    body = f"if({is_json_sql('_doc')}, {inside}, {S.scrub_sql('_doc', policy)})"
+    return apply(text, "_doc", body)
 
 
 def tokenize_files(
@@ -210,32 +229,15 @@ def tokenize_files(
     header: bool = True,
 ) -> Tokenized:
     """One token map over all files, in path order, then value order."""
-    text, kind = F.col("text"), F.col("format")
-    whole = F.array(
-        F.struct(
-            F.lit(0).alias("b0"),
-            F.octet_length(text).alias("b1"),
-            text.alias("literal"),
-            text.alias("value"),
-        )
-    )
-    values = (
-        F.when((kind == "json") & is_json(text), json_values(text))
-        .when(kind == "csv", csv_values(text, sep, header))
-        .otherwise(whole)
-    )
-    form = F.when((kind == "json") & is_json(text), "json").when(kind == "csv", "csv").otherwise("text")
-    rows = files.select(source, form.alias("_form"), F.posexplode(values).alias("seq", "_v")).select(
-        source, "seq", "_form", "_v.*"
+    rows = (
+        files.select(source, "text", F.expr(_form_sql("text", "format")).alias("_form"))
+        .select(source, "_form", F.posexplode(F.expr(_values_sql("text", "_form", sep, header))).alias("seq", "_v"))
+        .select(source, "seq", "_form", "_v.*")
     )
     got = tokenize(rows, [source, "seq"], "value", policy, order=[source, "seq"], known=known)
-    masked = (
-        F.when(F.col("_form") == "json", json_literal(F.col("literal"), F.col("value")))
-        .when(F.col("_form") == "csv", csv_cell(sep)(F.col("literal"), F.col("value")))
-        .otherwise(F.col("value"))
-    )
+    masked = _literal_sql("_form", "literal", "value", sep)
     hit = scratch.kept(got.findings.select(source, "seq").distinct())
     put = got.rows.join(hit, [source, "seq"], "left_semi").select(
-        source, F.lit(0).alias("field_at"), "b0", "b1", masked.alias("masked")
+        source, F.lit(0).alias("field_at"), "b0", "b1", F.expr(masked).alias("masked")
     )
     return Tokenized(splice(files, [source], "text", put), got.findings, got.tokens)

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwell.functions.lists import empty, let
+from maskwell.functions.lists import empty_array
 from maskwell.operators import spans as S
+from maskwell.operators.documents import scrub_json
 from maskwell.operators.scrub import barrier
 from maskwell.plans.policy import Policy
 
+DEEP = 500
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times in ``body``."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def allow_deep_expressions(spark: SparkSession) -> None:
+    """Let the analyzer take more passes: it resolves one lambda level per pass."""
+    key = "spark.sql.analyzer.maxIterations"
+    if int(spark.conf.get(key)) < DEEP:
+        spark.conf.set(key, DEEP)
+
 
 def has_text(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.StructType):
@@ -19,7 +36,7 @@ def has_text(dtype: T.DataType) -> bool:
         return has_text(dtype.elementType)
     if isinstance(dtype, T.MapType):
         return has_text(dtype.valueType)
-    return isinstance(dtype, T.StringType)
+    return isinstance(dtype, (T.StringType, T.VariantType))
 
 
 def _leaves(value: Column, dtype: T.DataType) -> list[Column]:
@@ -34,6 +51,8 @@ def _leaves(value: Column, dtype: T.DataType) -> list[Column]:
 def scrub_nested(value: Column, dtype: T.DataType, policy: Policy | None = None) -> Column:
     """``struct<value, findings>`` for a column of any type.
 
+    Deep types need ``allow_deep_expressions`` on the session.
+
     All strings a struct tree holds directly go through one copy of the scan
     expression; each array or map level adds one copy for its elements.
     """
@@ -61,24 +80,28 @@ def scrub_nested(value: Column, dtype: T.DataType, policy: Policy | None = None)
             )
             new = F.map_from_arrays(F.map_keys(v), F.transform(inner, lambda x: x["value"]))
             return new, [_below(inner)]
+        if isinstance(dt, T.VariantType):
+            inner = scrub_json(F.to_json(v), policy)
+            new = F.when(v.isNotNull(), F.call_function("try_parse_json", inner["text"]))
+            return new, [F.coalesce(inner["findings"], empty_array(S.FINDING))]
         return v, []
 
     def build(v: Column) -> Column:
         strings = _leaves(v, dtype)
-        done = S.scrub_values(F.array(*strings), policy) if strings else empty(S.SCRUBBED_T)
+        done = S.scrub_values(F.array(*strings), policy) if strings else empty_array(S.SCRUBBED)
 
         def pack(d: Column) -> Column:
             new, found = rebuild(v, dtype, d, [0])
-            listed = F.flatten(F.array(*found)) if found else empty(S.FINDING_T)
+            listed = F.flatten(F.array(*found)) if found else empty_array(S.FINDING)
             return F.struct(new.alias("value"), listed.alias("findings"))
 
-        return let(done, pack)
+        return bound(done, pack)
 
-    return let(value, build)
+    return bound(value, build)
 
 
 def _below(inner: Column) -> Column:
-    return F.coalesce(F.flatten(F.transform(inner, lambda x: x["findings"])), empty(S.FINDING_T))
+    return F.coalesce(F.flatten(F.transform(inner, lambda x: x["findings"])), empty_array(S.FINDING))
 
 
 def scrub_nested_columns(
@@ -86,6 +109,7 @@ def scrub_nested_columns(
 ) -> DataFrame:
     """Scrub nested columns in place and add ``<column>_found``, the findings."""
     policy = policy or Policy()
+    allow_deep_expressions(df.sparkSession)
     for name in [c for c in columns if c in df.columns]:
         dtype = df.schema[name].dataType
         work = barrier(df, _nested=scrub_nested(F.col(f"`{name}`"), dtype, policy))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwell.functions.lists import let
+from maskwell.functions.lists import apply, empty
 from maskwell.operators import spans as S
 from maskwell.plans.policy import Policy
 
@@ -71,32 +71,25 @@ def with_python_masks(df: DataFrame, values: Column, policy: Policy, out: str) -
         for rows in batches:
             yield rows.map(mask_all)
 
-    staged = barrier(
-        df, _values=values, _kept=F.transform(values, lambda v: spans_or_none(v, policy))
-    )
-    slim = F.transform(
-        F.col("_kept"),
-        lambda kept: F.transform(
-            kept, lambda s: F.struct(s["rank"].alias("rank"), s["original"].alias("original"))
-        ),
+    found = apply(values, "_vs", f"transform(_vs, _t -> {one_value(policy)})")
+    staged = barrier(df, _values=values, _kept=found)
+    slim = F.expr(
+        "transform(_kept, _k -> transform(_k, _s -> struct(_s.rank AS rank, _s.original AS original)))"
     )
     staged = staged.withColumn("_python", in_python(slim))
 
     def one(value: Column, i: Column) -> Column:
-        def render(t: Column, kept: Column) -> Column:
-            merged = F.zip_with(
-                F.get(F.col("_python"), i), S.masks_of(kept, policy), lambda p, n: F.coalesce(p, n)
-            )
-            return let(merged, lambda m: S.rendered(t, kept, m, policy))
-
-        return let(F.get(F.col("_kept"), i), lambda kept: S.render_if(value, kept, render))
+        kept = F.get(F.col("_kept"), i)
+        ready = F.coalesce(S.masks_of(kept, policy), S.empty_array("string"))
+        masked = F.zip_with(F.get(F.col("_python"), i), ready, lambda p, n: F.coalesce(p, n))
+        return S.render(value, kept, masked, policy)
 
     result = barrier(staged, **{out: F.transform(F.col("_values"), one)})
     return result.drop("_values", "_kept", "_python")
 
 
-def spans_or_none(value: Column, policy: Policy) -> Column:
-    return F.coalesce(S.spans(value, policy), F.array().cast(f"array<{S.SPAN_T}>"))
+def one_value(policy: Policy) -> str:
+    return f"coalesce({S.spans_sql('_t', policy)}, {empty(S.SPAN)})"
 
 
 def scrub_columns(
@@ -191,7 +184,7 @@ def shortened(value: Column, width: int = 44) -> Column:
 
 def findings_view(found: DataFrame) -> DataFrame:
     """The five display columns of a findings list plus the low-confidence flag."""
-    keep = [c for c in found.columns if c not in S.FINDING_NAMES]
+    keep = [c for c in found.columns if c not in S.FINDING_COLUMNS]
     return found.select(
         *keep,
         "pattern",

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.functions.lists import let
+from maskwell.functions.lists import apply, let
 from maskwell.operators import spans as S
 from maskwell.operators.scrub import barrier, present
 from maskwell.plans import scratch
@@ -36,9 +36,8 @@ def span_rows(
     slim = df.select(*dict.fromkeys([*id_cols, *names]))
     values = F.array(*(F.col(f"`{f}`").cast("string") for f in names))
 
-    def one(v: Column) -> Column:
-        return S.spans(v, policy) if resolved else S.candidates(v, policy.active())
-
+    one = S.spans_sql("_t", policy) if resolved else S.candidates_sql("_t", policy.active())
+    per_field = apply(F.col("_values"), "_vs", f"transform(_vs, _t -> {one})")
     patterns = policy.active()
     by_rank = {
         "pattern": F.array(*(F.lit(p.name) for p in patterns)),
@@ -46,14 +45,14 @@ def span_rows(
         "confidence": F.array(*(F.lit(float(p.confidence)) for p in patterns)),
     }
     return (
-        barrier(slim.withColumn("_values", values), _spans=F.transform("_values", one))
+        barrier(slim.withColumn("_values", values), _spans=per_field)
         .select(*id_cols, F.posexplode("_spans").alias("field_at", "_of"))
         .select(*id_cols, "field_at", F.inline("_of"))
         .select(
             *id_cols,
             F.get(F.array(*(F.lit(f) for f in names)), F.col("field_at")).alias("field"),
             "field_at",
-            *(c.split()[0] for c in S.SPAN.split(", ")),
+            *S.SPAN_COLUMNS,
             *(F.get(lookup, F.col("rank")).alias(name) for name, lookup in by_rank.items()),
         )
     )
@@ -116,14 +115,13 @@ def splice(
 
     def put(text: Column, at: int) -> Column:
         mine = F.filter(F.col("_put"), lambda x: x["field_at"] == at)
-        return F.when(
-            F.col("_put").isNull(), text
-        ).otherwise(
-            let(
-                mine,
-                lambda spans: S.assemble(text, spans, F.transform(spans, lambda x: x["masked"])),
-            )
+        packed = F.struct(text.alias("t"), mine.alias("kept"))
+        put_in = let(
+            "transform(_r.kept, _k -> _k.masked)",
+            "_new",
+            S.assemble_sql("_r.t", "_r.kept", "_new"),
         )
+        return F.when(F.col("_put").isNull(), text).otherwise(apply(packed, "_r", put_in))
 
     at = {f: i for i, f in enumerate(names)}
     return work.select(

@@ -1,255 +1,312 @@
 """Find candidate spans, resolve overlaps, mask, put the text together.
 
-Everything here is one shuffle-free column expression per text value.
-Positions are 0-based code points.  Byte positions ride along because cutting
-a string at code point ``k`` walks ``k`` characters, while cutting bytes is a
-plain copy.
+Everything here is one shuffle-free column expression per text value, written
+as SQL text (see ``functions.lists``).  Positions are 0-based code points.
+Byte positions ride along because cutting a string at code point ``k`` walks
+``k`` characters, while cutting bytes is a plain copy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwell.functions.catalog import HAS_DIGIT, PatternSpec
-from maskwell.functions.lists import empty, let, running
+from maskwell.functions.lists import apply, empty, empty_array, let, quoted, running
 from maskwell.plans.policy import Policy
 
 # field order is the resolution order: earliest, longest, first in catalog
-SPAN = "start int, neg_len int, rank int, end int, b0 int, b1 int, original string"
-SPAN_T = f"struct<{SPAN.replace(' int', ':int').replace(' string', ':string')}>"
-FINDING = (
-    "pattern string, category string, confidence double, "
-    "original string, masked string, start int, end int"
+SPAN_COLUMNS = ("start", "neg_len", "rank", "end", "b0", "b1", "original")
+SPAN = (
+    "struct<start:int,neg_len:int,rank:int,`end`:int,b0:int,b1:int,original:string>"
 )
-FINDING_T = (
+FINDING_COLUMNS = ("pattern", "category", "confidence", "original", "masked", "start", "end")
+FINDING = (
     "struct<pattern:string,category:string,confidence:double,"
-    "original:string,masked:string,start:int,end:int>"
+    "original:string,masked:string,start:int,`end`:int>"
 )
-FINDING_NAMES = tuple(part.split()[0] for part in FINDING.split(", "))
-SCRUBBED_T = f"struct<text:string,findings:array<{FINDING_T}>>"
+SCRUBBED = f"struct<text:string,findings:array<{FINDING}>>"
 
 # an allowlist up to this size goes into the plan as a literal set
 LITERAL_ALLOWLIST = 10_000
 
 
-def _place(scan: Column, gaps: Column) -> Column:
-    """Turn one pattern's match texts and gaps into placed spans."""
-    pairs = F.arrays_zip(scan["found"].alias("m"), gaps.alias("gap"))
-    pairs = F.slice(pairs, F.lit(1), F.size(scan["found"]))
-
-    def step(at: Column, p: Column) -> tuple[Column, Column]:
-        start = at["c"] + F.length(p["gap"])
-        b0 = at["b"] + F.octet_length(p["gap"])
-        n = F.length(p["m"])
-        end, b1 = start + n, b0 + F.octet_length(p["m"])
-        span = F.struct(
-            start.alias("start"),
-            (-n).alias("neg_len"),
-            scan["rank"].alias("rank"),
-            end.alias("end"),
-            b0.alias("b0"),
-            b1.alias("b1"),
-            p["m"].alias("original"),
-        )
-        return F.struct(end.alias("c"), b1.alias("b")), F.array(span)
+def strings(values: Iterable[str]) -> str:
+    return "array(" + ", ".join(quoted(v) for v in values) + ")"
 
-    at0 = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"))
-    return running(pairs, at0, step, SPAN_T)
 
+# -- candidates -------------------------------------------------------------------
 
-def candidates(text: Column, patterns: Sequence[PatternSpec]) -> Column:
-    """Each pattern's own non-overlapping matches, in resolution order."""
-    if not patterns:
-        return empty(SPAN_T)
-
-    def scan(rank: int, p: PatternSpec, digit: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
-        may_match = [digit] if p.needs_digit else []
-        if p.guard is not None:
-            may_match.append(p.guard(text))
-        if may_match:
-            found = F.when(reduce(and_, may_match), found).otherwise(
-                F.array().cast("array<string>")
-            )
-        return F.struct(F.lit(rank).alias("rank"), found.alias("found"))
-
-    def hits(digit: Column) -> Column:
-        scans = F.array(*(scan(i, p, digit) for i, p in enumerate(patterns)))
-        return F.filter(scans, lambda s: F.size(s["found"]) > 0)
-
-    def gaps(s: Column) -> Column:
-        branches = F
-        for i, p in enumerate(patterns):
-            branches = branches.when(s["rank"] == i, F.split(text, p.regex, -1))
-        return branches
-
-    def place_all(found: Column) -> Column:
-        return F.sort_array(F.flatten(F.transform(found, lambda s: _place(s, gaps(s)))))
 
-    if any(p.needs_digit for p in patterns):
-        found_by = let(text.rlike(HAS_DIGIT), hits)
-    else:
-        found_by = hits(F.lit(True))
-    return let(
-        found_by,
-        lambda found: F.when(F.size(found) == 0, empty(SPAN_T)).otherwise(place_all(found)),
-    )
+def _found(text: str, p: PatternSpec) -> str:
+    """Match texts of one pattern, behind the tests that can rule it out."""
+    tests = ["_digit"] if p.needs_digit else []
+    tests += [f"contains({text}, {quoted(s)})" for s in p.all_of]
+    if p.any_of:
+        tests.append("(" + " OR ".join(f"contains({text}, {quoted(s)})" for s in p.any_of) + ")")
+    found = f"regexp_extract_all({text}, {quoted(p.regex)}, 0)"
+    return f"if({' AND '.join(tests)}, {found}, {empty('string')})" if tests else found
 
 
-def not_allowed(cands: Column, allowlist: frozenset[str]) -> Column:
-    """Drop allowlisted candidates; done before the sweep they cannot block."""
-    if not allowlist:
-        return cands
-    if len(allowlist) > LITERAL_ALLOWLIST:
-        raise ValueError(
-            f"{len(allowlist)} allowlist values; keep them in a table and use exclude_allowed()"
+def _place(text: str, patterns: Sequence[PatternSpec]) -> str:
+    """Spans of one pattern's matches ``_s.found`` with the gaps between them."""
+    gaps = " ".join(
+        f"WHEN {i} THEN split({text}, {quoted(p.regex)}, -1)" for i, p in enumerate(patterns)
+    )
+    pairs = "transform(_s.found, (_m, _i) -> struct(_m AS m, _gaps[_i] AS gap))"
+
+    def step(at: str, p: str) -> str:
+        measure = (
+            f"struct({at}.c + length({p}.gap) AS start, length({p}.m) AS len, "
+            f"{at}.b + octet_length({p}.gap) AS b0, octet_length({p}.m) AS size)"
         )
-    values = sorted(allowlist)
-    return F.filter(cands, lambda c: ~c["original"].isin(values))
+        span = (
+            "struct(_at.start AS start, -_at.len AS neg_len, _s.rank AS rank, "
+            "_at.start + _at.len AS `end`, _at.b0 AS b0, _at.b0 + _at.size AS b1, "
+            f"{p}.m AS original)"
+        )
+        state = "struct(_at.start + _at.len AS c, _at.b0 + _at.size AS b)"
+        return let(measure, "_at", f"struct({state} AS state, array({span}) AS emit)")
+
+    placed = running(pairs, "struct(0 AS c, 0 AS b)", step, SPAN)
+    return let(f"CASE _s.rank {gaps} END", "_gaps", placed)
+
+
+def candidates_sql(text: str, patterns: Sequence[PatternSpec]) -> str:
+    """Each pattern's own non-overlapping matches, in resolution order."""
+    if not patterns:
+        return empty(SPAN)
+    scans = ", ".join(
+        f"struct({i} AS rank, {_found(text, p)} AS found)" for i, p in enumerate(patterns)
+    )
+    hits = f"filter(array({scans}), _s -> size(_s.found) > 0)"
+    if any(p.needs_digit for p in patterns):
+        hits = let(f"rlike({text}, {quoted(HAS_DIGIT)})", "_digit", hits)
+    placed = f"sort_array(flatten(transform(_hits, _s -> {_place(text, patterns)})))"
+    return let(hits, "_hits", f"if(size(_hits) = 0, {empty(SPAN)}, {placed})")
 
 
-def sweep(cands: Column) -> Column:
+def sweep_sql(cands: str) -> str:
     """Greedy left-to-right choice of non-overlapping candidates."""
 
-    def step(pos: Column, c: Column) -> tuple[Column, Column]:
-        wins = c["start"] >= pos
+    def step(pos: str, c: str) -> str:
         return (
-            F.when(wins, c["end"]).otherwise(pos),
-            F.when(wins, F.array(c)).otherwise(empty(SPAN_T)),
+            f"if({c}.start >= {pos}, "
+            f"struct({c}.`end` AS state, array({c}) AS emit), "
+            f"struct({pos} AS state, {empty(SPAN)} AS emit))"
         )
 
-    return running(cands, F.lit(0), step, SPAN_T)
+    return running(cands, "0", step, SPAN)
 
 
-def spans(text: Column, policy: Policy) -> Column:
+def spans_sql(text: str, policy: Policy) -> str:
     """Winning spans of one text value."""
-    return let(
-        not_allowed(candidates(text, policy.active()), policy.allowlist),
-        lambda c: F.when(F.size(c) < 2, c).otherwise(sweep(c)),
-    )
+    cands = candidates_sql(text, policy.active())
+    if len(policy.allowlist) > LITERAL_ALLOWLIST:
+        raise ValueError(
+            f"{len(policy.allowlist)} allowlist values; keep them in a table and use "
+            "exclude_allowed()"
+        )
+    if policy.allowlist:
+        # dropped before the sweep, an allowed value cannot block another one
+        values = ", ".join(quoted(v) for v in sorted(policy.allowlist))
+        cands = f"filter({cands}, _c -> _c.original NOT IN ({values}))"
+    return let(cands, "_cands", f"if(size(_cands) < 2, _cands, {sweep_sql('_cands')})")
 
 
-def mask_span(span: Column, policy: Policy) -> Column:
-    """Masked text of one span; the token style is not per-span, see tokens."""
-    patterns = policy.active()
-    original = span["original"]
+# -- masks ------------------------------------------------------------------------
+
+
+def mask_sql(span: str, policy: Policy) -> str:
+    """Masked text of one span; null where the mask is no SQL text."""
+    original = f"{span}.original"
     if policy.mask_style == "redacted":
-        return F.lit("[REDACTED]")
+        return "'[REDACTED]'"
     if policy.mask_style == "full":
-        return F.repeat(F.lit(policy.mask_char), F.length(original))
+        return f"repeat({quoted(policy.mask_char)}, length({original}))"
     if policy.mask_style == "label":
-        names = F.array(*(F.lit(f"[{p.name.upper()}]") for p in patterns))
-        return F.get(names, span["rank"])
-    by_mask: dict[object, list[int]] = {}
-    for i, p in enumerate(patterns):
-        by_mask.setdefault(p.mask, []).append(i)
-    masked = F
-    for mask, ranks in by_mask.items():
-        # a Python mask cannot run here; see scrub.with_python_masks
-        value = F.lit(None).cast("string") if mask is None else mask(original)
-        masked = masked.when(span["rank"].isin(ranks), value)
+        return f"{strings(f'[{p.name.upper()}]' for p in policy.active())}[{span}.rank]"
+    by_mask: dict[str, list[str]] = {}
+    for i, p in enumerate(policy.active()):
+        by_mask.setdefault(p.mask if isinstance(p.mask, str) else "NULL", []).append(str(i))
+    cases = " ".join(
+        f"WHEN {span}.rank IN ({', '.join(ranks)}) THEN {mask}" for mask, ranks in by_mask.items()
+    )
+    masked = let(original, "_m", f"CASE {cases} END")
     if policy.mask_char != "*":
-        masked = F.replace(masked, F.lit("*"), F.lit(policy.mask_char))
+        masked = f"replace({masked}, '*', {quoted(policy.mask_char)})"
     return masked
 
 
-def numbered(kept: Column, policy: Policy) -> Column:
+def numbered_sql(kept: str, policy: Policy) -> str:
     """Token style within one value: number originals by first occurrence.
 
     Three sorts instead of a lookup per span, so that a value with very many
     distinct originals does not turn quadratic.
     """
-    categories = [p.category.upper() for p in policy.active()]
-    keyed = F.sort_array(
-        F.transform(
-            kept,
-            lambda s, i: F.struct(
-                s["original"].alias("original"), i.alias("i"), s["rank"].alias("rank")
-            ),
-        )
+    keyed = (
+        f"sort_array(transform({kept}, "
+        "(_k, _i) -> struct(_k.original AS original, _i AS i, _k.rank AS rank)))"
     )
 
-    def head(prev: Column, x: Column) -> tuple[Column, Column]:
-        first = F.when(prev["original"] == x["original"], prev["first"]).otherwise(x["i"])
-        rank = F.when(prev["original"] == x["original"], prev["rank"]).otherwise(x["rank"])
-        nxt = F.struct(x["original"].alias("original"), first.alias("first"), rank.alias("rank"))
-        return nxt, F.array(F.struct(first.alias("first"), x["i"].alias("i"), rank.alias("rank")))
-
-    nobody = F.struct(
-        F.lit(None).cast("string").alias("original"),
-        F.lit(0).alias("first"),
-        F.lit(0).alias("rank"),
-    )
-    by_first = F.sort_array(running(keyed, nobody, head, "struct<first:int,i:int,rank:int>"))
-
-    def count(prev: Column, x: Column) -> tuple[Column, Column]:
-        n = F.when(prev["first"] == x["first"], prev["n"]).otherwise(prev["n"] + 1)
-        return (
-            F.struct(x["first"].alias("first"), n.alias("n")),
-            F.array(F.struct(x["i"].alias("i"), n.alias("n"), x["rank"].alias("rank"))),
+    def head(prev: str, x: str) -> str:
+        same = f"{prev}.original = {x}.original"
+        first = (
+            f"struct({x}.original AS original, if({same}, {prev}.first, {x}.i) AS first, "
+            f"if({same}, {prev}.rank, {x}.rank) AS rank)"
         )
+        row = f"struct(_h.first AS first, {x}.i AS i, _h.rank AS rank)"
+        return let(first, "_h", f"struct(_h AS state, array({row}) AS emit)")
 
-    start = F.struct(F.lit(-1).alias("first"), F.lit(0).alias("n"))
-    in_order = F.sort_array(running(by_first, start, count, "struct<i:int,n:int,rank:int>"))
-    names = F.array(*(F.lit(c) for c in categories))
-    return F.transform(in_order, lambda x: token_text(F.get(names, x["rank"]), x["n"]))
+    nobody = "struct(cast(NULL AS string) AS original, 0 AS first, 0 AS rank)"
+    by_first = f"sort_array({running(keyed, nobody, head, 'struct<first:int,i:int,rank:int>')})"
 
+    def count(prev: str, x: str) -> str:
+        n = f"if({prev}.first = {x}.first, {prev}.n, {prev}.n + 1)"
+        return let(
+            n,
+            "_n",
+            f"struct(struct({x}.first AS first, _n AS n) AS state, "
+            f"array(struct({x}.i AS i, _n AS n, {x}.rank AS rank)) AS emit)",
+        )
 
-def token_text(category: Column, number: Column) -> Column:
-    digits = number.cast("string")
-    padded = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
-    return F.concat(F.lit("["), category, F.lit("-"), padded, F.lit("]"))
+    start = "struct(-1 AS first, 0 AS n)"
+    in_order = f"sort_array({running(by_first, start, count, 'struct<i:int,n:int,rank:int>')})"
+    names = strings(p.category.upper() for p in policy.active())
+    return f"transform({in_order}, _o -> {token_sql(f'{names}[_o.rank]', '_o.n')})"
 
 
-def python_masked(policy: Policy) -> bool:
-    return policy.mask_style == "partial" and any(p.mask is None for p in policy.active())
+def token_sql(category: str, number: str) -> str:
+    digits = f"cast({number} AS string)"
+    padded = f"if({number} < 100, lpad({digits}, 3, '0'), {digits})"
+    return f"concat('[', {category}, '-', {padded}, ']')"
 
 
-def masks_of(kept: Column, policy: Policy) -> Column:
+def masks_sql(kept: str, policy: Policy) -> str:
     """Masked text per kept span."""
     if policy.mask_style == "token":
-        return numbered(kept, policy)
-    return F.transform(kept, lambda s: mask_span(s, policy))
+        return numbered_sql(kept, policy)
+    return f"transform({kept}, _k -> {mask_sql('_k', policy)})"
+
 
+# -- results ----------------------------------------------------------------------
 
-def as_findings(kept: Column, masked: Column, policy: Policy) -> Column:
+
+def findings_sql(kept: str, masked: str, policy: Policy) -> str:
     patterns = policy.active()
-    names = F.array(*(F.lit(p.name) for p in patterns))
-    categories = F.array(*(F.lit(p.category) for p in patterns))
-    confidences = F.array(*(F.lit(float(p.confidence)) for p in patterns))
-    return F.transform(
-        kept,
-        lambda s, i: F.struct(
-            F.get(names, s["rank"]).alias("pattern"),
-            F.get(categories, s["rank"]).alias("category"),
-            F.get(confidences, s["rank"]).alias("confidence"),
-            s["original"].alias("original"),
-            F.get(masked, i).alias("masked"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
+    names = strings(p.name for p in patterns)
+    categories = strings(p.category for p in patterns)
+    confidences = "array(" + ", ".join(f"{float(p.confidence)!r}D" for p in patterns) + ")"
+    return (
+        f"transform({kept}, (_k, _i) -> struct({names}[_k.rank] AS pattern, "
+        f"{categories}[_k.rank] AS category, {confidences}[_k.rank] AS confidence, "
+        f"_k.original AS original, {masked}[_i] AS masked, "
+        "_k.start AS start, _k.`end` AS `end`))"
+    )
+
+
+def assemble_sql(text: str, kept: str, masked: str) -> str:
+    """Text with every kept byte range replaced by its masked form."""
+    gap = (
+        "cast(substring(_raw, _from + 1, _k.b0 - _from) AS string)"
+    )
+    before = f"if(_i = 0, 0, get({kept}, _i - 1).b1)"
+    piece = let(before, "_from", f"concat({gap}, {masked}[_i])")
+    last = f"element_at({kept}, -1).b1"
+    tail = f"cast(substring(_raw, {last} + 1, octet_length(_raw) - {last}) AS string)"
+    whole = f"concat(array_join(transform({kept}, (_k, _i) -> {piece}), ''), {tail})"
+    return f"if(size({kept}) = 0, {text}, {let(f'cast({text} AS binary)', '_raw', whole)})"
+
+
+def rendered_sql(text: str, kept: str, masked: str, policy: Policy) -> str:
+    """``struct<text, findings>``; a value without spans is passed through."""
+    body = (
+        f"struct({assemble_sql(text, kept, '_masked')} AS text, "
+        f"{findings_sql(kept, '_masked', policy)} AS findings)"
+    )
+    untouched = f"struct({text} AS text, {empty(FINDING)} AS findings)"
+    # the size of a null array is -1 or null
+    some = f"coalesce(size({kept}), 0) > 0"
+    return f"if({some}, {let(masked, '_masked', body)}, {untouched})"
+
+
+def scrub_sql(text: str, policy: Policy) -> str:
+    if not policy.active():
+        return f"struct({text} AS text, {empty(FINDING)} AS findings)"
+    rendered = rendered_sql(text, "_kept", masks_sql("_kept", policy), policy)
+    return let(spans_sql(text, policy), "_kept", rendered)
+
+
+def scrub_values_sql(values: str, policy: Policy, shared_tokens: bool) -> str:
+    if not (shared_tokens and policy.mask_style == "token" and policy.active()):
+        return f"transform({values}, _t -> {scrub_sql('_t', policy)})"
+    kepts = f"transform({values}, _t -> coalesce({spans_sql('_t', policy)}, {empty(SPAN)}))"
+    firsts = running(
+        "transform(_kepts, _k -> size(_k))",
+        "1",
+        lambda at, n: f"struct({at} + {n} AS state, array({at}) AS emit)",
+        "int",
+    )
+    mine = "slice(_tokens, _firsts[_j], size(_kepts[_j]))"
+    one = let("_kepts[_j]", "_kept", rendered_sql("_t", "_kept", mine, policy))
+    return let(
+        kepts,
+        "_kepts",
+        let(
+            numbered_sql("flatten(_kepts)", policy),
+            "_tokens",
+            let(firsts, "_firsts", f"transform({values}, (_t, _j) -> {one})"),
         ),
     )
 
 
-def assemble(text: Column, kept: Column, masked: Column) -> Column:
-    """Text with every kept span replaced by its masked form."""
+# -- columns ----------------------------------------------------------------------
+
+
+def candidates(text: Column, patterns: Sequence[PatternSpec]) -> Column:
+    return apply(text, "_t", candidates_sql("_t", patterns))
+
+
+def spans(text: Column, policy: Policy) -> Column:
+    return apply(text, "_t", spans_sql("_t", policy))
+
+
+def _partial(policy: Policy) -> bool:
+    return policy.mask_style == "partial"
+
+
+def python_masked(policy: Policy) -> bool:
+    """Some mask is a Python callable on text."""
+    return _partial(policy) and any(p.mask is None for p in policy.active())
+
 
-    def build(raw: Column) -> Column:
-        def piece(s: Column, i: Column) -> Column:
-            after = F.coalesce(F.get(kept, i - 1)["b1"], F.lit(0))
-            gap = F.substring(raw, after + 1, s["b0"] - after).cast("string")
-            return F.concat(gap, F.get(masked, i))
+def column_masked(policy: Policy) -> bool:
+    """Some mask is a function of a column."""
+    return _partial(policy) and any(callable(p.mask) for p in policy.active())
 
-        last = F.get(kept, F.size(kept) - 1)["b1"]
-        tail = F.substring(raw, last + 1, F.octet_length(raw) - last).cast("string")
-        return F.concat(F.array_join(F.transform(kept, piece), ""), tail)
 
-    return F.when(F.size(kept) == 0, text).otherwise(let(text.cast("binary"), build))
+def masks_of(kept: Column, policy: Policy) -> Column:
+    """Masked text per kept span, the masks given as column functions included."""
+    masked = apply(kept, "_kept", masks_sql("_kept", policy))
+    if not column_masked(policy):
+        return masked
+
+    def fill(ready: Column, span: Column) -> Column:
+        mine = F
+        for i, p in enumerate(policy.active()):
+            if callable(p.mask):
+                own = F.replace(p.mask(span["original"]), F.lit("*"), F.lit(policy.mask_char))
+                mine = mine.when(span["rank"] == i, own)
+        return F.coalesce(ready, mine)
+
+    return F.zip_with(masked, kept, fill)
+
+
+def render(text: Column, kept: Column, masked: Column, policy: Policy) -> Column:
+    packed = F.struct(text.alias("t"), kept.alias("kept"), masked.alias("masked"))
+    return apply(packed, "_r", rendered_sql("_r.t", "_r.kept", "_r.masked", policy))
 
 
 def scrub(text: Column, policy: Policy | None = None) -> Column:
@@ -260,30 +317,12 @@ def scrub(text: Column, policy: Policy | None = None) -> Column:
     policy = policy or Policy()
     if python_masked(policy):
         raise ValueError("patterns with a Python mask need scrub_columns()")
-    if not policy.active():
-        return F.struct(text.alias("text"), empty(FINDING_T).alias("findings"))
-
-    def render(t: Column, kept: Column) -> Column:
-        return let(masks_of(kept, policy), lambda m: rendered(t, kept, m, policy))
-
-    return let(text, lambda t: let(spans(t, policy), lambda kept: render_if(t, kept, render)))
-
-
-def render_if(
-    text: Column, kept: Column, render: Callable[[Column, Column], Column]
-) -> Column:
-    """Skip the rendering for the usual case, a value without spans."""
-    untouched = F.struct(text.alias("text"), empty(FINDING_T).alias("findings"))
-    return F.when(F.coalesce(F.size(kept), F.lit(0)) <= 0, untouched).otherwise(
-        render(text, kept)
-    )
-
-
-def rendered(text: Column, kept: Column, masked: Column, policy: Policy) -> Column:
-    return F.struct(
-        assemble(text, kept, masked).alias("text"),
-        as_findings(kept, masked, policy).alias("findings"),
-    )
+    if not column_masked(policy):
+        return apply(text, "_t", scrub_sql("_t", policy))
+    placed = apply(text, "_t", f"struct(_t AS t, {spans_sql('_t', policy)} AS kept)")
+    return F.transform(
+        F.array(placed), lambda s: render(s["t"], s["kept"], masks_of(s["kept"], policy), policy)
+    ).getItem(0)
 
 
 def scrub_values(values: Column, policy: Policy, shared_tokens: bool = False) -> Column:
@@ -292,43 +331,23 @@ def scrub_values(values: Column, policy: Policy, shared_tokens: bool = False) ->
     With ``shared_tokens`` the token style numbers originals over the whole
     array (one document) instead of restarting in every value.
     """
-    if not (shared_tokens and policy.mask_style == "token" and policy.active()):
+    if python_masked(policy) or column_masked(policy):
         return F.transform(values, lambda v: scrub(v, policy))
-
-    def share(vs: Column, kepts: Column) -> Column:
-        sizes = F.transform(kepts, lambda k: F.greatest(F.size(k), F.lit(0)))
-        firsts = running(
-            sizes, F.lit(1), lambda at, n: (at + n, F.array(at)), "int"
-        )
-
-        def render_all(tokens: Column, first: Column) -> Column:
-            def one(v: Column, i: Column) -> Column:
-                def render(t: Column, kept: Column) -> Column:
-                    mine = F.slice(tokens, F.get(first, i), F.size(kept))
-                    return let(mine, lambda m: rendered(t, kept, m, policy))
-
-                return let(F.get(kepts, i), lambda kept: render_if(v, kept, render))
-
-            return F.transform(vs, one)
-
-        return let(
-            numbered(F.flatten(F.filter(kepts, lambda k: k.isNotNull())), policy),
-            lambda tokens: let(firsts, lambda first: render_all(tokens, first)),
-        )
-
-    return let(
-        values,
-        lambda vs: let(
-            F.transform(vs, lambda v: spans(v, policy)), lambda kepts: share(vs, kepts)
-        ),
-    )
+    return apply(values, "_vs", scrub_values_sql("_vs", policy, shared_tokens))
 
 
 def summary_by_category(findings: Column) -> Column:
     """``map<category, count>`` of one value's findings."""
-    names = F.transform(findings, lambda f: f["category"])
-    distinct = F.array_distinct(names)
-    counts = F.transform(distinct, lambda c: F.size(F.filter(names, lambda n: n == c)))
-    return F.map_from_arrays(distinct, counts)
+    return apply(
+        findings,
+        "_f",
+        let(
+            "transform(_f, _x -> _x.category)",
+            "_cats",
+            "map_from_entries(transform(array_distinct(_cats), "
+            "_c -> struct(_c, size(filter(_cats, _d -> _d = _c)))))",
+        ),
+    )
 
 
+__all__ = ["candidates", "empty_array", "masks_of", "scrub", "scrub_values", "spans"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions.catalog import PatternSpec
 from maskwell.operators.span_tables import join_by_value, span_rows, splice
-from maskwell.operators.spans import token_text
+from maskwell.operators.spans import token_sql
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
@@ -105,7 +105,7 @@ def make_tokens(
     made = numbered.select(*scope, "original", "category", number, "uses").select(
         *scope,
         "original",
-        token_text(F.upper("category"), F.col("n")).alias("token"),
+        F.expr(token_sql("upper(category)", "n")).alias("token"),
         "category",
         "n",
         "uses",
@@ -155,7 +155,7 @@ def tokenize(
     return Tokenized(rows, listed, tokens)
 
 
-TOKEN_FORM = PatternSpec("token", "custom", r"\[[^\[\]\n]+-[0-9]{3,}\]", guard=lambda t: F.contains(t, F.lit("[")))
+TOKEN_FORM = PatternSpec("token", "custom", r"\[[^\[\]\n]+-[0-9]{3,}\]", all_of=("[",))
 
 
 def detokenize(

@@ -82,9 +82,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """JSON documents, one per file or per line group, as typed columns."""
-    reader = spark.read.option("multiLine", True)
+def read_json(
+    spark: SparkSession,
+    path: str,
+    schema: str | T.StructType | None = None,
+    multi_line: bool = True,
+) -> DataFrame:
+    """JSON as typed columns: one document per file, or per line."""
+    reader = spark.read.option("multiLine", multi_line)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 

@@ -303,7 +303,7 @@ _scrub_query(
 )
 _scrub_query(
     "custom_mask_native",
-    Policy(extra_patterns=(custom_pattern("employee_id", r"EMP-\d{6}", "pii", mask=lambda m: F.reverse(m)),)),
+    Policy(extra_patterns=(custom_pattern("employee_id", r"EMP-\d{6}", "pii", mask=F.reverse),)),
     leaks,
     LEAKS_SQL,
     extra=[(*_EMP[:4], "reverse(original)")],
@@ -712,7 +712,7 @@ def scrub_json_typed(spark, sf):
     schema = RD.json_schema_of(docs, "doc")
     typed = docs.select("id", F.from_json("doc", schema).alias("v"))
     out = scrub_nested_columns(typed, ["v"])
-    return out.select("id", F.col("v.msg").alias("msg"), F.col("v.tags").getItem(0).alias("tag"))
+    return out.select("id", F.col("v.msg").alias("msg"), F.col("v.tags").getItem(0).cast("string").alias("tag"))
 
 
 @query(
@@ -773,8 +773,7 @@ def _csv_docs(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT a.id, {_CSV_DOC.format(id='a.id', text='a.text', note='b.text')} AS text {_BOTH}",
 )
 def scrub_csv_text(spark, sf):
-    done = D.scrub_csv(F.col("text"))
-    return _csv_docs(spark, sf).select("id", done["text"].alias("text"))
+    return D.scrub_csv_column(_csv_docs(spark, sf), "text").select("id", "text")
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
@@ -907,7 +906,7 @@ def sink_json(spark, sf):
     path = new_path(spark, "json")
     out = scrub_columns(leaks(spark, sf).select("id", "text", "host"), "text", report=False)
     WR.write_json(out, path)
-    return RD.read_json(spark, path, "id bigint, text string, host string")
+    return RD.read_json(spark, path, "id bigint, text string, host string", multi_line=False)
 
 
 @query("sink_tree", _FILES_SQL.replace(" AS source", " AS rel_path"))
@@ -935,6 +934,7 @@ def sink_audit_json(spark, sf):
         spark,
         f"{path}/findings",
         "timestamp string, source string, pattern string, category string, confidence double, masked string, char_offset int",
+        multi_line=False,
     )
 
 
