@@ -52,8 +52,10 @@ def _found(text: str, p: PatternSpec) -> str:
 
 def _place(text: str, patterns: Sequence[PatternSpec]) -> str:
     """Spans of one pattern's matches ``_s.found`` with the gaps between them."""
+    # what lies before each match; \G ties a search to the end of the last one
     gaps = " ".join(
-        f"WHEN {i} THEN split({text}, {quoted(p.regex)}, -1)" for i, p in enumerate(patterns)
+        f"WHEN {i} THEN regexp_extract_all({text}, {quoted(rf'\G((?s:.*?))(?:{p.regex})')}, 1)"
+        for i, p in enumerate(patterns)
     )
     pairs = "transform(_s.found, (_m, _i) -> struct(_m AS m, _gaps[_i] AS gap))"
 

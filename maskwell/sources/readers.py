@@ -17,6 +17,17 @@ from maskwell.plans.policy import PROFILE_DDL, normal_profile
 EXTENSIONS = (".txt", ".json", ".csv", ".log", ".yaml", ".yml", ".xml", ".md", ".env")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of a small input.
+
+    A scan of a few small files has fewer partitions than there are cores,
+    and scanning text is all CPU.  An input with enough partitions, as any
+    large one has, is left as it is: no shuffle of text.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 text of bytes, bad sequences replaced, line ends folded to ``\\n``."""
     text = F.make_valid_utf8(content.cast("string"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwell.sources.readers import spread
+
 
 def _pad(expr: str, n: int) -> str:
     return f"lpad(cast({expr} as string), {n}, '0')"
@@ -84,7 +86,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, text, ts, host, sourcetype`` from orders."""
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("id"),
         F.expr(_spark(LEAK, "o_orderkey")).alias("text"),
         F.col("o_orderdate").alias("ts"),
@@ -111,7 +113,8 @@ EVENTS_SQL = f"SELECT event_id AS id, {EVENT} AS text, ts, event_type AS host FR
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return spread(docs).withColumnRenamed("doc_id", "id")
 
 
 DOCUMENTS_SQL = "SELECT doc_id AS id, text, source, lang FROM documents"
