@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.functions import dialect, masks
-from maskwell.functions.dialect import DIGIT, EDGE, NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE
+from maskwell.functions.dialect import DIGIT, EDGE, NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE, WORD
 
 # a mask is SQL text over the variable _m, or a function of a column
 Mask = str | Callable[[Column], Column]
@@ -45,7 +45,8 @@ HAS_DIGIT = DIGIT
 
 # The look-aheads put in front test the first character before the costlier
 # look-behind; they do not change what is matched.  Possessive quantifiers
-# are used where the next literal is outside the repeated class.
+# are used where the next literal is outside the repeated class.  A URL scheme
+# is not tried from its second letter on: the first one would have matched.
 #
 # Names, categories, confidences, languages and order of the
 # built-in patterns (order decides ties between equal spans).
@@ -132,7 +133,7 @@ BUILTIN: tuple[PatternSpec, ...] = (
     PatternSpec(
         "email",
         "pii",
-        rf"(?=[a-zA-Z0-9._%+\-]){EDGE}[a-zA-Z0-9._%+\-]++@"
+        rf"(?:(?=[a-zA-Z0-9_]){NOT_AFTER_WORD}|(?=[.%+\-])(?<={WORD}))[a-zA-Z0-9._%+\-]++@"
         rf"[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}{NOT_BEFORE_WORD}",
         mask=masks.EMAIL,
         all_of=("@",),
@@ -182,7 +183,7 @@ BUILTIN: tuple[PatternSpec, ...] = (
     PatternSpec(
         "url_credentials",
         "network",
-        rf"([a-zA-Z][a-zA-Z0-9+\-.]*+://)([^:@/{SPACE}]+):([^@/{SPACE}]+)@",
+        rf"(?<![a-zA-Z])([a-zA-Z][a-zA-Z0-9+\-.]*+://)([^:@/{SPACE}]+):([^@/{SPACE}]+)@",
         mask=masks.URL_LOGIN,
         all_of=("://", "@"),
     ),

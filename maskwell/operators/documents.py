@@ -54,17 +54,21 @@ def _values(text: str, token: str, is_value: str, value: str) -> str:
 
 # -- JSON -----------------------------------------------------------------------
 
+BACKSLASH = quoted("\\")
 JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:[ \t\r\n]*+:)?'
 
 
 def json_values_sql(text: str) -> str:
     """String values of a valid JSON text; a token ending in ``:`` is a key."""
-    decoded = "from_json(concat('[', _x.m, ']'), 'array<string>')[0]"
+    parsed = "from_json(concat('[', _x.m, ']'), 'array<string>')[0]"
+    decoded = f"if(contains(_x.m, {BACKSLASH}), {parsed}, substring(_x.m, 2, length(_x.m) - 2))"
     return _values(text, JSON_TOKEN, "NOT endswith(_x.m, ':')", decoded)
 
 
 def json_literal_sql(_old: str, value: str) -> str:
-    return let(f"to_json(array({value}))", "_js", "substring(_js, 2, length(_js) - 2)")
+    special = quoted(r'["\\\x00-\x1f]')
+    escaped = let(f"to_json(array({value}))", "_js", "substring(_js, 2, length(_js) - 2)")
+    return f"""if(rlike({value}, {special}), {escaped}, concat('"', {value}, '"'))"""
 
 
 def is_json_sql(text: str) -> str:
