@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from maskwell.functions import dialect, masks
 from maskwell.functions.dialect import DIGIT, EDGE, NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE, WORD

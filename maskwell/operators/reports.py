@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.functions.catalog import NAMES, BUILTIN
+from maskwell.functions.catalog import BUILTIN, NAMES
 from maskwell.operators.scrub import scrub_columns
 from maskwell.plans.policy import Policy, allowed_by
 

@@ -134,7 +134,8 @@ _PAGES = "SELECT page_id AS id, html AS text FROM pages"
 
 @query("scrub_pages", O.texts(src=_PAGES, style="label"))
 def scrub_pages(spark, sf):
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    raw = RD.spread(table(spark, sf, "pages").select("page_id", "html"))
+    pages = raw.select(F.col("page_id").alias("id"), F.col("html").alias("text"))
     return scrub_columns(pages, "text", Policy(mask_style="label"), report=False)
 
 
@@ -236,7 +237,7 @@ def allowlist_join_findings(spark, sf):
 
 @query(
     "allowlist_ignore_case",
-    O.texts(src=LEAKS_SQL, drop=_ALLOW_TABLE_SQL.replace("original IN", "lower(original) IN").replace("'user'", "'user'")),
+    O.texts(src=LEAKS_SQL, drop=_ALLOW_TABLE_SQL.replace("original IN", "lower(original) IN")),
 )
 def allowlist_ignore_case(spark, sf):
     upper = _allow_table(spark, sf).select(F.upper("value").alias("value"))
@@ -288,9 +289,11 @@ _scrub_query(
     names=[p[0] for p in O.PATTERNS if p[0] != "email" and p[2] >= 0.7],
     style="redacted",
 )
-_ORDER_SQL = ("order_no", "custom", 0.9, r"order (\d+)", "left(regexp_extract(original, '(\\d+)', 1), 2) || repeat('*', greatest(4, length(original) - 8))")
 _ORDER_SQL = (
-    *_ORDER_SQL[:4],
+    "order_no",
+    "custom",
+    0.9,
+    r"order (\d+)",
     r"CASE WHEN length(original) - 6 > 4 THEN left(regexp_extract(original, '(\d+)', 1), 2)"
     r" || repeat('*', CAST(greatest(4, length(original) - 8) AS INTEGER)) ELSE '****' END",
 )
@@ -642,7 +645,7 @@ def audit_text(spark, sf):
     "batch_totals",
     "SELECT count(*) AS files, CAST(sum(coalesce(n, 0)) AS BIGINT) AS findings, CAST(0 AS BIGINT) AS errors FROM ("
     + O.reported("SELECT id, text_finding_count AS n FROM report", src=LEAKS_SQL)
-    + ") WHERE TRUE",
+    + ")",
 )
 def batch_totals(spark, sf):
     out = scrub_columns(_sourced(spark, sf), "text")
