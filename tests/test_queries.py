@@ -18,7 +18,7 @@ QUICK = (
     "scrub_json_typed scrub_csv_cells sink_union_csv sink_audit_json tokens_continue tokens_document "
     "stream_scrub stream_summary stream_tokens"
 ).split()
-NAMES = list(entry_point.queries()) if os.environ.get("MASKWELL_ALL") else QUICK
+NAMES = list(entry_point.QUERIES) if os.environ.get("MASKWELL_ALL") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,7 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(entry_point.QUERIES) == set(entry_point.ORACLE)
 
 
 @pytest.mark.parametrize("name", NAMES)
