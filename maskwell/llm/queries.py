@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, url_filters
+from . import mixing, sharding, suffix_dedup, super_kmers, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +19,21 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).documents
 
 
+@query
+def op6_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_kmers.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_byte_shards(table(spark, sf_dir, "documents"))
