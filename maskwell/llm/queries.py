@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, mixing, sharding, suffix_dedup, super_kmers, topk, toxicity, url_filters
+from . import decontamination, jaccard_join, language_model, mixing, sharding, suffix_dedup, super_kmers, topk, toxicity, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_byte_shards(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +12,9 @@ from pyspark.sql import functions as F
 from .common import fold
 from .winnow import byte_values, ranges, sums
 
-BUCKET_BITS = 18
 #: About so many labelled documents are learned from, chosen by a hash of their id.
 LEARN = 10_000
-FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
+FOLDS, HELD_OUT, THRESHOLD, LEAK = 4, 2, 0.3, 0.05
 
 TABLE = byte_values()
 #: 1 ends a sentence, 32 separates words; letters are lower-cased; other bytes of UTF-8 stay.
@@ -24,18 +22,18 @@ KINDS = bytes(1 if c in b".!?\n" else c + 32 if 65 <= c <= 90 else c if 97 <= c
 
 
 def features(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, sentence and start of every word."""
+    """Hash, sentence and start of every word."""
     data = np.frombuffer(raw.translate(KINDS), np.uint8)
     inside = data > 32
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return (np.zeros(0, np.int64),) * 3
-    bucket = np.empty(len(start), np.int64)
+        return np.zeros(0, np.uint64), start, start
+    word = np.empty(len(start), np.uint64)
     for i in range(0, len(start), 1 << 16):
         s, e = start[i : i + (1 << 16)], end[i : i + (1 << 16)]
-        bucket[i : i + (1 << 16)] = ranges(sums(TABLE[data[s[0] : e[-1]]]), s - s[0], e - s[0]) >> np.uint64(64 - BUCKET_BITS)
-    return bucket, np.cumsum(data == 1)[start], start
+        word[i : i + (1 << 16)] = ranges(sums(TABLE[data[s[0] : e[-1]]]), s - s[0], e - s[0])
+    return word, np.cumsum(data == 1)[start], start
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -43,95 +41,108 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weight of each bucket, the score of a sentence without known words, and the leak."""
+    """Weights of the known words (by sorted hash), the score of a sentence without any, and the leak."""
 
-    def __init__(self, weights: np.ndarray, bias: float, leak: float):
-        self.weights, self.bias, self.leak = weights, bias, leak
+    def __init__(self, names: np.ndarray, weights: np.ndarray, bias: float, leak: float):
+        self.names, self.weights, self.bias, self.leak = names, weights, bias, leak
+        self.rough = np.zeros(1 << 16, bool)
+        self.rough[(names >> np.uint64(48)).astype(np.int64)] = True
 
     def sentences(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of the sentences that hold words, and the start of each."""
-        bucket, sentence, start = features(raw)
-        if not len(bucket):
+        word, sentence, start = features(raw)
+        if not len(word):
             return np.zeros(0), start
         number = np.cumsum(np.diff(sentence, prepend=-1) != 0) - 1
-        known = np.flatnonzero(self.weights[bucket])
-        once = np.unique((number[known] << BUCKET_BITS) | bucket[known])
-        z = np.bincount(once >> BUCKET_BITS, weights=self.weights[once & ((1 << BUCKET_BITS) - 1)], minlength=number[-1] + 1)
-        return z + self.bias, start[np.flatnonzero(np.diff(number, prepend=-1))]
+        z = np.full(number[-1] + 1, self.bias)
+        known = np.flatnonzero(self.rough[(word >> np.uint64(48)).astype(np.int64)])
+        if len(known):
+            i = np.minimum(np.searchsorted(self.names, word[known]), len(self.names) - 1)
+            hit = self.names[i] == word[known]
+            once = np.unique(number[known[hit]] * len(self.names) + i[hit])
+            z += np.bincount(once // len(self.names), weights=self.weights[once % len(self.names)], minlength=len(z))
+        return z, start[np.flatnonzero(np.diff(number, prepend=-1))]
 
     def score(self, raw: bytes) -> float:
         z, _ = self.sentences(raw)
         return float(-np.expm1(-softplus(z).sum() + np.log1p(-self.leak)))
 
 
-def learn(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds: int = 150, rate: float = 0.1, least: int = 20, sparse: float = 3e-4, leak: float = 0.05) -> Model:
+def learn(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds: int = 100, rate: float = 0.1, leak: float = LEAK) -> Model:
     """Full-batch Adam on the likelihood of the documents' labels under a leaky noisy-or.
 
     The fixed ``leak`` stands for labels that no sentence explains, so that these don't press weight on chance words; an
-    L1 pull keeps the rest at zero. A word counts once in a sentence; buckets in fewer than ``least`` documents are left out.
+    L1 pull keeps the rest at zero. A word counts once in a sentence; words in fewer than ``least`` documents are left out.
     """
-    seen = np.bincount(np.concatenate([np.unique(b) for b, _ in docs]), minlength=1 << BUCKET_BITS) if docs else np.zeros(1 << BUCKET_BITS, np.int64)
-    names = np.flatnonzero(seen >= least)
-    place = np.full(1 << BUCKET_BITS, -1)
-    place[names] = np.arange(len(names))
+    n = max(len(docs), 1)
+    least, sparse = min(20, max(5, n // 300)), 0.035 / n**0.5
+    seen, times = np.unique(np.concatenate([np.unique(w) for w, _ in docs] or [np.zeros(0, np.uint64)]), return_counts=True)
+    names = seen[times >= least]
+    k = len(names)
     words, owner, of_doc, base = [], [], [], 0
-    for d, (bucket, sentence) in enumerate(docs):
-        if not len(bucket):
+    for d, (word, sentence) in enumerate(docs):
+        if not len(word):
             continue
         number = np.cumsum(np.diff(sentence, prepend=-1) != 0) - 1
-        n = int(number[-1]) + 1
-        once = np.unique((number << BUCKET_BITS) | bucket)
-        p = place[once & ((1 << BUCKET_BITS) - 1)]
-        words.append(p[p >= 0])
-        owner.append((once >> BUCKET_BITS)[p >= 0] + base)
-        of_doc.append(np.full(n, d))
-        base += n
-    weights = np.zeros(1 << BUCKET_BITS, np.float64)
-    if not base or not toxic.any():
-        return Model(weights.astype(np.float32), -12.0, leak)
+        i = np.searchsorted(names, word)
+        known = np.flatnonzero(i < k)
+        known = known[names[i[known]] == word[known]]
+        once = np.unique(number[known] * max(k, 1) + i[known])
+        words.append(once % max(k, 1))
+        owner.append(once // max(k, 1) + base)
+        of_doc.append(np.full(int(number[-1]) + 1, d))
+        base += int(number[-1]) + 1
+    if not base or not k or not toxic.any():
+        return Model(names[:0], np.zeros(0), -12.0, leak)
     words, owner, of_doc = np.concatenate(words), np.concatenate(owner), np.concatenate(of_doc)
-    k = len(names)
+    share = max(toxic.mean(), 1e-4)
     theta = np.zeros(k + 1)
     base_total = -np.log1p(-leak)
     share = max(toxic.mean(), 1e-4)
     theta[k] = np.log(share / 2 / max(1.0, base / len(docs)))
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, rounds + 1):
-        z = np.bincount(owner, weights=theta[words], minlength=base) + theta[k]
-        p = 1 / (1 + np.exp(-z))
-        total = np.bincount(of_doc, weights=softplus(z), minlength=len(docs)) + base_total
-        pull = np.where(toxic, -1 / np.maximum(np.expm1(np.minimum(total, 500)), 1e-9), 1.0)
-        g = p * pull[of_doc]
-        grad = np.concatenate((np.bincount(words, weights=g[owner], minlength=k), [g.sum()])) / len(docs)
-        grad[:k] += sparse * np.sign(theta[:k])
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        step = rate * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        new = theta - step
-        crossed = np.sign(new) * np.sign(theta) < 0
-        crossed[k:] = False
-        new[crossed] = 0
-        theta = new
-    weights[names] = theta[:k]
-    return Model(weights.astype(np.float32), float(theta[k]), leak)
+    def descend(words: np.ndarray, owner: np.ndarray, rounds: int, pressure: float) -> None:
+        nonlocal theta
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        for t in range(1, rounds + 1):
+            z = np.bincount(owner, weights=theta[words], minlength=base) + theta[k]
+            p = 1 / (1 + np.exp(-z))
+            total = np.bincount(of_doc, weights=softplus(z), minlength=len(docs)) + base_total
+            pull = np.where(toxic, -1 / np.maximum(np.expm1(np.minimum(total, 500)), 1e-9), 1.0)
+            g = p * pull[of_doc]
+            grad = np.append(np.bincount(words, weights=g[owner], minlength=k), g.sum()) / len(docs)
+            grad[:k] += pressure * np.sign(theta[:k])
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            new = theta - rate * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            crossed = np.sign(new) * np.sign(theta) < 0
+            crossed[k] = False
+            new[crossed] = 0
+            theta = new
+
+    descend(words, owner, rounds, sparse)
+    # the pull also shrinks what it keeps: weights that stand out are fitted again without it
+    theta[:k][np.abs(theta[:k]) < np.abs(theta[:k]).max() / 2] = 0
+    stay = theta[words] != 0
+    descend(words[stay], owner[stay], rounds, 0.0)
+    stay = np.flatnonzero(theta[:k])
+    return Model(names[stay], theta[stay], float(theta[k]), leak)
 
 
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(raw.as_py()) for raw in batch.column("raw")]
-        cols = [pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), *cols], names=["toxic", "bucket", "sentence"])
+        cols = [pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), *cols], names=["toxic", "word", "sentence"])
 
 
 def learned_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, toxic = [], []
     for batch in batches:
-        for t, b, s in zip(*(batch.column(c).to_pylist() for c in ("toxic", "bucket", "sentence")), strict=True):
-            docs.append((np.frombuffer(b, np.int32), np.frombuffer(s, np.int32)))
+        for t, b, s in zip(*(batch.column(c).to_pylist() for c in ("toxic", "word", "sentence")), strict=True):
+            docs.append((np.frombuffer(b, np.uint64), np.frombuffer(s, np.int64)))
             toxic.append(t == 1)
     model = learn(docs, np.array(toxic, bool))
-    out = io.BytesIO()
-    np.save(out, np.append(model.weights, np.float32([model.bias, model.leak])))
-    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
+    cols = [pa.array([model.names.view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([model.weights.tolist()], pa.list_(pa.float64())), pa.array([model.bias])]
+    yield pa.RecordBatch.from_arrays(cols, names=["names", "weights", "bias"])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN, key: str = "doc_id", text: str = "text") -> Model:
@@ -144,10 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN, key: str
     part = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * min(1.0, learn_rows / max(n, 1)))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")
     rows = docs.select(key, raw).join(marks.where(part), key).select("toxic", "raw")
-    made = rows.mapInArrow(feature_rows, "toxic int, bucket binary, sentence binary").repartition(1)
-    blob = made.mapInArrow(learned_row, "model binary").first()[0]
-    values = np.load(io.BytesIO(bytes(blob)))
-    return Model(values[:-2], float(values[-2]), float(values[-1]))
+    made = rows.mapInArrow(feature_rows, "toxic int, word binary, sentence binary").repartition(1)
+    row = made.mapInArrow(learned_row, "names array<long>, weights array<double>, bias double").first()
+    return Model(np.array(row["names"], np.int64).view(np.uint64), np.array(row["weights"]), row["bias"], LEAK)
 
 
 def score_rows(model: Model):
