@@ -1,9 +1,62 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: drop toxic documents, near copies and leaks, mix the sources, deal to shards.
 
-STAGES = []
+``STAGES`` are pairs of a name and a function of ``(spark, docs, sf_dir)``; each works on what the one before kept, and
+all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwell.llm import decontamination, jaccard_join, mixing, sharding, toxicity
+from maskwell.llm.common import kept, table
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group; of rows that repeat an id, one. Rows without an id stay."""
+    parts = jaccard_join.join(docs.where("doc_id is not null"))
+    spare = parts.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(spare, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, to the nearest whole number; documents without words once."""
+    taken = mixing.mix(docs).documents
+    times = F.when(F.sum("size") == 0, 1).otherwise(F.round(F.sum("taken") / F.sum("size"))).cast("int")
+    copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(times.alias("_times")).where("_times > 0")
+    return docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.with_byte_shards(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near copies", without_near_copies),
+    ("decontamination", without_leaks),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+#: Learned scores and hashes of Spark are not expressible in SQL; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
