@@ -190,7 +190,7 @@ def find(docs: DataFrame, units: Units, text: str = "text", wide: int = WIDE) ->
     texts = identified(docs, text)
     made = texts.select("raw", "t1", "t2").where(F.octet_length("raw") >= units.length)
     blocks = kept(made.mapInArrow(block_rows(units), BLOCKS), "blocks")
-    copies = texts.groupBy("t1", "t2").agg(F.count("*").alias("c")).where("c > 1").select("t1", "t2", F.lit(True).alias("copied"))
+    copies = kept(texts.groupBy("t1", "t2").agg(F.count("*").alias("c")).where("c > 1").select("t1", "t2", F.lit(True).alias("copied")), "copies")
 
     # classes: partial sums before the shuffle, so a hot class is one row for each task
     classes = blocks.groupBy("h", "d1", "d2").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("t1", "t2", "at", "n", "off")))
@@ -207,6 +207,8 @@ def find(docs: DataFrame, units: Units, text: str = "text", wide: int = WIDE) ->
     again = apart.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1")
     split = apart.join(again, ["w1", "w2"]).groupBy("d1", "d2").agg(F.min("off").alias("lo"), (F.max("off") + units.length).alias("hi"))
     cover = whole.unionByName(parts).unionByName(split).groupBy("d1", "d2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # kept, so that the join has plain exchanges below it and Spark can split a hot class
+    cover = kept(cover, "cover")
     stretches = blocks.select("d1", "d2", "t1", "t2", "at").join(cover, ["d1", "d2"])
     covered = stretches.select("t1", "t2", (F.col("at") + F.col("lo")).alias("at"), (F.col("at") + F.col("hi")).alias("end"))
     return Found(texts.join(copies, ["t1", "t2"], "left"), blocks, pieces, covered)
@@ -226,6 +228,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def with_spans(found: Found, *columns: str) -> DataFrame:
     """Each row of the documents with ``raw``, ``copied`` (null or true) and ``spans`` (null if there are none)."""
     spans = found.covered.groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "end")).alias("spans"))
+    spans = kept(spans, "spans")
     return found.texts.join(spans, ["t1", "t2"], "left").select(*columns, "raw", "copied", "spans")
 
 
