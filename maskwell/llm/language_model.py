@@ -147,8 +147,7 @@ class LogBilinear:
         return out
 
     def learn(self, ids: np.ndarray, contexts: list[np.ndarray], state: list[np.ndarray], rate: float) -> None:
-        """A pass over the tokens: batches, noise drawn once for each batch and class, steps by AdaGrad."""
-        rng = np.random.default_rng(len(ids))
+        """A pass over the tokens in batches, with steps by AdaGrad."""
         for a in range(0, len(ids), BATCH):
             x = ids[a : a + BATCH]
             order = np.argsort(x // PER_CLASS, kind="stable")
@@ -161,17 +160,12 @@ class LogBilinear:
             r[:, WIDTH] = 1
             grad = [np.zeros_like(p) for p in self.params()]
             back = np.zeros((len(x), WIDTH), np.float32)
-            # classes
-            noise = rng.choice(CLASSES, NOISE, p=self.class_share.astype(np.float64) / self.class_share.sum(dtype=np.float64))
-            self._contrast(r, kind, self.cw, self.class_share, noise, grad[2], back)
+            self._contrast(r, kind, self.cw, self.class_share, grad[2], back)
             # words inside the class
             edges = np.searchsorted(kind, np.arange(CLASSES + 1))
             for k in np.flatnonzero(np.diff(edges)):
-                s = slice(edges[k], edges[k + 1])
-                share = self.word_share[k].astype(np.float64)
-                noise = rng.choice(PER_CLASS, NOISE, p=share / share.sum())
-                base = k * PER_CLASS
-                self._contrast(r[s], x[s] - base, self.ww[base : base + PER_CLASS], self.word_share[k], noise, grad[3][base : base + PER_CLASS], back[s])
+                s, own = slice(edges[k], edges[k + 1]), slice(k * PER_CLASS, (k + 1) * PER_CLASS)
+                self._contrast(r[s], x[s] - k * PER_CLASS, self.ww[own], self.word_share[k], grad[3][own], back[s])
             for j, g in enumerate(gathered):
                 grad[1][j] += g.T @ back
                 down = back @ self.c[j].T
@@ -183,18 +177,21 @@ class LogBilinear:
                 p -= rate * g / (np.sqrt(s) + 1e-6)
 
     @staticmethod
-    def _contrast(r: np.ndarray, target: np.ndarray, out: np.ndarray, share: np.ndarray, noise: np.ndarray, grad: np.ndarray, back: np.ndarray) -> None:
-        """Gradients of the noise-contrastive loss: the target against ``len(noise)`` shared draws."""
-        k = len(noise)
-        level = np.log(k * share)
-        scores = np.einsum("ij,ij->i", r, out[target]) - level[target]
-        up = 1 / (1 + np.exp(np.clip(scores, -30, 30))) * -1  # d loss / d score of the target
-        down = 1 / (1 + np.exp(-np.clip(r @ out[noise].T - level[noise], -30, 30)))
-        spread = np.zeros((len(r), len(out)), np.float32)
-        spread[np.arange(len(r)), target] = up
-        add = np.zeros((k, len(out)), np.float32)
-        add[np.arange(k), noise] = 1
-        spread += down.astype(np.float32) @ add
+    def _contrast(r: np.ndarray, target: np.ndarray, out: np.ndarray, share: np.ndarray, grad: np.ndarray, back: np.ndarray) -> None:
+        """Gradients of the noise-contrastive loss: each target against ``NOISE`` draws from ``share``.
+
+        A factor has few outcomes, so the draws enter by their expectation, which has no sampling error.
+        """
+        weight = np.float32(NOISE) * share
+        odds = r @ out.T - np.log(weight)
+        np.clip(odds, -30, 30, out=odds)
+        here = np.arange(len(r))
+        up = 1 / (1 + np.exp(odds[here, target]))
+        np.negative(odds, out=odds)
+        np.exp(odds, out=odds)
+        odds += 1
+        spread = weight / odds
+        spread[here, target] -= up
         grad += spread.T @ r
         back += spread @ out[:, :-1]
 

@@ -1,0 +1,47 @@
+"""The numbered queries: SQL where there is some, and the pipeline's stages on the smallest tables."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from maskwell.llm import decontamination, jaccard_join, toxicity
+from maskwell.llm.queries import ORACLE, QUERIES
+
+
+def test_each_operator_has_a_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", list(ORACLE))
+def test_sql(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir)
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    cursor = con.execute(ORACLE[name])
+    at = [[c[0] for c in cursor.description].index(c) for c in got.columns]
+    assert sorted(map(repr, (tuple(r[i] for i in at) for r in cursor.fetchall()))) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+@pytest.mark.parametrize("name", ["op2_source_mix", "op10_url_rules"])
+def test_native_queries_run_no_python(spark, sf_dir, name, capsys):
+    QUERIES[name](spark, sf_dir).explain()
+    assert not any(x in capsys.readouterr().out for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    one = stages[0](spark, docs, sf_dir)
+    assert ids(one) == ids(toxicity.scored(docs, labels).where("predicted = 0"))
+    two = stages[1](spark, docs, sf_dir)
+    assert ids(two) == ids(jaccard_join.join(docs).where("doc_id = component_id"))
+    three = stages[2](spark, docs, sf_dir)
+    leaked = {r["doc_id"] for r in decontamination.leaks(docs, bench).collect()}
+    assert leaked and ids(three) == [i for i in ids(docs) if i not in leaked]
+    four = stages[3](spark, docs, sf_dir)
+    assert all(s.columns == docs.columns for s in (one, two, three, four)) and set(ids(four)) <= set(ids(docs))
+    last = corpus_pipeline.run(spark, sf_dir)
+    assert last.count() and {r["shard"] for r in last.select("shard").distinct().collect()} <= set(range(8))
