@@ -19,13 +19,15 @@ HOT_SHARE = 1_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only if none is set."""
+    """The cluster's checkpoint folder; a temporary one only if none is set and Spark runs in one process."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if not path and current.isDefined():
         return current.get()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="maskwell-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not current.isDefined():
