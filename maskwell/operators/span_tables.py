@@ -8,6 +8,8 @@ join splices the replacements into the text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,7 +113,10 @@ def splice(
     chars = F.sum(F.aggregate("_put", F.lit(0).cast("long"), lambda a, x: a + F.length(x["masked"]) + 16))
     n, size = by_row.agg(F.count("*"), chars).first()
     small = n <= scratch.BROADCAST_ROWS and (size or 0) <= scratch.BROADCAST_CHARS
-    work = df.join(F.broadcast(by_row) if small else by_row, ids, "left")
+    # null ids are ids too: a row whose replacements were lost would come out in the clear
+    by_row = by_row.select(*(F.col(f"`{c}`").alias(f"_id{i}") for i, c in enumerate(ids)), "_put")
+    same = reduce(and_, (F.col(f"`{c}`").eqNullSafe(F.col(f"_id{i}")) for i, c in enumerate(ids)))
+    work = df.join(F.broadcast(by_row) if small else by_row, same, "left")
 
     def put(text: Column, at: int) -> Column:
         mine = F.filter(F.col("_put"), lambda x: x["field_at"] == at)

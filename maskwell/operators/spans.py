@@ -29,9 +29,6 @@ FINDING = (
 )
 SCRUBBED = f"struct<text:string,findings:array<{FINDING}>>"
 
-# an allowlist up to this size goes into the plan as a literal set
-LITERAL_ALLOWLIST = 10_000
-
 
 def strings(values: Iterable[str]) -> str:
     return "array(" + ", ".join(quoted(v) for v in values) + ")"
@@ -106,13 +103,9 @@ def sweep_sql(cands: str) -> str:
 def spans_sql(text: str, policy: Policy) -> str:
     """Winning spans of one text value."""
     cands = candidates_sql(text, policy.active())
-    if len(policy.allowlist) > LITERAL_ALLOWLIST:
-        raise ValueError(
-            f"{len(policy.allowlist)} allowlist values; keep them in a table and use "
-            "exclude_allowed()"
-        )
     if policy.allowlist:
-        # dropped before the sweep, an allowed value cannot block another one
+        # dropped before the sweep, an allowed value cannot block another one; the values are part of the plan, very
+        # many are better kept in a table (see allow.exclude_allowed)
         values = ", ".join(quoted(v) for v in sorted(policy.allowlist))
         cands = f"filter({cands}, _c -> _c.original NOT IN ({values}))"
     return let(cands, "_cands", f"if(size(_cands) < 2, _cands, {sweep_sql('_cands')})")

@@ -89,3 +89,22 @@ def all_candidates(value):
     from brute import PATTERNS
 
     return [(n, c, f, m.group()) for n, c, f, rx in PATTERNS for m in re.finditer(rx, value or "")]
+
+
+def test_null_id_is_masked(spark):
+    from maskwell.operators.tokens import tokenize
+    from maskwell.plans.policy import Policy
+
+    rows = spark.createDataFrame([(1, "mail a@b.co"), (None, "mail c@d.co")], "id int, text string")
+    out = {r["id"]: r["text"] for r in tokenize(rows, "id", "text", Policy()).rows.collect()}
+    assert "@" not in out[1] and "@" not in out[None] and out[1] != out[None]
+
+
+def test_large_allowlist(spark):
+    from maskwell.operators.scrub import scrub_columns
+    from maskwell.plans.policy import Policy
+
+    policy = Policy(allowlist=frozenset(f"u{i}@b.co" for i in range(10_500)))
+    rows = spark.createDataFrame([("u7@b.co x@b.co",)], "text string")
+    text = scrub_columns(rows, "text", policy).first()["text"]
+    assert text.startswith("u7@b.co ") and "x@b.co" not in text
