@@ -27,20 +27,32 @@ def matrix(rows: pd.Series) -> np.ndarray:
     return out
 
 
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Scores of all candidates for each query: each term's postings are scattered, weighted by the queries that hold it."""
-    scores = np.zeros((len(candidates), len(queries)), np.int64)
-    for term in range(min(queries.shape[1], candidates.shape[1])):
-        holders = np.flatnonzero(queries[:, term])
-        postings = np.flatnonzero(candidates[:, term])
-        if not len(holders) or not len(postings):
-            continue
-        part = candidates[postings, term][:, None] * queries[holders, term][None, :]
-        if len(holders) == len(queries):
-            scores[postings] += part
-        else:
-            scores[np.ix_(postings, holders)] += part
-    return scores.T
+def accumulate(queries: np.ndarray, candidates: np.ndarray, part: int = 1024) -> np.ndarray:
+    """Scores of all candidates for each query: each term's postings are scattered, weighted by the queries that hold it.
+
+    Candidates go by parts whose scores stay in the processor's cache. Where most of a part holds the term, the whole
+    column is added (other rows add zero). Numbers are 32 bits wide if no score can be larger, else 64.
+    """
+    width = min(queries.shape[1], candidates.shape[1])
+    queries, candidates = queries[:, :width], candidates[:, :width]
+    most = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (queries, candidates)]
+    kind = np.int32 if width * most[0] * most[1] < 2**31 and max(most) < 2**31 else np.int64
+    weights = np.ascontiguousarray(queries.T, dtype=kind)
+    terms = np.ascontiguousarray(candidates.T, dtype=kind)
+    out = np.empty((len(queries), len(candidates)), np.int64)
+    for at in range(0, len(candidates), part):
+        column = terms[:, at : at + part]
+        scores = np.zeros((len(queries), column.shape[1]), kind)
+        room = np.empty_like(scores)
+        for term in np.flatnonzero(weights.any(axis=1)):
+            postings = np.flatnonzero(column[term])
+            if 2 * len(postings) > column.shape[1]:
+                np.multiply(weights[term][:, None], column[term][None, :], out=room)
+                scores += room
+            elif len(postings):
+                scores[:, postings] += weights[term][:, None] * column[term, postings][None, :]
+        out[:, at : at + part] = scores
+    return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
