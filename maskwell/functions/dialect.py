@@ -43,12 +43,23 @@ _INSIDE = {
 }
 
 
+def behind_group(regex: str) -> str:
+    """The regex for a place behind one more capture group: numbered back-references move up by one."""
+    return re.sub(
+        r"\\(?:([1-9][0-9]?)|.)",
+        lambda m: rf"\{int(m[1]) + 1}" if m[1] else m[0],
+        regex,
+        flags=re.DOTALL,
+    )
+
+
 def from_python(regex: str) -> str:
     """Restate a user's Python regex for Spark's regex functions.
 
-    Covers the shorthand classes, word boundaries, named groups and the
-    characters Java treats specially inside a class.  Case-insensitive
-    matching is made Unicode-aware, as Python's is.
+    Covers the shorthand classes, word boundaries, named groups, line ends
+    (only ``\\n`` is one), open repeats and the characters Java treats
+    specially inside a class.  Case-insensitive matching is made
+    Unicode-aware, as Python's is.
     """
     out: list[str] = []
     multiline = re.match(r"\(\?[a-z]*m", regex) is not None
@@ -77,10 +88,15 @@ def from_python(regex: str) -> str:
             out.append(rf"\k<{regex[i + 4 : end]}>")
             i = end + 1
             continue
+        elif repeat := re.match(r"\{,([0-9]+)\}", regex[i:]):
+            out.append("{0," + repeat[1] + "}")
+            i += repeat.end()
+            continue
+        elif ch == "^" and multiline:
+            ch = r"(?:\A|(?<=\n))"
         elif ch == "$" and not multiline:
             # Python's $ knows only \n as a line end
             ch = r"(?=\n?\z)"
         out.append(ch)
         i += 1
-    flags = "u" if "(?i" in regex else ""
-    return (f"(?{flags})" if flags else "") + "".join(out)
+    return ("(?du)" if "(?i" in regex else "(?d)") + "".join(out)

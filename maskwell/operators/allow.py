@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions.lists import apply
 from maskwell.operators import spans as S
-from maskwell.operators.scrub import barrier
+from maskwell.operators.scrub import barrier, python_masks
 from maskwell.operators.span_tables import join_by_value, span_rows, splice
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
@@ -59,6 +59,10 @@ def exclude_allowed(
     masked = barrier(per_value, _kept=swept_col).withColumn(
         "_masked", S.masks_of(F.col("_kept"), policy)
     )
+    if S.python_masked(policy):
+        made = masked.withColumn("_python", python_masks(F.array("_kept"), policy).getItem(0))
+        either = F.zip_with("_python", "_masked", lambda p, n: F.coalesce(p, n))
+        masked = made.withColumn("_masked", either).drop("_python")
     zipped = F.arrays_zip(
         F.col("_kept").alias("s"),
         F.expr(S.findings_sql("_kept", "_masked", policy)).alias("f"),

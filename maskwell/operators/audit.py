@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.operators.scrub import percent
+from maskwell.plans import scratch
 
 # Column order of the flat audit file.
 AUDIT_COLUMNS = (
@@ -54,8 +55,13 @@ def audit_summary(found: DataFrame) -> DataFrame:
     return found.rollup("category").agg(F.count("*").alias("findings"))
 
 
-def source_totals(found: DataFrame, source: str = "source") -> DataFrame:
-    return found.groupBy(source).agg(F.count("*").alias("findings"))
+def source_totals(found: DataFrame, source: str = "source", scanned: DataFrame | None = None) -> DataFrame:
+    """Findings of each source; with the ``scanned`` table, sources without any are listed with 0."""
+    totals = found.groupBy(source).agg(F.count("*").alias("findings"))
+    if scanned is None:
+        return totals
+    nothing = scanned.select(source, F.lit(0).cast("long").alias("findings"))
+    return totals.unionByName(nothing).groupBy(source).agg(F.sum("findings").alias("findings"))
 
 
 def batch_totals(scanned: DataFrame, counts: Column, source: str = "source") -> DataFrame:
@@ -119,6 +125,8 @@ def report_lines(
     single task has to see all findings.
     """
     spark = found.sparkSession
+    # read twice; originals are stored only if they are shown
+    found = scratch.kept(found if include_original else found.drop("original"))
     rule, thin = "=" * 60, "-" * 60
     fixed = [
         (0, "0", rule),

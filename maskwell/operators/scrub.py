@@ -50,12 +50,8 @@ def with_scrubbed(
     return barrier(df, **{out: S.scrub_values(values, policy, shared_tokens)})
 
 
-def with_python_masks(df: DataFrame, values: Column, policy: Policy, out: str) -> DataFrame:
-    """Like ``with_scrubbed`` when a pattern's mask is a Python callable.
-
-    Detection, resolution and assembly stay native; only the matched texts of
-    such patterns travel to Python, in Arrow batches.
-    """
+def python_masks(kept: Column, policy: Policy) -> Column:
+    """Masks that are Python callables for an array of span lists; null for other patterns."""
     masks = {i: p.py_mask for i, p in enumerate(policy.active()) if p.mask is None}
     char = policy.mask_char
 
@@ -64,19 +60,28 @@ def with_python_masks(df: DataFrame, values: Column, policy: Policy, out: str) -
             mask = masks.get(s["rank"])
             return None if mask is None else mask(s["original"]).replace("*", char)
 
-        return [[one(s) for s in kept] for kept in values_spans]
+        return [[one(s) for s in spans] for spans in values_spans]
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def in_python(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
             yield rows.map(mask_all)
 
+    slim = F.transform(
+        kept, lambda k: F.transform(k, lambda s: F.struct(s["rank"].alias("rank"), s["original"].alias("original")))
+    )
+    return in_python(slim)
+
+
+def with_python_masks(df: DataFrame, values: Column, policy: Policy, out: str) -> DataFrame:
+    """Like ``with_scrubbed`` when a pattern's mask is a Python callable.
+
+    Detection, resolution and assembly stay native; only the matched texts of
+    such patterns travel to Python, in Arrow batches.
+    """
     found = apply(values, "_vs", f"transform(_vs, _t -> {one_value(policy)})")
     staged = barrier(df, _values=values, _kept=found)
-    slim = F.expr(
-        "transform(_kept, _k -> transform(_k, _s -> struct(_s.rank AS rank, _s.original AS original)))"
-    )
-    staged = staged.withColumn("_python", in_python(slim))
+    staged = staged.withColumn("_python", python_masks(F.col("_kept"), policy))
 
     def one(value: Column, i: Column) -> Column:
         kept = F.get(F.col("_kept"), i)

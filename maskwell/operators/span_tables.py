@@ -60,6 +60,16 @@ def span_rows(
     )
 
 
+def join_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on keys that may be null: a null scope is a scope too, and a finding lost here would come out in the clear."""
+    other = table.select(
+        *(F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)),
+        *(F.col(f"`{c}`") for c in table.columns if c not in keys),
+    )
+    same = reduce(and_, (F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)))
+    return rows.join(F.broadcast(other) if small else other, same, how).drop(*(f"_key{i}" for i in range(len(keys))))
+
+
 def join_by_value(
     rows: DataFrame,
     table: DataFrame,
@@ -78,15 +88,13 @@ def join_by_value(
     lean = table.drop("uses")
     total = table.agg(F.sum("uses")).first()[0] or 0
     if total <= split_rows:
-        return rows.join(lean, keys, how)
+        return join_keys(rows, lean, keys, how)
     hot = F.col("uses") > total / scratch.HOT_SHARE
-    hot_table = F.broadcast(table.where(hot).drop("uses"))
-    hot_keys = F.broadcast(table.where(hot).select(*keys))
-    cold_rows = rows.join(hot_keys, keys, "left_anti")
-    cold = cold_rows.join(table.where(~hot).drop("uses"), keys, how)
+    cold_rows = join_keys(rows, table.where(hot).select(*keys), keys, "left_anti", small=True)
+    cold = join_keys(cold_rows, table.where(~hot).drop("uses"), keys, how)
     if how == "left_anti":
         return cold
-    return rows.join(hot_table, keys, "inner").unionByName(cold)
+    return join_keys(rows, table.where(hot).drop("uses"), keys, small=True).unionByName(cold)
 
 
 def splice(

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwell.functions.catalog import HAS_DIGIT, PatternSpec
+from maskwell.functions.dialect import behind_group
 from maskwell.functions.lists import apply, empty, empty_array, let, quoted, running
 from maskwell.plans.policy import Policy
 
@@ -51,7 +52,7 @@ def _place(text: str, patterns: Sequence[PatternSpec]) -> str:
     """Spans of one pattern's matches ``_s.found`` with the gaps between them."""
     # what lies before each match; \G ties a search to the end of the last one
     gaps = " ".join(
-        f"WHEN {i} THEN regexp_extract_all({text}, {quoted(rf'\G((?s:.*?))(?:{p.regex})')}, 1)"
+        f"WHEN {i} THEN regexp_extract_all({text}, {quoted(rf'\G((?s:.*?))(?:{behind_group(p.regex)})')}, 1)"
         for i, p in enumerate(patterns)
     )
     pairs = "transform(_s.found, (_m, _i) -> struct(_m AS m, _gaps[_i] AS gap))"
@@ -208,7 +209,9 @@ def assemble_sql(text: str, kept: str, masked: str) -> str:
         "cast(substring(_raw, _from + 1, _k.b0 - _from) AS string)"
     )
     before = f"if(_i = 0, 0, get({kept}, _i - 1).b1)"
-    piece = let(before, "_from", f"concat({gap}, {masked}[_i])")
+    # a missing mask must not take the gap before it along
+    mask = f"coalesce({masked}[_i], raise_error('a finding without a mask'))"
+    piece = let(before, "_from", f"concat({gap}, {mask})")
     last = f"element_at({kept}, -1).b1"
     tail = f"cast(substring(_raw, {last} + 1, octet_length(_raw) - {last}) AS string)"
     whole = f"concat(array_join(transform({kept}, (_k, _i) -> {piece}), ''), {tail})"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwell.functions.catalog import PatternSpec
-from maskwell.operators.span_tables import join_by_value, span_rows, splice
+from maskwell.operators.span_tables import join_by_value, join_keys, span_rows, splice
 from maskwell.operators.spans import token_sql
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
@@ -64,8 +64,7 @@ def number_rows(df: DataFrame, order: Sequence[str], scope: Sequence[str] = ())
     )
     within = F.row_number().over(Window.partitionBy("_part", *scope).orderBy("_at"))
     return (
-        laid.withColumn("_n", within)
-        .join(F.broadcast(offsets), [*scope, "_part"], "left")
+        join_keys(laid.withColumn("_n", within), offsets, [*scope, "_part"], "left", small=True)
         .withColumn("n", F.coalesce("_before", F.lit(0)) + F.col("_n"))
         .drop("_part", "_at", "_before", "_n")
     )
@@ -163,16 +162,22 @@ def detokenize(
     id_cols: Sequence[str] | str,
     fields: Sequence[str] | str,
     tokens: DataFrame,
+    scope: Sequence[str] = (),
 ) -> DataFrame:
-    """Put the originals back; a token the map does not hold stays."""
+    """Put the originals back; a token the map does not hold stays.
+
+    ``scope`` is that of :func:`tokenize`: its columns are among the ids and in the map. A map that gives one token
+    two originals within a scope is refused.
+    """
+    scope = list(scope)
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     only = Policy(categories=frozenset(), extra_patterns=(TOKEN_FORM,))
     spans = scratch.kept(span_rows(df, ids, fields, only))
-    uses = spans.groupBy("original").agg(F.count("*").alias("uses"))
-    table = scratch.kept(
-        tokens.select(F.col("token").alias("original"), F.col("original").alias("masked")).join(
-            uses, "original"
-        )
-    )
-    found = join_by_value(spans, table, ["original"])
+    uses = spans.groupBy(*scope, "original").agg(F.count("*").alias("uses"))
+    listed = tokens.select(*scope, F.col("token").alias("original"), F.col("original").alias("masked"))
+    once = listed.groupBy(*scope, "original").agg(F.min("masked").alias("masked"), F.max("masked").alias("_other"))
+    clash = F.raise_error("a token stands for several originals; name the scope of the map")
+    sure = once.withColumn("masked", F.when(F.col("masked") == F.col("_other"), F.col("masked")).otherwise(clash))
+    table = scratch.kept(join_keys(sure.drop("_other"), uses, [*scope, "original"]))
+    found = join_by_value(spans, table, [*scope, "original"])
     return splice(df, ids, fields, found.select(*ids, "field_at", "b0", "b1", "masked"))

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskwell.functions.catalog import BUILTIN, NAMES, PatternSpec, builtin, custom_pattern
+from maskwell.functions.catalog import BUILTIN, NAMES, PatternSpec, builtin, check_unique, custom_pattern
 
 STYLES = ("partial", "label", "full", "redacted", "token")
 
@@ -36,12 +36,12 @@ STANDARDS: dict[str, frozenset[str] | None] = {
     "none": frozenset(),
 }
 DESCRIPTIONS = {
-    "gdpr": "EU General Data Protection Regulation",
-    "hipaa": "US Health Insurance Portability and Accountability Act",
-    "pci": "Payment Card Industry Data Security Standard",
-    "soc2": "Service Organization Control 2 — secrets and credential exposure",
-    "all": "All available patterns",
-    "none": "No built-in patterns — use with a configuration for fully custom sets",
+    "gdpr": "personal data under European data protection law",
+    "hipaa": "patient data under United States health privacy law",
+    "pci": "card and account numbers, for card processors",
+    "soc2": "keys, tokens and other secrets, for service audits",
+    "all": "every pattern of the catalog",
+    "none": "nothing built in; only patterns of a configuration",
 }
 
 # The built-in profiles.
@@ -52,7 +52,7 @@ PROFILES: tuple[dict[str, Any], ...] = (
         "mask_char": "*",
         "disabled_patterns": [],
         "allowlist": [],
-        "description": "GDPR — redact all PII and credentials",
+        "description": "European rules: one fixed mark for every finding",
     },
     {
         "name": "HIPAA",
@@ -60,7 +60,7 @@ PROFILES: tuple[dict[str, Any], ...] = (
         "mask_char": "*",
         "disabled_patterns": ["ipv4", "url_credentials"],
         "allowlist": [],
-        "description": "HIPAA — tokenise PHI for consistent de-identification",
+        "description": "Health records: a pseudonym for each value",
     },
     {
         "name": "SOC2",
@@ -68,7 +68,7 @@ PROFILES: tuple[dict[str, Any], ...] = (
         "mask_char": "*",
         "disabled_patterns": ["ipv4"],
         "allowlist": [],
-        "description": "SOC2 — partial masking of credentials and PII",
+        "description": "Audited services: values stay recognisable, addresses stay",
     },
     {
         "name": "Minimal",
@@ -76,7 +76,7 @@ PROFILES: tuple[dict[str, Any], ...] = (
         "mask_char": "*",
         "disabled_patterns": ["ipv4", "generic_credential", "url_credentials", "phone"],
         "allowlist": [],
-        "description": "Low-noise — only high-confidence patterns",
+        "description": "Few false alarms: patterns that often err are off",
     },
 )
 
@@ -102,6 +102,7 @@ class Policy:
     def __post_init__(self) -> None:
         if self.mask_style not in STYLES:
             raise ValueError(f"mask_style must be one of {STYLES}, not {self.mask_style!r}")
+        check_unique([*BUILTIN, *self.extra_patterns])
 
     def with_(self, **changes: Any) -> Policy:
         return replace(self, **changes)
@@ -153,14 +154,14 @@ class Policy:
         extra, warnings = list(self.extra_patterns), list(self.warnings)
         for item in config.get("custom_patterns") or []:
             try:
-                extra.append(
-                    custom_pattern(
-                        item["name"],
-                        item["regex"],
-                        item.get("category", "custom"),
-                        item.get("confidence", 1.0),
-                    )
+                made = custom_pattern(
+                    item["name"],
+                    item["regex"],
+                    item.get("category", "custom"),
+                    item.get("confidence", 1.0),
                 )
+                check_unique([*BUILTIN, *extra, made])
+                extra.append(made)
             except (KeyError, TypeError, ValueError) as exc:
                 warnings.append(f"custom pattern skipped: {item!r}: {exc}")
         return replace(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # a side is broadcast only after counting it: at most this many rows ...
@@ -35,6 +36,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def none_there(error: AnalysisException) -> None:
+    """Passes over a path that does not exist; any other error is raised again."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -12,6 +13,7 @@ from pyspark.errors import AnalysisException
 
 from maskwell.operators.tokens import empty_tokens
 from maskwell.plans.policy import PROFILE_DDL, normal_profile
+from maskwell.plans.scratch import none_there
 
 # File types a folder run looks at.
 EXTENSIONS = (".txt", ".json", ".csv", ".log", ".yaml", ".yml", ".xml", ".md", ".env")
@@ -138,7 +140,16 @@ def json_schema_of(df: DataFrame, column: str) -> str:
     merged = df.select(
         F.expr(f"schema_of_variant_agg(try_parse_json(`{column}`))").alias("s")
     ).first()[0]
-    return merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING") if merged else "STRING"
+    return typed_names(merged) if merged else "STRING"
+
+
+def typed_names(ddl: str) -> str:
+    """DDL with the types that columns cannot have restated; keys, quoted or followed by a colon, stay as they are."""
+
+    def restated(m: re.Match[str]) -> str:
+        return {"OBJECT": "STRUCT", "VOID": "STRING"}.get(m["type"], m[0])
+
+    return re.sub(r"`(?:``|[^`])*`|\w+(?=\s*:)|(?P<type>\bOBJECT(?=<)|\bVOID\b)", restated, ddl)
 
 
 def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
@@ -148,7 +159,8 @@ def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
     """
     try:
         table = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        none_there(error)
         return spark.createDataFrame([], "value string")
     first = F.col(f"`{table.columns[0]}`")
     value = first
@@ -166,7 +178,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         if not path.endswith(".json"):
             return spark.read.parquet(path).select("original", "token")
         whole = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as error:
+        none_there(error)
         return empty_tokens(spark)
     pairs = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     return whole.select(F.explode(pairs).alias("original", "token"))

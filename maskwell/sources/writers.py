@@ -56,10 +56,11 @@ def write_audit_json(
     mode: str = "error",
 ) -> None:
     """Audit as two JSON tables: one-row ``report`` and many-row ``findings``."""
-    report = audit_report(found, generated_at)
-    report.write.mode(mode).json(f"{path}/report")
     rows = audit_rows(found, "source", generated_at, include_original)
     rows.write.mode(mode).option("ignoreNullFields", False).json(f"{path}/findings")
+    # totals of what was written, so the texts are scanned once
+    written = found.sparkSession.read.schema("category string").json(f"{path}/findings")
+    audit_report(written, generated_at).write.mode(mode).json(f"{path}/report")
 
 
 def summary_event(columns: list[str]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from maskwell.operators import tokens as TK
 from maskwell.operators.scrub import scrub_columns
 from maskwell.plans.policy import Policy
+from maskwell.plans.scratch import none_there
 from maskwell.sources.writers import summary_events
 
 
@@ -48,7 +49,8 @@ def stored_tokens(spark: SparkSession, path: str, before: int | None = None) ->
     """Tokens of all batches below a path, or of those before a batch."""
     try:
         table = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    except AnalysisException:
+    except AnalysisException as error:
+        none_there(error)
         return TK.empty_tokens(spark)
     if before is not None:
         table = table.where(F.col("batch") < before)

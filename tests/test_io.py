@@ -155,3 +155,12 @@ def test_token_stream_over_batches_and_replay(spark, tmp_path):
     assert dict(ST.stored_tokens(spark, f"{out}/tokens").collect()) == tokens
     before = dict(ST.stored_tokens(spark, f"{out}/tokens", before=2).collect())
     assert before == {"a@b.com": "[PII-001]", "c@d.org": "[PII-002]"}
+
+
+def test_schema_of_odd_keys(spark):
+    from maskwell.sources.readers import json_schema_of
+
+    df = spark.createDataFrame([('{"VOIDED_BY": "x", "VOID": null, "OBJECT<": {"OBJECT": null}, "a`:VOID": 1}',)], "t string")
+    schema = json_schema_of(df, "t")
+    got = df.select(F.from_json("t", schema).alias("v")).first().v.asDict(recursive=True)
+    assert got == {"VOIDED_BY": "x", "VOID": None, "OBJECT<": {"OBJECT": None}, "a`:VOID": 1}

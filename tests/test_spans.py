@@ -148,3 +148,23 @@ def test_custom_patterns(spark):
         with pytest.raises(ValueError):
             custom_pattern(*bad)
     assert re.compile(specs[0][3])
+
+
+@pytest.mark.parametrize(
+    "regex",
+    [r"([a-z])\1{3}", r"(?P<c>\d)(?P=c){2}", r"secret=.*", r"(?m)^k=.*$", r"(?m)^end", r"a{,2}b", r"x$", r"(a)(b)\2\1"],
+)
+def test_custom_patterns_as_python_reads_them(spark, regex):
+    values = [
+        "see code zzzz here 777", "secret=aaa\rbbbb\nnext", "secret=a\x85b\u2028c", "k=1\rk=2\nk=3 \nq\nk=4", "x\nend\n",
+        "aab ab b aaab abba", "x\n", "x\r", "yx",
+    ]
+    policy = Policy(extra_patterns=(custom_pattern("own", regex),), categories=frozenset(), mask_style="label")
+    others = [n for n in NAMES]
+    check(spark, values, policy, extra=[("own", "custom", 1.0, regex)], disabled=others, style="label")
+
+
+def test_pattern_names_are_unique():
+    with pytest.raises(ValueError):
+        Policy(extra_patterns=(custom_pattern("email", "x+"),))
+    assert len(Policy().overlay({"custom_patterns": [{"name": "y", "regex": "y+"}] * 2}).warnings) == 1

@@ -108,3 +108,24 @@ def test_large_allowlist(spark):
     rows = spark.createDataFrame([("u7@b.co x@b.co",)], "text string")
     text = scrub_columns(rows, "text", policy).first()["text"]
     assert text.startswith("u7@b.co ") and "x@b.co" not in text
+
+
+def test_null_scope_is_a_scope(spark):
+    rows = spark.createDataFrame([(None, 1, "mail a@b.co"), (None, 2, "mail c@d.co a@b.co"), (1, 3, "c@d.co")], "doc int, id int, t string")
+    for split_rows in (0, 10**6):
+        got = TK.tokenize(rows, ["doc", "id"], "t", scope=["doc"], split_rows=split_rows)
+        assert {r.id: r.t for r in got.rows.collect()} == {1: "mail [PII-001]", 2: "mail [PII-002] [PII-001]", 3: "[PII-001]"}
+        back = TK.detokenize(got.rows, ["doc", "id"], "t", got.tokens, scope=["doc"])
+        assert {r.id: r.t for r in back.collect()} == {r.id: r.t for r in rows.collect()}
+    with pytest.raises(Exception, match="several originals"):
+        TK.detokenize(got.rows, ["doc", "id"], "t", got.tokens).collect()
+
+
+def test_allowlist_table_with_python_mask(spark):
+    from maskwell.functions.catalog import custom_pattern
+
+    own = custom_pattern("employee_id", r"EMP-\d{6}", "pii", py_mask=lambda s: s[::-1].lower())
+    df = spark.createDataFrame([(1, "id EMP-123456 and mail a@b.co, ok@b.co end")], "id int, t string")
+    allow = spark.createDataFrame([("ok@b.co",)], "value string")
+    rows, _ = exclude_allowed(df, "id", "t", allow, Policy(extra_patterns=(own,)))
+    assert rows.first().t == "id 654321-pme and mail a***@b.co, ok@b.co end"

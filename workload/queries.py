@@ -597,9 +597,15 @@ def audit_summary(spark, sf):
     return A.audit_summary(findings(leaks(spark, sf), "id", "text"))
 
 
-@query("source_totals", O.rows(f"{_SOURCE} AS source, count(*) AS findings", src=LEAKS_SQL) + " GROUP BY id")
+@query(
+    "source_totals",
+    f"SELECT {_SOURCE} AS source, CAST(coalesce(n, 0) AS BIGINT) AS findings FROM ("
+    + O.reported("SELECT id, text_finding_count AS n FROM report", src=LEAKS_SQL)
+    + ")",
+)
 def source_totals(spark, sf):
-    return A.source_totals(findings(_sourced(spark, sf), "source", "text"))
+    docs = _sourced(spark, sf)
+    return A.source_totals(findings(docs, "source", "text"), scanned=docs)
 
 
 @query(
@@ -662,12 +668,11 @@ _JSON = (
 
 
 def _json_docs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = noted(leaks(spark, sf)).where("text is not null")
+    rows = noted(leaks(spark, sf))
     return rows.select("id", F.expr(_JSON.format(text="text", note="note")).alias("doc"))
 
 
-_MSG = f"SELECT * FROM ({LEAKS_SQL}) WHERE text IS NOT NULL"
-_BOTH = f"FROM ({O.texts(src=_MSG)}) a JOIN ({O.texts(src=NOTES_SQL)}) b ON a.id = b.id"
+_BOTH = f"FROM ({O.texts(src=LEAKS_SQL)}) a JOIN ({O.texts(src=NOTES_SQL)}) b ON a.id = b.id"
 _JSON_DUCK = _JSON.format(text="a.text", note="b.text").replace("cast(id as string)", "a.id")
 
 
@@ -679,7 +684,7 @@ def scrub_json_values(spark, sf):
 _BROKEN_SRC = (
     "SELECT id, left(doc, length(doc) - 1) AS text FROM (SELECT id, "
     + _JSON.format(text="text", note="note").replace("cast(id as string)", "id")
-    + f" AS doc FROM ({NOTED_SQL}) WHERE text IS NOT NULL)"
+    + f" AS doc FROM ({NOTED_SQL}))"
 )
 
 
@@ -690,8 +695,8 @@ def scrub_json_fallback(spark, sf):
 
 
 _PAIR_JSON_SRC = (
-    f"SELECT id * 2 AS id, id AS doc, 0 AS field_at, text FROM ({_MSG})"
-    f" UNION ALL SELECT id * 2 + 1, id, 1, note FROM ({NOTED_SQL}) WHERE text IS NOT NULL"
+    f"SELECT id * 2 AS id, id AS doc, 0 AS field_at, text FROM ({LEAKS_SQL})"
+    f" UNION ALL SELECT id * 2 + 1, id, 1, note FROM ({NOTED_SQL})"
 )
 _TOKEN_PAIR = O.texts("id, doc, field_at, text", src=_PAIR_JSON_SRC, **_ROW_TOKENS)
 
@@ -707,7 +712,7 @@ def tokens_json_document(spark, sf):
 
 @query(
     "scrub_json_typed",
-    f"SELECT a.id, a.text AS msg, b.text AS tag {_BOTH}",
+    f"SELECT a.id, a.text AS msg, CASE WHEN a.text IS NOT NULL THEN b.text END AS tag {_BOTH}",
 )
 def scrub_json_typed(spark, sf):
     """Schema inferred once, then typed columns instead of text."""
@@ -767,7 +772,7 @@ _CSV_DOC = "'id,note,msg' || chr(10) || cast({id} as string) || ',' || {note} ||
 
 
 def _csv_docs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = noted(leaks(spark, sf)).where("text is not null")
+    rows = noted(leaks(spark, sf))
     return rows.select("id", F.expr(_CSV_DOC.format(id="id", text="text", note="note")).alias("text"))
 
 
@@ -784,7 +789,7 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     name = F.lpad(F.col("id").cast("string"), 12, "0")
     js = _json_docs(spark, sf).select(name.alias("name"), F.col("doc").alias("text"))
     cs = _csv_docs(spark, sf).select(name.alias("name"), "text")
-    tx = leaks(spark, sf).select(name.alias("name"), "text").where("text is not null")
+    tx = leaks(spark, sf).select(name.alias("name"), "text")
     all_files = (
         js.withColumn("source", F.concat(F.lit("a/"), "name", F.lit(".JSON")))
         .unionByName(cs.withColumn("source", F.concat(F.lit("b/"), "name", F.lit(".csv"))))
@@ -798,7 +803,7 @@ _FILES_SQL = (
     f"SELECT 'a/' || {_PADDED.format(k='a.id')} || '.JSON' AS source, 'json' AS format, {_JSON_DUCK} AS text {_BOTH} "
     f"UNION ALL SELECT 'b/' || {_PADDED.format(k='a.id')} || '.csv', 'csv', "
     f"{_CSV_DOC.format(id='a.id', text='a.text', note='b.text')} {_BOTH} "
-    f"UNION ALL SELECT 'c/' || {_PADDED.format(k='id')} || '.log', 'text', text FROM ({O.texts(src=_MSG)})"
+    f"UNION ALL SELECT 'c/' || {_PADDED.format(k='id')} || '.log', 'text', text FROM ({O.texts(src=LEAKS_SQL)})"
 )
 
 
@@ -876,12 +881,18 @@ def detokenize(spark, sf):
     return TK.detokenize(got.rows, "id", "text", got.tokens).select("id", "text")
 
 
+@query("detokenize_scoped", f"SELECT id, host, text FROM ({LEAKS_SQL})")
+def detokenize_scoped(spark, sf):
+    got = TK.tokenize(leaks(spark, sf), ["host", "id"], "text", _TOKEN, scope=["host"])
+    return TK.detokenize(got.rows, ["host", "id"], "text", got.tokens, scope=["host"]).select("id", "host", "text")
+
+
 _FILE_VALUES = (
-    f"SELECT id * 10 AS id, 'a/' || {_PADDED.format(k='id')} AS source, 0 AS seq0, text FROM ({_MSG})"
+    f"SELECT id * 10 AS id, 'a/' || {_PADDED.format(k='id')} AS source, 0 AS seq0, text FROM ({LEAKS_SQL})"
     f" UNION ALL SELECT id * 10 + 1, 'a/' || {_PADDED.format(k='id')}, 1, note FROM ({NOTED_SQL}) WHERE text IS NOT NULL"
     f" UNION ALL SELECT id * 10 + 2, 'b/' || {_PADDED.format(k='id')}, 0, note FROM ({NOTED_SQL}) WHERE text IS NOT NULL"
-    f" UNION ALL SELECT id * 10 + 3, 'b/' || {_PADDED.format(k='id')}, 1, text FROM ({_MSG})"
-    f" UNION ALL SELECT id * 10 + 4, 'c/' || {_PADDED.format(k='id')}, 0, text FROM ({_MSG})"
+    f" UNION ALL SELECT id * 10 + 3, 'b/' || {_PADDED.format(k='id')}, 1, text FROM ({LEAKS_SQL})"
+    f" UNION ALL SELECT id * 10 + 4, 'c/' || {_PADDED.format(k='id')}, 0, text FROM ({LEAKS_SQL})"
 )
 
 
@@ -896,10 +907,10 @@ def tokens_files(spark, sf):
 # -- sinks -----------------------------------------------------------------------------------------
 
 
-@query("sink_text", O.texts("text AS value", src=_MSG))
+@query("sink_text", O.texts("coalesce(text, '') AS value", src=LEAKS_SQL))
 def sink_text(spark, sf):
     path = new_path(spark, "text")
-    out = scrub_columns(leaks(spark, sf).where("text is not null"), "text", report=False)
+    out = scrub_columns(leaks(spark, sf), "text", report=False)
     WR.write_text(out, "text", path)
     return spark.read.text(path)
 
