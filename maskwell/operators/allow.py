@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskwell.functions.lists import apply
 from maskwell.operators import spans as S
 from maskwell.operators.scrub import barrier, python_masks
-from maskwell.operators.span_tables import join_by_value, span_rows, splice
+from maskwell.operators.span_tables import TEXT_KEY, join_by_value, span_rows, splice
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
@@ -35,7 +35,8 @@ def exclude_allowed(
     """Scrub with an allowlist table; returns ``(rows, findings)``.
 
     The anti-join runs on candidates, before overlaps are resolved: an allowed
-    value must not block a finding it overlaps.
+    value must not block a finding it overlaps.  Rows with the same ids and
+    texts are listed once in the findings.
     """
     policy = policy or Policy()
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
@@ -52,7 +53,7 @@ def exclude_allowed(
     allowed = scratch.kept(in_use.join(listed, "_key", "left_semi"))
     left = join_by_value(cands, allowed, ["_key"], "left_anti")
 
-    per_value = left.groupBy(*ids, "field_at", "field").agg(
+    per_value = left.groupBy(*ids, TEXT_KEY, "field_at", "field").agg(
         F.sort_array(F.collect_list(F.struct(*S.SPAN_COLUMNS))).alias("_cands")
     )
     swept_col = apply(F.col("_cands"), "_cands", S.sweep_sql("_cands"))
@@ -68,15 +69,15 @@ def exclude_allowed(
         F.expr(S.findings_sql("_kept", "_masked", policy)).alias("f"),
     )
     swept = scratch.kept(
-        masked.select(*ids, "field_at", "field", F.posexplode(zipped).alias("seq", "x"))
+        masked.select(*ids, TEXT_KEY, "field_at", "field", F.posexplode(zipped).alias("seq", "x"))
     )
     rows = splice(
         df,
-        ids,
         fields,
         swept.select(
-            *ids,
+            TEXT_KEY,
             "field_at",
+            F.col("x.s.original").alias("original"),
             F.col("x.s.b0").alias("b0"),
             F.col("x.s.b1").alias("b1"),
             F.col("x.f.masked").alias("masked"),

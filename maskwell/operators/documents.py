@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from maskwell.functions.lists import apply, empty, let, quoted, running
 from maskwell.operators import spans as S
 from maskwell.operators.scrub import barrier, with_python_masks
-from maskwell.operators.span_tables import splice
+from maskwell.operators.span_tables import TEXT_KEY, join_keys, splice, text_key
 from maskwell.operators.tokens import Tokenized, tokenize
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
@@ -55,12 +55,17 @@ def _values(text: str, token: str, is_value: str, value: str) -> str:
 # -- JSON -----------------------------------------------------------------------
 
 BACKSLASH = quoted("\\")
+#: Lifts the parser's limit on the length of a string.
+NO_LIMITS = "map('maxStringLen', '2147483647')"
+JSON_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+JSON_SCALAR = r'""|true|false|null|NaN|-?Infinity|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+'
+JSON_ODD = r"[^\[\]{},:0\x01 \t\r\n]"
 JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:[ \t\r\n]*+:)?'
 
 
 def json_values_sql(text: str) -> str:
     """String values of a valid JSON text; a token ending in ``:`` is a key."""
-    parsed = "from_json(concat('[', _x.m, ']'), 'array<string>')[0]"
+    parsed = f"from_json(concat('[', _x.m, ']'), 'array<string>', {NO_LIMITS})[0]"
     decoded = f"if(contains(_x.m, {BACKSLASH}), {parsed}, substring(_x.m, 2, length(_x.m) - 2))"
     return _values(text, JSON_TOKEN, "NOT endswith(_x.m, ':')", decoded)
 
@@ -72,7 +77,19 @@ def json_literal_sql(_old: str, value: str) -> str:
 
 
 def is_json_sql(text: str) -> str:
-    return f"try_parse_json({text}) IS NOT NULL"
+    """Whether a text is JSON, of any length; equal keys and ``NaN`` are allowed.
+
+    Only its shape is parsed: every string and number becomes ``0`` and every key ``""``. A parser that gives the same
+    shape back has read all of it.  It reads up to 1000 levels of nesting; what is deeper is plain text.
+    """
+    keyed = f"""regexp_replace(regexp_replace({text}, {quoted(JSON_STRING)}, '""'), '""(?=[ \\t\\r\\n]*+:)', '\\u0001')"""
+    shape = let(
+        f"regexp_replace({keyed}, {quoted(JSON_SCALAR)}, '0')",
+        "_js",
+        f"""if(rlike(_js, {quoted(JSON_ODD)}), NULL, replace(translate(_js, ' \\t\\r\\n', ''), '\\u0001', '""'))""",
+    )
+    same = f"""from_json(concat('{{"v":', _sh, '}}'), 'v string', {NO_LIMITS}).v = _sh"""
+    return f"(NOT contains({text}, '\\u0001') AND coalesce({let(shape, '_sh', same)}, false))"
 
 
 # -- CSV ------------------------------------------------------------------------
@@ -234,14 +251,20 @@ def tokenize_files(
 ) -> Tokenized:
     """One token map over all files, in path order, then value order."""
     rows = (
-        files.select(source, "text", F.expr(_form_sql("text", "format")).alias("_form"))
-        .select(source, "_form", F.posexplode(F.expr(_values_sql("text", "_form", sep, header))).alias("seq", "_v"))
-        .select(source, "seq", "_form", "_v.*")
+        files.select(source, "text", text_key(files, ["text"]).alias("_file"), F.expr(_form_sql("text", "format")).alias("_form"))
+        .select(source, "_file", "_form", F.posexplode(F.expr(_values_sql("text", "_form", sep, header))).alias("seq", "_v"))
+        .select(source, "_file", "seq", "_form", "_v.*")
     )
-    got = tokenize(rows, [source, "seq"], "value", policy, order=[source, "seq"], known=known)
+    got = tokenize(rows, [source, "_file", "seq"], "value", policy, order=[source, "seq"], known=known)
     masked = _literal_sql("_form", "literal", "value", sep)
-    hit = scratch.kept(got.findings.select(source, "seq").distinct())
-    put = got.rows.join(hit, [source, "seq"], "left_semi").select(
-        source, F.lit(0).alias("field_at"), "b0", "b1", F.expr(masked).alias("masked")
+    place = [source, "_file", "seq"]
+    hit = scratch.kept(got.findings.select(*place).distinct())
+    put = join_keys(got.rows, hit, place, "left_semi").select(
+        F.col("_file").alias(TEXT_KEY),
+        F.lit(0).alias("field_at"),
+        "b0",
+        "b1",
+        F.col("literal").alias("original"),
+        F.expr(masked).alias("masked"),
     )
-    return Tokenized(splice(files, [source], "text", put), got.findings, got.tokens)
+    return Tokenized(splice(files, "text", put), got.findings.drop("_file"), got.tokens)

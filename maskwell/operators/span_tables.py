@@ -20,7 +20,14 @@ from maskwell.operators.scrub import barrier, present
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
-REPLACEMENT_T = "struct<b0:int,b1:int,masked:string>"
+TEXT_KEY = "text_key"
+
+
+def text_key(df: DataFrame, names: Sequence[str]) -> Column:
+    """Digest of the texts of a row: what its spans hang on, whatever the ids of the row are."""
+    texts = (F.col(f"`{c}`").cast("string") for c in names)
+    sized = (F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("null")) for t in texts)
+    return F.sha2(F.concat_ws(",", *sized), 256)
 
 
 def span_rows(
@@ -30,7 +37,7 @@ def span_rows(
     policy: Policy,
     resolved: bool = True,
 ) -> DataFrame:
-    """One row per span: ids, ``field``, ``field_at`` and the span's columns.
+    """One row per span: ids, ``text_key``, ``field``, ``field_at`` and the span's columns.
 
     ``resolved=False`` gives all candidates, before allowlist and sweep.
     """
@@ -47,11 +54,13 @@ def span_rows(
         "confidence": F.array(*(F.lit(float(p.confidence)) for p in patterns)),
     }
     return (
-        barrier(slim.withColumn("_values", values), _spans=per_field)
-        .select(*id_cols, F.posexplode("_spans").alias("field_at", "_of"))
-        .select(*id_cols, "field_at", F.inline("_of"))
+        barrier(slim.withColumn("_values", values).withColumn(TEXT_KEY, text_key(slim, names)), _spans=per_field)
+        .where(F.exists("_spans", lambda x: F.size(x) > 0))
+        .select(*id_cols, TEXT_KEY, F.posexplode("_spans").alias("field_at", "_of"))
+        .select(*id_cols, TEXT_KEY, "field_at", F.inline("_of"))
         .select(
             *id_cols,
+            TEXT_KEY,
             F.get(F.array(*(F.lit(f) for f in names)), F.col("field_at")).alias("field"),
             "field_at",
             *S.SPAN_COLUMNS,
@@ -99,38 +108,36 @@ def join_by_value(
 
 def splice(
     df: DataFrame,
-    id_cols: Sequence[str],
     fields: Sequence[str] | str,
     replacements: DataFrame,
+    scope: Sequence[str] = (),
 ) -> DataFrame:
     """Put replacements into the text.
 
-    ``replacements`` holds ids, ``field_at``, ``b0``, ``b1``, ``masked`` and
-    must not overlap within a value; ``id_cols`` must identify a row.  The
-    replacements of a row are joined by broadcast if their measured size
-    allows it, which leaves the text where it is; otherwise by shuffle.
+    ``replacements`` holds ``scope``, ``text_key``, ``field_at``, ``b0``, ``b1``, ``original`` and ``masked``.  Rows are
+    told apart by their texts and scope alone: null ids, repeated ids and ids that change from one evaluation to the
+    next do no harm, and equal texts share one list.  ``df`` is read again here and must give the same texts again;
+    bytes that are not the ``original`` stop the job.  Lists are joined by broadcast if their measured size allows it,
+    which leaves the text where it is; otherwise by shuffle.
     """
-    ids, names = list(id_cols), present(df, fields)
-    by_row = scratch.kept(
-        replacements.groupBy(*ids).agg(
-            F.sort_array(
-                F.collect_list(F.struct("field_at", "b0", "b1", "masked"))
-            ).alias("_put")
+    keys, names = [*scope, TEXT_KEY], present(df, fields)
+    by_text = scratch.kept(
+        replacements.groupBy(*keys).agg(
+            F.sort_array(F.collect_set(F.struct("field_at", "b0", "b1", "original", "masked"))).alias("_put")
         )
     )
-    chars = F.sum(F.aggregate("_put", F.lit(0).cast("long"), lambda a, x: a + F.length(x["masked"]) + 16))
-    n, size = by_row.agg(F.count("*"), chars).first()
+    bytes_of = F.octet_length(F.to_json("_put")).cast("long") + sum(F.coalesce(F.octet_length(F.col(f"`{k}`").cast("string")), F.lit(0)) for k in keys)
+    n, size = by_text.agg(F.count("*"), F.sum(bytes_of)).first()
     small = n <= scratch.BROADCAST_ROWS and (size or 0) <= scratch.BROADCAST_CHARS
-    # null ids are ids too: a row whose replacements were lost would come out in the clear
-    by_row = by_row.select(*(F.col(f"`{c}`").alias(f"_id{i}") for i, c in enumerate(ids)), "_put")
-    same = reduce(and_, (F.col(f"`{c}`").eqNullSafe(F.col(f"_id{i}")) for i, c in enumerate(ids)))
-    work = df.join(F.broadcast(by_row) if small else by_row, same, "left")
+    work = join_keys(df.withColumn(TEXT_KEY, text_key(df, names)), by_text, keys, "left", small)
 
     def put(text: Column, at: int) -> Column:
         mine = F.filter(F.col("_put"), lambda x: x["field_at"] == at)
         packed = F.struct(text.alias("t"), mine.alias("kept"))
+        same = "cast(substring(_bytes, _k.b0 + 1, _k.b1 - _k.b0) AS string) = _k.original"
+        checked = f"if({same}, _k.masked, raise_error('a text is not the one its findings come from'))"
         put_in = let(
-            "transform(_r.kept, _k -> _k.masked)",
+            let("cast(_r.t AS binary)", "_bytes", f"transform(_r.kept, _k -> {checked})"),
             "_new",
             S.assemble_sql("_r.t", "_r.kept", "_new"),
         )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwell.functions.catalog import PatternSpec
-from maskwell.operators.span_tables import join_by_value, join_keys, span_rows, splice
+from maskwell.operators.span_tables import TEXT_KEY, join_by_value, join_keys, span_rows, splice
 from maskwell.operators.spans import token_sql
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
@@ -133,12 +133,12 @@ def tokenize(
 ) -> Tokenized:
     """Token style with one map per ``scope`` (empty: the whole dataset).
 
-    ``id_cols`` identify a row and ``order`` (default: the ids) says which
-    rows come first.  ``order`` and ``scope`` are taken from the ids.
+    ``id_cols`` name a row in the findings and ``order`` (default: the ids)
+    says which rows come first; null and repeated ids are allowed.  ``order`` and ``scope`` are taken from the ids.
     """
     policy = policy or Policy(mask_style="token")
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    order = list(order or ids)
+    order, scope = list(order or ids), list(scope)
     spans = scratch.kept(span_rows(df, ids, fields, policy))
     tokens = scratch.kept(make_tokens(spans, [*order, "field_at", "start"], scope, known))
     found = join_by_value(
@@ -147,7 +147,7 @@ def tokenize(
         [*scope, "original"],
         split_rows=split_rows,
     )
-    rows = splice(df, ids, fields, found.select(*ids, "field_at", "b0", "b1", "masked"))
+    rows = splice(df, fields, found.select(*scope, TEXT_KEY, "field_at", "b0", "b1", "original", "masked"), scope)
     listed = found.select(
         *ids, "field", "pattern", "category", "confidence", "original", "masked", "start", "end"
     )
@@ -180,4 +180,4 @@ def detokenize(
     sure = once.withColumn("masked", F.when(F.col("masked") == F.col("_other"), F.col("masked")).otherwise(clash))
     table = scratch.kept(join_keys(sure.drop("_other"), uses, [*scope, "original"]))
     found = join_by_value(spans, table, [*scope, "original"])
-    return splice(df, ids, fields, found.select(*ids, "field_at", "b0", "b1", "masked"))
+    return splice(df, fields, found.select(*scope, TEXT_KEY, "field_at", "b0", "b1", "original", "masked"), scope)

@@ -5,7 +5,8 @@ from brute import resolve
 from corpus import lines
 from pyspark.sql import functions as F
 
-from maskwell.operators.documents import scrub_files, scrub_json_column, tokenize_files
+from maskwell.functions.lists import apply
+from maskwell.operators.documents import is_json_sql, scrub_files, scrub_json_column, tokenize_files
 from maskwell.operators.nested import scrub_nested_columns
 from maskwell.plans.policy import Policy
 
@@ -55,6 +56,37 @@ def test_json_layout_and_fallback(spark):
     assert got == {0: '{ "b" : 1.0e5,\n  "a" : "a***@b.com" }\n', 1: "{not json a***@b.com", 2: "", 3: None}
 
 
+def valid(text):
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+def test_what_is_json(spark):
+    cases = [*'{"a":1,"a":2}|[NaN,-Infinity,Infinity]|-NaN|--Infinity|"x"|1 2|nu ll|[1,]|{"a":1,}|{k:1}|{1:2}|["x", ":"]|["a":1]|01|1.|-|1e5'.split("|")]
+    cases += [*'[1.5e-3, -0]|1}|1},{"b":2|[]]|[[]|| {} |"\\q"|"\\u12"|"\\ud800"|"a""b"|true1|[1 ,2]|{"":""}|{"a"}|{"a":1}{"b":2}|"a":1|1,"v":1'.split("|")]
+    cases += ['["\n"]', '["a\n b"]', "\x01:1", "{\x01:1}", "{'a':1}", "\ufeff{}", "[" * 900 + "]" * 900]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = {r.i: r.ok for r in df.select("i", apply(F.col("t"), "_t", is_json_sql("_t")).alias("ok")).collect()}
+    assert {cases[i]: ok for i, ok in got.items()} == {c: valid(c) for c in cases}
+
+
+def test_json_beyond_the_limits_of_a_parser(spark):
+    one = """concat('{"a@b.co":"', repeat('x', 21000000), '\\\\n mail a@b.co"}')"""
+    many = """concat('[', repeat(concat('"', repeat('y', 1200000), '",'), 20), '"c@d.co"]')"""
+    df = spark.range(1).select(F.expr(one).alias("one"), F.expr(many).alias("many"))
+    out = scrub_json_column(scrub_json_column(df, "one"), "many")
+    row = out.select(F.left("one", F.lit(10)), F.right("one", F.lit(19)), F.right("many", F.lit(14))).first()
+    assert tuple(row) == ('{"a@b.co":', '\\n mail a***@b.co"}', 'y","c***@d.co"]'[-14:])
+
+
+def test_equal_keys_and_nan(spark):
+    df = spark.createDataFrame([('{"a@b.co": "a@b.co", "a@b.co": "c@d.co", "n": NaN}',)], "t string")
+    assert scrub_json_column(df, "t").first().t == '{"a@b.co": "a***@b.co", "a@b.co": "c***@d.co", "n": NaN}'
+
+
 def test_nested_columns(spark):
     df = spark.sql(
         """

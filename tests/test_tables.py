@@ -129,3 +129,26 @@ def test_allowlist_table_with_python_mask(spark):
     allow = spark.createDataFrame([("ok@b.co",)], "value string")
     rows, _ = exclude_allowed(df, "id", "t", allow, Policy(extra_patterns=(own,)))
     assert rows.first().t == "id 654321-pme and mail a***@b.co, ok@b.co end"
+
+
+def test_ids_may_repeat_or_change(spark):
+    texts = ["hello a@b.co", "mail a@b.co c@d.co", None, "mail a@b.co c@d.co", "plain"]
+    df = spark.createDataFrame([(1, t) for t in texts], "id int, t string")
+    got = TK.tokenize(df, "id", "t")
+    made = {r.original: r.token for r in got.tokens.collect()}
+    expect = sorted((t or "").replace("a@b.co", made["a@b.co"]).replace("c@d.co", made["c@d.co"]) for t in texts)
+    assert sorted(r.t or "" for r in got.rows.collect()) == expect
+    allow = spark.createDataFrame([("a@b.co",)], "value string")
+    rows, _ = exclude_allowed(df, "id", "t", allow)
+    assert sorted(r.t or "" for r in rows.collect()) == sorted((t or "").replace("c@d.co", "c***@d.co") for t in texts)
+    moving = df.withColumn("id", F.monotonically_increasing_id() + (F.rand() * 1000).cast("long"))
+    assert all("@" not in (r.t or "") for r in TK.tokenize(moving, "id", "t").rows.collect())
+
+
+def test_a_text_that_changed_stops_the_job(spark):
+    from maskwell.operators.span_tables import TEXT_KEY, span_rows, splice
+
+    df = spark.createDataFrame([(1, "mail a@b.co")], "id int, t string")
+    spans = span_rows(df, ["id"], "t", Policy()).withColumn("masked", F.lit("x")).withColumn("original", F.lit("other"))
+    with pytest.raises(Exception, match="not the one"):
+        splice(df, "t", spans.select(TEXT_KEY, "field_at", "b0", "b1", "original", "masked")).collect()
