@@ -142,7 +142,7 @@ def _form_sql(text: str, hint: str) -> str:
     )
 
 
-def _spliced_sql(text: str, values: str, done: str, form: str, sep: str) -> str:
+def spliced_sql(text: str, values: str, done: str, form: str, sep: str) -> str:
     literal = _literal_sql(form, "_v.literal", "_d.text", sep)
     literals = (
         f"zip_with({values}, {done}, "
@@ -187,7 +187,7 @@ def scrub_documents(
     else:
         work = barrier(work, _done=S.scrub_values(plain, policy, shared_tokens=True))
     packed = F.struct(*(F.col(c) for c in ("_form", "_vals", "_done")), text.alias("_text"))
-    spliced = _spliced_sql("_r._text", "_r._vals", "_r._done", "_r._form", sep)
+    spliced = spliced_sql("_r._text", "_r._vals", "_r._done", "_r._form", sep)
     work = barrier(work, _new=apply(packed, "_r", spliced))
     cols = [F.col("_new.text").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
     return work.select(*cols, F.col("_new.findings").alias(found or f"{column}_found"))
@@ -235,7 +235,7 @@ def scrub_json(text: Column, policy: Policy | None = None) -> Column:
     inside = let(
         json_values_sql("_doc"),
         "_vals",
-        let(done, "_done", _spliced_sql("_doc", "_vals", "_done", "'json'", ",")),
+        let(done, "_done", spliced_sql("_doc", "_vals", "_done", "'json'", ",")),
     )
     body = f"if({is_json_sql('_doc')}, {inside}, {S.scrub_sql('_doc', policy)})"
     return apply(text, "_doc", body)

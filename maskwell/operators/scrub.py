@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,10 +62,11 @@ def python_masks(kept: Column, policy: Policy) -> Column:
 
         return [[one(s) for s in spans] for spans in values_spans]
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def in_python(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # lists of differing lengths in one row have no form as NumPy arrays, which a Pandas UDF would make of them
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def in_python(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
-            yield rows.map(mask_all)
+            yield pa.array([v and mask_all(v) for v in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
 
     slim = F.transform(
         kept, lambda k: F.transform(k, lambda s: F.struct(s["rank"].alias("rank"), s["original"].alias("original")))

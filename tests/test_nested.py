@@ -5,6 +5,7 @@ from brute import resolve
 from corpus import lines
 from pyspark.sql import functions as F
 
+from maskwell.functions.catalog import custom_pattern
 from maskwell.functions.lists import apply
 from maskwell.operators.documents import is_json_sql, scrub_files, scrub_json_column, tokenize_files
 from maskwell.operators.nested import scrub_nested_columns
@@ -112,6 +113,30 @@ def test_map_keys_and_types_survive(spark):
     assert out.first().m == {"k": ["a***@b.com", "x"]}
 
 
+def test_one_numbering_per_value(spark):
+    df = spark.sql(
+        """
+        select 1 i, named_struct('l', array('a@b.co', 'c@d.co', null), 's', 'e@f.net a@b.co', 'n', 1,
+          'd', array(map('k', array('c@d.co'), 'o', array()), null, map('k', array('x', 'g@h.co'))),
+          'v', parse_json('{"a@b.co": ["i@j.co", 1.5, "e@f.net"]}'), 'z', 'i@j.co') v
+        union all select 2, null
+        """
+    )
+    rows = {r.i: r for r in scrub_nested_columns(df, ["v"], Policy(mask_style="token")).collect()}
+    v = rows[1].v
+    assert v.l == ["[PII-001]", "[PII-002]", None] and v.s == "[PII-003] [PII-001]" and v.n == 1
+    assert v.d == [{"k": ["[PII-002]"], "o": []}, None, {"k": ["x", "[PII-004]"]}]
+    assert v.v.toPython() == {"a@b.co": ["[PII-005]", 1.5, "[PII-003]"]} and v.z == "[PII-005]"
+    assert [f.original[0] for f in rows[1].v_found] == [*"aceacgiei"] and rows[2].v is None
+
+
+def test_python_masks_in_nested_columns(spark):
+    own = custom_pattern("employee_id", r"EMP-\d{6}", "pii", py_mask=lambda s: s[::-1].lower())
+    df = spark.sql("select array(named_struct('a', 'id EMP-123456', 'b', 'a@b.co'), null) v")
+    out = scrub_nested_columns(df, ["v"], Policy(extra_patterns=(own,))).first().v
+    assert out[0].a == "id 654321-pme" and out[0].b == "a***@b.co" and out[1] is None
+
+
 CSV = 'name,mail,"note, ""a@b.com"""\nbob,a@b.com,"say ""c@d.org"", ok\n10.0.0.1"\r\n,,\nx"y,"",4111 1111 1111 1111\n'
 
 

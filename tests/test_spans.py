@@ -6,6 +6,7 @@ from corpus import lines
 from pyspark.sql import functions as F
 
 from maskwell.functions.catalog import BUILTIN, NAMES, custom_pattern
+from maskwell.operators.scrub import scrub_columns
 from maskwell.operators.spans import scrub, summary_by_category
 from maskwell.plans.policy import Policy
 
@@ -168,3 +169,11 @@ def test_pattern_names_are_unique():
     with pytest.raises(ValueError):
         Policy(extra_patterns=(custom_pattern("email", "x+"),))
     assert len(Policy().overlay({"custom_patterns": [{"name": "y", "regex": "y+"}] * 2}).warnings) == 1
+
+
+def test_python_masks_of_fields_with_unlike_counts(spark):
+    own = custom_pattern("employee_id", r"EMP-\d{6}", "pii", py_mask=lambda s: s[-2:])
+    rows = [(1, "EMP-123456 EMP-123457", "none"), (2, None, "EMP-123458"), (3, "a@b.co", "EMP-123459 a@b.co EMP-123450")]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    out = scrub_columns(df, "a,b", Policy(extra_patterns=(own,)), report=False)
+    assert sorted(map(tuple, out.collect())) == [(1, "56 57", "none"), (2, None, "58"), (3, "a***@b.co", "59 a***@b.co 50")]
