@@ -11,6 +11,7 @@ from maskwell.functions.catalog import NAMES, catalog_frame, custom_pattern
 from maskwell.operators import audit as A
 from maskwell.operators import documents as D
 from maskwell.operators import reports as R
+from maskwell.operators import spans as S
 from maskwell.operators import tokens as TK
 from maskwell.operators.allow import exclude_allowed, union_values
 from maskwell.operators.nested import scrub_nested_columns
@@ -1020,3 +1021,128 @@ def stream_tokens(spark, sf):
     events = _event_stream(spark, sf).select("id", "text")
     ST.run(ST.token_stream(events, "id", "text", _TOKEN, path, new_path(spark, "stream-tokens-state")))
     return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/batch=*").select("id", "text")
+
+
+# -- ids, keys and sources that are not well-behaved ------------------------------------------------
+
+_NO_NUMBER = r"'-[0-9]{3,}\]', ']'"
+
+
+def _unnumbered(df: DataFrame) -> DataFrame:
+    """Tokens without their numbers: rows of one id have no order among themselves."""
+    return df.select("id", F.expr(f"regexp_replace(text, r{_NO_NUMBER})").alias("text"))
+
+
+_UNNUMBERED_SQL = f"SELECT id, regexp_replace(text, {_NO_NUMBER}, 'g') AS text FROM ({O.texts(src=LEAKS_SQL, style='token', scope='')})"
+
+
+@query("tokens_null_id", _UNNUMBERED_SQL)
+def tokens_null_id(spark, sf):
+    rows = leaks(spark, sf).withColumn("key", F.when(F.col("id") % 5 != 0, F.col("id")))
+    return _unnumbered(TK.tokenize(rows, "key", "text", _TOKEN).rows)
+
+
+@query("tokens_duplicate_id", _UNNUMBERED_SQL)
+def tokens_duplicate_id(spark, sf):
+    rows = leaks(spark, sf).withColumn("key", F.col("id") % 100)
+    return _unnumbered(TK.tokenize(rows, "key", "text", _TOKEN).rows)
+
+
+@query("allowlist_null_id", O.texts(src=LEAKS_SQL, drop=_ALLOW_TABLE_SQL))
+def allowlist_null_id(spark, sf):
+    rows = leaks(spark, sf).withColumn("key", F.when(F.col("id") % 5 != 0, F.col("id") % 100))
+    return exclude_allowed(rows, "key", "text", _allow_table(spark, sf))[0].select("id", "text")
+
+
+@query(
+    "allowlist_join_python_mask",
+    O.texts(src=LEAKS_SQL, drop=_ALLOW_TABLE_SQL, extra=[(*_EMP[:4], "lower(reverse(original))")]),
+)
+def allowlist_join_python_mask(spark, sf):
+    own = custom_pattern("employee_id", r"EMP-\d{6}", "pii", py_mask=lambda s: s[::-1].lower())
+    rows, _ = exclude_allowed(leaks(spark, sf), "id", "text", _allow_table(spark, sf), Policy(extra_patterns=(own,)))
+    return rows.select("id", "text")
+
+
+_scrub_query(
+    "custom_backreference",
+    Policy(extra_patterns=(custom_pattern("double_letter", r"([a-z])\1", confidence=0.9),)),
+    leaks,
+    LEAKS_SQL,
+    extra=[("double_letter", "custom", 0.9, "|".join(2 * chr(c) for c in range(ord("a"), ord("z") + 1)), "'****'")],
+)
+
+
+@query(
+    "tokens_nested",
+    f"SELECT a.doc AS id, a.text AS msg, b.text AS note FROM ({_TOKEN_PAIR}) a "
+    f"JOIN ({_TOKEN_PAIR}) b ON a.doc = b.doc WHERE a.field_at = 0 AND b.field_at = 1",
+)
+def tokens_nested(spark, sf):
+    """One numbering over a struct and the lists and maps in it."""
+    v = F.struct(F.col("text").alias("msg"), F.array(F.create_map(F.lit("k"), F.col("note"))).alias("l"))
+    rows = noted(leaks(spark, sf)).select("id", v.alias("v"))
+    out = scrub_nested_columns(rows, ["v"], _TOKEN)
+    return out.select("id", F.col("v.msg").alias("msg"), F.col("v.l").getItem(0)["k"].alias("note"))
+
+
+_TWICE = (
+    "'{{\"m\": \"' || replace({text}, '\"', chr(92) || '\"') || '\", \"m\" : \"' || {note} || '\", \"n\": NaN}}'"
+)
+
+
+@query("json_duplicate_keys", f"SELECT a.id, {_TWICE.format(text='a.text', note='b.text')} AS doc {_BOTH}")
+def json_duplicate_keys(spark, sf):
+    docs = noted(leaks(spark, sf)).select("id", F.expr(_TWICE.format(text="text", note="note")).alias("doc"))
+    return D.scrub_json_column(docs, "doc").select("id", "doc")
+
+
+@query("json_schema_odd_keys", O.texts(src=LEAKS_SQL))
+def json_schema_odd_keys(spark, sf):
+    doc = F.to_json(F.struct(F.col("text").alias("VOIDED_BY"), F.lit(1).alias("OBJECT<x")))
+    docs = leaks(spark, sf).select("id", doc.alias("doc"))
+    typed = docs.select("id", F.from_json("doc", RD.json_schema_of(docs, "doc")).alias("v"))
+    return scrub_nested_columns(typed, ["v"]).select("id", F.col("v.VOIDED_BY").alias("text"))
+
+
+@query("allowlist_lookup", O.texts(src=LEAKS_SQL, drop=_ALLOW_TABLE_SQL))
+def allowlist_lookup(spark, sf):
+    """The allowlist as a lookup file."""
+    path = new_path(spark, "lookup")
+    WR.write_csv(_allow_table(spark, sf).select(F.lit("x").alias("note"), "value"), path)
+    rows, _ = exclude_allowed(leaks(spark, sf), "id", "text", RD.read_allowlist(spark, path))
+    return rows.select("id", "text")
+
+
+@query("standards_lookup", f"{O.kept(src=LEAKS_SQL)}\n{_REFERENCE}")
+def standards_lookup(spark, sf):
+    """Standard definitions from a stored table of lists."""
+    path = new_path(spark, "standards")
+    lists = PO.standards_frame(spark).groupBy("standard").agg(F.array_join(F.collect_list("pattern"), " , ").alias("patterns"))
+    WR.write_csv(lists, path)
+    stored = RD.standards_table(RD.read_csv(spark, path))
+    counts = findings(leaks(spark, sf), "id", "text").groupBy("pattern").agg(F.count("*").alias("n"))
+    return PO.patterns_of(catalog_frame(spark), stored, "HIPAA").join(counts, "pattern", "left").select(
+        "pattern", "category", "confidence", F.coalesce("n", F.lit(0)).alias("findings")
+    )
+
+
+@query("category_counts", O.rows("id, category, CAST(count(*) AS INTEGER) AS n", src=LEAKS_SQL) + " GROUP BY id, category")
+def category_counts(spark, sf):
+    """Count by category within each value."""
+    done = leaks(spark, sf).select("id", F.explode(S.summary_by_category(S.scrub(F.col("text"), Policy())["findings"])))
+    return done.select("id", F.col("key").alias("category"), F.col("value").alias("n"))
+
+
+@query(
+    "tree_source_totals",
+    f"SELECT d.id, CAST(coalesce(f.n, 0) AS INTEGER) AS n FROM documents_of d LEFT JOIN ({O.rows('id, count(*) AS n', src=DOCUMENTS_SQL)} GROUP BY id) f ON f.id = d.id".replace(
+        "documents_of", f"({DOCUMENTS_SQL})"
+    ),
+)
+def tree_source_totals(spark, sf):
+    """Documents as files of a folder tree, read back and counted file by file."""
+    path = new_path(spark, "tree")
+    documents(spark, sf).select("id", "text").repartition("id").write.partitionBy("id").text(path)
+    files = D.scrub_files(RD.read_tree(spark, path))
+    return files.select(F.regexp_extract("rel_path", r"id=(\d+)/", 1).cast("long").alias("id"), F.size("findings").alias("n"))
