@@ -38,6 +38,8 @@ class PatternSpec:
     any_of: tuple[str, ...] = ()
     needs_digit: bool = False
     py_mask: Callable[[str], str] | None = None
+    #: ``mask`` is given what the first group of the regex holds, or the match if that is nothing
+    by_group: bool = False
 
 
 HAS_DIGIT = DIGIT
@@ -240,10 +242,15 @@ def custom_pattern(
     if compiled.search("") is not None:
         raise ValueError(f"custom pattern {name!r} matches the empty string")
     java = dialect.from_python(regex)
-    if mask is None and py_mask is None:
-        mask = masks.custom(java, compiled.groups)
+    default = mask is None and py_mask is None
     return PatternSpec(
-        name, (category or "").strip() or "custom", java, float(confidence), mask, py_mask=py_mask
+        name,
+        (category or "").strip() or "custom",
+        java,
+        float(confidence),
+        masks.CUSTOM if default else mask,
+        py_mask=py_mask,
+        by_group=default and compiled.groups > 0,
     )
 
 

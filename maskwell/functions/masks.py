@@ -72,14 +72,5 @@ MAC = let(
 )
 
 
-def custom(java_regex: str, groups: int) -> str:
-    """Default mask of user patterns: group 1 if it matched, else the match."""
-    value = "_m"
-    if groups:
-        g1 = f"regexp_extract(_m, {quoted(java_regex)}, 1)"
-        value = f"coalesce(nullif({g1}, ''), _m)"
-    return let(
-        value,
-        "_v",
-        "if(length(_v) > 4, concat(left(_v, 2), repeat('*', greatest(4, length(_v) - 2))), '****')",
-    )
+#: Default mask of user patterns.
+CUSTOM = "if(length(_m) > 4, concat(left(_m, 2), repeat('*', greatest(4, length(_m) - 2))), '****')"

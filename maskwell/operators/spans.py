@@ -19,9 +19,9 @@ from maskwell.functions.lists import apply, empty, empty_array, let, quoted, run
 from maskwell.plans.policy import Policy
 
 # field order is the resolution order: earliest, longest, first in catalog
-SPAN_COLUMNS = ("start", "neg_len", "rank", "end", "b0", "b1", "original")
+SPAN_COLUMNS = ("start", "neg_len", "rank", "end", "b0", "b1", "original", "part")
 SPAN = (
-    "struct<start:int,neg_len:int,rank:int,`end`:int,b0:int,b1:int,original:string>"
+    "struct<start:int,neg_len:int,rank:int,`end`:int,b0:int,b1:int,original:string,part:string>"
 )
 FINDING_COLUMNS = ("pattern", "category", "confidence", "original", "masked", "start", "end")
 FINDING = (
@@ -51,11 +51,16 @@ def _found(text: str, p: PatternSpec) -> str:
 def _place(text: str, patterns: Sequence[PatternSpec]) -> str:
     """Spans of one pattern's matches ``_s.found`` with the gaps between them."""
     # what lies before each match; \G ties a search to the end of the last one
-    gaps = " ".join(
-        f"WHEN {i} THEN regexp_extract_all({text}, {quoted(rf'\G((?s:.*?))(?:{behind_group(p.regex)})')}, 1)"
-        for i, p in enumerate(patterns)
-    )
-    pairs = "transform(_s.found, (_m, _i) -> struct(_m AS m, _gaps[_i] AS gap))"
+    def scans(group: int, wanted: Iterable[tuple[int, PatternSpec]]) -> str:
+        return " ".join(
+            f"WHEN {i} THEN regexp_extract_all({text}, {quoted(rf'\G((?s:.*?))(?:{behind_group(p.regex)})')}, {group})"
+            for i, p in wanted
+        )
+
+    # what the first group holds, seen where the match is: a match alone has lost what lies around it
+    by_group = [(i, p) for i, p in enumerate(patterns) if p.by_group]
+    part = "nullif(_parts[_i], '')" if by_group else "cast(NULL AS string)"
+    pairs = f"transform(_s.found, (_m, _i) -> struct(_m AS m, _gaps[_i] AS gap, {part} AS part))"
 
     def step(at: str, p: str) -> str:
         measure = (
@@ -65,13 +70,15 @@ def _place(text: str, patterns: Sequence[PatternSpec]) -> str:
         span = (
             "struct(_at.start AS start, -_at.len AS neg_len, _s.rank AS rank, "
             "_at.start + _at.len AS `end`, _at.b0 AS b0, _at.b0 + _at.size AS b1, "
-            f"{p}.m AS original)"
+            f"{p}.m AS original, {p}.part AS part)"
         )
         state = "struct(_at.start + _at.len AS c, _at.b0 + _at.size AS b)"
         return let(measure, "_at", f"struct({state} AS state, array({span}) AS emit)")
 
     placed = running(pairs, "struct(0 AS c, 0 AS b)", step, SPAN)
-    return let(f"CASE _s.rank {gaps} END", "_gaps", placed)
+    if by_group:
+        placed = let(f"CASE _s.rank {scans(2, by_group)} END", "_parts", placed)
+    return let(f"CASE _s.rank {scans(1, enumerate(patterns))} END", "_gaps", placed)
 
 
 def candidates_sql(text: str, patterns: Sequence[PatternSpec]) -> str:
@@ -118,6 +125,8 @@ def spans_sql(text: str, policy: Policy) -> str:
 def mask_sql(span: str, policy: Policy) -> str:
     """Masked text of one span; null where the mask is no SQL text."""
     original = f"{span}.original"
+    # null but for patterns that mask their first group
+    value = f"coalesce({span}.part, {original})" if any(p.by_group for p in policy.active()) else original
     if policy.mask_style == "redacted":
         return "'[REDACTED]'"
     if policy.mask_style == "full":
@@ -130,7 +139,7 @@ def mask_sql(span: str, policy: Policy) -> str:
     cases = " ".join(
         f"WHEN {span}.rank IN ({', '.join(ranks)}) THEN {mask}" for mask, ranks in by_mask.items()
     )
-    masked = let(original, "_m", f"CASE {cases} END")
+    masked = let(value, "_m", f"CASE {cases} END")
     if policy.mask_char != "*":
         masked = f"replace({masked}, '*', {quoted(policy.mask_char)})"
     return masked

@@ -177,3 +177,10 @@ def test_python_masks_of_fields_with_unlike_counts(spark):
     df = spark.createDataFrame(rows, "id int, a string, b string")
     out = scrub_columns(df, "a,b", Policy(extra_patterns=(own,)), report=False)
     assert sorted(map(tuple, out.collect())) == [(1, "56 57", "none"), (2, None, "58"), (3, "a***@b.co", "59 a***@b.co 50")]
+
+
+def test_default_mask_takes_the_first_group_in_place(spark):
+    own = custom_pattern("key", r"key (\w+)-99(?=;)|(?<=#)pin\d+")
+    df = spark.createDataFrame([("a key secretvalue-99; key other-99 #pin1234 pin77 a@b.co",)], "t string")
+    out = scrub_columns(df, "t", Policy(extra_patterns=(own,)), report=False).first().t
+    assert out == "a se*********; key other-99 #pi***** pin77 a***@b.co"
