@@ -126,7 +126,8 @@ def splice(
             F.sort_array(F.collect_set(F.struct("field_at", "b0", "b1", "original", "masked"))).alias("_put")
         )
     )
-    bytes_of = F.octet_length(F.to_json("_put")).cast("long") + sum(F.coalesce(F.octet_length(F.col(f"`{k}`").cast("string")), F.lit(0)) for k in keys)
+    long_texts = F.aggregate("_put", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["original"]) + F.octet_length(x["masked"]) + 48)
+    bytes_of = long_texts + sum(F.coalesce(F.octet_length(F.col(f"`{k}`").cast("string")), F.lit(0)) for k in keys)
     n, size = by_text.agg(F.count("*"), F.sum(bytes_of)).first()
     small = n <= scratch.BROADCAST_ROWS and (size or 0) <= scratch.BROADCAST_CHARS
     work = join_keys(df.withColumn(TEXT_KEY, text_key(df, names)), by_text, keys, "left", small)
