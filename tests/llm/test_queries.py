@@ -1,5 +1,7 @@
 """The numbered queries: SQL where there is some, and the pipeline's stages on the smallest tables."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -45,3 +47,32 @@ def test_pipeline(spark, sf_dir):
     assert all(s.columns == docs.columns for s in (one, two, three, four)) and set(ids(four)) <= set(ids(docs))
     last = corpus_pipeline.run(spark, sf_dir)
     assert last.count() and {r["shard"] for r in last.select("shard").distinct().collect()} <= set(range(8))
+
+
+def test_pipeline_near_copies_share_four_fifths_of_five_words(spark, sf_dir):
+    rng = random.Random(6)
+    rows = []
+    for n in (4, 30, 45, 52, 55, 58, 120, 300):
+        base = [f"v{rng.randrange(9000)}" for _ in range(n)]
+        for k in range(4):
+            w = list(base)
+            for _ in range(rng.randrange(k + 1)):
+                w[rng.randrange(n)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    fixed = [f"f{i}" for i in range(55)]
+    rows += [(900, " ".join(fixed)), (901, " ".join([*fixed[:27], "other", *fixed[28:]]))]  # 46 of 56; of three words 50 of 56
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    part = list(range(len(rows)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if 10 * len(x & y) >= 8 * len(x | y):
+                part = [part[b] if p == part[a] else p for p in part]
+    least = {}
+    for (i, _), p in zip(rows, part, strict=True):
+        least[p] = min(least.get(p, i), i)
+    got = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(least.values())
+    assert 900 in least.values() and 901 not in least.values()
