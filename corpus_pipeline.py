@@ -30,7 +30,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,10 @@ UNITS = "mm cm m km mi ft in mg g kg lb oz t ml cl l s min h sec hr hrs hour hou
 NUMBER, NAME, UNIT = (mixed(np.array([i], np.uint64))[0] for i in (1, 2, 3))
 #: Up to so many windows of the benchmark are looked up in each task; beyond, all windows go through the join.
 LOOKUP = 2_000_000
+#: Shorter items are only matched literally, as a whole, and only if asked for.
 SHORTEST = 5
+#: Number of readings of a text, and the place of the one without placeholders.
+FORMS, LITERAL = 3, 2
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -35,9 +38,9 @@ UNIT_HASHES = np.sort([word_hashes(np.frombuffer(u.encode(), np.uint8), np.array
 class Template:
     """A text as tokens: runs of letters or of digits (with points and commas between digits).
 
-    ``forms`` are two canonical readings: numbers, names (capital inside a sentence) and units (after a number)
-    replaced by typed placeholders; and only numbers replaced, for texts whose case says nothing. ``slots`` marks the
-    placeholders of each form.
+    ``forms`` are canonical readings: numbers, names (capital inside a sentence) and units (after a number) replaced by
+    typed placeholders; only numbers replaced, for texts whose case says nothing; and nothing replaced. ``slots`` marks
+    the placeholders of each form, ``number`` the numbers.
     """
 
     def __init__(self, raw: bytes):
@@ -56,9 +59,10 @@ class Template:
         self.start, self.end = begin[here], stop[here]
         n = len(self.start)
         if not n:
-            self.forms = [(np.zeros(0, np.uint64), np.zeros(0, bool))] * 2
+            self.forms = [(np.zeros(0, np.uint64), np.zeros(0, bool))] * FORMS
+            self.number = np.zeros(0, bool)
             return
-        number = kind[self.start] == 1
+        self.number = number = kind[self.start] == 1
         literal = word_hashes(lower, self.start, self.end)
         ends = np.cumsum((data == 46) | (data == 33) | (data == 63) | (data == 10))
         opens = np.concatenate(([True], ends[self.start[1:]] != ends[self.end[:-1] - 1]))
@@ -67,25 +71,33 @@ class Template:
         unit = np.concatenate(([False], number[:-1])) & np.isin(literal, UNIT_HASHES)
         plain = np.where(number, NUMBER, literal)
         typed = np.where(unit, UNIT, np.where(name, NAME, plain))
-        self.forms = [(typed, number | name | unit), (plain, number)]
+        self.forms = [(typed, number | name | unit), (plain, number), (literal, np.zeros(n, bool))]
 
     def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each form: window hashes, which windows hold enough literal words, the slots."""
+        """Of each form: window hashes, which windows count, the slots.
+
+        Windows with placeholders need enough literal words. Those of too many numbers count in the literal form, and
+        so do all of fewer than ``SHORTEST`` tokens; any other literal copy is found in the second form.
+        """
         for i, (x, slot) in enumerate(self.forms):
+            if size < SHORTEST and i != LITERAL:
+                continue
             h = rolling(x, size)
             if len(h):
-                held = np.concatenate(([0], np.cumsum(slot)))
-                yield mixed(h + np.uint64(size * 2 + i)), held[size:] - held[:-size] <= size // 2, slot
+                held = np.concatenate(([0], np.cumsum(self.number if i == LITERAL else slot)))
+                few = held[size:] - held[:-size] <= size // 2
+                fit = few if i != LITERAL else ~few if size >= SHORTEST else np.ones(len(h), bool)
+                yield mixed(h + np.uint64(size * 4 + i)), fit, slot
 
     def values(self, at: int, size: int, slot: np.ndarray) -> list[str]:
         """What fills the slots of a window, each with its place in it."""
         return [f"{i}:{self.raw[self.start[at + i] : self.end[at + i]].decode('utf-8', 'replace').lower()}" for i in np.flatnonzero(slot[at : at + size])]
 
 
-def window_rows(sizes: list[int] | None, size: int, wanted: np.ndarray | None):
+def window_rows(sizes: list[int] | None, size: int, wanted: np.ndarray | None, shortest: int = SHORTEST):
     """``_key``, ``t1``, ``t2``, ``n`` (tokens), ``h``, ``at``, ``size``, ``slots`` of the windows.
 
-    ``sizes``: window lengths to take, or ``None`` for ``size`` or the whole text if that is shorter.
+    ``sizes``: window lengths to take, or ``None`` for ``size`` or the whole text if that is shorter (``shortest`` at least).
     ``wanted``: sorted hashes to keep, or ``None`` for all.
     """
     names = ["_key", "t1", "t2", "n", "h", "at", "size", "slots"]
@@ -106,7 +118,7 @@ def window_rows(sizes: list[int] | None, size: int, wanted: np.ndarray | None):
             for name, raw, t1, t2 in zip(batch.column("_key").to_pylist(), batch.column("raw"), batch.column("t1").to_pylist(), batch.column("t2").to_pylist(), strict=True):
                 t = Template(raw.as_py())
                 n = len(t.start)
-                for w in sizes if sizes is not None else [min(size, n)] * (n >= SHORTEST):
+                for w in sizes if sizes is not None else [min(size, n)] * (n >= max(shortest, 1)):
                     for h, fit, slot in t.windows(w):
                         if rough is not None:
                             at = np.flatnonzero(rough[(h >> np.uint64(44)).astype(np.int64)] & fit)
@@ -125,19 +137,20 @@ def window_rows(sizes: list[int] | None, size: int, wanted: np.ndarray | None):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, run: int = 13, share: float = 0.5, key: str = "doc_id", item: str = "item_id", text: str = "text", lookup: int = LOOKUP) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, run: int = 13, share: float = 0.5, key: str = "doc_id", item: str = "item_id", text: str = "text", lookup: int = LOOKUP, shortest: int = SHORTEST) -> DataFrame:
     """Leaked items of each document: ``key``, ``item``, ``matched`` (tokens of the item), ``longest`` (in a row),
     ``covered`` (share of the item) and ``changed`` (slots filled with other values).
 
-    Texts become templates (:class:`Template`); windows of ``size`` tokens (the whole item if shorter, at least five
-    tokens) with no more than half of them slots are joined by hash. A window counts if the values of the item's slots
+    Texts become templates (:class:`Template`); windows of ``size`` tokens (the whole item if shorter, at least
+    ``shortest`` tokens) with no more than half of them slots are joined by hash, those of more numbers, and items of
+    fewer than five tokens, literally. A window counts if the values of the item's slots
     turn one to one into those of the document; and so must all windows that lie on one alignment of item and
     document, else only its windows with equal values count. An item leaks into a document if ``run`` tokens in a row
     or the ``share`` of its tokens are matched.
 
     Windows of the benchmark are looked up inside the scan if there are at most ``lookup`` of them, else all windows of
-    the documents go through the join; rows are the same. Null and empty texts match nothing; items of fewer than five
-    tokens are never matched. Repeated documents, or items, give repeated rows only once for each pair of keys. Empty
+    the documents go through the join; rows are the same. Null and empty texts match nothing, and so do items of fewer
+    than ``shortest`` tokens. Repeated documents, or items, give repeated rows only once for each pair of keys. Empty
     tables give an empty result; only the key and ``text`` of either table are read.
     """
     spark = docs.sparkSession
@@ -147,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, run: int = 13, s
     def read(df: DataFrame, name: str) -> DataFrame:
         return identified(df.select(F.col(name).alias("_key"), F.col(text).alias("_text")), "_text").select("_key", "raw", "t1", "t2")
 
-    items = read(benchmark, item).mapInArrow(window_rows(None, size, None), f"_key {kinds[1]}, {shape}")
+    items = read(benchmark, item).mapInArrow(window_rows(None, size, None, shortest), f"_key {kinds[1]}, {shape}")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most `size` values
     hashes = items.select("h").distinct()
     wanted = None
@@ -200,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, run: int = 13, s
     return best.withColumnsRenamed({"_doc": key, "_item": item})
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """The rows of ``docs``, with all their columns, into which no item leaks."""
-    found = leaks(docs, benchmark, key=key, item=item, text=text).select(F.col(key).alias("_hit")).distinct()
+    found = leaks(docs, benchmark, key=key, item=item, text=text, shortest=shortest).select(F.col(key).alias("_hit")).distinct()
     return docs.join(found, docs[key].eqNullSafe(F.col("_hit")), "left_anti")

@@ -265,6 +265,22 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in stay.collect()) == [3, 5, 7, 8, 9] and stay.columns == frame(spark, docs).columns
 
 
+def test_decontamination_finds_literal_copies_of_numbers_and_short_items(spark):
+    items = [(1, "What is 12 + 7 * 3 - 4 / 2?"), (2, "1 2 3 4 5 6 7 8 9 10 11 12"), (3, "Who wrote Faust"), (4, "so it is")]
+    docs = [
+        (1, "Solve this: what is 12 + 7 * 3 - 4 / 2? Then rest.", "s"),
+        (2, "Solve this: what is 13 + 7 * 3 - 4 / 2? Then rest.", "s"),
+        (3, "Count 1 2 3 4 5 6 7 8 9 10 11 12 now", "s"),
+        (4, "Tell me: who wrote Faust?", "s"),
+        (5, "who has written Faust", "s"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for lookup in (10**6, 0):
+        found = lambda **k: {(r["doc_id"], r["item_id"], r["changed"]) for r in decontamination.leaks(frame(spark, docs), bench, lookup=lookup, **k).collect()}  # noqa: B023, E731
+        assert found(shortest=1) == {(1, 1, False), (3, 2, False), (4, 3, False)}
+        assert found() == {(1, 1, False), (3, 2, False)}
+
+
 @pytest.mark.parametrize("head", [10**6, 50])
 def test_language_model(spark, rows, head):
     got = language_model.scored(frame(spark, rows), head=head).collect()
