@@ -20,8 +20,8 @@ NUMBER, NAME, UNIT = (mixed(np.array([i], np.uint64))[0] for i in (1, 2, 3))
 LOOKUP = 2_000_000
 #: Shorter items are only matched literally, as a whole, and only if asked for.
 SHORTEST = 5
-#: Number of readings of a text, and the place of the one without placeholders.
-FORMS, LITERAL = 3, 2
+#: Number of readings of a text, and the places of the one without placeholders and of the one whose names may open a sentence.
+FORMS, LITERAL, OPENED = 4, 2, 3
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -39,8 +39,9 @@ class Template:
     """A text as tokens: runs of letters or of digits (with points and commas between digits).
 
     ``forms`` are canonical readings: numbers, names (capital inside a sentence) and units (after a number) replaced by
-    typed placeholders; only numbers replaced, for texts whose case says nothing; and nothing replaced. ``slots`` marks
-    the placeholders of each form, ``number`` the numbers.
+    typed placeholders; only numbers replaced, for texts whose case says nothing; nothing replaced; and, as in the first,
+    but words that open a sentence with a capital are names too. ``slots`` marks the placeholders of each form,
+    ``number`` the numbers.
     """
 
     def __init__(self, raw: bytes):
@@ -67,14 +68,16 @@ class Template:
         ends = np.cumsum((data == 46) | (data == 33) | (data == 63) | (data == 10))
         opens = np.concatenate(([True], ends[self.start[1:]] != ends[self.end[:-1] - 1]))
         first = data[self.start]
-        name = (first >= 65) & (first <= 90) & ~opens
+        capital = (first >= 65) & (first <= 90)
+        name = capital & ~opens
         unit = np.concatenate(([False], number[:-1])) & np.isin(literal, UNIT_HASHES)
         plain = np.where(number, NUMBER, literal)
         typed = np.where(unit, UNIT, np.where(name, NAME, plain))
-        self.forms = [(typed, number | name | unit), (plain, number), (literal, np.zeros(n, bool))]
+        opened = np.where(unit, UNIT, np.where(capital, NAME, plain))
+        self.forms = [(typed, number | name | unit), (plain, number), (literal, np.zeros(n, bool)), (opened, number | capital | unit)]
 
-    def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each form: window hashes, which windows count, the slots.
+    def windows(self, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each form: its number, window hashes, which windows count, the slots.
 
         Windows with placeholders need enough literal words. Those of too many numbers count in the literal form, and
         so do all of fewer than ``SHORTEST`` tokens; any other literal copy is found in the second form.
@@ -87,7 +90,7 @@ class Template:
                 held = np.concatenate(([0], np.cumsum(self.number if i == LITERAL else slot)))
                 few = held[size:] - held[:-size] <= size // 2
                 fit = few if i != LITERAL else ~few if size >= SHORTEST else np.ones(len(h), bool)
-                yield mixed(h + np.uint64(size * 4 + i)), fit, slot
+                yield i, mixed(h + np.uint64(size * 4 + i)), fit, slot
 
     def values(self, at: int, size: int, slot: np.ndarray) -> list[str]:
         """What fills the slots of a window, each with its place in it."""
@@ -95,13 +98,13 @@ class Template:
 
 
 def window_rows(sizes: list[int] | None, size: int, wanted: np.ndarray | None, shortest: int = SHORTEST):
-    """``_key``, ``t1``, ``t2``, ``n`` (tokens), ``h``, ``at``, ``size``, ``slots`` of the windows.
+    """``_key``, ``t1``, ``t2``, ``n`` (tokens), ``h``, ``at``, ``size``, ``opened`` (form), ``slots`` of the windows.
 
     ``sizes``: window lengths to take, or ``None`` for ``size`` or the whole text if that is shorter (``shortest`` at least).
     ``wanted``: sorted hashes to keep, or ``None`` for all.
     """
-    names = ["_key", "t1", "t2", "n", "h", "at", "size", "slots"]
-    kinds = [None, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+    names = ["_key", "t1", "t2", "n", "h", "at", "size", "opened", "slots"]
+    kinds = [None, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rough = None
@@ -119,15 +122,15 @@ def window_rows(sizes: list[int] | None, size: int, wanted: np.ndarray | None, s
                 t = Template(raw.as_py())
                 n = len(t.start)
                 for w in sizes if sizes is not None else [min(size, n)] * (n >= max(shortest, 1)):
-                    for h, fit, slot in t.windows(w):
+                    for i, h, fit, slot in t.windows(w):
                         if rough is not None:
                             at = np.flatnonzero(rough[(h >> np.uint64(44)).astype(np.int64)] & fit)
-                            i = np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)
-                            at = at[wanted[i] == h[at]]
+                            j = np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)
+                            at = at[wanted[j] == h[at]]
                         else:
                             at = np.flatnonzero(fit)
                         for p in at.tolist():
-                            rows.append((name, t1, t2, n, int(h[p].view(np.int64)), p, w, t.values(p, w, slot)))
+                            rows.append((name, t1, t2, n, int(h[p].view(np.int64)), p, w, i == OPENED, t.values(p, w, slot)))
                             if len(rows) >= 50_000:
                                 yield batch_of(rows, key)
                                 rows = []
@@ -145,7 +148,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, run: int = 13, s
     ``shortest`` tokens) with no more than half of them slots are joined by hash, those of more numbers, and items of
     fewer than five tokens, literally. A window counts if the values of the item's slots
     turn one to one into those of the document; and so must all windows that lie on one alignment of item and
-    document, else only its windows with equal values count. An item leaks into a document if ``run`` tokens in a row
+    document (those in which names may open a sentence apart from the others), else only its windows with equal values count. An item leaks into a document if ``run`` tokens in a row
     or the ``share`` of its tokens are matched.
 
     Windows of the benchmark are looked up inside the scan if there are at most ``lookup`` of them, else all windows of
@@ -155,7 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, run: int = 13, s
     """
     spark = docs.sparkSession
     kinds = [t.schema[k].dataType.simpleString() for t, k in ((docs, key), (benchmark, item))]
-    shape = "t1 long, t2 long, n int, h long, at int, size int, slots array<string>"
+    shape = "t1 long, t2 long, n int, h long, at int, size int, opened boolean, slots array<string>"
 
     def read(df: DataFrame, name: str) -> DataFrame:
         return identified(df.select(F.col(name).alias("_key"), F.col(text).alias("_text")), "_text").select("_key", "raw", "t1", "t2")
@@ -174,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, run: int = 13, s
         return window_rows(sizes, size, shared.value)(batches)
 
     found = read(docs, key).mapInArrow(scan, f"_key {kinds[0]}, {shape}")
-    left = found.select(F.col("_key").alias("_doc"), "t1", "t2", "h", F.col("at").alias("_at"), "size", F.col("slots").alias("_filled"))
+    left = found.select(F.col("_key").alias("_doc"), "t1", "t2", "h", F.col("at").alias("_at"), "size", "opened", F.col("slots").alias("_filled"))
     right = items.select(F.col("_key").alias("_item"), F.col("t1").alias("_i"), "n", "h", "at", "slots")
     pairs = F.expr("transform(sequence(1, size(slots)), i -> struct(substring_index(slots[i - 1], ':', -1) AS a, substring_index(_filled[i - 1], ':', -1) AS b))")
     pairs = F.when(F.size("slots") > 0, pairs).otherwise(F.expr("cast(array() as array<struct<a:string,b:string>>)"))
@@ -187,7 +190,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, run: int = 13, s
     hits = hits.where(F.col("_same") | one_to_one("_pairs"))
     place = ["_doc", "t1", "t2", "_item", "_i", "n"]
     # lists below hold no more than the tokens of one item
-    lines = hits.groupBy(*place, (F.col("_at") - F.col("at")).alias("_shift")).agg(
+    # the form whose names may open a sentence is judged by itself, so that an opening word never unsettles the others
+    lines = hits.groupBy(*place, "opened", (F.col("_at") - F.col("at")).alias("_shift")).agg(
         F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"),
         F.collect_set(F.struct("at", "size")).alias("_all"),
         F.collect_set(F.when(F.col("_same"), F.struct("at", "size"))).alias("_equal"),

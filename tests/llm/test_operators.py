@@ -281,6 +281,22 @@ def test_decontamination_finds_literal_copies_of_numbers_and_short_items(spark):
         assert found() == {(1, 1, False), (3, 2, False)}
 
 
+def test_decontamination_finds_changed_names_that_open_sentences(spark):
+    items = [(1, "Tom has 3 apples. Mary has 4 apples. Anna has 9 apples. How many apples are there?"), (2, "Clara ran 5 km before lunch"), (3, "Paul saw Rita because Paul liked cake")]
+    docs = [
+        (1, "Solve. Ben has 5 apples. Lucy has 8 apples. Olga has 2 apples. How many apples are there?", "s"),
+        (2, "Rain fell. Ivan saw Olga because Ivan liked cake.", "s"),
+        (3, "It was late. Boris ran 9 km before lunch.", "s"),
+        (4, "Then Boris ran 9 km before lunch.", "s"),
+        (5, "Boris swam 9 km before lunch.", "s"),
+        (6, "Rain fell. Ivan saw Olga because Egon liked cake.", "s"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for lookup in (10**6, 0):
+        got = decontamination.leaks(frame(spark, docs), bench, lookup=lookup).collect()
+        assert {(r["doc_id"], r["item_id"], r["changed"]) for r in got} == {(1, 1, True), (2, 3, True), (3, 2, True), (4, 2, True)}
+
+
 @pytest.mark.parametrize("head", [10**6, 50])
 def test_language_model(spark, rows, head):
     got = language_model.scored(frame(spark, rows), head=head).collect()
