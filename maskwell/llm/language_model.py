@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,10 @@ from .super_kmers import Words
 from .winnow import mixed
 
 FOLDS, HELD_OUT = 7, 2
-#: Classes and words in each: the model's own words; all others share the last one.
+#: Least number of classes and of words in each: the model's own words; all others share the last one.
 CLASSES, PER_CLASS = 64, 64
+#: Words of so many training tokens are the model's own, beyond those of the least size; classes grow with their root.
+OWN = 5
 WIDTH, CONTEXT = 16, 2
 #: So many tokens, the most frequent ones, are looked up inside tasks; the rest is joined.
 HEAD = 1_000_000
@@ -53,7 +56,7 @@ class Vocabulary:
 
     @property
     def other(self) -> int:
-        return CLASSES * PER_CLASS - 1
+        return len(self.word_counts) - 1
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Model id and count of each token; count -1 for tokens outside the head."""
@@ -92,14 +95,16 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
-    own = np.lexsort((h, -c))[: CLASSES * PER_CLASS - 1]
-    ids = np.full(len(h), CLASSES * PER_CLASS - 1, np.int64)
+    classes = max(CLASSES, math.isqrt(int((c >= OWN).sum())) + 1)
+    m = classes * classes
+    own = np.lexsort((h, -c))[: m - 1]
+    ids = np.full(len(h), m - 1, np.int64)
     ids[own] = np.arange(len(own))
-    word_counts = np.zeros(CLASSES * PER_CLASS)
+    word_counts = np.zeros(m)
     word_counts[: len(own)] = c[own]
     word_counts[-1] = total - c[own].sum() + types - len(own) + 1
     sorted_own = np.sort(own)
-    names, own_ids = (h[sorted_own], ids[sorted_own]) if len(own) else (np.zeros(1, np.uint64), np.array([CLASSES * PER_CLASS - 1]))
+    names, own_ids = (h[sorted_own], ids[sorted_own]) if len(own) else (np.zeros(1, np.uint64), np.array([m - 1]))
     return Vocabulary(h, c, ids, names, own_ids, word_counts, int(total), int(types))
 
 
@@ -108,15 +113,16 @@ class LogBilinear:
 
     def __init__(self, word_counts: np.ndarray):
         rng = np.random.default_rng(7)
-        m = CLASSES * PER_CLASS
+        m = len(word_counts)
+        self.classes = self.per_class = math.isqrt(m)
         f = np.float32
         self.q = rng.normal(0, 0.1, (m, WIDTH)).astype(f)
         self.c = np.stack([np.eye(WIDTH) + rng.normal(0, 0.05, (WIDTH, WIDTH)) for _ in range(CONTEXT)]).astype(f)
-        by_class = np.maximum(word_counts, 0.5).reshape(CLASSES, PER_CLASS)
+        by_class = np.maximum(word_counts, 0.5).reshape(self.classes, self.per_class)
         mass = by_class.sum(axis=1)
         self.class_share = (mass / mass.sum()).astype(f)
         self.word_share = (by_class / mass[:, None]).astype(f)
-        self.cw = np.concatenate([rng.normal(0, 0.1, (CLASSES, WIDTH)), np.log(self.class_share)[:, None]], axis=1).astype(f)
+        self.cw = np.concatenate([rng.normal(0, 0.1, (self.classes, WIDTH)), np.log(self.class_share)[:, None]], axis=1).astype(f)
         self.ww = np.concatenate([rng.normal(0, 0.1, (m, WIDTH)), np.log(self.word_share).reshape(-1, 1)], axis=1).astype(f)
 
     def params(self) -> list[np.ndarray]:
@@ -150,10 +156,10 @@ class LogBilinear:
         """A pass over the tokens in batches, with steps by AdaGrad."""
         for a in range(0, len(ids), BATCH):
             x = ids[a : a + BATCH]
-            order = np.argsort(x // PER_CLASS, kind="stable")
+            order = np.argsort(x // self.per_class, kind="stable")
             x = x[order]
             ctx = [c[a : a + BATCH][order] for c in contexts]
-            kind = x // PER_CLASS
+            kind = x // self.per_class
             gathered = [self.q[c] for c in ctx]
             r = np.empty((len(x), WIDTH + 1), np.float32)
             r[:, :WIDTH] = sum(g @ self.c[j] for j, g in enumerate(gathered))
@@ -162,10 +168,10 @@ class LogBilinear:
             back = np.zeros((len(x), WIDTH), np.float32)
             self._contrast(r, kind, self.cw, self.class_share, grad[2], back)
             # words inside the class
-            edges = np.searchsorted(kind, np.arange(CLASSES + 1))
+            edges = np.searchsorted(kind, np.arange(self.classes + 1))
             for k in np.flatnonzero(np.diff(edges)):
-                s, own = slice(edges[k], edges[k + 1]), slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-                self._contrast(r[s], x[s] - k * PER_CLASS, self.ww[own], self.word_share[k], grad[3][own], back[s])
+                s, own = slice(edges[k], edges[k + 1]), slice(k * self.per_class, (k + 1) * self.per_class)
+                self._contrast(r[s], x[s] - k * self.per_class, self.ww[own], self.word_share[k], grad[3][own], back[s])
             for j, g in enumerate(gathered):
                 grad[1][j] += g.T @ back
                 down = back @ self.c[j].T
@@ -199,19 +205,20 @@ class LogBilinear:
         """Normalised log10 probability of each token, by batched matrix products over classes and over a class's words."""
         tables = [self.q @ self.c[j] for j in range(CONTEXT)]
         out = np.empty(len(ids), np.float64)
-        for a in range(0, len(ids), 4 * BATCH):
-            x = ids[a : a + 4 * BATCH]
-            order = np.argsort(x // PER_CLASS, kind="stable")
+        step = max(1024, 4 * BATCH * CLASSES // self.classes)
+        for a in range(0, len(ids), step):
+            x = ids[a : a + step]
+            order = np.argsort(x // self.per_class, kind="stable")
             x = x[order]
             r = np.empty((len(x), WIDTH + 1), np.float32)
-            r[:, :WIDTH] = sum(t[c[a : a + 4 * BATCH][order]] for t, c in zip(tables, contexts, strict=True))
+            r[:, :WIDTH] = sum(t[c[a : a + step][order]] for t, c in zip(tables, contexts, strict=True))
             r[:, WIDTH] = 1
-            kind = x // PER_CLASS
+            kind = x // self.per_class
             value = picked(r @ self.cw.T, kind)
-            edges = np.searchsorted(kind, np.arange(CLASSES + 1))
+            edges = np.searchsorted(kind, np.arange(self.classes + 1))
             for k in np.flatnonzero(np.diff(edges)):
                 s = slice(edges[k], edges[k + 1])
-                value[s] += picked(r[s] @ self.ww[k * PER_CLASS : (k + 1) * PER_CLASS].T, x[s] - k * PER_CLASS)
+                value[s] += picked(r[s] @ self.ww[k * self.per_class : (k + 1) * self.per_class].T, x[s] - k * self.per_class)
             out[a + order] = value
         return out / np.log(10)
 
@@ -280,8 +287,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
     """``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` for each row.
 
     Tokens are the words of the whole text (A-Z lower-cased) and one end. Counts cover all rows outside the held-out
-    fold. ``base_score`` adds ``log10((c + 1) / (N + V + 1))``. The model knows the most frequent words, in classes of
-    equal size; the log-bilinear vector of the two tokens before predicts the class and the word in it, both
+    fold. ``base_score`` adds ``log10((c + 1) / (N + V + 1))``. The model knows all words of ``OWN`` or more
+    training tokens in the head, in classes of equal size; the log-bilinear vector of the two tokens before predicts the class and the word in it, both
     normalised. All other words share one place of the model, times ``c + 1`` over the sum of that for them.
 
     Counts of the ``head`` most frequent tokens are looked up inside the tasks, those of the others are joined by

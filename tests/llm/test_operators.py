@@ -324,6 +324,15 @@ def test_language_model_is_normalised_and_learns():
     assert math.isclose((10 ** model.log10(every, [np.full(len(every), 5), np.full(len(every), 105)])).sum(), 1, rel_tol=1e-4)
 
 
+def test_language_model_vocabulary_grows_with_the_corpus(spark):
+    counts = spark.range(20_000).selectExpr("id * 7919 + 1 AS h", "5 + id % 3 AS c")
+    words = language_model.vocabulary(counts)
+    assert (words.ids != words.other).sum() == 20_000
+    model = language_model.LogBilinear(words.word_counts)
+    every = np.arange(len(words.word_counts))
+    assert math.isclose((10 ** model.log10(every, [np.full(len(every), 5), np.full(len(every), 9000)])).sum(), 1, rel_tol=1e-4)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
