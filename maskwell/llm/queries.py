@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language_model, mixing, sharding, suffix_dedup, super_kmers, topk, toxicity, url_filters
+from . import decontamination, jaccard_join, language_model, lexical_search, mixing, packing, sharding, suffix_dedup, super_kmers, topk, toxicity, url_filters, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,23 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
 
 
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLE["op10_url_rules"] = r"""
 WITH parts AS (
   SELECT page_id,
@@ -100,3 +117,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 20
 """
+
+ORACLE["op13_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+sized AS (SELECT r, doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+al AS (SELECT count(*) AS N_, CAST(sum(n) AS BIGINT) AS L_ FROM sized),
+i AS (
+  SELECT row_number() OVER () AS q, item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM benchmark),
+asked AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(ts) AS t FROM i) GROUP BY ALL),
+held AS (
+  SELECT r, doc_id, n, t, count(*) AS tf
+  FROM (SELECT r, doc_id, n, unnest(ts) AS t FROM sized) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * N_ + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, al GROUP BY t, N_),
+scored AS (
+  SELECT q, item_id, r, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * N_) // L_)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN held USING (t), al GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""

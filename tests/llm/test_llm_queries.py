@@ -11,14 +11,14 @@ from maskwell.llm.queries import ORACLE, QUERIES
 
 
 def test_each_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_sql(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir)
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     cursor = con.execute(ORACLE[name])
     at = [[c[0] for c in cursor.description].index(c) for c in got.columns]
@@ -38,12 +38,12 @@ def test_pipeline(spark, sf_dir):
     stages = [f for _, f in corpus_pipeline.STAGES]
     one = stages[0](spark, docs, sf_dir)
     assert ids(one) == ids(toxicity.scored(docs, labels).where("predicted = 0"))
-    two = stages[1](spark, docs, sf_dir)
-    assert ids(two) == ids(jaccard_join.join(docs).where("doc_id = component_id"))
-    three = stages[2](spark, docs, sf_dir)
-    leaked = {r["doc_id"] for r in decontamination.leaks(docs, bench).collect()}
-    assert leaked and ids(three) == [i for i in ids(docs) if i not in leaked]
-    four = stages[3](spark, docs, sf_dir)
+    two = stages[1](spark, one, sf_dir)
+    assert ids(two) == ids(jaccard_join.join(one, size=5, percent=80).where("doc_id = component_id"))
+    three = stages[2](spark, two, sf_dir)
+    leaked = {r["doc_id"] for r in decontamination.leaks(two, bench, shortest=1).collect()}
+    assert leaked and ids(three) == [i for i in ids(two) if i not in leaked]
+    four = stages[3](spark, three, sf_dir)
     assert all(s.columns == docs.columns for s in (one, two, three, four)) and set(ids(four)) <= set(ids(docs))
     last = corpus_pipeline.run(spark, sf_dir)
     assert last.count() and {r["shard"] for r in last.select("shard").distinct().collect()} <= set(range(8))
