@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +20,17 @@ from .common import kept
 
 #: Pieces that a worker packs on its own.
 WORKER_PIECES = 100_000
-#: Words whose ids are remembered in a task, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
-#: Words that go to the tokenizer together.
-BATCH_WORDS = 200_000
-#: Characters of a text that are worked on at once.
-SLICE = 1 << 20
-#: A place where no token of a byte-level BPE can reach across: a word or sign ends, white space begins.
-SEAM = re.compile(r"(?=[ \t\r\n])(?<=[\w!-~])")
-#: Characters that some tables count as white space; where there is none, seams are before any white space.
-UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
-WORD = re.compile(r"\s*\S+|\s+")
+#: Words whose ids are remembered in a task, and how many go to the tokenizer at once.
+CACHE_WORDS, BATCH_WORDS = 500_000, 8192
+#: Characters that are worked on at once, and of one text at most.
+STEP, SLICE = 1 << 22, 1 << 20
+MARK = "\x00"
+# No token of a byte-level BPE reaches across these places: before the last of some white space, and before a sign that
+# follows a letter or digit. Left alone are characters of which some tables say that they are white space, letters
+# beyond Latin, and signs of contractions and special tokens.
+NO_SEAM = re.compile("\x00(?=[ \n](?:[\x00<\\s\u180e\u200b-\u200f\ufeff]|\\Z))")
+SIGN = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?)\"/@-])"
+SEAM = re.compile(r" (?=[0-9A-Za-z])")
 WIDE = "<u4"
 
 
@@ -49,17 +50,25 @@ def lengths(n: int, capacity: int, slack: int) -> list[int]:
     return out
 
 
-def words_of(text: str) -> Iterator[list[str]]:
-    """The words of a text with the white space before them, slice by slice."""
+def slices(text: str) -> Iterator[str]:
+    """A text in parts of about ``SLICE`` characters, cut at seams."""
     at = 0
     while at < len(text):
         seam = SEAM.search(text, at + SLICE)
         end = seam.start() if seam else len(text)
-        part = text[at:end]
-        yield SEAM.split(part) if UNSURE.search(part) else WORD.findall(part)
+        yield text[at:end]
         at = end
 
 
+def words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of texts cut at all seams, the word at each place, and the place where each text starts."""
+    marked = [NO_SEAM.sub("", t.replace(" ", MARK + " ").replace("\n", MARK + "\n")) for t in texts]
+    parts = pc.split_pattern(pc.replace_substring_regex(pa.array(marked, pa.large_string()), SIGN, r"\1" + MARK + r"\2"), MARK)
+    coded = parts.flatten().dictionary_encode()
+    uniques = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string())), MARK)[0].as_py().split(MARK)
+    return uniques, coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()
+
+
 def encoder(tokenizer: str) -> Callable[[Iterable[str]], list[bytes]]:
     """A function from texts to their ids, as little-endian 32-bit numbers.
 
@@ -70,41 +79,53 @@ def encoder(tokenizer: str) -> Callable[[Iterable[str]], list[bytes]]:
     bpe = Tokenizer.from_file(tokenizer)
     known: dict[str, bytes] = {}
 
-    def joined(parts: list[list[str]]) -> list[bytes]:
+    def learn(fresh: list[str]) -> None:
+        for at in range(0, len(fresh), BATCH_WORDS):
+            part = fresh[at : at + BATCH_WORDS]
+            ids = [e.ids for e in bpe.encode_batch_fast(part, add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(ids), WIDE).tobytes()
+            end = 0
+            for word, its in zip(part, ids, strict=True):
+                start, end = end, end + 4 * len(its)
+                known[word] = flat[start:end]
+
+    def joined(texts: list[str]) -> list[bytes]:
         if len(known) > CACHE_WORDS:
             known.clear()
-        fresh = [w for w in set().union(*parts) if w not in known]
-        rare: dict[str, bytes] = {}
-        ids = [e.ids for e in bpe.encode_batch_fast(fresh, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), WIDE).tobytes()
-        at = 0
-        for word, its in zip(fresh, ids, strict=True):
-            end = at + 4 * len(its)
-            (known if len(word) <= CACHE_CHARS else rare)[word] = flat[at:end]
-            at = end
-        if rare:
-            return [b"".join([rare[w] if w in rare else known[w] for w in part]) for part in parts]
-        return [b"".join([known[w] for w in part]) for part in parts]
+        uniques, place, first = words(texts)
+        learn([w for w in uniques if w not in known])
+        raws = [known[w] for w in uniques]
+        flat = np.frombuffer(b"".join(raws), WIDE)
+        size = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        start = np.cumsum(size) - size
+        sizes = size[place]
+        ends = np.r_[0, np.cumsum(sizes)]
+        ids = flat[np.repeat(start[place] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return [ids[a:b].tobytes() for a, b in pairwise(ends[first])]
 
     def encode(texts: Iterable[str]) -> list[bytes]:
         out: list[list[bytes]] = []
         rows: list[int] = []
-        parts: list[list[str]] = []
+        parts: list[str] = []
         waiting = 0
 
         def flush() -> None:
-            for row, raw in zip(rows, joined(parts), strict=True):
+            for row, raw in zip(rows, joined(parts) if parts else (), strict=True):
                 out[row].append(raw)
             rows.clear()
             parts.clear()
 
         for row, text in enumerate(texts):
             out.append([])
-            for words in words_of(text):
+            if MARK in text:
+                whole = bpe.encode(text, add_special_tokens=False).ids
+                out[row].append(np.array(whole, WIDE).tobytes())
+                continue
+            for part in slices(text):
                 rows.append(row)
-                parts.append(words)
-                waiting += len(words)
-                if waiting > BATCH_WORDS:
+                parts.append(part)
+                waiting += len(part)
+                if waiting >= STEP:
                     flush()
                     waiting = 0
         flush()
