@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -24,6 +25,8 @@ WORKER_PIECES = 100_000
 CACHE_WORDS, BATCH_WORDS = 500_000, 8192
 #: Characters that are worked on at once, and of one text at most.
 STEP, SLICE = 1 << 22, 1 << 20
+#: Documents whose ids are held at once.
+ROWS = 1024
 MARK = "\x00"
 # No token of a byte-level BPE reaches across these places: before the last of some white space, and before a sign that
 # follows a letter or digit. Left alone are characters of which some tables say that they are white space, letters
@@ -74,6 +77,7 @@ def encoder(tokenizer: str) -> Callable[[Iterable[str]], list[bytes]]:
 
     No token reaches across a seam, so the tokenizer sees each word once and the texts are put together from words.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
     from tokenizers import Tokenizer
 
     bpe = Tokenizer.from_file(tokenizer)
@@ -144,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, slack: int = 6
         encode = encoder(tokenizer)
         cuts: dict[int, list[int]] = {}
         seen = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows, numbers = [], []
             for row, ids in enumerate(encode(value or "" for value in batch.column(1).to_pylist())):
                 raw = memoryview(ids + stop)
