@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from maskwell.functions.lists import apply
 from maskwell.operators import spans as S
-from maskwell.operators.scrub import barrier, python_masks
-from maskwell.operators.span_tables import TEXT_KEY, join_by_value, span_rows, splice
+from maskwell.operators.scrub import barrier, present, python_masks
+from maskwell.operators.span_tables import ROW, join_by_value, scan, span_rows, splice
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
@@ -35,12 +35,13 @@ def exclude_allowed(
     """Scrub with an allowlist table; returns ``(rows, findings)``.
 
     The anti-join runs on candidates, before overlaps are resolved: an allowed
-    value must not block a finding it overlaps.  Rows with the same ids and
-    texts are listed once in the findings.
+    value must not block a finding it overlaps.
     """
     policy = policy or Policy()
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    cands = scratch.kept(span_rows(df, ids, fields, policy, resolved=False))
+    names = present(df, fields)
+    routed = scan(df, names, policy, resolved=False)
+    cands = span_rows(routed, {c: routed.own(c) for c in ids}, names, policy)
     listed = union_values(allow)
     if ignore_case:
         # one key form on both sides
@@ -53,7 +54,7 @@ def exclude_allowed(
     allowed = scratch.kept(in_use.join(listed, "_key", "left_semi"))
     left = join_by_value(cands, allowed, ["_key"], "left_anti")
 
-    per_value = left.groupBy(*ids, TEXT_KEY, "field_at", "field").agg(
+    per_value = left.groupBy(*ids, ROW, "field_at", "field").agg(
         F.sort_array(F.collect_list(F.struct(*S.SPAN_COLUMNS))).alias("_cands")
     )
     swept_col = apply(F.col("_cands"), "_cands", S.sweep_sql("_cands"))
@@ -69,18 +70,7 @@ def exclude_allowed(
         F.expr(S.findings_sql("_kept", "_masked", policy)).alias("f"),
     )
     swept = scratch.kept(
-        masked.select(*ids, TEXT_KEY, "field_at", "field", F.posexplode(zipped).alias("seq", "x"))
+        masked.select(*ids, ROW, "field_at", "field", F.posexplode(zipped).alias("seq", "x"))
     )
-    rows = splice(
-        df,
-        fields,
-        swept.select(
-            TEXT_KEY,
-            "field_at",
-            F.col("x.s.original").alias("original"),
-            F.col("x.s.b0").alias("b0"),
-            F.col("x.s.b1").alias("b1"),
-            F.col("x.f.masked").alias("masked"),
-        ),
-    )
-    return rows, swept.select(*ids, "field", "seq", "x.f.*")
+    put = swept.select(ROW, "field_at", F.col("x.s.b0").alias("b0"), F.col("x.s.b1").alias("b1"), F.col("x.f.masked").alias("masked"))
+    return splice(routed, names, put), swept.select(*ids, "field", "seq", "x.f.*")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from maskwell.functions.lists import apply, empty, let, quoted, running
 from maskwell.operators import spans as S
 from maskwell.operators.scrub import barrier, with_python_masks
-from maskwell.operators.span_tables import TEXT_KEY, join_keys, splice, text_key
-from maskwell.operators.tokens import Tokenized, tokenize
+from maskwell.operators.span_tables import ROW, SPANS, grouped, put_in, route, span_rows, splice
+from maskwell.operators.tokens import Tokenized, assign
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
@@ -250,21 +250,26 @@ def tokenize_files(
     header: bool = True,
 ) -> Tokenized:
     """One token map over all files, in path order, then value order."""
-    rows = (
-        files.select(source, "text", text_key(files, ["text"]).alias("_file"), F.expr(_form_sql("text", "format")).alias("_form"))
-        .select(source, "_file", "_form", F.posexplode(F.expr(_values_sql("text", "_form", sep, header))).alias("seq", "_v"))
-        .select(source, "_file", "seq", "_form", "_v.*")
+    policy = policy or Policy(mask_style="token")
+    form = F.expr(_form_sql("text", "format"))
+    packed = F.struct(F.col("text").alias("t"), form.alias("form"))
+    values = apply(packed, "_r", f"struct(_r.form AS form, {_values_sql('_r.t', '_r.form', sep, header)} AS vals)")
+    routed = route(
+        files,
+        {"_doc": values},
+        apply(F.col("_doc.vals"), "_vs", f"transform(_vs, _v -> {S.spans_sql('_v.value', policy)})"),
+        stored=["_doc"],
     )
-    got = tokenize(rows, [source, "_file", "seq"], "value", policy, order=[source, "seq"], known=known)
-    masked = _literal_sql("_form", "literal", "value", sep)
-    place = [source, "_file", "seq"]
-    hit = scratch.kept(got.findings.select(*place).distinct())
-    put = join_keys(got.rows, hit, place, "left_semi").select(
-        F.col("_file").alias(TEXT_KEY),
-        F.lit(0).alias("field_at"),
-        "b0",
-        "b1",
-        F.col("literal").alias("original"),
-        F.expr(masked).alias("masked"),
-    )
-    return Tokenized(splice(files, "text", put), got.findings.drop("_file"), got.tokens)
+    spans = span_rows(routed, {source: routed.own(source)}, [], policy)
+    found, tokens = assign(spans, [source, "field_at", "start"], [], known, scratch.SPLIT_ROWS)
+    lists, small = grouped(found.select(ROW, "field_at", "b0", "b1", "masked"), [ROW, "field_at"])
+    # only values with a finding meet their replacements
+    hit = F.transform(SPANS, lambda s: F.coalesce(F.size(s), F.lit(0)) > 0)
+    placed = F.filter(F.arrays_zip("_doc.vals", hit.alias("hit")), lambda v: v["hit"])
+    place = F.filter(F.transform(hit, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+    shown = routed.hits.select(ROW, "_doc.form", F.inline(F.arrays_zip(place.alias("field_at"), placed.alias("v"))))
+    work = shown.join(F.broadcast(lists) if small else lists, [ROW, "field_at"])
+    masked = work.select(ROW, "form", F.col("v.vals.b0").alias("b0"), F.col("v.vals.b1").alias("b1"), F.col("v.vals.literal").alias("literal"), put_in(F.col("v.vals.value"), F.col("_put")).alias("value"))
+    put = masked.select(ROW, F.lit(0).alias("field_at"), "b0", "b1", F.expr(_literal_sql("form", "literal", "value", sep)).alias("masked"))
+    listed = found.select(source, F.col("field_at").alias("seq"), F.lit("value").alias("field"), "pattern", "category", "confidence", "original", "masked", "start", "end")
+    return Tokenized(splice(routed, ["text"], put), listed, tokens)

@@ -1,13 +1,15 @@
 """Spans as a table: for work that needs other rows to decide on a mask.
 
 Findings are sparse next to the text they come from.  So the text is scanned
-once, in place; joins and groupings run on the small span table; and a last
-join splices the replacements into the text.
+once and its rows are stored two ways; joins and groupings run on the small
+span table; and a last join splices the replacements into the rows with
+findings.  All others are passed on as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -20,33 +22,56 @@ from maskwell.operators.scrub import barrier, present
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
-TEXT_KEY = "text_key"
+ROW, SPANS = "_row", "_spans"
 
 
-def text_key(df: DataFrame, names: Sequence[str]) -> Column:
-    """Digest of the texts of a row: what its spans hang on, whatever the ids of the row are."""
-    texts = (F.col(f"`{c}`").cast("string") for c in names)
-    sized = (F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("null")) for t in texts)
-    return F.sha2(F.concat_ws(",", *sized), 256)
+@dataclass(frozen=True)
+class Routed:
+    """A table whose rows were scanned once and stored two ways: rows with findings, and all others."""
 
+    names: list[str]
+    untouched: DataFrame
+    #: ``_row``, ``_spans`` (spans of each value), extra columns, and the table's own as ``c0``, ``c1`` ...
+    hits: DataFrame
+
+    def own(self, name: str) -> Column:
+        """A column of the table among the ``hits``."""
+        return F.col(f"c{self.names.index(name)}")
+
+    def whole(self, done: DataFrame, texts: Sequence[str]) -> DataFrame:
+        """The table again, ``texts`` as strings: rows that were left alone, and the ``done`` ones."""
+        own = [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names)]
+        alone = [F.col(f"`{n}`").cast("string").alias(n) if n in texts else F.col(f"`{n}`") for n in self.names]
+        return self.untouched.select(*alone).unionByName(done.select(*own))
 
-def span_rows(
-    df: DataFrame,
-    id_cols: Sequence[str],
-    fields: Sequence[str] | str,
-    policy: Policy,
-    resolved: bool = True,
-) -> DataFrame:
-    """One row per span: ids, ``text_key``, ``field``, ``field_at`` and the span's columns.
 
-    ``resolved=False`` gives all candidates, before allowlist and sweep.
+def route(df: DataFrame, made: Mapping[str, Column], spans: Column, stored: Sequence[str] = ()) -> Routed:
+    """Scan a table and store its rows two ways, by whether any value holds a span.
+
+    ``spans`` is an array of spans for each value. It may use the columns ``made`` first; of those, the ones named in
+    ``stored`` stay among the hits. The input is read once, so it may be one that does not give the same rows twice.
     """
+    own = {f"c{i}": F.col(f"`{n}`") for i, n in enumerate(df.columns)}
+    work = df.select(*(c.alias(n) for n, c in own.items()), *(c.alias(n) for n, c in made.items()))
+    hit = F.coalesce(F.exists(SPANS, lambda x: F.size(x) > 0), F.lit(False))
+    laid = barrier(work, **{SPANS: spans}).select(
+        F.monotonically_increasing_id().alias(ROW), SPANS, *(F.when(hit, F.col(c)).alias(c) for c in stored), *own, hit.alias("_hit")
+    )
+    both = scratch.kept(laid, by="_hit")
+    alone = both.where("NOT _hit").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(df.columns)))
+    return Routed(df.columns, alone, both.where("_hit").drop("_hit"))
+
+
+def scan(df: DataFrame, fields: Sequence[str] | str, policy: Policy, resolved: bool = True) -> Routed:
+    """:func:`route` by the spans of the named columns; ``resolved=False`` takes candidates, before allowlist and sweep."""
     names = present(df, fields)
-    slim = df.select(*dict.fromkeys([*id_cols, *names]))
+    one = S.spans_sql("_t", policy) if resolved else S.candidates_sql("_t", policy.active())
     values = F.array(*(F.col(f"`{f}`").cast("string") for f in names))
+    return route(df, {"_values": values}, apply(F.col("_values"), "_vs", f"transform(_vs, _t -> {one})"))
 
-    one = S.spans_sql("_t", policy) if resolved else S.candidates_sql("_t", policy.active())
-    per_field = apply(F.col("_values"), "_vs", f"transform(_vs, _t -> {one})")
+
+def span_rows(routed: Routed, ids: Mapping[str, Column], fields: Sequence[str], policy: Policy) -> DataFrame:
+    """One row per span of the hits: ids, ``_row``, ``field``, ``field_at`` and the span's columns."""
     patterns = policy.active()
     by_rank = {
         "pattern": F.array(*(F.lit(p.name) for p in patterns)),
@@ -54,14 +79,12 @@ def span_rows(
         "confidence": F.array(*(F.lit(float(p.confidence)) for p in patterns)),
     }
     return (
-        barrier(slim.withColumn("_values", values).withColumn(TEXT_KEY, text_key(slim, names)), _spans=per_field)
-        .where(F.exists("_spans", lambda x: F.size(x) > 0))
-        .select(*id_cols, TEXT_KEY, F.posexplode("_spans").alias("field_at", "_of"))
-        .select(*id_cols, TEXT_KEY, "field_at", F.inline("_of"))
+        routed.hits.select(*(c.alias(n) for n, c in ids.items()), ROW, F.posexplode(SPANS).alias("field_at", "_of"))
+        .select(*ids, ROW, "field_at", F.inline("_of"))
         .select(
-            *id_cols,
-            TEXT_KEY,
-            F.get(F.array(*(F.lit(f) for f in names)), F.col("field_at")).alias("field"),
+            *ids,
+            ROW,
+            F.get(F.array(*(F.lit(f) for f in fields)), F.col("field_at")).alias("field"),
             "field_at",
             *S.SPAN_COLUMNS,
             *(F.get(lookup, F.col("rank")).alias(name) for name, lookup in by_rank.items()),
@@ -106,48 +129,43 @@ def join_by_value(
     return join_keys(rows, table.where(hot).drop("uses"), keys, small=True).unionByName(cold)
 
 
-def splice(
-    df: DataFrame,
-    fields: Sequence[str] | str,
-    replacements: DataFrame,
-    scope: Sequence[str] = (),
-) -> DataFrame:
-    """Put replacements into the text.
+def grouped(replacements: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Replacements by ``keys`` as lists ``_put``, in place order, and whether they are small enough to broadcast."""
+    lists = scratch.kept(
+        replacements.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("field_at", "b0", "b1", "masked"))).alias("_put"))
+    )
+    chars = F.aggregate("_put", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["masked"]) + 32)
+    n, size = lists.agg(F.count("*"), F.sum(chars + 16)).first()
+    return lists, n <= scratch.BROADCAST_ROWS and (size or 0) <= scratch.BROADCAST_CHARS
+
+
+def put_in(text: Column, put: Column) -> Column:
+    """A text with replacements ``put`` in place."""
+    packed = F.struct(text.alias("t"), put.alias("kept"))
+    return apply(packed, "_r", let("transform(_r.kept, _k -> _k.masked)", "_new", S.assemble_sql("_r.t", "_r.kept", "_new")))
+
+
+def splice(routed: Routed, fields: Sequence[str], replacements: DataFrame) -> DataFrame:
+    """Put replacements into the texts of the hits.
 
-    ``replacements`` holds ``scope``, ``text_key``, ``field_at``, ``b0``, ``b1``, ``original`` and ``masked``.  Rows are
-    told apart by their texts and scope alone: null ids, repeated ids and ids that change from one evaluation to the
-    next do no harm, and equal texts share one list.  ``df`` is read again here and must give the same texts again;
-    bytes that are not the ``original`` stop the job.  Lists are joined by broadcast if their measured size allows it,
-    which leaves the text where it is; otherwise by shuffle.
+    ``replacements`` holds ``_row``, ``field_at``, ``b0``, ``b1`` and ``masked``. Their lists are joined by broadcast if
+    their measured size allows it, else hit rows meet them by shuffle on the row's number, which no two rows share. Rows
+    without a finding meet nothing.
     """
-    keys, names = [*scope, TEXT_KEY], present(df, fields)
-    by_text = scratch.kept(
-        replacements.groupBy(*keys).agg(
-            F.sort_array(F.collect_set(F.struct("field_at", "b0", "b1", "original", "masked"))).alias("_put")
-        )
-    )
-    long_texts = F.aggregate("_put", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["original"]) + F.octet_length(x["masked"]) + 48)
-    bytes_of = long_texts + sum(F.coalesce(F.octet_length(F.col(f"`{k}`").cast("string")), F.lit(0)) for k in keys)
-    n, size = by_text.agg(F.count("*"), F.sum(bytes_of)).first()
-    small = n <= scratch.BROADCAST_ROWS and (size or 0) <= scratch.BROADCAST_CHARS
-    work = join_keys(df.withColumn(TEXT_KEY, text_key(df, names)), by_text, keys, "left", small)
+    lists, small = grouped(replacements, [ROW])
+    work = routed.hits.join(F.broadcast(lists) if small else lists, ROW, "left")
 
     def put(text: Column, at: int) -> Column:
         mine = F.filter(F.col("_put"), lambda x: x["field_at"] == at)
-        packed = F.struct(text.alias("t"), mine.alias("kept"))
-        same = "cast(substring(_bytes, _k.b0 + 1, _k.b1 - _k.b0) AS string) = _k.original"
-        checked = f"if({same}, _k.masked, raise_error('a text is not the one its findings come from'))"
-        put_in = let(
-            let("cast(_r.t AS binary)", "_bytes", f"transform(_r.kept, _k -> {checked})"),
-            "_new",
-            S.assemble_sql("_r.t", "_r.kept", "_new"),
-        )
-        return F.when(F.col("_put").isNull(), text).otherwise(apply(packed, "_r", put_in))
-
-    at = {f: i for i, f in enumerate(names)}
-    return work.select(
-        *(
-            put(F.col(f"`{c}`").cast("string"), at[c]).alias(c) if c in at else F.col(f"`{c}`")
-            for c in df.columns
-        )
+        return F.when(F.col("_put").isNull(), text).otherwise(put_in(text, mine))
+
+    at = {f: i for i, f in enumerate(fields)}
+    return routed.whole(
+        work.select(
+            *(
+                put(F.col(f"c{i}").cast("string"), at[n]).alias(f"c{i}") if n in at else F.col(f"c{i}")
+                for i, n in enumerate(routed.names)
+            )
+        ),
+        fields,
     )

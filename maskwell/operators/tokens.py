@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwell.functions.catalog import PatternSpec
-from maskwell.operators.span_tables import TEXT_KEY, join_by_value, join_keys, span_rows, splice
+from maskwell.operators.scrub import present
+from maskwell.operators.span_tables import ROW, join_by_value, join_keys, scan, span_rows, splice
 from maskwell.operators.spans import token_sql
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
@@ -34,40 +41,67 @@ def last_number(tokens: DataFrame) -> int:
     return tokens.agg(F.max(digits.try_cast("bigint"))).first()[0] or 0
 
 
+def _new_runs(batch: pa.RecordBatch, last: list[Any] | None) -> np.ndarray:
+    """Where a row of sorted rows differs from the one before it; ``last`` is the row before the first."""
+    new = np.zeros(batch.num_rows, bool)
+    for column in batch.columns:
+        if pa.types.is_nested(column.type):
+            values = column.to_pylist()
+            new[1:] |= [x != y for x, y in pairwise(values)]
+        else:
+            codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+    new[0] = last is None or [c[0].as_py() for c in batch.columns] != last
+    return new
+
+
+def _numbered(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the partition, the place in it and the number within a run of equal values of the first ``width`` columns."""
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, start, last = TaskContext.get().partitionId(), 0, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.arange(at, at + batch.num_rows)
+            at += batch.num_rows
+            keys = batch.select(list(range(width)))
+            begins = np.maximum.accumulate(np.where(_new_runs(keys, last), place, start))
+            start, last = begins[-1], [c[-1].as_py() for c in keys.columns]
+            added = {"_part": pa.array(np.full(len(place), part, np.int32)), "_at": pa.array(place), "_n": pa.array(place - begins + 1)}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], names=[*batch.schema.names, *added])
+
+    return number
+
+
 def number_rows(df: DataFrame, order: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
     """Add ``n`` = 1, 2, 3 ... in ``order``, restarting in every ``scope``.
 
-    The rows are range-sorted and checkpointed, so their layout is fixed; each
-    partition then only needs the count of rows before it.  A scope of any
-    size may spread over many partitions.
+    The rows are range-sorted and stored with their partition and their place in it: that sort is the only exchange of
+    rows.  What is missing then is one number for each partition: the rows of all before it, or, with a scope, those of
+    the scope it continues.  A scope of any size may spread over many partitions.
     """
-    laid = scratch.kept(df.orderBy(*scope, *order)).select(
-        "*",
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"),
-    )
-    counts = laid.groupBy(*scope, "_part").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    laid = df.select(*scope, *(c for c in df.columns if c not in scope)).orderBy(*scope, *order)
     if not scope:
-        # one row per partition of the sort
+        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        laid = scratch.kept(laid.withColumns({"_part": F.spark_partition_id(), "_n": place + 1}))
+        counts = laid.groupBy("_part").agg(F.count("*").alias("_rows"))
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select("_part", F.sum("_rows").over(before).alias("_before"))
-        return (
-            laid.join(F.broadcast(offsets), "_part", "left")
-            .withColumn("n", F.coalesce("_before", F.lit(0)) + F.col("_at") + 1)
-            .drop("_part", "_at", "_before")
-        )
-    # only a scope that continues from an earlier partition has rows before
-    # it, and a partition can continue no more than one: fewer rows than
-    # partitions
-    offsets = counts.select(*scope, "_part", F.sum("_rows").over(before).alias("_before")).where(
-        F.col("_before") > 0
-    )
-    within = F.row_number().over(Window.partitionBy("_part", *scope).orderBy("_at"))
-    return (
-        join_keys(laid.withColumn("_n", within), offsets, [*scope, "_part"], "left", small=True)
-        .withColumn("n", F.coalesce("_before", F.lit(0)) + F.col("_n"))
-        .drop("_part", "_at", "_before", "_n")
-    )
+    else:
+        shape = T.StructType([*laid.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_n", T.LongType())])
+        laid = scratch.kept(laid.mapInArrow(_numbered(len(scope)), shape))
+        # only the scope that ends a partition can go on in later ones, as the first of theirs
+        ends = F.max_by(F.struct(*scope, F.col("_n").alias("_rows")), "_at").alias("_run")
+        heads = F.min_by(F.struct(*scope, F.lit(0).cast("long").alias("_rows")), "_at").alias("_run")
+        runs = laid.groupBy("_part").agg(ends).unionByName(laid.groupBy("_part").agg(heads))
+        per_part = runs.select("_part", "_run.*").groupBy("_part", *scope).agg(F.sum("_rows").alias("_rows"))
+        before = Window.partitionBy(*scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = per_part.select(*scope, "_part", F.sum("_rows").over(before).alias("_before")).where("_before > 0")
+        laid = laid.drop("_at")
+    # no more rows than two for each partition of the sort
+    numbered = join_keys(laid, offsets, [*scope, "_part"], "left", small=True)
+    return numbered.withColumn("n", F.coalesce("_before", F.lit(0)) + F.col("_n")).drop("_part", "_n", "_before")
 
 
 def make_tokens(
@@ -139,21 +173,26 @@ def tokenize(
     policy = policy or Policy(mask_style="token")
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     order, scope = list(order or ids), list(scope)
-    spans = scratch.kept(span_rows(df, ids, fields, policy))
-    tokens = scratch.kept(make_tokens(spans, [*order, "field_at", "start"], scope, known))
-    found = join_by_value(
-        spans,
-        tokens.select(*scope, "original", F.col("token").alias("masked"), "uses"),
-        [*scope, "original"],
-        split_rows=split_rows,
-    )
-    rows = splice(df, fields, found.select(*scope, TEXT_KEY, "field_at", "b0", "b1", "original", "masked"), scope)
+    names = present(df, fields)
+    routed = scan(df, names, policy)
+    spans = span_rows(routed, {c: routed.own(c) for c in ids}, names, policy)
+    found, tokens = assign(spans, [*order, "field_at", "start"], scope, known, split_rows)
+    rows = splice(routed, names, found.select(ROW, "field_at", "b0", "b1", "masked"))
     listed = found.select(
         *ids, "field", "pattern", "category", "confidence", "original", "masked", "start", "end"
     )
     return Tokenized(rows, listed, tokens)
 
 
+def assign(
+    spans: DataFrame, order: Sequence[str], scope: Sequence[str], known: DataFrame | None, split_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Spans with the token of their original as ``masked``, and the tokens."""
+    tokens = scratch.kept(make_tokens(spans, order, scope, known))
+    by_original = tokens.select(*scope, "original", F.col("token").alias("masked"), "uses")
+    return join_by_value(spans, by_original, [*scope, "original"], split_rows=split_rows), tokens
+
+
 TOKEN_FORM = PatternSpec("token", "custom", r"\[[^\[\]\n]+-[0-9]{3,}\]", all_of=("[",))
 
 
@@ -172,7 +211,9 @@ def detokenize(
     scope = list(scope)
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     only = Policy(categories=frozenset(), extra_patterns=(TOKEN_FORM,))
-    spans = scratch.kept(span_rows(df, ids, fields, only))
+    names = present(df, fields)
+    routed = scan(df, names, only)
+    spans = span_rows(routed, {c: routed.own(c) for c in dict.fromkeys([*ids, *scope])}, names, only)
     uses = spans.groupBy(*scope, "original").agg(F.count("*").alias("uses"))
     listed = tokens.select(*scope, F.col("token").alias("original"), F.col("original").alias("masked"))
     once = listed.groupBy(*scope, "original").agg(F.min("masked").alias("masked"), F.max("masked").alias("_other"))
@@ -180,4 +221,4 @@ def detokenize(
     sure = once.withColumn("masked", F.when(F.col("masked") == F.col("_other"), F.col("masked")).otherwise(clash))
     table = scratch.kept(join_keys(sure.drop("_other"), uses, [*scope, "original"]))
     found = join_by_value(spans, table, [*scope, "original"])
-    return splice(df, fields, found.select(*scope, TEXT_KEY, "field_at", "b0", "b1", "original", "masked"), scope)
+    return splice(routed, names, found.select(ROW, "field_at", "b0", "b1", "masked"))

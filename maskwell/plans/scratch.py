@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # a side is broadcast only after counting it: at most this many rows ...
 BROADCAST_ROWS = 200_000
@@ -18,6 +22,9 @@ SPLIT_ROWS = 1_000_000
 # always fewer than HOT_SHARE hot keys
 HOT_SHARE = 1_000
 
+_LOCAL: dict[str, str] = {}
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only if none is set and Spark runs in one process."""
@@ -29,10 +36,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="maskwell-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not current.isDefined():
-        sc.setCheckpointDir(path)
+        if sc.applicationId not in _LOCAL:
+            _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="maskwell-")
+        path = _LOCAL[sc.applicationId]
     return path
 
 
@@ -43,11 +49,62 @@ def none_there(error: AnalysisException) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the checkpoint folder; inside :func:`owned` it is deleted at the end."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    mine = _OWNED.get()
+    if mine is not None:
+        mine.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was stored inside, findings with their originals among it.
+
+    Results made inside are read from there: write or collect them before leaving. Without it, stored tables stay in the
+    checkpoint folder.
+    """
+    paths: list[str] = []
+    before = _OWNED.set(paths)
+    try:
+        yield
+    finally:
+        _OWNED.reset(before)
+        for path in paths:
+            delete(spark, path)
+
+
+def _fits_parquet(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        # a struct without fields has no form in a file either
+        return len(kind.fields) > 0 and all(_fits_parquet(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _fits_parquet(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _fits_parquet(kind.keyType) and _fits_parquet(kind.valueType)
+    return not isinstance(kind, (T.NullType, T.CalendarIntervalType))
+
 
+def kept(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Stored once, read back by column: cuts the lineage and survives the loss of executors.
 
-def kept(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    ``by`` names a column with few values whose rows go to folders of their own.
+    """
+    spark = df.sparkSession
+    if not _fits_parquet(df.schema):
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+        return df.checkpoint(eager=True)
+    path = new_path(spark, "kept")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    at = None if by is None else names[df.columns.index(by)]
+    writer = plain.write if at is None else plain.write.partitionBy(at)
+    writer.parquet(path)
+    back = spark.read.schema(plain.schema).parquet(path).select(names)
+    return back.toDF(*df.columns)

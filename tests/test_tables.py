@@ -1,5 +1,6 @@
 """Operators that work over span tables: tokens and allowlist tables."""
 
+import os
 import random
 
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from maskwell.operators import tokens as TK
 from maskwell.operators.allow import exclude_allowed
+from maskwell.operators.span_tables import scan, span_rows, splice
+from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
 VALUES = [
@@ -145,10 +148,109 @@ def test_ids_may_repeat_or_change(spark):
     assert all("@" not in (r.t or "") for r in TK.tokenize(moving, "id", "t").rows.collect())
 
 
-def test_a_text_that_changed_stops_the_job(spark):
-    from maskwell.operators.span_tables import TEXT_KEY, span_rows, splice
-
-    df = spark.createDataFrame([(1, "mail a@b.co")], "id int, t string")
-    spans = span_rows(df, ["id"], "t", Policy()).withColumn("masked", F.lit("x")).withColumn("original", F.lit("other"))
-    with pytest.raises(Exception, match="not the one"):
-        splice(df, "t", spans.select(TEXT_KEY, "field_at", "b0", "b1", "original", "masked")).collect()
+def test_input_is_read_once(spark):
+    moving = spark.range(40).select("id", F.concat(F.lit("mail u"), (F.rand() * 10**9).cast("long").cast("string"), F.lit("@b.co end")).alias("t"))
+    got = TK.tokenize(moving, "id", "t")
+    assert all(r.t.startswith("mail [PII-") and r.t.endswith("] end") for r in got.rows.collect())
+    back = {r.id: r.t for r in TK.detokenize(got.rows, "id", "t", got.tokens).collect()}
+    assert {r.id: r.original for r in got.findings.collect()} == {i: t[5:-4] for i, t in back.items()}
+
+
+def test_columns_of_any_type_and_name(spark):
+    odd = spark.sql(
+        "SELECT id, if(id % 2 = 0, concat('u', id, '@b.co'), 'plain') AS `my text`, 7 AS n, NULL AS nothing, array(struct(1 AS a, NULL AS b)) AS `_spans`, "
+        "make_interval(0, 0, 0, CAST(id AS int)) AS gap, map('k', id) AS c0, 10.0 AS `a.b` FROM range(6)"
+    )
+    got = TK.tokenize(odd, "id", "my text,n").rows
+    assert got.columns == odd.columns
+    assert {r["id"]: r["my text"] for r in got.drop("gap").collect()} == {i: "plain" if i % 2 else f"[PII-{i // 2 + 1:03d}]" for i in range(6)}
+    keep = got.drop("gap", "my text")
+    assert sorted(map(repr, keep.collect())) == sorted(map(repr, odd.withColumn("n", F.lit("7")).drop("gap", "my text").collect()))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_untouched_rows_meet_nothing(spark, monkeypatch, small):
+    """Beyond the broadcast bounds only rows with findings are exchanged, one by one."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if not small:
+        monkeypatch.setattr(scratch, "BROADCAST_ROWS", 0)
+    lines = ["the same hot line"] * 300 + [None] * 300 + [f"mail u{i}@b.co" for i in range(20)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "id int, t string")
+    allow = spark.createDataFrame([("u3@b.co",)], "value string")
+    for rows in (TK.tokenize(df, "id", "t").rows, exclude_allowed(df, "id", "t", allow)[0]):
+        assert rows.count() == len(lines)
+    routed = scan(df, ["t"], Policy())
+    assert "Exchange" not in plan(routed.untouched) and routed.untouched.count() == 600
+    assert routed.hits.count() == 20 and routed.hits.select("_row").distinct().count() == 20
+    done = splice(routed, ["t"], span_rows(routed, {}, ["t"], Policy()).select("_row", "field_at", "b0", "b1", F.lit("x").alias("masked")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before if small else -1)
+    try:
+        tree = done._jdf.queryExecution().executedPlan().toString().split("Union", 1)[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the first branch of the union holds the rows that were left alone
+    alone, hit = ("\n".join(x for x in tree.splitlines() if x.startswith("   :") == first) for first in (True, False))
+    assert "Scan" in alone and "Join" not in alone and "Exchange" not in alone
+    assert ("BroadcastHashJoin" in hit) == small and ("SortMergeJoin" in hit) == (not small)
+    assert {r.t for r in done.collect()} == {"the same hot line", None, "mail x"}
+
+
+def test_numbering_within_scopes_exchanges_rows_once(spark):
+    doc = F.when(F.col("id") % 2 == 0, 3).otherwise(F.col("id") % 7)
+    df = spark.range(5000).select(doc.alias("doc"), (F.lit(10_000) - F.col("id")).alias("o"))
+    seen = []
+    real = scratch.kept
+    try:
+        scratch.kept = lambda d, by=None: seen.append(plan(d)) or real(d, by)
+        got = TK.number_rows(df, ["o"], ["doc"])
+    finally:
+        scratch.kept = real
+    assert [p.count("Exchange rangepartitioning") + p.count("Exchange hashpartitioning") for p in seen] == [1]
+    final = got._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
+    n = {}
+    for r in sorted(got.collect(), key=lambda r: (r.doc, r.o)):
+        n[r.doc] = n.get(r.doc, 0) + 1
+        assert r.n == n[r.doc]
+
+
+@pytest.mark.parametrize("parts", [1, 13])
+def test_numbers_in_scopes_of_all_sizes(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice([None, "hot", "hot", "hot", *"abcdefgh"]), rng.choice([None, 1.0, float("nan")]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b double, o int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = TK.number_rows(df, ["o"], ["b", "a"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    n = {}
+    for r in sorted(got, key=lambda r: r.o):
+        key = (r.a, repr(r.b))
+        n[key] = n.get(key, 0) + 1
+        assert r.n == n[key]
+
+
+def files_below(path):
+    return [f for _, _, names in os.walk(path) for f in names]
+
+
+def test_owned_storage_is_deleted(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "checkpoint_dir", lambda spark: str(tmp_path))
+    with scratch.owned(spark):
+        got = TK.tokenize(docs, ["doc", "id"], "t", scope=["doc"])
+        assert got.rows.count() == len(VALUES) and files_below(tmp_path)
+        allow = spark.createDataFrame([("common@x.com",)], "value string")
+        exclude_allowed(docs, "id", "t", allow)[1].count()
+    assert files_below(tmp_path) == []
+    with pytest.raises(ZeroDivisionError), scratch.owned(spark):
+        scratch.kept(docs)
+        1 / 0  # noqa: B018
+    assert files_below(tmp_path) == []
+    scratch.kept(docs)
+    assert files_below(tmp_path)
