@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskwell.functions.lists import apply
 from maskwell.operators import spans as S
 from maskwell.operators.scrub import barrier, present, python_masks
-from maskwell.operators.span_tables import ROW, join_by_value, scan, span_rows, splice
+from maskwell.operators.span_tables import ROW, join_by_value, measured, scan, span_rows, splice
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
@@ -73,4 +73,4 @@ def exclude_allowed(
         masked.select(*ids, ROW, "field_at", "field", F.posexplode(zipped).alias("seq", "x"))
     )
     put = swept.select(ROW, "field_at", F.col("x.s.b0").alias("b0"), F.col("x.s.b1").alias("b1"), F.col("x.f.masked").alias("masked"))
-    return splice(routed, names, put), swept.select(*ids, "field", "seq", "x.f.*")
+    return splice(routed, names, put, measured(put, F.octet_length("masked"))), swept.select(*ids, "field", "seq", "x.f.*")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from maskwell.functions.lists import apply, empty, let, quoted, running
 from maskwell.operators import spans as S
 from maskwell.operators.scrub import barrier, with_python_masks
-from maskwell.operators.span_tables import ROW, SPANS, grouped, put_in, route, span_rows, splice
-from maskwell.operators.tokens import Tokenized, assign
+from maskwell.operators.span_tables import ROW, SPANS, grouped, measured, put_in, route, span_rows, splice
+from maskwell.operators.tokens import Tokenized, assign, longest
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
@@ -262,7 +262,8 @@ def tokenize_files(
     )
     spans = span_rows(routed, {source: routed.own(source)}, [], policy)
     found, tokens = assign(spans, [source, "field_at", "start"], [], known, scratch.SPLIT_ROWS)
-    lists, small = grouped(found.select(ROW, "field_at", "b0", "b1", "masked"), [ROW, "field_at"])
+    lists = grouped(found.select(ROW, "field_at", "b0", "b1", "masked"), [ROW, "field_at"])
+    small = measured(spans, longest(tokens, "token"))
     # only values with a finding meet their replacements
     hit = F.transform(SPANS, lambda s: F.coalesce(F.size(s), F.lit(0)) > 0)
     placed = F.filter(F.arrays_zip("_doc.vals", hit.alias("hit")), lambda v: v["hit"])
@@ -272,4 +273,7 @@ def tokenize_files(
     masked = work.select(ROW, "form", F.col("v.vals.b0").alias("b0"), F.col("v.vals.b1").alias("b1"), F.col("v.vals.literal").alias("literal"), put_in(F.col("v.vals.value"), F.col("_put")).alias("value"))
     put = masked.select(ROW, F.lit(0).alias("field_at"), "b0", "b1", F.expr(_literal_sql("form", "literal", "value", sep)).alias("masked"))
     listed = found.select(source, F.col("field_at").alias("seq"), F.lit("value").alias("field"), "pattern", "category", "confidence", "original", "masked", "start", "end")
-    return Tokenized(splice(routed, ["text"], put), listed, tokens)
+    # a whole value is put in for each one that holds a finding, its escapes at most sixfold
+    values = F.aggregate(placed, F.lit(0).cast("long"), lambda a, v: a + 6 * F.octet_length(v["vals"]["literal"]))
+    few = measured(routed.hits.select(values.alias("n")), F.col("n")) and small
+    return Tokenized(splice(routed, ["text"], put, few), listed, tokens)

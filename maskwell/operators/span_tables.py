@@ -129,14 +129,19 @@ def join_by_value(
     return join_keys(rows, table.where(hot).drop("uses"), keys, small=True).unionByName(cold)
 
 
-def grouped(replacements: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Replacements by ``keys`` as lists ``_put``, in place order, and whether they are small enough to broadcast."""
-    lists = scratch.kept(
-        replacements.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("field_at", "b0", "b1", "masked"))).alias("_put"))
-    )
-    chars = F.aggregate("_put", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["masked"]) + 32)
-    n, size = lists.agg(F.count("*"), F.sum(chars + 16)).first()
-    return lists, n <= scratch.BROADCAST_ROWS and (size or 0) <= scratch.BROADCAST_CHARS
+def measured(listed: DataFrame, masked: Column | int) -> bool:
+    """Whether replacements, one for each of the rows ``listed``, are small enough to broadcast.
+
+    ``masked`` is the size of one, or a bound for it.
+    """
+    each = F.lit(masked) if isinstance(masked, int) else masked
+    n, size = listed.agg(F.count("*"), F.sum(each.cast("long"))).first()
+    return n <= scratch.BROADCAST_ROWS and (size or 0) + 48 * n <= scratch.BROADCAST_CHARS
+
+
+def grouped(replacements: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Replacements by ``keys`` as lists ``_put``, in place order."""
+    return replacements.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("field_at", "b0", "b1", "masked"))).alias("_put"))
 
 
 def put_in(text: Column, put: Column) -> Column:
@@ -145,14 +150,14 @@ def put_in(text: Column, put: Column) -> Column:
     return apply(packed, "_r", let("transform(_r.kept, _k -> _k.masked)", "_new", S.assemble_sql("_r.t", "_r.kept", "_new")))
 
 
-def splice(routed: Routed, fields: Sequence[str], replacements: DataFrame) -> DataFrame:
+def splice(routed: Routed, fields: Sequence[str], replacements: DataFrame, small: bool = False) -> DataFrame:
     """Put replacements into the texts of the hits.
 
     ``replacements`` holds ``_row``, ``field_at``, ``b0``, ``b1`` and ``masked``. Their lists are joined by broadcast if
-    their measured size allows it, else hit rows meet them by shuffle on the row's number, which no two rows share. Rows
-    without a finding meet nothing.
+    they are ``small`` (see :func:`measured`), else hit rows meet them by shuffle on the row's number, which no two rows
+    share. Rows without a finding meet nothing.
     """
-    lists, small = grouped(replacements, [ROW])
+    lists = grouped(replacements, [ROW])
     work = routed.hits.join(F.broadcast(lists) if small else lists, ROW, "left")
 
     def put(text: Column, at: int) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from maskwell.functions.catalog import PatternSpec
 from maskwell.operators.scrub import present
-from maskwell.operators.span_tables import ROW, join_by_value, join_keys, scan, span_rows, splice
+from maskwell.operators.span_tables import ROW, join_by_value, join_keys, measured, scan, span_rows, splice
 from maskwell.operators.spans import token_sql
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
@@ -177,18 +177,26 @@ def tokenize(
     routed = scan(df, names, policy)
     spans = span_rows(routed, {c: routed.own(c) for c in ids}, names, policy)
     found, tokens = assign(spans, [*order, "field_at", "start"], scope, known, split_rows)
-    rows = splice(routed, names, found.select(ROW, "field_at", "b0", "b1", "masked"))
+    rows = splice(routed, names, found.select(ROW, "field_at", "b0", "b1", "masked"), measured(spans, longest(tokens, "token")))
     listed = found.select(
         *ids, "field", "pattern", "category", "confidence", "original", "masked", "start", "end"
     )
     return Tokenized(rows, listed, tokens)
 
 
+def longest(tokens: DataFrame, column: str) -> int:
+    """Bytes of the longest value of a token table."""
+    return tokens.agg(F.max(F.octet_length(column))).first()[0] or 0
+
+
 def assign(
     spans: DataFrame, order: Sequence[str], scope: Sequence[str], known: DataFrame | None, split_rows: int
 ) -> tuple[DataFrame, DataFrame]:
     """Spans with the token of their original as ``masked``, and the tokens."""
-    tokens = scratch.kept(make_tokens(spans, order, scope, known))
+    tokens = make_tokens(spans, order, scope, known)
+    if known is not None:
+        # new and known ones come from different places; without a map the numbered originals are stored already
+        tokens = scratch.kept(tokens)
     by_original = tokens.select(*scope, "original", F.col("token").alias("masked"), "uses")
     return join_by_value(spans, by_original, [*scope, "original"], split_rows=split_rows), tokens
 
@@ -221,4 +229,4 @@ def detokenize(
     sure = once.withColumn("masked", F.when(F.col("masked") == F.col("_other"), F.col("masked")).otherwise(clash))
     table = scratch.kept(join_keys(sure.drop("_other"), uses, [*scope, "original"]))
     found = join_by_value(spans, table, [*scope, "original"])
-    return splice(routed, names, found.select(ROW, "field_at", "b0", "b1", "masked"))
+    return splice(routed, names, found.select(ROW, "field_at", "b0", "b1", "masked"), measured(spans, longest(table, "masked")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskwell.operators import tokens as TK
 from maskwell.operators.allow import exclude_allowed
-from maskwell.operators.span_tables import scan, span_rows, splice
+from maskwell.operators.span_tables import measured, scan, span_rows, splice
 from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
@@ -186,7 +186,7 @@ def test_untouched_rows_meet_nothing(spark, monkeypatch, small):
     routed = scan(df, ["t"], Policy())
     assert "Exchange" not in plan(routed.untouched) and routed.untouched.count() == 600
     assert routed.hits.count() == 20 and routed.hits.select("_row").distinct().count() == 20
-    done = splice(routed, ["t"], span_rows(routed, {}, ["t"], Policy()).select("_row", "field_at", "b0", "b1", F.lit("x").alias("masked")))
+    done = splice(routed, ["t"], span_rows(routed, {}, ["t"], Policy()).select("_row", "field_at", "b0", "b1", F.lit("x").alias("masked")), measured(routed.hits, 1))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before if small else -1)
     try:
         tree = done._jdf.queryExecution().executedPlan().toString().split("Union", 1)[1]
