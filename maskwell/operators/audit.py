@@ -64,19 +64,24 @@ def source_totals(found: DataFrame, source: str = "source", scanned: DataFrame |
     return totals.unionByName(nothing).groupBy(source).agg(F.sum("findings").alias("findings"))
 
 
-def batch_totals(scanned: DataFrame, counts: Column, source: str = "source") -> DataFrame:
+def batch_totals(
+    scanned: DataFrame, counts: Column, source: str = "source", listing: DataFrame | None = None
+) -> DataFrame:
     """``files, findings, errors`` over scrubbed sources.
 
     ``counts`` is the number of findings of a row, null where a source could
-    not be read.
+    not be read.  Sources of a ``listing`` that were not scanned are errors too.
     """
-    per_source = scanned.groupBy(source).agg(
-        F.sum(counts).alias("n"), F.max(counts.isNull().cast("int")).alias("bad")
-    )
+    seen = scanned.select(F.col(source).alias("_s"), counts.alias("_n"), counts.isNull().alias("_bad"), F.lit(True).alias("_read"))
+    if listing is not None:
+        seen = seen.unionByName(
+            listing.select(F.col(source).alias("_s"), F.lit(None).alias("_n"), F.lit(False).alias("_bad"), F.lit(False).alias("_read"))
+        )
+    per_source = seen.groupBy("_s").agg(F.sum("_n").alias("n"), (F.max("_read") & ~F.max("_bad")).alias("fine"))
     return per_source.agg(
-        F.count(F.when(F.col("bad") == 0, 1)).alias("files"),
-        F.coalesce(F.sum(F.when(F.col("bad") == 0, F.col("n"))), F.lit(0)).alias("findings"),
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("errors"),
+        F.count_if("fine").alias("files"),
+        F.coalesce(F.sum(F.when(F.col("fine"), F.col("n"))), F.lit(0)).alias("findings"),
+        F.count_if(~F.col("fine")).alias("errors"),
     )
 
 

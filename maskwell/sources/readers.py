@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 
 from maskwell.operators.tokens import empty_tokens
 from maskwell.plans.policy import PROFILE_DDL, normal_profile
-from maskwell.plans.scratch import none_there
+from maskwell.plans.scratch import kept, none_there
 
 # File types a folder run looks at.
 EXTENSIONS = (".txt", ".json", ".csv", ".log", ".yaml", ".yml", ".xml", ".md", ".env")
@@ -60,11 +60,8 @@ def read_text_file(spark: SparkSession, path: str, hint: str = "auto") -> DataFr
     )
 
 
-def read_tree(spark: SparkSession, root: str, hint: str = "auto") -> DataFrame:
-    """All supported files below a folder: ``source, rel_path, format, text``.
-
-    Spark leaves out names that start with ``_`` or ``.``.
-    """
+def _tree(spark: SparkSession, root: str, tolerant: bool = False) -> DataFrame:
+    """Supported files below a folder as ``path, length, content, rel_path``."""
     base = root.rstrip("/")
     name = F.lower(F.substring_index("path", "/", -1))
     # as with a path's suffix, ".env" alone has none and "x.env" has one
@@ -72,18 +69,49 @@ def read_tree(spark: SparkSession, root: str, hint: str = "auto") -> DataFrame:
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
+        .option("ignoreCorruptFiles", tolerant)
+        .option("ignoreMissingFiles", tolerant)
         .load(base)
         .where(kind.isin(list(EXTENSIONS)))
     )
     folder = spark._jvm.org.apache.hadoop.fs.Path(base)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     prefix = system.makeQualified(folder).toString()
-    rel = F.expr(f"substring(path, {len(prefix) + 2})")
-    return files.select(
-        F.col("path").alias("source"),
-        rel.alias("rel_path"),
-        format_of(F.col("path"), hint).alias("format"),
-        decoded(F.col("content")).alias("text"),
+    return files.withColumn("rel_path", F.expr(f"substring(path, {len(prefix) + 2})"))
+
+
+def list_tree(spark: SparkSession, root: str, hint: str = "auto") -> DataFrame:
+    """The supported files below a folder, ``source, rel_path, format, length``; no file is opened."""
+    return _tree(spark, root).select(
+        F.col("path").alias("source"), "rel_path", format_of(F.col("path"), hint).alias("format"), "length"
+    )
+
+
+def read_tree(spark: SparkSession, root: str, hint: str = "auto", unreadable: str = "fail") -> DataFrame:
+    """All supported files below a folder: ``source, rel_path, format, text``.
+
+    ``unreadable`` says what becomes of a file that cannot be read, or that is longer than one value can be: ``fail``
+    stops the job; ``skip`` leaves it out, to be found by an anti-join with :func:`list_tree` (see
+    ``audit.batch_totals``); ``keep`` stores what could be read and adds a column ``error``, with a null text where it is
+    not null. Spark leaves out names that start with ``_`` or ``.``. Denials that a cluster's file system reports as
+    such stop the job in any case.
+    """
+    if unreadable not in ("fail", "skip", "keep"):
+        raise ValueError("unreadable is 'fail', 'skip' or 'keep'")
+    files = _tree(spark, root, unreadable != "fail")
+    if unreadable != "fail":
+        files = files.where(F.col("length") <= int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    form = format_of(F.col("path"), hint).alias("format")
+    out = files.select(F.col("path").alias("source"), "rel_path", form, decoded(F.col("content")).alias("text"))
+    if unreadable != "keep":
+        return out
+    listed = list_tree(spark, root, hint)
+    # which files can be read shows only when they are, so they are stored before they are compared
+    out = kept(out)
+    lost = listed.join(out.select("source"), "source", "left_anti")
+    none = F.lit(None).cast("string")
+    return out.withColumn("error", none).unionByName(
+        lost.select("source", "rel_path", "format", none.alias("text"), F.lit("unreadable").alias("error"))
     )
 
 

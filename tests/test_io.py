@@ -45,6 +45,36 @@ def test_tree(spark, tmp_path):
     assert RD.read_lines(spark, f"{root}/a/x.LOG").count() == 2
 
 
+def test_unreadable_files(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    for name in ("a.txt", "b/c.log", "b/d.txt", "e.txt"):
+        put(f"{root}/{name}", "mail a@b.com")
+    put(f"{root}/b/.c.log.crc", b"crc\0" + (512).to_bytes(4, "big") + b"\1\2\3\4")  # a checksum that does not fit
+    put(f"{root}/long.txt", "x" * 5000)
+    with pytest.raises(Exception, match="(?i)checksum|read"):
+        RD.read_tree(spark, root).collect()
+    listing = RD.list_tree(spark, root)
+    assert {r.rel_path: r.length for r in listing.collect()} == {"a.txt": 12, "b/c.log": 12, "b/d.txt": 12, "e.txt": 12, "long.txt": 5000}
+    files = RD.read_tree(spark, root, unreadable="skip")
+    os.remove(f"{root}/e.txt")
+    limit = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 4000)
+    try:
+        rows = {r.rel_path: (r.text, r.error, r.format) for r in RD.read_tree(spark, root, unreadable="keep").collect()}
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", limit)
+    fine, lost = ("mail a@b.com", None, "text"), (None, "unreadable", "text")
+    assert rows == {"a.txt": fine, "b/c.log": lost, "b/d.txt": fine, "long.txt": lost}
+    done = scrub_files(files)
+    listed = spark.createDataFrame([(f"file:{root}/{n}",) for n in ("a.txt", "b/c.log", "b/d.txt", "e.txt", "long.txt")], "source string")
+    assert tuple(A.batch_totals(done, F.size("findings"), listing=listed).first()) == (3, 2, 2)
+    per_row = RD.read_tree(spark, root, unreadable="keep")
+    totals = A.batch_totals(scrub_files(per_row), F.when(F.col("error").isNull(), F.size("findings")))
+    assert tuple(totals.first()) == (3, 2, 1)
+    with pytest.raises(ValueError, match="unreadable"):
+        RD.read_tree(spark, root, unreadable="maybe")
+
+
 def test_lookup_maps_and_profiles(spark, tmp_path):
     put(f"{tmp_path}/allow.csv", 'value,by\n" 10.0.0.1 ",x\n,second\n10.0.0.1,y\n')
     assert [r.value for r in RD.read_allowlist(spark, f"{tmp_path}/allow.csv").collect()] == ["10.0.0.1"]

@@ -25,7 +25,7 @@ from maskwell.operators.scrub import (
 )
 from maskwell.plans import policy as PO
 from maskwell.plans.policy import Policy
-from maskwell.plans.scratch import new_path
+from maskwell.plans.scratch import delete, kept, new_path
 from maskwell.sources import readers as RD
 from maskwell.sources import writers as WR
 from maskwell.streaming import streams as ST
@@ -1134,6 +1134,22 @@ def category_counts(spark, sf):
     return done.select("id", F.col("key").alias("category"), F.col("value").alias("n"))
 
 
+@query(
+    "tree_errors",
+    f"SELECT count(*) - 1 AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings, CAST(1 AS BIGINT) AS errors FROM (SELECT d.id, CASE WHEN d.id = least_id THEN 0 ELSE coalesce(f.n, 0) END AS n FROM ({DOCUMENTS_SQL}) d CROSS JOIN (SELECT min(doc_id) AS least_id FROM documents) LEFT JOIN ({O.rows('id, count(*) AS n', src=DOCUMENTS_SQL)} GROUP BY id) f ON f.id = d.id)",
+)
+def tree_errors(spark, sf):
+    """One file of a folder is gone when it is its turn; the others are scrubbed, and it is counted."""
+    path = new_path(spark, "tree")
+    documents(spark, sf).select("id", "text").repartition("id").write.partitionBy("id").text(path)
+    listing = kept(RD.list_tree(spark, path))
+    files = RD.read_tree(spark, path, unreadable="skip")
+    gone = listing.orderBy(F.regexp_extract("rel_path", r"id=(\d+)/", 1).cast("long")).first()["source"]
+    delete(spark, gone)
+    done = D.scrub_files(files)
+    return A.batch_totals(done, F.size("findings").cast("long"), listing=listing)
+
+
 @query(
     "tree_source_totals",
     f"SELECT d.id, CAST(coalesce(f.n, 0) AS INTEGER) AS n FROM documents_of d LEFT JOIN ({O.rows('id, count(*) AS n', src=DOCUMENTS_SQL)} GROUP BY id) f ON f.id = d.id".replace(
