@@ -95,8 +95,8 @@ def candidates_sql(text: str, patterns: Sequence[PatternSpec]) -> str:
     return let(hits, "_hits", f"if(size(_hits) = 0, {empty(SPAN)}, {placed})")
 
 
-def sweep_sql(cands: str) -> str:
-    """Greedy left-to-right choice of non-overlapping candidates."""
+def sweep_sql(cands: str, start: str = "0") -> str:
+    """Greedy left-to-right choice of non-overlapping candidates from a position on."""
 
     def step(pos: str, c: str) -> str:
         return (
@@ -105,7 +105,7 @@ def sweep_sql(cands: str) -> str:
             f"struct({pos} AS state, {empty(SPAN)} AS emit))"
         )
 
-    return running(cands, "0", step, SPAN)
+    return running(cands, start, step, SPAN)
 
 
 def spans_sql(text: str, policy: Policy) -> str:

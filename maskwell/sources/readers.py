@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -123,6 +124,45 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_long_text(spark: SparkSession, path: str, chars: int = 4_000_000) -> DataFrame:
+    """Files of any size as ``source, chunk, text``: runs of whole lines, about ``chars`` long, in order of ``chunk``.
+
+    A file is read in splits by many tasks; no row holds more than a chunk or one line.  The texts of a file's chunks,
+    put together, are the file as :func:`read_text_file` reads it, but for a line end that is added to the last line.
+    See ``operators.long_values`` for scrubbing them.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.make_valid_utf8("value").alias("_line"),
+    )
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, size, seq = None, [], 0, 0
+
+        def row() -> pa.RecordBatch:
+            text = "".join(f"{line}\n" for line in held)
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
+            return pa.RecordBatch.from_pydict({"source": [place[0]], "_block": pa.array([place[1]], pa.int64()), "_seq": pa.array([seq], pa.int64()), "text": [text]})
+
+        for batch in batches:
+            for here in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and (here[:2] != place or size >= chars):
+                    yield row()
+                    held, size, seq = [], 0, seq + 1
+                place = here[:2]
+                held.append(here[2])
+                size += len(here[2]) + 1
+        if held:
+            yield row()
+
+    pieces = kept(lines.mapInArrow(gather, "source string, _block long, _seq long, text string"))
+    # one short row for each chunk
+    order = Window.partitionBy("source").orderBy("_block", "_seq")
+    numbers = pieces.select("source", "_block", "_seq").withColumn("chunk", F.row_number().over(order) - 1)
+    return pieces.join(numbers, ["source", "_block", "_seq"]).select("source", "chunk", "text")
+
+
 def read_json(
     spark: SparkSession,
     path: str,

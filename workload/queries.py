@@ -13,6 +13,7 @@ from maskwell.operators import documents as D
 from maskwell.operators import reports as R
 from maskwell.operators import spans as S
 from maskwell.operators import tokens as TK
+from maskwell.operators import long_values as LV
 from maskwell.operators.allow import exclude_allowed, union_values
 from maskwell.operators.nested import scrub_nested_columns
 from maskwell.operators.scrub import (
@@ -1134,6 +1135,45 @@ def category_counts(spark, sf):
     return done.select("id", F.col("key").alias("category"), F.col("value").alias("n"))
 
 
+@query("long_values", O.texts("id, text", src=DOCUMENTS_SQL))
+def long_values(spark, sf):
+    """Documents scrubbed in chunks, each by its own task, and put together again."""
+    docs = documents(spark, sf).select("id", "text")
+    done = LV.scrub_chunks(LV.cut(docs, "text", 16_384), "id", halo=2_048).chunks
+    parts = done.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("chunk", "text"))).alias("parts"))
+    return parts.select("id", F.when(F.get("parts", F.lit(0))["text"].isNotNull(), F.array_join("parts.text", "")).alias("text"))
+
+
+@query("long_findings", O.rows("id, pattern, original, masked, CAST(start_at AS BIGINT) AS start", src=DOCUMENTS_SQL))
+def long_findings(spark, sf):
+    docs = documents(spark, sf).select("id", "text")
+    found = LV.scrub_chunks(LV.cut(docs, "text", 16_384), "id", halo=2_048).findings
+    return found.select("id", "pattern", "original", "masked", F.col("start").cast("long").alias("start"))
+
+
+@query("long_files", O.texts("coalesce(text, '') AS value", src=LEAKS_SQL))
+def long_files(spark, sf):
+    """Files without a limit on their size, line by line in chunks."""
+    path = new_path(spark, "long")
+    leaks(spark, sf).select("text").write.text(path)
+    chunks = RD.read_long_text(spark, path, 200_000)
+    done = LV.scrub_chunks(chunks, "source").chunks
+    return done.select(F.explode(F.split(F.expr("left(text, length(text) - 1)"), "\n")).alias("value"))
+
+
+@query(
+    "text_files",
+    f"SELECT d.id, CAST(coalesce(f.n, 0) AS INTEGER) AS n FROM ({DOCUMENTS_SQL}) d LEFT JOIN ({O.rows('id, count(*) AS n', src=DOCUMENTS_SQL)} GROUP BY id) f ON f.id = d.id",
+)
+def text_files(spark, sf):
+    """Documents as single text files, each read as one value."""
+    path = new_path(spark, "files")
+    documents(spark, sf).select("id", "text").repartition("id").write.partitionBy("id").text(path)
+    one = RD.read_text_file(spark, f"{path}/id=*/*.txt", "text")
+    done = D.scrub_files(one)
+    return done.select(F.regexp_extract("source", r"id=(\d+)/", 1).cast("long").alias("id"), F.size("findings").alias("n"))
+
+
 @query(
     "tree_errors",
     f"SELECT count(*) - 1 AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings, CAST(1 AS BIGINT) AS errors FROM (SELECT d.id, CASE WHEN d.id = least_id THEN 0 ELSE coalesce(f.n, 0) END AS n FROM ({DOCUMENTS_SQL}) d CROSS JOIN (SELECT min(doc_id) AS least_id FROM documents) LEFT JOIN ({O.rows('id, count(*) AS n', src=DOCUMENTS_SQL)} GROUP BY id) f ON f.id = d.id)",
