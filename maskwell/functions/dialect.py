@@ -7,6 +7,8 @@ default nor its ``(?U)`` mode reproduces, so the classes are spelled out.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from typing import Any
 
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
@@ -21,28 +23,6 @@ NOT_BEFORE_WORD = rf"(?!{WORD})"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 NO_EDGE = rf"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
 
-_OUTSIDE = {
-    "b": EDGE,
-    "B": NO_EDGE,
-    "d": DIGIT,
-    "D": r"\P{Nd}",
-    "s": f"[{SPACE}]",
-    "S": f"[^{SPACE}]",
-    "w": WORD,
-    "W": r"[^\p{L}\p{N}_]",
-    "Z": r"\z",
-}
-_INSIDE = {
-    "b": r"\x08",
-    "d": DIGIT,
-    "D": r"\P{Nd}",
-    "s": SPACE,
-    "S": f"[^{SPACE}]",
-    "w": r"\p{L}\p{N}_",
-    "W": r"[^\p{L}\p{N}_]",
-}
-
-
 def behind_group(regex: str) -> str:
     """The regex for a place behind one more capture group: numbered back-references move up by one."""
     return re.sub(
@@ -53,50 +33,152 @@ def behind_group(regex: str) -> str:
     )
 
 
+# Members of Python's classes, for use inside square brackets, with and without its ASCII flag.
+_MEMBERS = {
+    "digit": (DIGIT, "0-9"),
+    "space": (SPACE, r"\t-\r\x20"),
+    "word": (r"\p{L}\p{N}_", "A-Za-z0-9_"),
+}
+
+
+class _Writer:
+    """Writes the tree that Python's own parser makes of a regex for Java's engine.
+
+    Comments, white space of verbose patterns, names, octal escapes and so on are gone from the tree; flags are looked up
+    where they apply. What Java cannot say is refused.
+    """
+
+    def __init__(self, regex: str, tree: Any):
+        self.regex = regex
+        self.tree = tree
+
+    def refuse(self, what: str) -> str:
+        raise ValueError(f"{what} cannot be used here: {self.regex!r}")
+
+    def whole(self) -> str:
+        flags = self.tree.state.flags
+        return self.scoped(self.sequence(self.tree, flags), 0, flags)
+
+    def scoped(self, inner: str, before: int, flags: int) -> str:
+        """A group for a change of case rules; Python's ignore case beyond ASCII unless told otherwise."""
+        case = re.IGNORECASE | re.ASCII if flags & re.IGNORECASE else re.IGNORECASE
+        if before & case == flags & case:
+            return inner
+        if not flags & re.IGNORECASE:
+            return f"(?-iu:{inner})"
+        return f"(?i-u:{inner})" if flags & re.ASCII else f"(?iu:{inner})"
+
+    def sequence(self, items: Iterable[tuple[Any, Any]], flags: int) -> str:
+        return "".join(getattr(self, str(op).lower())(value, flags) for op, value in items)
+
+    def literal(self, code: int, _flags: int) -> str:
+        char = chr(code)
+        return char if char.isascii() and (char.isalnum() or char in " _@,;:/=<>~%!'\"") else rf"\x{{{code:x}}}"
+
+    def not_literal(self, code: int, flags: int) -> str:
+        return f"[^{self.literal(code, flags)}]"
+
+    def any(self, _value: None, flags: int) -> str:
+        return "(?s:.)" if flags & re.DOTALL else r"[^\n]"
+
+    def members(self, name: str, flags: int) -> str:
+        return _MEMBERS[name][bool(flags & re.ASCII)]
+
+    def category(self, value: Any, flags: int) -> tuple[str, bool]:
+        """Members of a class and whether all others are meant."""
+        name = str(value).lower().removeprefix("category_")
+        return self.members(name.removeprefix("not_"), flags), name.startswith("not_")
+
+    def in_(self, items: list[tuple[Any, Any]], flags: int) -> str:
+        negated, plain, others = False, [], []
+        for op, value in items:
+            kind = str(op)
+            if kind == "NEGATE":
+                negated = True
+            elif kind == "LITERAL":
+                plain.append(rf"\x{{{value:x}}}")
+            elif kind == "RANGE":
+                plain.append(rf"\x{{{value[0]:x}}}-\x{{{value[1]:x}}}")
+            else:
+                members, rest = self.category(value, flags)
+                (others if rest else plain).append(members)
+        if not others:
+            return f"[{'^' if negated else ''}{''.join(plain)}]"
+        choices = ([f"[{''.join(plain)}]"] if plain else []) + [f"[^{o}]" for o in others]
+        either = choices[0] if len(choices) == 1 else f"(?:{'|'.join(choices)})"
+        return f"(?:(?!{either})(?s:.))" if negated else either
+
+    def branch(self, value: tuple[None, list[Any]], flags: int) -> str:
+        return f"(?:{'|'.join(self.sequence(b, flags) for b in value[1])})"
+
+    def subpattern(self, value: tuple[int | None, int, int, Any], flags: int) -> str:
+        group, add, drop, inner = value
+        now = (flags | add) & ~drop
+        if add & re.ASCII:
+            now &= ~re.UNICODE
+        if add & re.UNICODE:
+            now &= ~re.ASCII
+        text = self.scoped(self.sequence(inner, now), flags, now)
+        return f"(?:{text})" if group is None else f"({text})"
+
+    def repeat(self, value: tuple[int, Any, Any], flags: int, suffix: str) -> str:
+        low, high, inner = value
+        times = f"{{{low},}}" if str(high) == "MAXREPEAT" else f"{{{low},{high}}}"
+        return f"(?:{self.sequence(inner, flags)}){times}{suffix}"
+
+    def max_repeat(self, value: tuple[int, Any, Any], flags: int) -> str:
+        return self.repeat(value, flags, "")
+
+    def min_repeat(self, value: tuple[int, Any, Any], flags: int) -> str:
+        return self.repeat(value, flags, "?")
+
+    def possessive_repeat(self, value: tuple[int, Any, Any], flags: int) -> str:
+        return self.repeat(value, flags, "+")
+
+    def atomic_group(self, inner: Any, flags: int) -> str:
+        return f"(?>{self.sequence(inner, flags)})"
+
+    def assert_(self, value: tuple[int, Any], flags: int) -> str:
+        return f"(?{'=' if value[0] > 0 else '<='}{self.sequence(value[1], flags)})"
+
+    def assert_not(self, value: tuple[int, Any], flags: int) -> str:
+        return f"(?{'!' if value[0] > 0 else '<!'}{self.sequence(value[1], flags)})"
+
+    def failure(self, _value: None, _flags: int) -> str:
+        return "(?!)"
+
+    def groupref(self, group: int, _flags: int) -> str:
+        if group > 98:
+            self.refuse("a reference to a group beyond the 98th")
+        return rf"(?:\{group})"
+
+    def groupref_exists(self, _value: Any, _flags: int) -> str:
+        return self.refuse("a choice by whether a group has matched")
+
+    def at(self, value: Any, flags: int) -> str:
+        name = str(value).lower().removeprefix("at_")
+        lines = flags & re.MULTILINE
+        word = f"[{self.members('word', flags)}]"
+        return {
+            "beginning": r"(?:\A|(?<=\n))" if lines else r"\A",
+            "beginning_string": r"\A",
+            # only \n is a line end
+            "end": r"(?=\n|\z)" if lines else r"(?=\n?\z)",
+            "end_string": r"\z",
+            "boundary": rf"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))",
+            "non_boundary": rf"(?:(?<={word})(?={word})|(?<!{word})(?!{word}))",
+        }[name]
+
+
+# names of the tree's nodes that are words of the language
+setattr(_Writer, "in", _Writer.in_)
+setattr(_Writer, "assert", _Writer.assert_)
+
+
 def from_python(regex: str) -> str:
-    """Restate a user's Python regex for Spark's regex functions.
+    """Restate a user's Python regex for Spark's regex functions, so that it means the same.
 
-    Covers the shorthand classes, word boundaries, named groups, line ends
-    (only ``\\n`` is one), open repeats and the characters Java treats
-    specially inside a class.  Case-insensitive matching is made
-    Unicode-aware, as Python's is.
+    Raises ``ValueError`` for what Java's engine cannot say: choices by whether a group has matched.
     """
-    out: list[str] = []
-    multiline = re.match(r"\(\?[a-z]*m", regex) is not None
-    i, in_class, class_start = 0, False, -1
-    while i < len(regex):
-        ch = regex[i]
-        if ch == "\\" and i + 1 < len(regex):
-            nxt = regex[i + 1]
-            out.append((_INSIDE if in_class else _OUTSIDE).get(nxt, ch + nxt))
-            i += 2
-            continue
-        if in_class:
-            if ch == "]" and i > class_start:
-                in_class = False
-            elif ch in "[&" or (ch == "]" and i == class_start):
-                ch = "\\" + ch
-        elif ch == "[":
-            in_class = True
-            class_start = i + 2 if regex[i + 1 : i + 2] == "^" else i + 1
-        elif regex.startswith("(?P<", i):
-            out.append("(?<")
-            i += 4
-            continue
-        elif regex.startswith("(?P=", i):
-            end = regex.index(")", i)
-            out.append(rf"\k<{regex[i + 4 : end]}>")
-            i = end + 1
-            continue
-        elif repeat := re.match(r"\{,([0-9]+)\}", regex[i:]):
-            out.append("{0," + repeat[1] + "}")
-            i += repeat.end()
-            continue
-        elif ch == "^" and multiline:
-            ch = r"(?:\A|(?<=\n))"
-        elif ch == "$" and not multiline:
-            # Python's $ knows only \n as a line end
-            ch = r"(?=\n?\z)"
-        out.append(ch)
-        i += 1
-    return ("(?du)" if "(?i" in regex else "(?d)") + "".join(out)
+    tree = re._parser.parse(regex)  # what re.compile itself works on
+    return _Writer(regex, tree).whole()

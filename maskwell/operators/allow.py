@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,18 @@ def union_values(*frames: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def held(allow: DataFrame) -> Broadcast[frozenset[str]]:
+    """An allowlist table as a set that each worker holds once, if its measured size allows it.
+
+    For ``scrub_columns`` and streams; a larger table needs :func:`exclude_allowed`, batch by batch on a stream.
+    """
+    values = union_values(allow)
+    n, size = values.agg(F.count("*"), F.sum(F.octet_length("value"))).first()
+    if n > scratch.BROADCAST_ROWS or (size or 0) > scratch.BROADCAST_CHARS:
+        raise ValueError(f"{n} allowed values are too many to hold; use exclude_allowed")
+    return allow.sparkSession.sparkContext.broadcast(frozenset(r["value"] for r in values.collect()))
+
+
 def exclude_allowed(
     df: DataFrame,
     id_cols: Sequence[str] | str,

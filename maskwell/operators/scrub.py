@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwell.functions.lists import apply, empty
+from maskwell.functions.lists import apply, empty, quoted
 from maskwell.operators import spans as S
 from maskwell.plans.policy import Policy
 
@@ -38,6 +39,7 @@ def with_scrubbed(
     policy: Policy,
     out: str = "_scrubbed",
     shared_tokens: bool = False,
+    allow: Broadcast[frozenset[str]] | None = None,
 ) -> DataFrame:
     """Append an array with one ``struct<text, findings>`` per field.
 
@@ -45,6 +47,10 @@ def with_scrubbed(
     costs no more planning than a single column.
     """
     values = F.array(*(F.col(f"`{f}`").cast("string") for f in fields))
+    if allow is not None:
+        if shared_tokens and policy.mask_style == "token":
+            raise ValueError("with an allowlist table tokens are numbered by value or over the dataset")
+        return with_allowed(df, values, policy, allow, out)
     if S.python_masked(policy):
         return with_python_masks(df, values, policy, out)
     return barrier(df, **{out: S.scrub_values(values, policy, shared_tokens)})
@@ -81,19 +87,51 @@ def with_python_masks(df: DataFrame, values: Column, policy: Policy, out: str) -
     such patterns travel to Python, in Arrow batches.
     """
     found = apply(values, "_vs", f"transform(_vs, _t -> {one_value(policy)})")
-    staged = barrier(df, _values=values, _kept=found)
-    staged = staged.withColumn("_python", python_masks(F.col("_kept"), policy))
+    return with_masks(barrier(df, _values=values, _kept=found), policy, out)
+
+
+def with_masks(staged: DataFrame, policy: Policy, out: str) -> DataFrame:
+    """Masks and texts for chosen spans: ``_values`` and ``_kept`` become ``out``."""
+    own = S.python_masked(policy)
+    if own:
+        staged = staged.withColumn("_python", python_masks(F.col("_kept"), policy))
 
     def one(value: Column, i: Column) -> Column:
         kept = F.get(F.col("_kept"), i)
-        ready = F.coalesce(S.masks_of(kept, policy), S.empty_array("string"))
-        masked = F.zip_with(F.get(F.col("_python"), i), ready, lambda p, n: F.coalesce(p, n))
+        masked = F.coalesce(S.masks_of(kept, policy), S.empty_array("string"))
+        if own:
+            masked = F.zip_with(F.get(F.col("_python"), i), masked, lambda p, n: F.coalesce(p, n))
         return S.render(value, kept, masked, policy)
 
     result = barrier(staged, **{out: F.transform(F.col("_values"), one)})
     return result.drop("_values", "_kept", "_python")
 
 
+def with_allowed(df: DataFrame, values: Column, policy: Policy, allow: Broadcast[frozenset[str]], out: str) -> DataFrame:
+    """Like ``with_scrubbed``, with a set of allowed values that every worker holds once.
+
+    Candidates are looked up before the sweep: an allowed value must not block a finding it overlaps. Only the matched
+    texts travel to Python, in Arrow batches; no row waits for another.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.BooleanType())))
+    def allowed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = allow.value
+        for rows in batches:
+            hits = [v and [[t in known for t in texts] for texts in v] for v in rows.to_pylist()]
+            yield pa.array(hits, pa.list_(pa.list_(pa.bool_())))
+
+    every = f"coalesce({S.candidates_sql('_t', policy.active())}, {empty(S.SPAN)})"
+    staged = barrier(df, _values=values, _cands=apply(values, "_vs", f"transform(_vs, _t -> {every})"))
+    originals = F.transform("_cands", lambda c: F.transform(c, lambda s: s["original"]))
+    staged = staged.withColumn("_ok", allowed(originals))
+    left = F.zip_with("_cands", "_ok", lambda c, ok: F.filter(c, lambda _, i: ~F.get(ok, i)))
+    fixed = ", ".join(quoted(v) for v in sorted(policy.allowlist))
+    listed = f"filter(_l, _c -> _c.original NOT IN ({fixed}))" if fixed else "_l"
+    swept = apply(left, "_ls", f"transform(_ls, _l -> {S.sweep_sql(listed)})")
+    return with_masks(barrier(staged, _kept=swept).drop("_cands", "_ok"), policy, out)
+
+
 def one_value(policy: Policy) -> str:
     return f"coalesce({S.spans_sql('_t', policy)}, {empty(S.SPAN)})"
 
@@ -104,20 +142,22 @@ def scrub_columns(
     policy: Policy | None = None,
     report: bool | None = None,
     token_scope: str = "value",
+    allow: Broadcast[frozenset[str]] | None = None,
 ) -> DataFrame:
     """Scrub the named columns in place; names the table lacks are skipped.
 
     With reporting on, ``<field>_findings`` (pattern names in text order) and
     ``<field>_finding_count`` are added, null where nothing was found.
     ``token_scope`` is ``"value"`` (numbering restarts in every value) or
-    ``"row"``; see ``tokens`` for wider scopes.
+    ``"row"``; see ``tokens`` for wider scopes.  ``allow`` is a set of allowed
+    values too large for the plan (see ``allow.held``).
     """
     policy = policy or Policy()
     report = policy.report_findings if report is None else report
     names = present(df, fields)
     if not names:
         return df
-    work = with_scrubbed(df, names, policy, shared_tokens=token_scope == "row")
+    work = with_scrubbed(df, names, policy, shared_tokens=token_scope == "row", allow=allow)
     at = {f: F.col("_scrubbed").getItem(i) for i, f in enumerate(names)}
     cols = [at[c]["text"].alias(c) if c in at else F.col(f"`{c}`") for c in df.columns]
     if report:

@@ -22,6 +22,8 @@ from maskwell.plans import scratch
 from maskwell.plans.policy import Policy
 
 TOKEN_DDL = "original string, token string"
+#: A stored map, or a function that gives the tokens of some originals.
+Known = DataFrame | Callable[[DataFrame], DataFrame] | None
 
 
 @dataclass(frozen=True)
@@ -108,13 +110,15 @@ def make_tokens(
     spans: DataFrame,
     order: Sequence[str],
     scope: Sequence[str] = (),
-    known: DataFrame | None = None,
+    known: Known = None,
+    last: int | None = None,
 ) -> DataFrame:
     """Token per distinct original: ``scope..., original, token, category, n, uses``.
 
     Numbers follow first occurrence; the category is that of the first span.
     With a stored map, known originals keep their token and new numbers start
-    above its highest one.
+    above its highest one.  The map may be a function from originals to their
+    tokens; the highest number is then given as ``last``.
     """
     scope = list(scope)
     order = [c for c in order if c not in scope]
@@ -125,7 +129,10 @@ def make_tokens(
     if known is not None:
         if scope:
             raise ValueError("a stored token map belongs to the whole dataset")
-        start = last_number(known)
+        if not isinstance(known, DataFrame):
+            firsts = scratch.kept(firsts)
+            known = known(firsts.select("original"))
+        start = last_number(known) if last is None else last
         firsts = firsts.join(known.select("original", "token"), "original", "left")
     fresh = firsts if known is None else firsts.where("token is null").drop("token")
     numbered = number_rows(
@@ -162,8 +169,9 @@ def tokenize(
     policy: Policy | None = None,
     order: Sequence[str] | None = None,
     scope: Sequence[str] = (),
-    known: DataFrame | None = None,
+    known: Known = None,
     split_rows: int = scratch.SPLIT_ROWS,
+    last: int | None = None,
 ) -> Tokenized:
     """Token style with one map per ``scope`` (empty: the whole dataset).
 
@@ -176,7 +184,7 @@ def tokenize(
     names = present(df, fields)
     routed = scan(df, names, policy)
     spans = span_rows(routed, {c: routed.own(c) for c in ids}, names, policy)
-    found, tokens = assign(spans, [*order, "field_at", "start"], scope, known, split_rows)
+    found, tokens = assign(spans, [*order, "field_at", "start"], scope, known, split_rows, last)
     rows = splice(routed, names, found.select(ROW, "field_at", "b0", "b1", "masked"), measured(spans, longest(tokens, "token")))
     listed = found.select(
         *ids, "field", "pattern", "category", "confidence", "original", "masked", "start", "end"
@@ -190,10 +198,10 @@ def longest(tokens: DataFrame, column: str) -> int:
 
 
 def assign(
-    spans: DataFrame, order: Sequence[str], scope: Sequence[str], known: DataFrame | None, split_rows: int
+    spans: DataFrame, order: Sequence[str], scope: Sequence[str], known: Known, split_rows: int, last: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Spans with the token of their original as ``masked``, and the tokens."""
-    tokens = make_tokens(spans, order, scope, known)
+    tokens = make_tokens(spans, order, scope, known, last)
     if known is not None:
         # new and known ones come from different places; without a map the numbered originals are stored already
         tokens = scratch.kept(tokens)

@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from maskwell.operators.tokens import empty_tokens
 from maskwell.plans.policy import PROFILE_DDL, normal_profile
 from maskwell.plans.scratch import kept, none_there
+from maskwell.sources.json_shapes import ddl_of, shape_of
 
 # File types a folder run looks at.
 EXTENSIONS = (".txt", ".json", ".csv", ".log", ".yaml", ".yml", ".xml", ".md", ".env")
@@ -200,24 +201,15 @@ def read_csv(
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
-def json_schema_of(df: DataFrame, column: str) -> str:
+def json_schema_of(df: DataFrame, column: str, most_keys: int = 1_000) -> str:
     """DDL that fits every valid document of a JSON text column (one pass).
 
-    Only the merged schema comes back to the driver, never the documents.
+    An object in whose place the documents have more than ``most_keys``
+    different keys is one where data is used as keys: it becomes a map of one
+    value type.  So the schema stays small; only it comes to the driver.
     """
-    merged = df.select(
-        F.expr(f"schema_of_variant_agg(try_parse_json(`{column}`))").alias("s")
-    ).first()[0]
-    return typed_names(merged) if merged else "STRING"
-
-
-def typed_names(ddl: str) -> str:
-    """DDL with the types that columns cannot have restated; keys, quoted or followed by a colon, stay as they are."""
-
-    def restated(m: re.Match[str]) -> str:
-        return {"OBJECT": "STRUCT", "VOID": "STRING"}.get(m["type"], m[0])
-
-    return re.sub(r"`(?:``|[^`])*`|\w+(?=\s*:)|(?P<type>\bOBJECT(?=<)|\bVOID\b)", restated, ddl)
+    shape = shape_of(df, column, most_keys)
+    return "STRING" if shape is None else ddl_of(shape)
 
 
 def read_allowlist(spark: SparkSession, path: str) -> DataFrame:

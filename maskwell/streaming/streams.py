@@ -2,28 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.errors import AnalysisException
 
 from maskwell.operators import tokens as TK
+from maskwell.operators.allow import exclude_allowed, held
 from maskwell.operators.scrub import scrub_columns
 from maskwell.plans.policy import Policy
-from maskwell.plans.scratch import none_there
+from maskwell.plans.scratch import owned
 from maskwell.sources.writers import summary_events
+from maskwell.streaming.token_store import BUCKETS, MERGE_AFTER, TokenStore
 
 
 def scrub_stream(
-    events: DataFrame, fields: Sequence[str] | str, policy: Policy, report: bool | None = None
+    events: DataFrame,
+    fields: Sequence[str] | str,
+    policy: Policy,
+    report: bool | None = None,
+    allow: DataFrame | None = None,
 ) -> DataFrame:
     """Row by row, no state, no shuffle; runs in append mode.
 
-    The policy is fixed when the query is built; restart to change it.
+    The policy, and an allowlist table, are fixed when the query is built;
+    restart to change them.  See :func:`allowed_stream` for larger tables.
     """
-    return scrub_columns(events, fields, policy, report)
+    return scrub_columns(events, fields, policy, report, allow=None if allow is None else held(allow))
+
+
+def allowed_stream(
+    events: DataFrame,
+    id_cols: Sequence[str] | str,
+    fields: Sequence[str] | str,
+    allow: Callable[[], DataFrame],
+    policy: Policy,
+    path: str,
+    checkpoint: str,
+) -> DataStreamWriter:
+    """Scrub with an allowlist table of any size, read anew for each batch; a replayed batch replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with owned(batch.sparkSession):
+            rows, _ = exclude_allowed(batch, id_cols, fields, allow(), policy)
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        events.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+    )
 
 
 def summary_stream(
@@ -47,14 +75,7 @@ def summary_stream(
 
 def stored_tokens(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """Tokens of all batches below a path, or of those before a batch."""
-    try:
-        table = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    except AnalysisException as error:
-        none_there(error)
-        return TK.empty_tokens(spark)
-    if before is not None:
-        table = table.where(F.col("batch") < before)
-    return table.select("original", "token")
+    return TokenStore(spark, path).table(before)
 
 
 def token_stream(
@@ -64,22 +85,27 @@ def token_stream(
     policy: Policy,
     path: str,
     checkpoint: str,
+    buckets: int = BUCKETS,
+    merge_after: int = MERGE_AFTER,
 ) -> DataStreamWriter:
     """Token style with one map carried over all batches.
 
-    A batch continues from the tokens of earlier batches and stores its new
-    ones under its own id; a replay reads the same earlier tokens and writes
-    the same result again.
+    A batch continues from the tokens of earlier batches, of which it reads
+    the buckets its own originals fall into, and stores its new ones under its
+    own id; a replay reads the same earlier tokens and writes the same result
+    again.  What it stores on the way is deleted with its end.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = stored_tokens(spark, f"{path}/tokens", before=batch_id)
-        got = TK.tokenize(batch, id_cols, fields, policy, known=known)
-        got.tokens.where("n is not null").select("original", "token").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/tokens/batch={batch_id}")
-        got.rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        store = TokenStore(spark, f"{path}/tokens", buckets, merge_after)
+        with owned(spark):
+            store.merge(batch_id)
+            got = TK.tokenize(
+                batch, id_cols, fields, policy, known=lambda o: store.lookup(o, batch_id), last=store.last(batch_id)
+            )
+            store.add(got.tokens.where("n is not null"), batch_id)
+            got.rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     return (
         events.writeStream.foreachBatch(write)

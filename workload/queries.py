@@ -1024,6 +1024,66 @@ def stream_tokens(spark, sf):
     return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/batch=*").select("id", "text")
 
 
+_ALLOWED_USERS = "SELECT 'user' || cast(user_id as string) || '@example.com' AS value FROM events WHERE user_id % 3 = 0"
+_ALLOWED_USERS_SQL = f"original IN ({_ALLOWED_USERS.replace('string', 'varchar')})"
+
+
+def _allowed_users(spark: SparkSession, sf: str) -> DataFrame:
+    users = table(spark, sf, "events").where("user_id % 3 = 0")
+    return users.select(F.expr("'user' || cast(user_id as string) || '@example.com'").alias("value"))
+
+
+@query("stream_allowlist", O.texts(src=EVENTS_SQL, drop=_ALLOWED_USERS_SQL))
+def stream_allowlist(spark, sf):
+    """A table of allowed values on a stream: held by the workers, looked up row by row."""
+    path = new_path(spark, "stream-allow")
+    events = _event_stream(spark, sf).select("id", "text")
+    scrubbed = ST.scrub_stream(events, "text", Policy(), report=False, allow=_allowed_users(spark, sf))
+    ST.run(
+        scrubbed.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", new_path(spark, "stream-state"))
+        .trigger(availableNow=True)
+    )
+    return spark.read.schema(scrubbed.schema).parquet(path).select("id", "text")
+
+
+@query("stream_allowlist_batches", O.texts(src=EVENTS_SQL, drop=_ALLOWED_USERS_SQL))
+def stream_allowlist_batches(spark, sf):
+    """The same with a table of any size, joined batch by batch."""
+    path = new_path(spark, "stream-allow")
+    events = _event_stream(spark, sf).select("id", "text")
+    state = new_path(spark, "stream-state")
+    ST.run(ST.allowed_stream(events, "id", "text", lambda: _allowed_users(spark, sf), Policy(), path, state))
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").select("id", "text")
+
+
+@query("json_schema_data_keys", O.texts("id, text AS value", src=LEAKS_SQL))
+def json_schema_data_keys(spark, sf):
+    """Documents that use their id as a key: one map column, scrubbed as typed JSON."""
+    rows = leaks(spark, sf).select("id", F.to_json(F.create_map(F.lit("by_id"), F.create_map(F.concat(F.lit("k"), "id"), "text")), {"ignoreNullFields": "false"}).alias("doc"))
+    ddl = RD.json_schema_of(rows, "doc", most_keys=100)
+    typed = rows.select("id", F.from_json("doc", ddl).alias("doc"))
+    done = scrub_nested_columns(typed, ["doc"])
+    return done.select("id", F.element_at("doc.by_id", F.concat(F.lit("k"), "id")).alias("value"))
+
+
+@query("stream_tokens_batches", O.texts(src=EVENTS_SQL, style="token", scope=""))
+def stream_tokens_batches(spark, sf):
+    """Five batches that carry one map along, merged on the way; files come in order of the ids."""
+    path, src = new_path(spark, "stream-batches"), new_path(spark, "stream-source")
+    rows = event_lines(table(spark, sf, "events")).select("id", "text")
+    bounds = rows.agg(*(F.percentile("id", F.lit(i / 5)).alias(f"q{i}") for i in range(1, 5))).first()
+    edges = [None, *bounds, None]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        above = F.lit(True) if low is None else F.col("id") > low
+        part = rows.where(above if high is None else above & (F.col("id") <= high))
+        part.coalesce(1).write.mode("append").parquet(src)
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ST.run(ST.token_stream(events, "id", "text", _TOKEN, path, new_path(spark, "stream-state"), merge_after=2))
+    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/batch=*").select("id", "text")
+
+
 # -- ids, keys and sources that are not well-behaved ------------------------------------------------
 
 _NO_NUMBER = r"'-[0-9]{3,}\]', ']'"
