@@ -16,24 +16,42 @@ from .winnow import byte_values, ranges, sums
 LEARN = 10_000
 FOLDS, HELD_OUT, THRESHOLD, LEAK = 4, 2, 0.3, 0.05
 
+#: Bytes of the word beginnings that are features beside the words, as words of one stem differ in their ends.
+BEGINNINGS = (4, 6, 8)
+SALTS = tuple(np.uint64(n * 0x9E3779B97F4A7C15 % 2**64) for n in BEGINNINGS)
+#: Training documents that must hold a feature, and the L1 pull, which is less the more documents there are.
+LEAST, PULL = 5, 0.02
+#: Weights below this share of the strongest are zero but for the size of the steps.
+ZERO = 0.001
+
 TABLE = byte_values()
 #: 1 ends a sentence, 32 separates words; letters are lower-cased; other bytes of UTF-8 stay.
 KINDS = bytes(1 if c in b".!?\n" else c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
 def features(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, sentence and start of every word."""
+    """Hash, sentence and start of every word and of its beginnings, in order of the words."""
     data = np.frombuffer(raw.translate(KINDS), np.uint8)
     inside = data > 32
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64), start, start
-    word = np.empty(len(start), np.uint64)
+    hashes, places = [], []
     for i in range(0, len(start), 1 << 16):
         s, e = start[i : i + (1 << 16)], end[i : i + (1 << 16)]
-        word[i : i + (1 << 16)] = ranges(sums(TABLE[data[s[0] : e[-1]]]), s - s[0], e - s[0])
-    return word, np.cumsum(data == 1)[start], start
+        summed = sums(TABLE[data[s[0] : e[-1]]])
+        parts, owners = [ranges(summed, s - s[0], e - s[0])], [np.arange(len(s))]
+        for size, salt in zip(BEGINNINGS, SALTS, strict=True):
+            long = np.flatnonzero(e - s >= size)
+            parts.append(ranges(summed, s[long] - s[0], s[long] - s[0] + size) ^ salt)
+            owners.append(long)
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        hashes.append(np.concatenate(parts)[order])
+        places.append(owner[order] + i)
+    place = np.concatenate(places)
+    return np.concatenate(hashes), np.cumsum(data == 1)[start][place], start[place]
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -41,7 +59,7 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights of the known words (by sorted hash), the score of a sentence without any, and the leak."""
+    """Weights of the known words and beginnings (by sorted hash), the score of a sentence without any, and the leak."""
 
     def __init__(self, names: np.ndarray, weights: np.ndarray, bias: float, leak: float):
         self.names, self.weights, self.bias, self.leak = names, weights, bias, leak
@@ -72,12 +90,13 @@ def learn(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds:
     """Full-batch Adam on the likelihood of the documents' labels under a leaky noisy-or.
 
     The fixed ``leak`` stands for labels that no sentence explains, so that these don't press weight on chance words; an
-    L1 pull keeps the rest at zero. A word counts once in a sentence; words in fewer than ``least`` documents are left out.
+    L1 pull keeps the rest at zero; what it keeps is fitted again without it. A feature counts once in a sentence; those
+    in fewer than ``LEAST`` documents are left out.
     """
     n = max(len(docs), 1)
-    least, sparse = min(20, max(5, n // 300)), 0.035 / n**0.5
+    sparse = PULL / n**0.5
     seen, times = np.unique(np.concatenate([np.unique(w) for w, _ in docs] or [np.zeros(0, np.uint64)]), return_counts=True)
-    names = seen[times >= least]
+    names = seen[times >= LEAST]
     k = len(names)
     words, owner, of_doc, base = [], [], [], 0
     for d, (word, sentence) in enumerate(docs):
@@ -88,18 +107,18 @@ def learn(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds:
         known = np.flatnonzero(i < k)
         known = known[names[i[known]] == word[known]]
         once = np.unique(number[known] * max(k, 1) + i[known])
-        words.append(once % max(k, 1))
-        owner.append(once // max(k, 1) + base)
+        words.append((once % max(k, 1)).astype(np.int32))
+        owner.append((once // max(k, 1) + base).astype(np.int32))
         of_doc.append(np.full(int(number[-1]) + 1, d))
         base += int(number[-1]) + 1
     if not base or not k or not toxic.any():
         return Model(names[:0], np.zeros(0), -12.0, leak)
     words, owner, of_doc = np.concatenate(words), np.concatenate(owner), np.concatenate(of_doc)
-    share = max(toxic.mean(), 1e-4)
     theta = np.zeros(k + 1)
     base_total = -np.log1p(-leak)
     share = max(toxic.mean(), 1e-4)
     theta[k] = np.log(share / 2 / max(1.0, base / len(docs)))
+
     def descend(words: np.ndarray, owner: np.ndarray, rounds: int, pressure: float) -> None:
         nonlocal theta
         m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -119,8 +138,8 @@ def learn(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds:
             theta = new
 
     descend(words, owner, rounds, sparse)
-    # the pull also shrinks what it keeps: weights that stand out are fitted again without it
-    theta[:k][np.abs(theta[:k]) < np.abs(theta[:k]).max() / 2] = 0
+    # steps of finite size leave weights near zero that the pull holds at zero; it also shrinks what it keeps
+    theta[:k][np.abs(theta[:k]) < ZERO * np.abs(theta[:k]).max()] = 0
     stay = theta[words] != 0
     descend(words[stay], owner[stay], rounds, 0.0)
     stay = np.flatnonzero(theta[:k])
@@ -129,8 +148,12 @@ def learn(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds:
 
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(raw.as_py()) for raw in batch.column("raw")]
-        cols = [pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1)]
+        words, sentences = [], []
+        for raw in batch.column("raw"):
+            word, sentence, _ = features(raw.as_py())
+            words.append(word.tobytes())
+            sentences.append(sentence.astype(np.int32).tobytes())
+        cols = [pa.array(c, pa.binary()) for c in (words, sentences)]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), *cols], names=["toxic", "word", "sentence"])
 
 
@@ -138,7 +161,7 @@ def learned_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, toxic = [], []
     for batch in batches:
         for t, b, s in zip(*(batch.column(c).to_pylist() for c in ("toxic", "word", "sentence")), strict=True):
-            docs.append((np.frombuffer(b, np.uint64), np.frombuffer(s, np.int64)))
+            docs.append((np.frombuffer(b, np.uint64), np.frombuffer(s, np.int32)))
             toxic.append(t == 1)
     model = learn(docs, np.array(toxic, bool))
     cols = [pa.array([model.names.view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([model.weights.tolist()], pa.list_(pa.float64())), pa.array([model.bias])]

@@ -236,6 +236,36 @@ def test_toxicity(spark):
     assert toxicity.scored(docs, marks.where("false")).where("predicted = 1").count() == 0
 
 
+def test_toxic_words_that_share_only_a_stem(spark):
+    rng = random.Random(12)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 5)))
+    rows, labels = [], []
+    for i in range(1500):
+        w = [word() for _ in range(rng.randint(10, 50))]
+        bad = i % 8 == 0
+        if bad:
+            w[rng.randrange(len(w))] = rng.choice(("\u00f6dzork", "grumpf")) + word()
+        rows.append((i, ". ".join(" ".join(w[j : j + 9]) for j in range(0, len(w), 9)), "s"))
+        labels.append((i, int(bad)))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.scored(frame(spark, rows), marks).where("held_out").collect()
+    truth = dict(labels)
+    caught = [r["predicted"] for r in got if truth[r["doc_id"]]]
+    left = [r["predicted"] for r in got if not truth[r["doc_id"]]]
+    assert sum(caught) >= 0.95 * len(caught) and sum(left) <= 0.01 * len(left)
+
+
+def test_features_of_long_and_odd_texts():
+    words = ["ab", "abcd", "abcdef", "abcdefghi", "\u00e9\u00e9\u00e9\u00e9x"] * 20_000
+    found, sentence, start = toxicity.features(" ".join(words).encode())
+    sizes = [sum(len(w.encode()) >= n for n in toxicity.BEGINNINGS) + 1 for w in words]
+    assert len(found) == sum(sizes) == len(sentence) == len(start) and (np.diff(start) >= 0).all()
+    few, _, _ = toxicity.features(" ".join(words[:5]).encode())
+    assert (found[: len(few)] == few).all() and (found[-len(few) :] == few).all() and len(set(few.tolist())) == 11
+    assert all(len(x) == 0 for x in toxicity.features(b" . ! "))
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     words = [f"q{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
