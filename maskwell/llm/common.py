@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOCAL: dict[str, str] = {}
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -21,8 +23,9 @@ def work_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        # the setting itself is the cluster's and cannot be changed by a session
+        app = spark.sparkContext.applicationId
+        path = _LOCAL[app] = _LOCAL.get(app) or tempfile.mkdtemp(prefix="llm-")
     return path.rstrip("/")
 
 
