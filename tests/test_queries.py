@@ -16,7 +16,8 @@ QUICK = (
     "event_policy allowlist_join custom_mask_native custom_mask_python profile_overlay standard_patterns "
     "scrub_fields_report findings_filter sample_table kpi_bucket last_24h audit_text batch_totals "
     "scrub_json_typed scrub_csv_cells sink_union_csv sink_audit_json tokens_continue tokens_document "
-    "stream_scrub stream_summary stream_tokens"
+    "stream_scrub stream_summary stream_tokens stream_tokens_batches stream_allowlist tree_errors long_values "
+    "long_files json_schema_data_keys"
 ).split()
 NAMES = list(entry_point.QUERIES) if os.environ.get("MASKWELL_ALL") else QUICK
 
