@@ -76,3 +76,12 @@ def test_pipeline_near_copies_share_four_fifths_of_five_words(spark, sf_dir):
     got = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(least.values())
     assert 900 in least.values() and 901 not in least.values()
+
+
+def test_near_copies_are_told_apart_by_row(spark, sf_dir):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a, 0), (1, b, 1), (2, a, 2), (None, b, 3), (None, "else " * 9, 4), (None, None, 5), (None, None, 6), (3, " ", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    got = corpus_pipeline.without_near_copies(spark, docs, sf_dir)
+    assert got.columns == docs.columns and sorted(r["_row"] for r in got.collect()) == [0, 1, 4, 5, 6, 7]
+    assert corpus_pipeline.without_near_copies(spark, docs.where("false"), sf_dir).count() == 0

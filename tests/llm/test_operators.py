@@ -203,6 +203,55 @@ def test_jaccard_join(spark, limit, monkeypatch):
     assert len({c for _, _, c in want}) < len(want)
 
 
+def test_sets_without_a_common_shingle_share_no_key():
+    rng = random.Random(3)
+    levels, seen = jaccard_join.Levels(80), Counter()
+    for i in range(3000):
+        text = " ".join(f"u{i}x{rng.randrange(10**6)}" for _ in range(rng.randint(13, 22)))
+        seen.update(set(levels.keys(jaccard_join.shingle_set(text.encode(), 5)).tolist()))
+    assert max(seen.values()) == 1
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_a_key(percent):
+    rng = random.Random(percent)
+    levels = jaccard_join.Levels(percent)
+    for n in [*range(1, 60), 100, 250, 700, 2500]:
+        for _ in range(20):
+            a = {rng.randrange(1 << 64) for _ in range(n)}
+            gone = rng.randint(0, n * (100 - percent) // 100)
+            b = set(rng.sample(sorted(a), n - gone))
+            while 100 * len(a & b) >= percent * (len(a | b) + 1) and rng.random() < 0.9:
+                b.add(rng.randrange(1 << 64))
+            x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+            assert np.intersect1d(levels.keys(x), levels.keys(y)).size
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = random.Random(8)
+    sets = []
+    for n in (1, 5, 63, 64, 65, 127, 129, 300, 520):
+        a = [rng.randrange(1 << 64) for _ in range(n)]
+        sets += [a, a[: max(1, n - n // 12)], a + [rng.randrange(1 << 64) for _ in range(n // 6)]]
+    arrays = [np.unique(np.array(a, np.uint64)) for a in sets]
+    n = np.array([len(a) for a in arrays])
+    found = list(jaccard_join.possible(n, [jaccard_join.bit_rows(a).tobytes() for a in arrays], np.zeros(len(n), int), 80))
+    root = list(range(len(n)))
+    for x, y in found:
+        root = [root[x] if r == root[y] else r for r in root]
+    for x in range(len(n)):
+        for y in range(x):
+            both = len(np.intersect1d(arrays[x], arrays[y]))
+            assert 100 * both < 80 * (n[x] + n[y] - both) or root[x] == root[y]
+
+
+def test_jaccard_join_of_a_key_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, a, "s"), (1, b, "s"), (2, a + " x", "s"), (0, b + " x", "s"), (None, a, "s"), (None, "alone here", "s")]
+    got = sorted(((r[0], r[2]) for r in jaccard_join.join(frame(spark, rows)).collect()), key=key)
+    assert got == sorted([(1, 1), (1, 0), (2, 1), (0, 0), (None, 1), (None, None)], key=key)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 100), (7, 7)]
     got = {r["v"]: r["c"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
