@@ -13,19 +13,31 @@ from maskwell.llm import decontamination, jaccard_join, mixing, sharding, toxici
 from maskwell.llm.common import kept, table
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; of rows that repeat an id, one. Rows without an id stay.
+    """The document of the smallest id of each group (ids that are null come last).
 
-    Documents link if at least 80 percent of their distinct 5-word shingles are shared, unlike in op7.
+    Documents link if at least 80 percent of their distinct 5-word shingles are shared, unlike in op7. Rows are told
+    apart by a stored number, so ids may be null or repeated: only rows linked by their texts are copies. Documents
+    without words stay.
     """
-    parts = jaccard_join.join(docs.where("doc_id is not null"), size=5, percent=80)
-    spare = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(spare, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    row = unused(docs, "_row")
+    stored = kept(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    parts = jaccard_join.join(stored, size=5, percent=80, key=row)
+    ranked = parts.join(stored.select(row, F.col("doc_id").alias("_doc")), row)
+    best = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull().alias("_none"), "_doc", row)).alias("_best"))
+    return stored.join(best.select(F.col(f"_best.{row}").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +49,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number; documents without words once."""
     taken = mixing.mix(docs).documents
     times = F.when(F.sum("size") == 0, 1).otherwise(F.round(F.sum("taken") / F.sum("size"))).cast("int")
-    copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(times.alias("_times")).where("_times > 0")
-    return docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    ident, count, copy = (unused(docs, x) for x in ("_id", "_times", "_copy"))
+    copies = taken.groupBy(F.col("doc_id").alias(ident)).agg(times.alias(count)).where(F.col(count) > 0)
+    repeated = docs.join(copies, docs["doc_id"].eqNullSafe(F.col(ident))).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count))))
+    return repeated.select(docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
