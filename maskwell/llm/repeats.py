@@ -4,9 +4,8 @@ Every window of ``length`` units holds an anchor: the least ``k``-unit hash amon
 windows of a text that share an anchor form a block. Equal windows lie at the same place of blocks with the same anchor
 hash, so blocks are gathered by that hash and nothing else has to meet. Steps:
 
-1. Blocks of all texts, as hash, 128-bit digest and place (no text); kept.
-2. Equal blocks become one class with a count; hashes seen once are dropped. Classes of a count above one are repeated
-   as a whole.
+1. Blocks of all texts, as hash, 128-bit digest and place (no text); kept. Those whose hash is seen once are dropped.
+2. Equal blocks become one class with a count. Classes of a count above one are repeated as a whole.
 3. Where one hash has several classes, one copy of each class is cut from a text that holds it and compared inside the
    hash's group (``compare``): which stretch of each class is covered by windows that also occur in another class or
    twice in it. Hashes of more classes than ``wide`` are taken apart into single windows, counted by digest.
@@ -186,16 +185,24 @@ class Found:
     covered: DataFrame
 
 
+def twice(apart: DataFrame) -> DataFrame:
+    """The single windows of wide hashes whose content occurs more than once."""
+    return apart.join(apart.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1"), ["w1", "w2"])
+
+
 def find(docs: DataFrame, units: Units, text: str = "text", wide: int = WIDE) -> Found:
     texts = identified(docs, text)
     made = texts.select("raw", "t1", "t2").where(F.octet_length("raw") >= units.length)
     blocks = kept(made.mapInArrow(block_rows(units), BLOCKS), "blocks")
     copies = kept(texts.groupBy("t1", "t2").agg(F.count("*").alias("c")).where("c > 1").select("t1", "t2", F.lit(True).alias("copied")), "copies")
 
-    # classes: partial sums before the shuffle, so a hot class is one row for each task
-    classes = blocks.groupBy("h", "d1", "d2").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("t1", "t2", "at", "n", "off")))
-    hashes = classes.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("c").alias("seen")).where("seen > 1")
-    classes = kept(classes.join(hashes, "h").drop("seen"), "classes")
+    # partial sums before the shuffles, so a hot hash or class is one row for each task; a hash seen once meets nothing,
+    # so only hashes travel to find those out, and the wide rows of the others once
+    met = blocks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    again = kept(blocks.join(met, "h", "left_semi"), "met")
+    classes = again.groupBy("h", "d1", "d2").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("t1", "t2", "at", "n", "off")))
+    classes = kept(classes, "counted")
+    classes = kept(classes.join(classes.groupBy("h").agg(F.count("*").alias("kinds")), "h"), "classes")
     whole = classes.where("c > 1").select("d1", "d2", F.lit(0).alias("lo"), F.col("n").alias("hi"))
 
     several = classes.where("kinds > 1").withColumn("wide", F.col("kinds") > wide)
@@ -204,12 +211,11 @@ def find(docs: DataFrame, units: Units, text: str = "text", wide: int = WIDE) ->
     near = pieces.where("piece is not null").select("h", "d1", "d2", "off", "piece")
     parts = near.repartition("h").sortWithinPartitions("h", "d1", "d2").mapInArrow(cover_rows(units), COVERS)
     apart = pieces.where("piece is null")
-    again = apart.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1")
-    split = apart.join(again, ["w1", "w2"]).groupBy("d1", "d2").agg(F.min("off").alias("lo"), (F.max("off") + units.length).alias("hi"))
+    split = twice(apart).groupBy("d1", "d2").agg(F.min("off").alias("lo"), (F.max("off") + units.length).alias("hi"))
     cover = whole.unionByName(parts).unionByName(split).groupBy("d1", "d2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # kept, so that the join has plain exchanges below it and Spark can split a hot class
     cover = kept(cover, "cover")
-    stretches = blocks.select("d1", "d2", "t1", "t2", "at").join(cover, ["d1", "d2"])
+    stretches = again.select("d1", "d2", "t1", "t2", "at").join(cover, ["d1", "d2"])
     covered = stretches.select("t1", "t2", (F.col("at") + F.col("lo")).alias("at"), (F.col("at") + F.col("hi")).alias("end"))
     return Found(texts.join(copies, ["t1", "t2"], "left"), blocks, pieces, covered)
 
