@@ -18,14 +18,19 @@ from .super_kmers import Words
 from .winnow import mixed
 
 FOLDS, HELD_OUT = 7, 2
-#: Least number of classes and of words in each: the model's own words; all others share the last one.
-CLASSES, PER_CLASS = 64, 64
-#: Words of so many training tokens are the model's own, beyond those of the least size; classes grow with their root.
+#: Outcomes of each decision on the way to a word; the least number of the model's own words. All others share the last.
+BRANCH = 64
+LEAST = BRANCH * BRANCH
+#: Words of so many training tokens are the model's own, beyond the least number; decisions grow with the logarithm.
 OWN = 5
 WIDTH, CONTEXT = 16, 2
 #: So many tokens, the most frequent ones, are looked up inside tasks; the rest is joined.
 HEAD = 1_000_000
 BATCH, NOISE = 16_384, 24
+#: Groups handled at once, tokens scored at once.
+GROUPS, STEP = 512, 65_536
+#: Numbers in a row of parameters: a word's as context and as outcome.
+ROW = 2 * WIDTH + 1
 END = mixed(np.array([0x1234567], np.uint64))[0]
 
 
@@ -95,8 +100,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
-    classes = max(CLASSES, math.isqrt(int((c >= OWN).sum())) + 1)
-    m = classes * classes
+    m = max(LEAST, (int((c >= OWN).sum()) // BRANCH + 1) * BRANCH)
     own = np.lexsort((h, -c))[: m - 1]
     ids = np.full(len(h), m - 1, np.int64)
     ids[own] = np.arange(len(own))
@@ -108,36 +112,64 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(h, c, ids, names, own_ids, word_counts, int(total), int(types))
 
 
+def runs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted groups with equally many places: the groups, and the places as one row for each."""
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.append(first, len(group)))
+    for n in np.unique(sizes):
+        start = first[sizes == n]
+        for i in range(0, len(start), GROUPS):
+            part = start[i : i + GROUPS]
+            yield group[part], part[:, None] + np.arange(n)
+
+
 class LogBilinear:
-    """Predicted vector ``sum over j of q[context j] @ C[j]``; class and word in class score by inner product and bias."""
+    """Predicted vector ``sum over j of q[context j] @ C[j]``; it decides by inner products and biases among ``BRANCH``
+    outcomes at each node of a tree whose leaves are the words by falling frequency."""
 
     def __init__(self, word_counts: np.ndarray):
         rng = np.random.default_rng(7)
         m = len(word_counts)
-        self.classes = self.per_class = math.isqrt(m)
         f = np.float32
         self.q = rng.normal(0, 0.1, (m, WIDTH)).astype(f)
         self.c = np.stack([np.eye(WIDTH) + rng.normal(0, 0.05, (WIDTH, WIDTH)) for _ in range(CONTEXT)]).astype(f)
-        by_class = np.maximum(word_counts, 0.5).reshape(self.classes, self.per_class)
-        mass = by_class.sum(axis=1)
-        self.class_share = (mass / mass.sum()).astype(f)
-        self.word_share = (by_class / mass[:, None]).astype(f)
-        self.cw = np.concatenate([rng.normal(0, 0.1, (self.classes, WIDTH)), np.log(self.class_share)[:, None]], axis=1).astype(f)
-        self.ww = np.concatenate([rng.normal(0, 0.1, (m, WIDTH)), np.log(self.word_share).reshape(-1, 1)], axis=1).astype(f)
+        mass = [np.maximum(word_counts, 0.5).reshape(-1, BRANCH)]
+        while len(mass[0]) > 1:
+            up = mass[0].sum(axis=1)
+            mass.insert(0, np.pad(up, (0, -len(up) % BRANCH)).reshape(-1, BRANCH))
+        # from the root to the words: shares of the outcomes, how many words lie below one, weights and biases
+        shares = [np.maximum(x / x.sum(axis=1, keepdims=True), 1e-12).astype(f) for x in mass]
+        self.below = [BRANCH**i for i in reversed(range(len(mass)))]
+        self.noise = [NOISE * x for x in shares]
+        self.tables = [np.concatenate([rng.normal(0, 0.1, (*x.shape, WIDTH)), np.log(x)[..., None]], axis=2).astype(f) for x in shares]
 
     def params(self) -> list[np.ndarray]:
-        return [self.q, self.c, self.cw, self.ww]
-
-    def rows(self) -> np.ndarray:
-        """All parameters as rows of ``WIDTH + 1`` numbers."""
-        flat = np.concatenate([p.reshape(-1) for p in self.params()])
-        return np.pad(flat, (0, -len(flat) % (WIDTH + 1))).reshape(-1, WIDTH + 1)
-
-    def load(self, rows: np.ndarray) -> None:
-        flat, at = rows.reshape(-1).astype(np.float32), 0
-        for p in self.params():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
+        return [self.q, self.c, *self.tables]
+
+    def inner(self) -> list[np.ndarray]:
+        """The parameters that belong to no word, as rows."""
+        return [self.c.reshape(-1, WIDTH), *(t.reshape(-1, WIDTH + 1) for t in self.tables[:-1])]
+
+    def rows(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, tokens and values of each row of parameters with tokens; ``seen``: the tokens of each word."""
+        ids = np.arange(len(seen))
+        weights = [np.full(CONTEXT * WIDTH, seen.sum())]
+        weights += [np.bincount(ids // b, seen, t.shape[0] * BRANCH) for t, b in zip(self.tables[:-1], self.below, strict=False)]
+        values = [np.pad(v, ((0, 0), (0, ROW - v.shape[1]))) for v in self.inner()]
+        n = np.concatenate([*weights, seen])
+        at = np.flatnonzero(n)
+        return at, n[at], np.concatenate([*values, np.concatenate([self.q, self.tables[-1].reshape(-1, WIDTH + 1)], axis=1)])[at]
+
+    def load(self, at: np.ndarray, values: np.ndarray) -> None:
+        """Takes over rows by number; the others stay as they are."""
+        base = 0
+        for v in self.inner():
+            s = slice(*np.searchsorted(at, [base, base + len(v)]))
+            v[at[s] - base] = values[s, : v.shape[1]]
+            base += len(v)
+        s = slice(np.searchsorted(at, base), None)
+        self.q[at[s] - base] = values[s, :WIDTH]
+        self.tables[-1].reshape(-1, WIDTH + 1)[at[s] - base] = values[s, WIDTH:]
 
     @staticmethod
     def contexts(ids: np.ndarray, start: np.ndarray, end_id: int) -> list[np.ndarray]:
@@ -153,83 +185,77 @@ class LogBilinear:
         return out
 
     def learn(self, ids: np.ndarray, contexts: list[np.ndarray], state: list[np.ndarray], rate: float) -> None:
-        """A pass over the tokens in batches, with steps by AdaGrad."""
+        """A pass over the tokens in batches, with steps by AdaGrad on the rows that a batch meets."""
+
+        def step(p: np.ndarray, s: np.ndarray, at, g: np.ndarray) -> None:
+            s[at] += g * g
+            p[at] -= rate * g / (np.sqrt(s[at]) + 1e-6)
+
         for a in range(0, len(ids), BATCH):
             x = ids[a : a + BATCH]
-            order = np.argsort(x // self.per_class, kind="stable")
+            order = np.argsort(x, kind="stable")
             x = x[order]
             ctx = [c[a : a + BATCH][order] for c in contexts]
-            kind = x // self.per_class
             gathered = [self.q[c] for c in ctx]
-            r = np.empty((len(x), WIDTH + 1), np.float32)
+            r = np.ones((len(x), WIDTH + 1), np.float32)
             r[:, :WIDTH] = sum(g @ self.c[j] for j, g in enumerate(gathered))
-            r[:, WIDTH] = 1
-            grad = [np.zeros_like(p) for p in self.params()]
             back = np.zeros((len(x), WIDTH), np.float32)
-            self._contrast(r, kind, self.cw, self.class_share, grad[2], back)
-            # words inside the class
-            edges = np.searchsorted(kind, np.arange(self.classes + 1))
-            for k in np.flatnonzero(np.diff(edges)):
-                s, own = slice(edges[k], edges[k + 1]), slice(k * self.per_class, (k + 1) * self.per_class)
-                self._contrast(r[s], x[s] - k * self.per_class, self.ww[own], self.word_share[k], grad[3][own], back[s])
-            for j, g in enumerate(gathered):
-                grad[1][j] += g.T @ back
-                down = back @ self.c[j].T
-                o = np.argsort(ctx[j], kind="stable")
-                at = np.flatnonzero(np.diff(ctx[j][o], prepend=-1))
-                grad[0][ctx[j][o][at]] += np.add.reduceat(down[o], at)
-            for p, g, s in zip(self.params(), grad, state, strict=True):
-                s += g * g
-                p -= rate * g / (np.sqrt(s) + 1e-6)
-
-    @staticmethod
-    def _contrast(r: np.ndarray, target: np.ndarray, out: np.ndarray, share: np.ndarray, grad: np.ndarray, back: np.ndarray) -> None:
-        """Gradients of the noise-contrastive loss: each target against ``NOISE`` draws from ``share``.
-
-        A factor has few outcomes, so the draws enter by their expectation, which has no sampling error.
-        """
-        weight = np.float32(NOISE) * share
-        odds = r @ out.T - np.log(weight)
-        np.clip(odds, -30, 30, out=odds)
-        here = np.arange(len(r))
-        up = 1 / (1 + np.exp(odds[here, target]))
-        np.negative(odds, out=odds)
-        np.exp(odds, out=odds)
-        odds += 1
-        spread = weight / odds
-        spread[here, target] -= up
-        grad += spread.T @ r
-        back += spread @ out[:, :-1]
+            for table, noise, below, s in zip(self.tables, self.noise, self.below, state[2:], strict=True):
+                node = x // below
+                for group, at in runs(node // BRANCH):
+                    w, here = table[group], r[at]
+                    spread = contrast(here @ w.transpose(0, 2, 1), node[at] % BRANCH, noise[group][:, None])
+                    back[at] += spread @ w[:, :, :WIDTH]
+                    step(table, s, group, spread.transpose(0, 2, 1) @ here)
+            down = np.concatenate([back @ c.T for c in self.c])
+            step(self.c, state[1], slice(None), np.stack([g.T @ back for g in gathered]))
+            ctx = np.concatenate(ctx)
+            o = np.argsort(ctx, kind="stable")
+            at = np.flatnonzero(np.diff(ctx[o], prepend=-1))
+            step(self.q, state[0], ctx[o][at], np.add.reduceat(down[o], at))
 
     def log10(self, ids: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        """Normalised log10 probability of each token, by batched matrix products over classes and over a class's words."""
-        tables = [self.q @ self.c[j] for j in range(CONTEXT)]
+        """Normalised log10 probability of each token, by batched matrix products over the nodes on its way."""
+        tables = [self.q @ c for c in self.c]
         out = np.empty(len(ids), np.float64)
-        step = max(1024, 4 * BATCH * CLASSES // self.classes)
-        for a in range(0, len(ids), step):
-            x = ids[a : a + step]
-            order = np.argsort(x // self.per_class, kind="stable")
+        for a in range(0, len(ids), STEP):
+            x = ids[a : a + STEP]
+            order = np.argsort(x, kind="stable")
             x = x[order]
-            r = np.empty((len(x), WIDTH + 1), np.float32)
-            r[:, :WIDTH] = sum(t[c[a : a + step][order]] for t, c in zip(tables, contexts, strict=True))
-            r[:, WIDTH] = 1
-            kind = x // self.per_class
-            value = picked(r @ self.cw.T, kind)
-            edges = np.searchsorted(kind, np.arange(self.classes + 1))
-            for k in np.flatnonzero(np.diff(edges)):
-                s = slice(edges[k], edges[k + 1])
-                value[s] += picked(r[s] @ self.ww[k * self.per_class : (k + 1) * self.per_class].T, x[s] - k * self.per_class)
+            r = np.ones((len(x), WIDTH + 1), np.float32)
+            r[:, :WIDTH] = sum(t[c[a : a + STEP][order]] for t, c in zip(tables, contexts, strict=True))
+            value = np.zeros(len(x))
+            for table, below in zip(self.tables, self.below, strict=True):
+                node = x // below
+                for group, at in runs(node // BRANCH):
+                    value[at] += picked(r[at] @ table[group].transpose(0, 2, 1), node[at] % BRANCH)
             out[a + order] = value
         return out / np.log(10)
 
 
+def contrast(odds: np.ndarray, target: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Slopes of the noise-contrastive loss by score: each target against ``NOISE`` draws from the node's shares.
+
+    A node has few outcomes, so the draws enter by their expectation, which has no sampling error.
+    """
+    odds -= np.log(noise)
+    np.clip(odds, -30, 30, out=odds)
+    own = np.take_along_axis(odds, target[..., None], -1)
+    np.negative(odds, out=odds)
+    np.exp(odds, out=odds)
+    odds += 1
+    spread = noise / odds
+    here = np.take_along_axis(spread, target[..., None], -1)
+    np.put_along_axis(spread, target[..., None], here - 1 / (1 + np.exp(own)), -1)
+    return spread
+
+
 def picked(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log of the softmax at one place of each row."""
-    top = scores.max(axis=1)
-    scores -= top[:, None]
-    own = scores[np.arange(len(scores)), at].astype(np.float64)
+    scores -= scores.max(axis=-1, keepdims=True)
+    own = np.take_along_axis(scores, at[..., None], -1)[..., 0].astype(np.float64)
     np.exp(scores, out=scores)
-    return own - np.log(scores.sum(axis=1, dtype=np.float64))
+    return own - np.log(scores.sum(axis=-1, dtype=np.float64))
 
 
 def sequences(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,10 +277,40 @@ def chunks(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[int, in
         yield a, batch.num_rows, held
 
 
-def train(texts: DataFrame, words: Vocabulary, rate: float = 0.1) -> LogBilinear:
-    """Every task learns from all its texts, starting from the same parameters; these are then averaged by tokens read."""
-    model = LogBilinear(words.word_counts)
-    n_rows = len(model.rows())
+def packed(values: np.ndarray) -> pa.Array:
+    """Rows of parameters as 16-bit numbers."""
+    flat = np.ascontiguousarray(values, np.float16)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * ROW), len(flat), [None, pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, ROW)
+
+
+def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each number, weighted by tokens; rows come sorted by number."""
+    at, n, v = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, ROW))
+
+    def made(rows: slice) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at[rows]), packed(v[rows] / n[rows, None])], names=["row", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        more = batch.column("seen").to_numpy()
+        at, n = np.append(at[-1:], batch.column("row").to_numpy()), np.append(n[-1:], more)
+        v = np.concatenate([v[-1:], unpacked(batch.column("v")) * more[:, None]])
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        at, n, v = at[first], np.add.reduceat(n, first), np.add.reduceat(v, first)
+        yield made(slice(0, -1))
+    if len(at):
+        yield made(slice(-1, None))
+
+
+def train(texts: DataFrame, words: Vocabulary, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Every task learns from all its texts, starting from the same parameters. It hands on the rows of the words and
+    nodes it has met, as 16-bit numbers; each row is averaged over its tasks by the tokens that met it. So what is
+    exchanged grows with the texts, not with tasks times vocabulary. Gives numbers and values of all rows."""
     shared = texts.sparkSession.sparkContext.broadcast((words.own, words.own_ids, words.word_counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,24 +319,22 @@ def train(texts: DataFrame, words: Vocabulary, rate: float = 0.1) -> LogBilinear
         local = LogBilinear(word_counts)
         state = [np.full_like(p, 1.0) for p in local.params()]
         end_id = int(v.model_ids(np.array([END]))[0])
-        seen = 0
+        seen = np.zeros(len(word_counts))
         for batch in batches:
             for _, _, raws in chunks(batch):
                 h, start = sequences(raws)
                 ids = v.model_ids(h)
                 local.learn(ids, local.contexts(ids, start, end_id), state, rate)
-                seen += len(ids)
-        if seen:
-            rows = local.rows()
-            cols = [pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), float(seen))), pa.FixedSizeListArray.from_arrays(pa.array(rows.astype(np.float64).reshape(-1)), WIDTH + 1).cast(pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "seen", "v"])
+                seen += np.bincount(ids, minlength=len(seen))
+        if seen.any():
+            at, n, values = local.rows(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n), packed(values)], names=["row", "seen", "v"])
 
-    found = texts.mapInArrow(run, "row long, seen double, v array<double>")
-    mean = found.groupBy("row").agg(*((F.sum(F.col("v")[i] * F.col("seen")) / F.sum("seen")).alias(f"v{i}") for i in range(WIDTH + 1)))
-    table = mean.orderBy("row").toArrow()  # one row for each row of parameters
-    if table.num_rows == n_rows:
-        model.load(np.stack([table[f"v{i}"].to_numpy() for i in range(WIDTH + 1)], axis=1))
-    return model
+    found = texts.mapInArrow(run, "row long, seen double, v binary")
+    mean = found.repartition("row").sortWithinPartitions("row", "seen", "v").mapInArrow(averaged, "row long, v binary")
+    table = mean.toArrow().combine_chunks()  # one row for each row of parameters
+    order = np.argsort(table["row"].to_numpy())
+    return table["row"].to_numpy()[order], unpacked(table["v"])[order]
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
@@ -288,8 +342,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
 
     Tokens are the words of the whole text (A-Z lower-cased) and one end. Counts cover all rows outside the held-out
     fold. ``base_score`` adds ``log10((c + 1) / (N + V + 1))``. The model knows all words of ``OWN`` or more
-    training tokens in the head, in classes of equal size; the log-bilinear vector of the two tokens before predicts the class and the word in it, both
-    normalised. All other words share one place of the model, times ``c + 1`` over the sum of that for them.
+    training tokens in the head, as leaves of a tree; the log-bilinear vector of the two tokens before predicts the branch at
+    each of its nodes, normalised. All other words share one place of the model, times ``c + 1`` over the sum of that for them.
 
     Counts of the ``head`` most frequent tokens are looked up inside the tasks, those of the others are joined by
     token. Null and empty texts consist of the end alone. Repeated rows count and are scored each. Without training
@@ -301,14 +355,13 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
     known = texts.where("not held_out").select("raw")
     counts = kept(known.mapInArrow(count_rows, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
     words = vocabulary(counts, head)
-    model = train(known, words)
-    shared = docs.sparkSession.sparkContext.broadcast((*vars(words).values(), model.rows()))
+    shared = docs.sparkSession.sparkContext.broadcast((*vars(words).values(), *train(known, words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *fields, rows = shared.value
+        *fields, at, values = shared.value
         v = Vocabulary(*fields)
         m = LogBilinear(v.word_counts)
-        m.load(rows)
+        m.load(at, values)
         end_id = int(v.model_ids(np.array([END]))[0])
         number = TaskContext.get().partitionId() << 33
         for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Found, Units, find, grouped, merged, over_segments, with_spans
+from .repeats import WIDE, Found, Units, find, grouped, merged, over_segments, twice, with_spans
 from .winnow import anchors, byte_values, rolling
 
 TABLE = byte_values()
@@ -132,15 +132,19 @@ def group_rows(length: int):
     return run
 
 
-def repeat_groups(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeat_groups(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", wide: int = WIDE) -> DataFrame:
     """All occurrences of the maximal repeats of at least ``length`` bytes: ``repeat``, ``n_bytes``, ``key``, ``at``.
 
     A group is maximal inside its blocks, which reach at most ``length`` bytes past an anchor on the right; a longer
-    repeat comes as a chain of overlapping groups. Blocks that are equal as a whole are a group of their own.
+    repeat comes as a chain of overlapping groups. Blocks that are equal as a whole are a group of their own. Anchors
+    with more than ``wide`` different blocks give their repeats as chains of windows of ``length`` bytes.
     """
-    found = find(docs, units(length, length // 2), text)
+    found = find(docs, units(length, length // 2), text, wide)
     near = found.pieces.where("piece is not null").select("h", "d1", "d2", "off", "piece")
     parts = near.repartition("h").sortWithinPartitions("h", "d1", "d2").mapInArrow(group_rows(length), "repeat string, n_bytes int, d1 long, d2 long, lo int")
+    split = twice(found.pieces.where("piece is null"))
+    name = F.concat(F.hex("w1"), F.hex("w2"))
+    parts = parts.unionByName(split.select(name.alias("repeat"), F.lit(length).alias("n_bytes"), "d1", "d2", F.col("off").alias("lo")))
     seen = found.texts.select(F.col(key).alias("_key"), "t1", "t2")
     placed = found.blocks.select("d1", "d2", "t1", "t2", "at", "n").join(seen, ["t1", "t2"])
     same = placed.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1")

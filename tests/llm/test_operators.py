@@ -7,9 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from maskwell.llm import decontamination, jaccard_join, language_model, mixing, sharding, suffix_dedup, super_kmers, topk, toxicity, url_filters
+from maskwell.llm import decontamination, jaccard_join, language_model, mixing, sharding, suffix_dedup, super_kmers, topk, toxicity, url_filters, winnow
 from maskwell.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -49,7 +50,9 @@ def covered(seqs, length):
         yield marks
 
 
-def test_suffix_dedup(spark, rows):
+@pytest.mark.parametrize("wide", [4096, 1])
+def test_suffix_dedup(spark, rows, wide, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.find, "__defaults__", ("text", wide))
     got = suffix_dedup.without_repeats(frame(spark, rows), 60).collect()
     raws = [(t or "").encode() for _, t, _ in rows]
     want = []
@@ -71,6 +74,32 @@ def test_repeat_groups_hold_all_occurrences(spark):
     assert {x for (i, s), n in at.items() if i == 1 for x in range(s, s + n)} == set(range(1, 91))
 
 
+@pytest.mark.parametrize("wide", [4096, 1])
+def test_repeat_groups_cover_what_repeats(spark, wide):
+    rng = random.Random(9)
+    part = "".join(chr(97 + rng.randrange(26)) for _ in range(90))
+    texts = [str(i) * 3 + part + str(i) * 5 for i in range(6)] + [part[:20] * 5, "q" * 70 + part, "z" * 59]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[-2:])), "doc_id long, text string").coalesce(1)
+    marks = {i: set() for i in range(len(texts) + 2)}
+    for r in suffix_dedup.repeat_groups(docs, 60, wide=wide).collect():
+        marks[r["doc_id"]] |= set(range(r["at"], r["at"] + r["n_bytes"]))
+    raws = [t.encode() for t in texts + texts[-2:]]
+    for i, m in enumerate(covered(raws, 60)):
+        assert marks[i] == {j for j, x in enumerate(m) if x}
+
+
+def test_long_texts_are_cut_into_segments_without_loss(monkeypatch):
+    raw = random.Random(3).randbytes(5000)
+    whole = suffix_dedup.units(60, 30).blocks(raw)
+    monkeypatch.setattr(winnow, "SEGMENT", 700)
+    parts = suffix_dedup.units(60, 30).blocks(raw)
+
+    def anchor_of(blocks):
+        return {at: place for _, place, first, last in zip(*(x.tolist() for x in blocks), strict=True) for at in range(first, last + 1)}
+
+    assert len(parts[0]) > len(whole[0]) and anchor_of(parts) == anchor_of(whole) and len(anchor_of(whole)) == 5000 - 59
+
+
 def test_interval_scan_finds_every_group():
     texts = [b"abcx", b"abcy", b"abd", b"q", b"abcx"]
     groups = {(d, tuple(sorted(m for c in cs for m in c))) for d, cs in suffix_dedup.intervals(texts)}
@@ -391,7 +420,7 @@ def test_language_model_is_normalised_and_learns():
     rng = np.random.default_rng(1)
     start = rng.integers(0, 20, 4000)
     ids = np.stack([start, start + 100, start + 200], axis=1).reshape(-1)
-    counts = np.bincount(ids, minlength=language_model.CLASSES * language_model.PER_CLASS).astype(float) + 0.5
+    counts = np.bincount(ids, minlength=language_model.LEAST).astype(float) + 0.5
     model = language_model.LogBilinear(counts)
     ctx = model.contexts(ids, np.array([0]), 0)
     before = model.log10(ids, ctx).mean()
@@ -399,10 +428,32 @@ def test_language_model_is_normalised_and_learns():
     for _ in range(30):
         model.learn(ids, ctx, state, 0.3)
     assert model.log10(ids, ctx).mean() > before + 0.3
-    every = np.arange(language_model.CLASSES * language_model.PER_CLASS)
+    every = np.arange(language_model.LEAST)
     assert math.isclose((10 ** model.log10(every, [np.full(len(every), 5), np.full(len(every), 105)])).sum(), 1, rel_tol=1e-4)
 
 
+def test_language_model_rows_are_averaged_by_tokens():
+    counts = np.arange(70_000 // 64 * 64, dtype=float)
+    model, seen = language_model.LogBilinear(counts), np.zeros(len(counts))
+    assert [len(t) for t in model.tables] == [1, 18, 1093]
+    seen[[3, 69_000]] = 2, 5
+    at, n, values = model.rows(seen)
+    other = language_model.LogBilinear(counts)
+    for p in other.params():
+        p[...] = 9
+    other.load(at, values)
+    for p, q in zip(model.params(), other.params(), strict=True):
+        same = (p == q).reshape(-1)
+        assert same.all() == (p is model.c) and same.any()
+    assert (other.q[[3, 69_000]] == model.q[[3, 69_000]]).all() and (other.q[4] == 9).all()
+    twice = np.repeat(np.arange(len(at)), 2)
+    weights = np.tile([1.0, 3.0], len(at))
+    rows = pa.RecordBatch.from_arrays([pa.array(twice), pa.array(weights), language_model.packed(values[twice] * np.tile([4, 0], len(at))[:, None])], names=["row", "seen", "v"])
+    got = list(language_model.averaged(iter([rows.slice(0, 7), rows.slice(7)])))
+    assert np.concatenate([b.column("row") for b in got]).tolist() == list(range(len(at)))
+    assert np.allclose(np.concatenate([language_model.unpacked(b.column("v")) for b in got]), values, atol=0.01)
+
+
 def test_language_model_vocabulary_grows_with_the_corpus(spark):
     counts = spark.range(20_000).selectExpr("id * 7919 + 1 AS h", "5 + id % 3 AS c")
     words = language_model.vocabulary(counts)
