@@ -19,16 +19,16 @@ from .winnow import mixed
 
 FOLDS, HELD_OUT = 7, 2
 #: Outcomes of each decision on the way to a word; the least number of the model's own words. All others share the last.
-BRANCH = 64
-LEAST = BRANCH * BRANCH
+BRANCH = 32
+LEAST = 4096
 #: Words of so many training tokens are the model's own, beyond the least number; decisions grow with the logarithm.
 OWN = 5
 WIDTH, CONTEXT = 16, 2
 #: So many tokens, the most frequent ones, are looked up inside tasks; the rest is joined.
 HEAD = 1_000_000
 BATCH, NOISE = 16_384, 24
-#: Groups handled at once, tokens scored at once.
-GROUPS, STEP = 512, 65_536
+#: Places handled at once, tokens scored at once.
+PLACES, STEP = 8192, 65_536
 #: Numbers in a row of parameters: a word's as context and as outcome.
 ROW = 2 * WIDTH + 1
 END = mixed(np.array([0x1234567], np.uint64))[0]
@@ -113,14 +113,21 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
 
 
 def runs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted groups with equally many places: the groups, and the places as one row for each."""
+    """Sorted groups with about equally many places: the groups, and the places as one row for each.
+
+    Rows are filled up, by a quarter at most, with the place behind the last one.
+    """
     first = np.flatnonzero(np.diff(group, prepend=-1))
     sizes = np.diff(np.append(first, len(group)))
-    for n in np.unique(sizes):
-        start = first[sizes == n]
-        for i in range(0, len(start), GROUPS):
-            part = start[i : i + GROUPS]
-            yield group[part], part[:, None] + np.arange(n)
+    grain = 1 << np.maximum(np.frexp(sizes)[1] - 3, 0)
+    rounded = -(-sizes // grain) * grain
+    for n in np.unique(rounded):
+        which = np.flatnonzero(rounded == n)
+        most = max(1, PLACES // int(n))
+        for i in range(0, len(which), most):
+            part = which[i : i + most]
+            reach = np.arange(n)
+            yield group[first[part]], np.where(reach < sizes[part, None], first[part, None] + reach, len(group))
 
 
 class LogBilinear:
@@ -131,7 +138,8 @@ class LogBilinear:
         rng = np.random.default_rng(7)
         m = len(word_counts)
         f = np.float32
-        self.q = rng.normal(0, 0.1, (m, WIDTH)).astype(f)
+        self.q = rng.standard_normal((m, WIDTH), f)
+        self.q *= f(0.1)
         self.c = np.stack([np.eye(WIDTH) + rng.normal(0, 0.05, (WIDTH, WIDTH)) for _ in range(CONTEXT)]).astype(f)
         mass = [np.maximum(word_counts, 0.5).reshape(-1, BRANCH)]
         while len(mass[0]) > 1:
@@ -141,11 +149,18 @@ class LogBilinear:
         shares = [np.maximum(x / x.sum(axis=1, keepdims=True), 1e-12).astype(f) for x in mass]
         self.below = [BRANCH**i for i in reversed(range(len(mass)))]
         self.noise = [NOISE * x for x in shares]
-        self.tables = [np.concatenate([rng.normal(0, 0.1, (*x.shape, WIDTH)), np.log(x)[..., None]], axis=2).astype(f) for x in shares]
+        self.log_noise = [np.log(x) for x in self.noise]
+        self.tables = [np.zeros((*x.shape, WIDTH + 1), f) for x in shares]
+        for t, x in zip(self.tables, shares, strict=True):
+            t[..., WIDTH] = np.log(x)
 
     def params(self) -> list[np.ndarray]:
         return [self.q, self.c, *self.tables]
 
+    def state(self) -> list[np.ndarray]:
+        """What AdaGrad sums up: squared slopes by row."""
+        return [np.ones(p.shape[:-1], np.float32) for p in self.params()]
+
     def inner(self) -> list[np.ndarray]:
         """The parameters that belong to no word, as rows."""
         return [self.c.reshape(-1, WIDTH), *(t.reshape(-1, WIDTH + 1) for t in self.tables[:-1])]
@@ -155,10 +170,12 @@ class LogBilinear:
         ids = np.arange(len(seen))
         weights = [np.full(CONTEXT * WIDTH, seen.sum())]
         weights += [np.bincount(ids // b, seen, t.shape[0] * BRANCH) for t, b in zip(self.tables[:-1], self.below, strict=False)]
-        values = [np.pad(v, ((0, 0), (0, ROW - v.shape[1]))) for v in self.inner()]
-        n = np.concatenate([*weights, seen])
-        at = np.flatnonzero(n)
-        return at, n[at], np.concatenate([*values, np.concatenate([self.q, self.tables[-1].reshape(-1, WIDTH + 1)], axis=1)])[at]
+        inner, words = np.concatenate(weights), np.flatnonzero(seen)
+        met = np.flatnonzero(inner)
+        values = np.concatenate([np.pad(v, ((0, 0), (0, ROW - v.shape[1]))) for v in self.inner()])[met]
+        leaves = self.tables[-1].reshape(-1, WIDTH + 1)
+        own = np.concatenate([self.q[words], leaves[words]], axis=1)
+        return np.append(met, words + len(inner)), np.append(inner[met], seen[words]), np.concatenate([values, own])
 
     def load(self, at: np.ndarray, values: np.ndarray) -> None:
         """Takes over rows by number; the others stay as they are."""
@@ -185,11 +202,12 @@ class LogBilinear:
         return out
 
     def learn(self, ids: np.ndarray, contexts: list[np.ndarray], state: list[np.ndarray], rate: float) -> None:
-        """A pass over the tokens in batches, with steps by AdaGrad on the rows that a batch meets."""
+        """A pass over the tokens in batches, with steps by AdaGrad on the rows that a batch meets, one rate a row."""
 
-        def step(p: np.ndarray, s: np.ndarray, at, g: np.ndarray) -> None:
-            s[at] += g * g
-            p[at] -= rate * g / (np.sqrt(s[at]) + 1e-6)
+        def step(p: np.ndarray, s: np.ndarray, at, old: np.ndarray, g: np.ndarray) -> None:
+            s[at] += np.einsum("...i,...i->...", g, g) / g.shape[-1]
+            g *= rate / np.sqrt(s[at])[..., None]
+            p[at] = np.subtract(old, g, out=g)
 
         for a in range(0, len(ids), BATCH):
             x = ids[a : a + BATCH]
@@ -197,65 +215,76 @@ class LogBilinear:
             x = x[order]
             ctx = [c[a : a + BATCH][order] for c in contexts]
             gathered = [self.q[c] for c in ctx]
-            r = np.ones((len(x), WIDTH + 1), np.float32)
-            r[:, :WIDTH] = sum(g @ self.c[j] for j, g in enumerate(gathered))
-            back = np.zeros((len(x), WIDTH), np.float32)
-            for table, noise, below, s in zip(self.tables, self.noise, self.below, state[2:], strict=True):
+            r, back = inputs(sum(g @ self.c[j] for j, g in enumerate(gathered))), np.zeros((len(x) + 1, WIDTH), np.float32)
+            for table, noise, logs, below, s in zip(self.tables, self.noise, self.log_noise, self.below, state[2:], strict=True):
                 node = x // below
+                target = np.append(node % BRANCH, 0)
                 for group, at in runs(node // BRANCH):
                     w, here = table[group], r[at]
-                    spread = contrast(here @ w.transpose(0, 2, 1), node[at] % BRANCH, noise[group][:, None])
+                    spread = contrast(here @ w.transpose(0, 2, 1), target[at], noise[group][:, None], logs[group][:, None])
                     back[at] += spread @ w[:, :, :WIDTH]
-                    step(table, s, group, spread.transpose(0, 2, 1) @ here)
+                    step(table, s, group, w, spread.transpose(0, 2, 1) @ here)
+            back = back[:-1]
             down = np.concatenate([back @ c.T for c in self.c])
-            step(self.c, state[1], slice(None), np.stack([g.T @ back for g in gathered]))
+            step(self.c, state[1], slice(None), self.c, np.stack([g.T @ back for g in gathered]))
             ctx = np.concatenate(ctx)
             o = np.argsort(ctx, kind="stable")
             at = np.flatnonzero(np.diff(ctx[o], prepend=-1))
-            step(self.q, state[0], ctx[o][at], np.add.reduceat(down[o], at))
+            rows = ctx[o[at]]
+            step(self.q, state[0], rows, self.q[rows], np.add.reduceat(down[o], at))
 
     def log10(self, ids: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """Normalised log10 probability of each token, by batched matrix products over the nodes on its way."""
-        tables = [self.q @ c for c in self.c]
         out = np.empty(len(ids), np.float64)
         for a in range(0, len(ids), STEP):
             x = ids[a : a + STEP]
             order = np.argsort(x, kind="stable")
             x = x[order]
-            r = np.ones((len(x), WIDTH + 1), np.float32)
-            r[:, :WIDTH] = sum(t[c[a : a + STEP][order]] for t, c in zip(tables, contexts, strict=True))
-            value = np.zeros(len(x))
+            r, value = inputs(sum(self.q[c[a : a + STEP][order]] @ self.c[j] for j, c in enumerate(contexts))), np.zeros(len(x) + 1)
             for table, below in zip(self.tables, self.below, strict=True):
                 node = x // below
+                target = np.append(node % BRANCH, 0)
                 for group, at in runs(node // BRANCH):
-                    value[at] += picked(r[at] @ table[group].transpose(0, 2, 1), node[at] % BRANCH)
-            out[a + order] = value
+                    value[at] += picked(r[at] @ table[group].transpose(0, 2, 1), target[at])
+            out[a + order] = value[:-1]
         return out / np.log(10)
 
 
-def contrast(odds: np.ndarray, target: np.ndarray, noise: np.ndarray) -> np.ndarray:
+def inputs(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with a one for the bias, and a row of zeros behind them."""
+    r = np.zeros((len(vectors) + 1, WIDTH + 1), np.float32)
+    r[:-1, :WIDTH] = vectors
+    r[:-1, WIDTH] = 1
+    return r
+
+
+def places(target: np.ndarray) -> np.ndarray:
+    """Where the targets lie among the outcomes of all rows, one after the other."""
+    return np.arange(0, target.size * BRANCH, BRANCH) + target.reshape(-1)
+
+
+def contrast(scores: np.ndarray, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> np.ndarray:
     """Slopes of the noise-contrastive loss by score: each target against ``NOISE`` draws from the node's shares.
 
     A node has few outcomes, so the draws enter by their expectation, which has no sampling error.
     """
-    odds -= np.log(noise)
-    np.clip(odds, -30, 30, out=odds)
-    own = np.take_along_axis(odds, target[..., None], -1)
-    np.negative(odds, out=odds)
+    odds = np.subtract(log_noise, scores, out=scores)
+    np.minimum(odds, 80, out=odds)
     np.exp(odds, out=odds)
     odds += 1
-    spread = noise / odds
-    here = np.take_along_axis(spread, target[..., None], -1)
-    np.put_along_axis(spread, target[..., None], here - 1 / (1 + np.exp(own)), -1)
+    at = places(target)
+    own = 1 - 1 / odds.reshape(-1)[at]
+    spread = np.divide(noise, odds, out=odds)
+    spread.reshape(-1)[at] -= own
     return spread
 
 
-def picked(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+def picked(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of the softmax at one place of each row."""
     scores -= scores.max(axis=-1, keepdims=True)
-    own = np.take_along_axis(scores, at[..., None], -1)[..., 0].astype(np.float64)
+    own = scores.reshape(-1)[places(target)].reshape(target.shape).astype(np.float64)
     np.exp(scores, out=scores)
-    return own - np.log(scores.sum(axis=-1, dtype=np.float64))
+    return own - np.log(scores.sum(axis=-1))
 
 
 def sequences(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +293,7 @@ def sequences(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
 
 
-def chunks(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def chunks(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """Rows ``[a, b)`` of a batch whose texts have about ``most`` bytes."""
     a, size, held = 0, 0, []
     for i, raw in enumerate(batch.column("raw")):
@@ -317,7 +346,7 @@ def train(texts: DataFrame, words: Vocabulary, rate: float = 0.1) -> tuple[np.nd
         own, own_ids, word_counts = shared.value
         v = Vocabulary(own, own, own_ids, own, own_ids, word_counts, 0, 0)
         local = LogBilinear(word_counts)
-        state = [np.full_like(p, 1.0) for p in local.params()]
+        state = local.state()
         end_id = int(v.model_ids(np.array([END]))[0])
         seen = np.zeros(len(word_counts))
         for batch in batches:

@@ -424,7 +424,7 @@ def test_language_model_is_normalised_and_learns():
     model = language_model.LogBilinear(counts)
     ctx = model.contexts(ids, np.array([0]), 0)
     before = model.log10(ids, ctx).mean()
-    state = [np.full_like(p, 1.0) for p in model.params()]
+    state = model.state()
     for _ in range(30):
         model.learn(ids, ctx, state, 0.3)
     assert model.log10(ids, ctx).mean() > before + 0.3
@@ -433,9 +433,9 @@ def test_language_model_is_normalised_and_learns():
 
 
 def test_language_model_rows_are_averaged_by_tokens():
-    counts = np.arange(70_000 // 64 * 64, dtype=float)
+    counts = np.arange(69_984, dtype=float)
     model, seen = language_model.LogBilinear(counts), np.zeros(len(counts))
-    assert [len(t) for t in model.tables] == [1, 18, 1093]
+    assert [len(t) for t in model.tables] == [1, 3, 69, 2187]
     seen[[3, 69_000]] = 2, 5
     at, n, values = model.rows(seen)
     other = language_model.LogBilinear(counts)
@@ -444,7 +444,7 @@ def test_language_model_rows_are_averaged_by_tokens():
     other.load(at, values)
     for p, q in zip(model.params(), other.params(), strict=True):
         same = (p == q).reshape(-1)
-        assert same.all() == (p is model.c) and same.any()
+        assert same.any() and (same.all() or p is not model.c)
     assert (other.q[[3, 69_000]] == model.q[[3, 69_000]]).all() and (other.q[4] == 9).all()
     twice = np.repeat(np.arange(len(at)), 2)
     weights = np.tile([1.0, 3.0], len(at))
