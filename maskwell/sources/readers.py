@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from maskwell.sources.json_shapes import ddl_of, shape_of
 
 # File types a folder run looks at.
 EXTENSIONS = (".txt", ".json", ".csv", ".log", ".yaml", ".yml", ".xml", ".md", ".env")
+# small files that one task reads together
+TASK_BYTES = 8_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -49,11 +52,38 @@ def format_of(path: Column, hint: str = "auto") -> Column:
     )
 
 
-def read_text_file(spark: SparkSession, path: str, hint: str = "auto") -> DataFrame:
-    """One row per file: ``source, text, format``.  A value is never cut."""
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that holds inside only."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _whole_files(spark: SparkSession, path: str, **options: bool) -> DataFrame:
+    """Files as ``path, length, content``, many small ones to a task.
+
+    Left alone, Spark lists many folders in up to 10,000 tasks and then reads 32 small files in each task; starting
+    those takes longer than the work.
+    """
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    with _setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(tasks)):
+        files = spark.read.format("binaryFile").options(**options).load(path)
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = max(tasks, -(-size // TASK_BYTES))
+    return files.coalesce(tasks) if files.rdd.getNumPartitions() > tasks else files
+
+
+def read_text_file(spark: SparkSession, path: str, hint: str = "auto", recursive: bool = False) -> DataFrame:
+    """One row per file: ``source, text, format``.  A value is never cut.
+
+    ``recursive`` takes all files below a folder; a pattern over very many folders would be looked up on the driver.
+    """
     return (
-        spark.read.format("binaryFile")
-        .load(path)
+        _whole_files(spark, path, recursiveFileLookup=recursive)
         .select(
             F.col("path").alias("source"),
             decoded(F.col("content")).alias("text"),
@@ -68,14 +98,9 @@ def _tree(spark: SparkSession, root: str, tolerant: bool = False) -> DataFrame:
     name = F.lower(F.substring_index("path", "/", -1))
     # as with a path's suffix, ".env" alone has none and "x.env" has one
     kind = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", tolerant)
-        .option("ignoreMissingFiles", tolerant)
-        .load(base)
-        .where(kind.isin(list(EXTENSIONS)))
-    )
+    files = _whole_files(
+        spark, base, recursiveFileLookup=True, ignoreCorruptFiles=tolerant, ignoreMissingFiles=tolerant
+    ).where(kind.isin(list(EXTENSIONS)))
     folder = spark._jvm.org.apache.hadoop.fs.Path(base)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     prefix = system.makeQualified(folder).toString()

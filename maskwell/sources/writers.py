@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwell.operators.audit import audit_report, audit_rows
 
@@ -12,6 +19,42 @@ def write_text(df: DataFrame, column: str, path: str, mode: str = "error") -> No
     df.select(F.col(column).alias("value")).write.mode(mode).text(path)
 
 
+def write_folders(df: DataFrame, key: str, column: str, path: str) -> None:
+    """One text file for each value of an integer column, ``<key>=<value>/part.txt``, with a line for each of its rows.
+
+    ``path`` is a new folder that all executors share. Tasks write the files of a ``file:`` folder themselves: there
+    Spark's writer needs tens of milliseconds of a core for each file. In other stores Spark's writer is used, with files
+    put in place by the tasks, not by the driver.
+    """
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise ValueError("folders are named by an integer column")
+    rows = df.select(F.col(key).alias("k"), F.col(column).alias("v")).repartition("k")
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).makeQualified(folder).toUri()
+    if root.getScheme() != "file":
+        named = rows.withColumnsRenamed({"k": key})
+        named.write.partitionBy(key).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+        return
+    base = root.getPath()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt, files = TaskContext.get().taskAttemptId(), 0
+        lines = (line for b in batches for line in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for value, same in groupby(lines, lambda line: line[0]):
+            place = f"{base}/{key}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
+            os.makedirs(place, exist_ok=True)
+            # whole or not there, should two attempts write it
+            with open(f"{place}/.part-{attempt}", "wb") as out:
+                out.writelines((text or b"") + b"\n" for _, text in same)
+            os.replace(f"{place}/.part-{attempt}", f"{place}/part.txt")
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": [files]})
+
+    done = rows.withColumn("v", F.col("v").cast("binary")).sortWithinPartitions("k").mapInArrow(write, "files long")
+    os.makedirs(base)
+    done.agg(F.sum("files")).first()
+
+
 def write_tree(scrubbed: DataFrame, path: str, mode: str = "error") -> None:
     """Mirror of a folder run: one row per source file, partitioned by format."""
     scrubbed.select("rel_path", "text", "format").write.mode(mode).partitionBy("format").parquet(path)

@@ -194,3 +194,33 @@ def test_schema_of_odd_keys(spark):
     schema = json_schema_of(df, "t")
     got = df.select(F.from_json("t", schema).alias("v")).first().v.asDict(recursive=True)
     assert got == {"VOIDED_BY": "x", "VOID": None, "OBJECT<": {"OBJECT": None}, "a`:VOID": 1}
+
+
+def test_very_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    rows = spark.range(1400).select(F.col("id").alias("key"), F.concat(F.lit("mail a@b.io "), "id").alias("text"))
+    root = str(tmp_path / "many")
+    WR.write_folders(rows, "key", "text", root)
+    most = 4 * spark.sparkContext.defaultParallelism
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    tree, below = RD.read_tree(spark, root), RD.read_text_file(spark, root, "text", recursive=True)
+    assert spark.conf.get(setting) == before
+    for files in (tree, below, RD.list_tree(spark, root)):
+        assert files.count() == 1400
+        assert files.rdd.getNumPartitions() <= most
+    assert {r.rel_path: r.text for r in tree.collect()} == {f"key={i}/part.txt": f"mail a@b.io {i}\n" for i in range(1400)}
+
+
+def test_folders_hold_the_rows_of_a_key(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ä"), (2, None), (1, "b"), (None, "c"), (3, "")], "key long, text string")
+    root = str(tmp_path / "folders")
+    WR.write_folders(rows, "key", "text", root)
+    got = {r.rel_path: sorted(r.text.split("\n")) for r in RD.read_tree(spark, root).collect()}
+    assert got == {
+        "key=1/part.txt": ["", "b", "ä"],
+        "key=2/part.txt": ["", ""],
+        "key=3/part.txt": ["", ""],
+        "key=__HIVE_DEFAULT_PARTITION__/part.txt": ["", "c"],
+    }
+    with pytest.raises(ValueError):
+        WR.write_folders(rows, "text", "text", str(tmp_path / "other"))

@@ -1228,8 +1228,8 @@ def long_files(spark, sf):
 def text_files(spark, sf):
     """Documents as single text files, each read as one value."""
     path = new_path(spark, "files")
-    documents(spark, sf).select("id", "text").repartition("id").write.partitionBy("id").text(path)
-    one = RD.read_text_file(spark, f"{path}/id=*/*.txt", "text")
+    WR.write_folders(documents(spark, sf), "id", "text", path)
+    one = RD.read_text_file(spark, path, "text", recursive=True)
     done = D.scrub_files(one)
     return done.select(F.regexp_extract("source", r"id=(\d+)/", 1).cast("long").alias("id"), F.size("findings").alias("n"))
 
@@ -1241,7 +1241,7 @@ def text_files(spark, sf):
 def tree_errors(spark, sf):
     """One file of a folder is gone when it is its turn; the others are scrubbed, and it is counted."""
     path = new_path(spark, "tree")
-    documents(spark, sf).select("id", "text").repartition("id").write.partitionBy("id").text(path)
+    WR.write_folders(documents(spark, sf), "id", "text", path)
     listing = kept(RD.list_tree(spark, path))
     files = RD.read_tree(spark, path, unreadable="skip")
     gone = listing.orderBy(F.regexp_extract("rel_path", r"id=(\d+)/", 1).cast("long")).first()["source"]
@@ -1259,6 +1259,6 @@ def tree_errors(spark, sf):
 def tree_source_totals(spark, sf):
     """Documents as files of a folder tree, read back and counted file by file."""
     path = new_path(spark, "tree")
-    documents(spark, sf).select("id", "text").repartition("id").write.partitionBy("id").text(path)
+    WR.write_folders(documents(spark, sf), "id", "text", path)
     files = D.scrub_files(RD.read_tree(spark, path))
     return files.select(F.regexp_extract("rel_path", r"id=(\d+)/", 1).cast("long").alias("id"), F.size("findings").alias("n"))
