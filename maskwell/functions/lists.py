@@ -23,13 +23,16 @@ def quoted(value: str) -> str:
 
 
 def let(value: str, name: str, body: str) -> str:
-    """Evaluate ``value`` once and use it as ``name`` in ``body``."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+    """Evaluate ``value`` once and use it as ``name`` in ``body``.
+
+    ``[0]`` would derive the type of the whole body anew for every row.
+    """
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def apply(value: Column, name: str, body: str) -> Column:
     """Evaluate SQL text with ``name`` standing for a column."""
-    return F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")).getItem(0)
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), 1)
 
 
 def empty(ddl: str) -> str:

@@ -22,17 +22,21 @@ from maskwell.sources.json_shapes import ddl_of, shape_of
 EXTENSIONS = (".txt", ".json", ".csv", ".log", ".yaml", ".yml", ".xml", ".md", ".env")
 # small files that one task reads together
 TASK_BYTES = 8_000_000
+# rows that one task scans
+TASK_ROWS = 50_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a part of a small input.
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Give every core a part of an input, and no task more than about ``rows`` of its rows.
 
-    A scan of a few small files has fewer partitions than there are cores,
-    and scanning text is all CPU.  An input with enough partitions, as any
-    large one has, is left as it is: no shuffle of text.
+    A scan of a few small files has fewer partitions than there are cores, and
+    scanning text is all CPU.  One of a large file has about one for each core
+    however large it is, and its row groups fall on them unevenly.  An input
+    with enough partitions is left as it is: no shuffle of text.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = max(cores, -(-df.count() // rows))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def decoded(content: Column) -> Column:

@@ -224,3 +224,11 @@ def test_folders_hold_the_rows_of_a_key(spark, tmp_path):
     }
     with pytest.raises(ValueError):
         WR.write_folders(rows, "text", "text", str(tmp_path / "other"))
+
+
+def test_an_input_is_spread_by_its_rows(spark):
+    rows = spark.range(0, 1000, 1, 10)
+    assert RD.spread(rows).rdd.getNumPartitions() == 10
+    spread = RD.spread(rows, 30)
+    assert spread.rdd.getNumPartitions() == 34
+    assert spread.agg(F.sum("id")).first()[0] == 499_500
