@@ -1,4 +1,8 @@
-"""The same scrub on streams, stateless, plus tokens and summaries per batch."""
+"""The same scrub on streams, stateless, plus tokens and summaries per batch.
+
+A batch of one large file has few parts; where batches are written by hand, they are spread over tasks first, which
+costs a count of the batch.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from maskwell.operators.allow import exclude_allowed, held
 from maskwell.operators.scrub import scrub_columns
 from maskwell.plans.policy import Policy
 from maskwell.plans.scratch import owned
+from maskwell.sources.readers import spread
 from maskwell.sources.writers import summary_events
 from maskwell.streaming.token_store import BUCKETS, MERGE_AFTER, TokenStore
 
@@ -44,7 +49,7 @@ def allowed_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with owned(batch.sparkSession):
-            rows, _ = exclude_allowed(batch, id_cols, fields, allow(), policy)
+            rows, _ = exclude_allowed(spread(batch), id_cols, fields, allow(), policy)
             rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
@@ -63,7 +68,7 @@ def summary_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scrubbed = scrub_columns(batch, fields, policy)
+        scrubbed = scrub_columns(spread(batch), fields, policy)
         summary_events(scrubbed).write.mode("overwrite").text(f"{path}/batch={batch_id}")
 
     return (
@@ -102,7 +107,7 @@ def token_stream(
         with owned(spark):
             store.merge(batch_id)
             got = TK.tokenize(
-                batch, id_cols, fields, policy, known=lambda o: store.lookup(o, batch_id), last=store.last(batch_id)
+                spread(batch), id_cols, fields, policy, known=lambda o: store.lookup(o, batch_id), last=store.last(batch_id)
             )
             store.add(got.tokens.where("n is not null"), batch_id)
             got.rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
