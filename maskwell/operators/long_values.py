@@ -79,10 +79,11 @@ def _candidates(chunks: DataFrame, ids: list[str], policy: Policy, halo: int, ah
     wide = F.struct(F.concat("_left", F.coalesce("text", F.lit("")), "_right").alias("w"), F.length("_left").alias("c"), F.octet_length("_left").alias("b"))
     scan = let(S.candidates_sql("_r.w", policy.active()), "_all", _at_core("_all", "_r.c", "_r.b"))
     size = F.coalesce(F.length("text"), F.lit(0))
-    found = barrier(near, _cands=apply(wide, "_r", scan)).withColumn("_len", size)
+    # lengths are taken once for a chunk, not for each candidate: they walk the whole text
+    found = barrier(near, _cands=apply(wide, "_r", scan), _len=size, _reach=size + F.length("_right") - ahead)
     last = F.filter("_cands", lambda c: (c["start"] >= 0) & (c["start"] < F.col("_len")) & (c["end"] > F.col("_len")))
     over = F.transform(last, lambda c: F.struct(c["rank"].alias("rank"), (c["end"] - F.col("_len")).alias("chars")))
-    torn = F.exists("_cands", lambda c: (c["start"] >= 0) & (c["start"] < F.col("_len")) & (c["end"] > F.col("_len") + F.length("_right") - ahead))
+    torn = F.exists("_cands", lambda c: (c["start"] >= 0) & (c["start"] < F.col("_len")) & (c["end"] > F.col("_reach")))
     shown = found.select(*ids, "chunk", "_base", "_len", "_cands", over.alias("_over"), (torn & F.col("_more")).alias("_torn"))
     return scratch.kept(shown)
 
