@@ -25,14 +25,14 @@ def quoted(value: str) -> str:
 def let(value: str, name: str, body: str) -> str:
     """Evaluate ``value`` once and use it as ``name`` in ``body``.
 
-    ``[0]`` would derive the type of the whole body anew for every row.
+    As the start of an aggregate over nothing it is neither put into an array nor is the result copied, as by ``transform``.
     """
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    return f"aggregate(array(), {value}, (_same, _) -> _same, {name} -> {body})"
 
 
 def apply(value: Column, name: str, body: str) -> Column:
     """Evaluate SQL text with ``name`` standing for a column."""
-    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), 1)
+    return F.call_function("aggregate", F.array(), value, F.expr("(_same, _) -> _same"), F.expr(f"{name} -> {body}"))
 
 
 def empty(ddl: str) -> str:

@@ -49,7 +49,7 @@ def _found(text: str, p: PatternSpec) -> str:
 
 
 def _place(text: str, patterns: Sequence[PatternSpec]) -> str:
-    """Spans of one pattern's matches ``_s.found`` with the gaps between them."""
+    """Spans of the matches ``_f`` of the pattern ``_rank`` with the gaps between them."""
     # what lies before each match; \G ties a search to the end of the last one
     def scans(group: int, wanted: Iterable[tuple[int, PatternSpec]]) -> str:
         return " ".join(
@@ -60,7 +60,7 @@ def _place(text: str, patterns: Sequence[PatternSpec]) -> str:
     # what the first group holds, seen where the match is: a match alone has lost what lies around it
     by_group = [(i, p) for i, p in enumerate(patterns) if p.by_group]
     part = "nullif(_parts[_i], '')" if by_group else "cast(NULL AS string)"
-    pairs = f"transform(_s.found, (_m, _i) -> struct(_m AS m, _gaps[_i] AS gap, {part} AS part))"
+    pairs = f"transform(_f, (_m, _i) -> struct(_m AS m, _gaps[_i] AS gap, {part} AS part))"
 
     def step(at: str, p: str) -> str:
         measure = (
@@ -68,7 +68,7 @@ def _place(text: str, patterns: Sequence[PatternSpec]) -> str:
             f"{at}.b + octet_length({p}.gap) AS b0, octet_length({p}.m) AS size)"
         )
         span = (
-            "struct(_at.start AS start, -_at.len AS neg_len, _s.rank AS rank, "
+            "struct(_at.start AS start, -_at.len AS neg_len, _rank AS rank, "
             "_at.start + _at.len AS `end`, _at.b0 AS b0, _at.b0 + _at.size AS b1, "
             f"{p}.m AS original, {p}.part AS part)"
         )
@@ -77,22 +77,32 @@ def _place(text: str, patterns: Sequence[PatternSpec]) -> str:
 
     placed = running(pairs, "struct(0 AS c, 0 AS b)", step, SPAN)
     if by_group:
-        placed = let(f"CASE _s.rank {scans(2, by_group)} END", "_parts", placed)
-    return let(f"CASE _s.rank {scans(1, enumerate(patterns))} END", "_gaps", placed)
+        placed = let(f"CASE _rank {scans(2, by_group)} END", "_parts", placed)
+    placed = let(f"CASE _rank {scans(1, enumerate(patterns))} END", "_gaps", placed)
+    # a single match whose text occurs once lies where its text does, which needs no second look by the regex
+    gap, size = "substring_index({t}, _m, 1)".format(t=text), "octet_length(_m)"
+    alone = (
+        "array(struct(length(_gap) AS start, -length(_m) AS neg_len, _rank AS rank, length(_gap) + length(_m) AS `end`, "
+        f"octet_length(_gap) AS b0, octet_length(_gap) + {size} AS b1, _m AS original, cast(NULL AS string) AS part))"
+    )
+    once = f"octet_length(_gap) + {size} + octet_length(substring_index({text}, _m, -1)) = octet_length({text})"
+    single = "size(_f) = 1"
+    if by_group:
+        single += f" AND _rank NOT IN ({', '.join(str(i) for i, _ in by_group)})"
+    quick = let("_f[0]", "_m", let(gap, "_gap", f"if({once}, {alone}, cast(NULL AS array<{SPAN}>))"))
+    return f"coalesce(if({single}, {quick}, cast(NULL AS array<{SPAN}>)), {placed})"
 
 
 def candidates_sql(text: str, patterns: Sequence[PatternSpec]) -> str:
     """Each pattern's own non-overlapping matches, in resolution order."""
     if not patterns:
         return empty(SPAN)
-    scans = ", ".join(
-        f"struct({i} AS rank, {_found(text, p)} AS found)" for i, p in enumerate(patterns)
-    )
-    hits = f"filter(array({scans}), _s -> size(_s.found) > 0)"
+    founds = f"array({', '.join(_found(text, p) for p in patterns)})"
+    placed = f"flatten(transform(_founds, (_f, _rank) -> if(size(_f) > 0, {_place(text, patterns)}, {empty(SPAN)})))"
+    body = let(placed, "_all", "if(size(_all) < 2, _all, sort_array(_all))")
     if any(p.needs_digit for p in patterns):
-        hits = let(f"rlike({text}, {quoted(HAS_DIGIT)})", "_digit", hits)
-    placed = f"sort_array(flatten(transform(_hits, _s -> {_place(text, patterns)})))"
-    return let(hits, "_hits", f"if(size(_hits) = 0, {empty(SPAN)}, {placed})")
+        return let(f"rlike({text}, {quoted(HAS_DIGIT)})", "_digit", let(founds, "_founds", body))
+    return let(founds, "_founds", body)
 
 
 def sweep_sql(cands: str, start: str = "0") -> str:
@@ -116,7 +126,8 @@ def spans_sql(text: str, policy: Policy) -> str:
         # many are better kept in a table (see allow.exclude_allowed)
         values = ", ".join(quoted(v) for v in sorted(policy.allowlist))
         cands = f"filter({cands}, _c -> _c.original NOT IN ({values}))"
-    return let(cands, "_cands", f"if(size(_cands) < 2, _cands, {sweep_sql('_cands')})")
+    two = "if(_cands[1].start >= _cands[0].`end`, _cands, slice(_cands, 1, 1))"
+    return let(cands, "_cands", f"CASE WHEN size(_cands) < 2 THEN _cands WHEN size(_cands) = 2 THEN {two} ELSE {sweep_sql('_cands')} END")
 
 
 # -- masks ------------------------------------------------------------------------

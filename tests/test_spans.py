@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions.catalog import BUILTIN, NAMES, custom_pattern
 from maskwell.operators.scrub import scrub_columns
-from maskwell.operators.spans import scrub, summary_by_category
+from maskwell.operators.spans import candidates, scrub, summary_by_category
 from maskwell.plans.policy import Policy
 
 EDGES = [
@@ -184,3 +184,21 @@ def test_default_mask_takes_the_first_group_in_place(spark):
     df = spark.createDataFrame([("a key secretvalue-99; key other-99 #pin1234 pin77 a@b.co",)], "t string")
     out = scrub_columns(df, "t", Policy(extra_patterns=(own,)), report=False).first().t
     assert out == "a se*********; key other-99 #pi***** pin77 a***@b.co"
+
+
+def test_a_single_match_is_placed_without_a_second_look(spark):
+    """Its text may also stand where it is no match; then the regex has to say where it is."""
+    from maskwell.functions.lists import let
+
+    mail = "a.b@example.com"
+    lines = [mail, f"é {mail}", f"{mail}x9 {mail}", f"x 10.0.0.1 y{mail}", "sk-" + "a" * 40, "1234-12-1234 123-12-1234", "ß 123-12-1234 9123-12-1234", "", None]
+    found = F.transform(candidates(F.col("t"), Policy().active()), lambda c: F.struct(c["start"], c["b0"], c["b1"], c["original"]))
+    rows = spark.createDataFrame([(t,) for t in lines], "t string").select("t", found.alias("c")).collect()
+    for text, cands in rows:
+        for start, b0, b1, original in cands:
+            assert text[start : start + len(original)] == original
+            assert text.encode()[b0:b1].decode() == original
+    assert [len(c) for _, c in rows[-4:]] == [1, 1, 0, 0]
+    assert [c["start"] for c in rows[5]["c"]] == [13] and [c["start"] for c in rows[6]["c"]] == [2]
+    # a value is bound without an array around it, whose elements Spark would copy
+    assert "transform" not in let("1", "_a", "_a")
