@@ -6,7 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from .common import kept
 WORKER_PIECES = 100_000
 #: Words whose ids are remembered in a task, and how many go to the tokenizer at once.
 CACHE_WORDS, BATCH_WORDS = 500_000, 8192
+#: Words that the tokenizer gets as one text.
+RUN_WORDS = 512
 #: Characters that are worked on at once, and of one text at most.
 STEP, SLICE = 1 << 22, 1 << 20
 #: Documents whose ids are held at once.
@@ -34,6 +36,7 @@ MARK = "\x00"
 NO_SEAM = re.compile("\x00(?=[ \n](?:[\x00<\\s\u180e\u200b-\u200f\ufeff]|\\Z))")
 SIGN = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?)\"/@-])"
 SEAM = re.compile(r" (?=[0-9A-Za-z])")
+PLAIN = re.compile(r" [0-9A-Za-z][^\W_]*").fullmatch
 WIDE = "<u4"
 
 
@@ -83,15 +86,37 @@ def encoder(tokenizer: str) -> Callable[[Iterable[str]], list[bytes]]:
     bpe = Tokenizer.from_file(tokenizer)
     known: dict[str, bytes] = {}
 
+    # bytes of each token, as a byte-level vocabulary writes a byte as a character
+    vocabulary = bpe.get_vocab(with_added_tokens=True)
+    token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    token_bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+
+    def take(part: list[str], flat: bytes, ends: list[int]) -> None:
+        known.update(zip(part, map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+
+    def run_together(part: list[str]) -> bool:
+        """Encodes words as one text, whose ids fall into words by their bytes; false where they do not."""
+        ids = np.array(bpe.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, WIDE)
+        stops, want = np.cumsum(token_bytes[ids]), np.cumsum(pc.binary_length(pa.array(part)).to_numpy())
+        at = np.searchsorted(stops, want)
+        if not len(stops) or at[-1] != len(stops) - 1 or (stops[at] != want).any():
+            return False
+        take(part, ids.tobytes(), (4 * (at + 1)).tolist())
+        return True
+
     def learn(fresh: list[str]) -> None:
-        for at in range(0, len(fresh), BATCH_WORDS):
-            part = fresh[at : at + BATCH_WORDS]
+        # before a space and a letter or digit there is a seam whatever comes before (see SEAM)
+        plain, left = [], []
+        for w in fresh:
+            (plain if PLAIN(w) else left).append(w)
+        for at in range(0, len(plain), RUN_WORDS):
+            part = plain[at : at + RUN_WORDS]
+            if not run_together(part):
+                left += part
+        for at in range(0, len(left), BATCH_WORDS):
+            part = left[at : at + BATCH_WORDS]
             ids = [e.ids for e in bpe.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(ids), WIDE).tobytes()
-            end = 0
-            for word, its in zip(part, ids, strict=True):
-                start, end = end, end + 4 * len(its)
-                known[word] = flat[start:end]
+            take(part, np.fromiter(chain.from_iterable(ids), WIDE).tobytes(), [4 * n for n in accumulate(map(len, ids))])
 
     def joined(texts: list[str]) -> list[bytes]:
         if len(known) > CACHE_WORDS:
@@ -99,13 +124,11 @@ def encoder(tokenizer: str) -> Callable[[Iterable[str]], list[bytes]]:
         uniques, place, first = words(texts)
         learn([w for w in uniques if w not in known])
         raws = [known[w] for w in uniques]
-        flat = np.frombuffer(b"".join(raws), WIDE)
-        size = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
-        start = np.cumsum(size) - size
-        sizes = size[place]
-        ends = np.r_[0, np.cumsum(sizes)]
-        ids = flat[np.repeat(start[place] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return [ids[a:b].tobytes() for a, b in pairwise(ends[first])]
+        # the ids of each word as one value: put together by copying runs of bytes, not id by id
+        values = pa.array(raws, pa.large_binary()).take(pa.array(place))
+        ends = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1]
+        ids = memoryview(values.buffers()[2] or b"")
+        return [bytes(ids[a:b]) for a, b in pairwise(ends[first].tolist())]
 
     def encode(texts: Iterable[str]) -> list[bytes]:
         out: list[list[bytes]] = []

@@ -104,3 +104,36 @@ def test_classes_take_a_fixed_count():
         held.setdefault(b, []).append(64 // n)
     full = [k for k in held.values() if len(set(k)) == 1 and len(k) == k[0]]
     assert len(full) > 0.9 * len(held) and (offset + length <= 64).all()
+
+
+def test_plain_words_go_to_the_tokenizer_together(monkeypatch):
+    """Runs of words as one text; their ids are those of each word, and of the whole text."""
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = tokenizers.Tokenizer.from_file(path)
+    sizes = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **how):
+            sizes.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **how)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    class Source:
+        from_file = staticmethod(lambda p: Counted(whole))
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Source)
+    texts = ["the " + " ".join(f"w{i} Straße{i} {i}été don't{i}, x́{i} 中{i}" for i in range(700)), " a", "", "a  b\n c"]
+    from maskwell.llm import packing
+
+    got = packing.encoder(path)(texts)
+    assert [list(np.frombuffer(g, "<u4")) for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    # more than a thousand plain words took a few calls of one text each
+    assert 1 <= sizes.count(1) <= 6 and sum(sizes) < 3 * 700 + 100
