@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, kept
 from .jaccard_join import LOWER
-from .super_kmers import Words
-from .winnow import mixed
+from .winnow import byte_values, mixed, ranges, sums
 
 FOLDS, HELD_OUT = 7, 2
 #: Outcomes of each decision on the way to a word; the least number of the model's own words. All others share the last.
@@ -27,24 +27,65 @@ WIDTH, CONTEXT = 16, 2
 #: So many tokens, the most frequent ones, are looked up inside tasks; the rest is joined.
 HEAD = 1_000_000
 BATCH, NOISE = 16_384, 24
-#: Places handled at once, tokens scored at once.
-PLACES, STEP = 8192, 65_536
+#: Places and nodes handled at once, so that their rows stay in the cache; tokens scored and words hashed at once.
+PLACES, NODES, STEP, HASHED = 8192, 256, 65_536, 1 << 14
+#: Nodes with so many places are handled one by one, without copies of their places.
+LARGE = 1024
 #: Numbers in a row of parameters: a word's as context and as outcome.
 ROW = 2 * WIDTH + 1
 END = mixed(np.array([0x1234567], np.uint64))[0]
 
 
-def tokens(raw: bytes) -> np.ndarray:
-    return np.append(Words(raw.translate(LOWER)).hashes(), END)
+TABLE = byte_values()
+IN_WORD = ~np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def sequences(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of several texts in a row, each with its end, and where each text begins."""
+    data = np.frombuffer(b" ".join(raws).translate(LOWER), np.uint8)
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = IN_WORD[data]
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    start, end = edges[::2], edges[1::2]
+    behind = np.searchsorted(start, np.cumsum([len(raw) + 1 for raw in raws]))
+    ends = behind + np.arange(len(raws))
+    out = np.empty(len(start) + len(raws), np.uint64)
+    words = np.ones(len(out), bool)
+    words[ends], out[ends] = False, END
+    h = np.empty(len(start), np.uint64)
+    for i in range(0, len(h), HASHED):
+        s, e = start[i : i + HASHED], end[i : i + HASHED]
+        h[i : i + HASHED] = ranges(sums(TABLE[data[s[0] : e[-1]]]), s - s[0], e - s[0])
+    out[words] = h
+    return out, np.append(0, ends[:-1] + 1)
 
 
 def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            h, c = np.unique(np.concatenate([tokens(raw.as_py()) for raw in batch.column("raw")]), return_counts=True)
+            h, c = np.unique(np.concatenate([sequences(raws)[0] for _, _, raws in chunks(batch)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
 
+class Sorted:
+    """Sorted hashes and where each value of their leading bits begins, about one hash for each."""
+
+    def __init__(self, h: np.ndarray):
+        bits = max(1, len(h).bit_length())
+        self.h, self.shift = np.append(h, np.uint64(2**64 - 1)), np.uint64(64 - bits)
+        self.first = np.zeros(1 << bits, np.int32)
+        np.cumsum(np.bincount((h >> self.shift).astype(np.int64), minlength=1 << bits)[:-1], out=self.first[1:])
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """What ``np.searchsorted`` gives, but at most the last place."""
+        at = self.first[h >> self.shift]
+        left = np.flatnonzero(self.h[at] < h)
+        while len(left):
+            at[left] += 1
+            left = left[self.h[at[left]] < h[left]]
+        return np.minimum(at, len(self.h) - 2)
+
+
 @dataclass
 class Vocabulary:
     """``head``: sorted hashes of the most frequent tokens; ``counts`` and ``ids`` (of the model) beside them; ``own``:
@@ -63,16 +104,24 @@ class Vocabulary:
     def other(self) -> int:
         return len(self.word_counts) - 1
 
+    @cached_property
+    def sorted_head(self) -> Sorted:
+        return Sorted(self.head)
+
+    @cached_property
+    def sorted_own(self) -> Sorted:
+        return Sorted(self.own)
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Model id and count of each token; count -1 for tokens outside the head."""
         if not len(self.head):
             return np.full(len(h), self.other), np.full(len(h), -1)
-        i = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
+        i = self.sorted_head.find(h)
         hit = self.head[i] == h
         return np.where(hit, self.ids[i], self.other), np.where(hit, self.counts[i], -1)
 
     def model_ids(self, h: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
+        i = self.sorted_own.find(h)
         return np.where(self.own[i] == h, self.own_ids[i], self.other)
 
 
@@ -112,18 +161,28 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(h, c, ids, names, own_ids, word_counts, int(total), int(types))
 
 
-def runs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_value(x: np.ndarray) -> np.ndarray:
+    """The places of small numbers, sorted by number, equal ones in their order."""
+    bits = len(x).bit_length()
+    return np.sort(x << bits | np.arange(len(x))) & ((1 << bits) - 1)
+
+
+def runs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | slice]]:
     """Sorted groups with about equally many places: the groups, and the places as one row for each.
 
-    Rows are filled up, by a quarter at most, with the place behind the last one.
+    Rows are filled up, by a quarter at most, with the place behind the last one. Large groups come alone, as a slice.
     """
     first = np.flatnonzero(np.diff(group, prepend=-1))
     sizes = np.diff(np.append(first, len(group)))
+    large = sizes >= LARGE
+    for a, n in zip(first[large].tolist(), sizes[large].tolist(), strict=True):
+        yield group[a : a + 1], slice(a, a + n)
+    first, sizes = first[~large], sizes[~large]
     grain = 1 << np.maximum(np.frexp(sizes)[1] - 3, 0)
     rounded = -(-sizes // grain) * grain
     for n in np.unique(rounded):
         which = np.flatnonzero(rounded == n)
-        most = max(1, PLACES // int(n))
+        most = max(1, min(NODES, PLACES // int(n)))
         for i in range(0, len(which), most):
             part = which[i : i + most]
             reach = np.arange(n)
@@ -150,20 +209,17 @@ class LogBilinear:
         self.below = [BRANCH**i for i in reversed(range(len(mass)))]
         self.noise = [NOISE * x for x in shares]
         self.log_noise = [np.log(x) for x in self.noise]
-        self.tables = [np.zeros((*x.shape, WIDTH + 1), f) for x in shares]
+        # a node's weights lie outcome beside outcome, as its products need them
+        self.tables = [np.zeros((len(x), WIDTH + 1, BRANCH), f) for x in shares]
         for t, x in zip(self.tables, shares, strict=True):
-            t[..., WIDTH] = np.log(x)
+            t[:, WIDTH] = np.log(x)
 
     def params(self) -> list[np.ndarray]:
         return [self.q, self.c, *self.tables]
 
     def state(self) -> list[np.ndarray]:
         """What AdaGrad sums up: squared slopes by row."""
-        return [np.ones(p.shape[:-1], np.float32) for p in self.params()]
-
-    def inner(self) -> list[np.ndarray]:
-        """The parameters that belong to no word, as rows."""
-        return [self.c.reshape(-1, WIDTH), *(t.reshape(-1, WIDTH + 1) for t in self.tables[:-1])]
+        return [np.ones(n, np.float32) for n in (len(self.q), self.c.shape[:-1], *((len(t), BRANCH) for t in self.tables))]
 
     def rows(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number, tokens and values of each row of parameters with tokens; ``seen``: the tokens of each word."""
@@ -172,21 +228,23 @@ class LogBilinear:
         weights += [np.bincount(ids // b, seen, t.shape[0] * BRANCH) for t, b in zip(self.tables[:-1], self.below, strict=False)]
         inner, words = np.concatenate(weights), np.flatnonzero(seen)
         met = np.flatnonzero(inner)
-        values = np.concatenate([np.pad(v, ((0, 0), (0, ROW - v.shape[1]))) for v in self.inner()])[met]
-        leaves = self.tables[-1].reshape(-1, WIDTH + 1)
-        own = np.concatenate([self.q[words], leaves[words]], axis=1)
+        rows = [self.c.reshape(-1, WIDTH), *(t.transpose(0, 2, 1).reshape(-1, WIDTH + 1) for t in self.tables[:-1])]
+        values = np.concatenate([np.pad(v, ((0, 0), (0, ROW - v.shape[1]))) for v in rows])[met]
+        own = np.concatenate([self.q[words], self.tables[-1][words // BRANCH, :, words % BRANCH]], axis=1)
         return np.append(met, words + len(inner)), np.append(inner[met], seen[words]), np.concatenate([values, own])
 
     def load(self, at: np.ndarray, values: np.ndarray) -> None:
         """Takes over rows by number; the others stay as they are."""
-        base = 0
-        for v in self.inner():
-            s = slice(*np.searchsorted(at, [base, base + len(v)]))
-            v[at[s] - base] = values[s, : v.shape[1]]
-            base += len(v)
-        s = slice(np.searchsorted(at, base), None)
-        self.q[at[s] - base] = values[s, :WIDTH]
-        self.tables[-1].reshape(-1, WIDTH + 1)[at[s] - base] = values[s, WIDTH:]
+        flat, base = self.c.reshape(-1, WIDTH), CONTEXT * WIDTH
+        s = slice(0, np.searchsorted(at, base))
+        flat[at[s]] = values[s, :WIDTH]
+        for t in self.tables[:-1]:
+            s = slice(*np.searchsorted(at, [base, base + len(t) * BRANCH]))
+            t[(at[s] - base) // BRANCH, :, (at[s] - base) % BRANCH] = values[s, : WIDTH + 1]
+            base += len(t) * BRANCH
+        words, values = at[s.stop :] - base, values[s.stop :]
+        self.q[words] = values[:, :WIDTH]
+        self.tables[-1][words // BRANCH, :, words % BRANCH] = values[:, WIDTH:]
 
     @staticmethod
     def contexts(ids: np.ndarray, start: np.ndarray, end_id: int) -> list[np.ndarray]:
@@ -204,48 +262,51 @@ class LogBilinear:
     def learn(self, ids: np.ndarray, contexts: list[np.ndarray], state: list[np.ndarray], rate: float) -> None:
         """A pass over the tokens in batches, with steps by AdaGrad on the rows that a batch meets, one rate a row."""
 
-        def step(p: np.ndarray, s: np.ndarray, at, old: np.ndarray, g: np.ndarray) -> None:
-            s[at] += np.einsum("...i,...i->...", g, g) / g.shape[-1]
-            g *= rate / np.sqrt(s[at])[..., None]
+        def step(p: np.ndarray, s: np.ndarray, at, old: np.ndarray, g: np.ndarray, axis: int = -1) -> None:
+            s[at] += np.einsum("...i,...i->..." if axis == -1 else "...ij,...ij->...j", g, g) / g.shape[axis]
+            g *= np.expand_dims(rate / np.sqrt(s[at]), axis)
             p[at] = np.subtract(old, g, out=g)
 
         for a in range(0, len(ids), BATCH):
             x = ids[a : a + BATCH]
-            order = np.argsort(x, kind="stable")
+            order = by_value(x)
             x = x[order]
             ctx = [c[a : a + BATCH][order] for c in contexts]
-            gathered = [self.q[c] for c in ctx]
+            gathered = [self.q.take(c, axis=0) for c in ctx]
             r, back = inputs(sum(g @ self.c[j] for j, g in enumerate(gathered))), np.zeros((len(x) + 1, WIDTH), np.float32)
+            level = np.zeros_like(back)
             for table, noise, logs, below, s in zip(self.tables, self.noise, self.log_noise, self.below, state[2:], strict=True):
                 node = x // below
                 target = np.append(node % BRANCH, 0)
                 for group, at in runs(node // BRANCH):
-                    w, here = table[group], r[at]
-                    spread = contrast(here @ w.transpose(0, 2, 1), target[at], noise[group][:, None], logs[group][:, None])
-                    back[at] += spread @ w[:, :, :WIDTH]
-                    step(table, s, group, w, spread.transpose(0, 2, 1) @ here)
+                    w, here = table.take(group, axis=0), rows_at(r, at)
+                    spread = contrast(here @ w, rows_at(target, at), noise[group][:, None], logs[group][:, None])
+                    level[at] = (spread @ w[:, :WIDTH].transpose(0, 2, 1)).reshape(*target[at].shape, WIDTH)
+                    step(table, s, group, w, products(here, spread), -2)
+                back += level
             back = back[:-1]
             down = np.concatenate([back @ c.T for c in self.c])
             step(self.c, state[1], slice(None), self.c, np.stack([g.T @ back for g in gathered]))
             ctx = np.concatenate(ctx)
-            o = np.argsort(ctx, kind="stable")
+            o = by_value(ctx)
             at = np.flatnonzero(np.diff(ctx[o], prepend=-1))
             rows = ctx[o[at]]
-            step(self.q, state[0], rows, self.q[rows], np.add.reduceat(down[o], at))
+            step(self.q, state[0], rows, self.q.take(rows, axis=0), np.add.reduceat(down.take(o, axis=0), at))
 
     def log10(self, ids: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """Normalised log10 probability of each token, by batched matrix products over the nodes on its way."""
         out = np.empty(len(ids), np.float64)
         for a in range(0, len(ids), STEP):
             x = ids[a : a + STEP]
-            order = np.argsort(x, kind="stable")
+            order = by_value(x)
             x = x[order]
-            r, value = inputs(sum(self.q[c[a : a + STEP][order]] @ self.c[j] for j, c in enumerate(contexts))), np.zeros(len(x) + 1)
+            r, value = inputs(sum(self.q.take(c[a : a + STEP][order], axis=0) @ self.c[j] for j, c in enumerate(contexts))), np.zeros(len(x) + 1)
             for table, below in zip(self.tables, self.below, strict=True):
                 node = x // below
                 target = np.append(node % BRANCH, 0)
                 for group, at in runs(node // BRANCH):
-                    value[at] += picked(r[at] @ table[group].transpose(0, 2, 1), target[at])
+                    own = picked(rows_at(r, at) @ table.take(group, axis=0), rows_at(target, at))
+                    value[at] += own.reshape(target[at].shape)
             out[a + order] = value[:-1]
         return out / np.log(10)
 
@@ -263,14 +324,24 @@ def places(target: np.ndarray) -> np.ndarray:
     return np.arange(0, target.size * BRANCH, BRANCH) + target.reshape(-1)
 
 
+def rows_at(x: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    """Values at the places of several groups; those of a group that comes alone are one row, without a copy."""
+    return x[at][None] if isinstance(at, slice) else x.take(at, axis=0)
+
+
+def products(here: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Slopes of the weights of each node, summed over its places; matrix products of a single place are slow."""
+    return np.einsum("gni,gnj->gij", here, spread) if here.shape[1] == 1 else here.transpose(0, 2, 1) @ spread
+
+
 def contrast(scores: np.ndarray, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> np.ndarray:
     """Slopes of the noise-contrastive loss by score: each target against ``NOISE`` draws from the node's shares.
 
     A node has few outcomes, so the draws enter by their expectation, which has no sampling error.
     """
     odds = np.subtract(log_noise, scores, out=scores)
-    np.minimum(odds, 80, out=odds)
-    np.exp(odds, out=odds)
+    with np.errstate(over="ignore"):  # what is divided by infinity is 0
+        np.exp(odds, out=odds)
     odds += 1
     at = places(target)
     own = 1 - 1 / odds.reshape(-1)[at]
@@ -281,16 +352,13 @@ def contrast(scores: np.ndarray, target: np.ndarray, noise: np.ndarray, log_nois
 
 def picked(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of the softmax at one place of each row."""
-    scores -= scores.max(axis=-1, keepdims=True)
     own = scores.reshape(-1)[places(target)].reshape(target.shape).astype(np.float64)
-    np.exp(scores, out=scores)
-    return own - np.log(scores.sum(axis=-1))
-
-
-def sequences(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of several texts in a row, and where each begins."""
-    each = [tokens(b) for b in raws]
-    return np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
+    with np.errstate(over="ignore"):
+        total = (np.exp(scores).reshape(-1, BRANCH) @ np.ones(BRANCH, np.float32)).reshape(target.shape)
+    if len(total) and not 1e-30 < total.min() <= total.max() < 1e30:
+        top = scores.max(axis=-1)
+        return own - top - np.log(np.exp(scores - top[..., None]).sum(axis=-1))
+    return own - np.log(total)
 
 
 def chunks(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -384,14 +452,14 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
     known = texts.where("not held_out").select("raw")
     counts = kept(known.mapInArrow(count_rows, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
     words = vocabulary(counts, head)
-    shared = docs.sparkSession.sparkContext.broadcast((*vars(words).values(), *train(known, words)))
+    shared = docs.sparkSession.sparkContext.broadcast((*(getattr(words, f.name) for f in fields(words)), *train(known, words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *fields, at, values = shared.value
-        v = Vocabulary(*fields)
+        *held, at, values = shared.value
+        v = Vocabulary(*held)
         m = LogBilinear(v.word_counts)
         m.load(at, values)
-        end_id = int(v.model_ids(np.array([END]))[0])
+        end_id = int(v.find(np.array([END]))[0][0])
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b, raws in chunks(batch):

@@ -454,6 +454,68 @@ def test_language_model_rows_are_averaged_by_tokens():
     assert np.allclose(np.concatenate([language_model.unpacked(b.column("v")) for b in got]), values, atol=0.01)
 
 
+def test_language_model_hashes_texts_together(monkeypatch):
+    calls, sums = [], language_model.sums
+    monkeypatch.setattr(language_model, "sums", lambda x: calls.append(len(x)) or sums(x))
+    texts = ["", " \t\n", "One two\x0bone", "\u00a0x \x00 \x1c", "\r", "\u00c4B ab" * 9] * 50 + [""]
+    raws = [t.encode() for t in texts]
+    h, start = language_model.sequences(raws)
+    assert len(calls) == 1  # before: a few dozen calls of numpy for each text, however short
+    each = [super_kmers.Words(raw.translate(LOWER)).hashes() for raw in raws]
+    assert h.tolist() == [x for e in each for x in (*e.tolist(), int(language_model.END))]
+    assert start.tolist() == np.cumsum([0, *(len(e) + 1 for e in each[:-1])]).tolist()
+    monkeypatch.setattr(language_model, "HASHED", 7)
+    again, _ = language_model.sequences(raws)
+    assert (again == h).all()
+
+
+def test_language_model_lookup():
+    rng = np.random.default_rng(3)
+    spread = rng.integers(0, 2**64, 5000, np.uint64)
+    for keys in (spread, np.arange(900, dtype=np.uint64), np.array([5], np.uint64), np.array([0, 2**64 - 1], np.uint64)):
+        keys = np.unique(keys)
+        asked = np.concatenate([keys, keys + np.uint64(1), spread[:50], np.array([0, 2**64 - 1], np.uint64)])
+        want = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        assert (language_model.Sorted(keys).find(asked) == want).all()
+
+
+def test_language_model_steps(monkeypatch):
+    monkeypatch.setattr(language_model, "LARGE", 40)
+    rng = np.random.default_rng(2)
+    counts = 1 + 1000.0 / np.arange(1, language_model.LEAST + 1)
+    ids = np.minimum(rng.zipf(1.3, 600), len(counts)) - 1
+    groups = ids[np.argsort(ids)] // language_model.BRANCH
+    kinds = {isinstance(at, slice) or at.shape[1] for _, at in language_model.runs(groups)}
+    assert {True, 1, 2} <= kinds  # nodes that come alone, and those of one place and of several
+    model, plain = language_model.LogBilinear(counts), language_model.LogBilinear(counts)
+    ctx = model.contexts(ids, np.array([0]), 0)
+    model.learn(ids, ctx, model.state(), 0.1)
+    # one batch, token by token
+    width, branch = language_model.WIDTH, language_model.BRANCH
+    tables = [t.astype(float) for t in plain.tables]
+    slopes = [np.zeros_like(t) for t in tables]
+    g_q, g_c = np.zeros(plain.q.shape), np.zeros(plain.c.shape)
+    for i, x in enumerate(ids):
+        v = sum(plain.q[c[i]].astype(float) @ plain.c[j] for j, c in enumerate(ctx))
+        here, back = np.append(v, 1), np.zeros(width)
+        for t, g, noise, below in zip(tables, slopes, plain.noise, plain.below, strict=True):
+            node, target = divmod(x // below, branch)
+            share = noise[node].astype(float)
+            chance = 1 / (1 + share * np.exp(-(here @ t[node])))
+            slope = share * chance
+            slope[target] -= 1 - chance[target]
+            back += t[node][:width] @ slope
+            g[node] += np.outer(here, slope)
+        for j, c in enumerate(ctx):
+            g_q[c[i]] += plain.c[j] @ back
+            g_c[j] += np.outer(plain.q[c[i]], back)
+    for p, g, was, axis in [*zip(model.tables, slopes, tables, [1] * len(tables), strict=True), (model.q, g_q, plain.q, -1), (model.c, g_c, plain.c, -1)]:
+        want = was - 0.1 * g / np.sqrt(1 + (g * g).mean(axis=axis, keepdims=True))
+        assert np.allclose(p, want, atol=2e-5)
+    far = np.array([[[200.0, 90, *[0] * (branch - 2)], [-200.0] * branch]], np.float32)
+    assert np.allclose(language_model.picked(far, np.array([[1, 3]])), [[-110, -math.log(branch)]])
+
+
 def test_language_model_vocabulary_grows_with_the_corpus(spark):
     counts = spark.range(20_000).selectExpr("id * 7919 + 1 AS h", "5 + id % 3 AS c")
     words = language_model.vocabulary(counts)
