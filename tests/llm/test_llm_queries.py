@@ -1,5 +1,6 @@
 """The numbered queries: SQL where there is some, and the pipeline's stages on the smallest tables."""
 
+import hashlib
 import random
 
 import duckdb
@@ -31,6 +32,24 @@ def test_native_queries_run_no_python(spark, sf_dir, name, capsys):
     assert not any(x in capsys.readouterr().out for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_suffix_dedup_counts_bytes_not_words(spark, tmp_path):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdeéü") for _ in range(rng.randint(2, 5))) for _ in range(n))
+    rows, want = [], []
+    for size in (330, 399, 400, 401, 600):
+        passage = words(52)
+        passage += "x" * (size - len(passage.encode()))
+        assert len(passage.split()) > 50 and len(passage.encode()) == size
+        for left, right in ("[]", "<>"):
+            before, after = words(20) + left, right + words(20)
+            text, removed = before + passage + after, size if size >= 400 else 0
+            kept = before + after if removed else text
+            want.append((len(rows), len(text.encode()), removed, int(removed > 0), hashlib.sha256(kept.encode()).hexdigest()))
+            rows.append((len(rows), text))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect())) == want
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
