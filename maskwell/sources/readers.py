@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import errno
+import os
 import re
-from collections.abc import Iterator, Mapping, Sequence
+import zlib
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -15,7 +19,7 @@ from pyspark.errors import AnalysisException
 
 from maskwell.operators.tokens import empty_tokens
 from maskwell.plans.policy import PROFILE_DDL, normal_profile
-from maskwell.plans.scratch import kept, none_there
+from maskwell.plans.scratch import checkpoint_dir, kept, none_there
 from maskwell.sources.json_shapes import ddl_of, shape_of
 
 # File types a folder run looks at.
@@ -24,6 +28,9 @@ EXTENSIONS = (".txt", ".json", ".csv", ".log", ".yaml", ".yml", ".xml", ".md", "
 TASK_BYTES = 8_000_000
 # rows that one task scans
 TASK_ROWS = 50_000
+# folders that one task lists, unless every core has some, and bytes of files that are handed on at once
+TASK_FOLDERS = 250
+BATCH_BYTES = 4_000_000
 
 
 def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
@@ -81,6 +88,152 @@ def _whole_files(spark: SparkSession, path: str, **options: bool) -> DataFrame:
     return files.coalesce(tasks) if files.rdd.getNumPartitions() > tasks else files
 
 
+def _plain_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder as tasks open it, if it is one of a ``file:`` store and its listing can be stored."""
+    if re.search(r"[*?\[\]{}\\]", path):
+        return None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = system.makeQualified(folder).toUri()
+    if whole.getScheme() != "file":
+        return None
+    try:
+        checkpoint_dir(spark)
+    except ValueError:
+        return None
+    there = system.exists(folder) and system.getFileStatus(folder).isDirectory()
+    return whole.getPath() if there else None
+
+
+def _lister(missing: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Entries of folders as ``at, length``, the length of a folder null. ``missing`` folders may be passed over."""
+
+    def hidden(name: str, folder: bool) -> bool:
+        # as Spark's readers leave names out
+        if folder and name.startswith(("_metadata", "_common_metadata")):
+            return False
+        return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+    def entries(folder: bytes) -> Iterator[tuple[bytes, int | None]]:
+        try:
+            found = os.scandir(folder)
+        except FileNotFoundError:
+            if missing:
+                return
+            raise
+        with found:
+            for entry in found:
+                try:
+                    inside = entry.is_dir()
+                    length = None if inside else entry.stat().st_size
+                except OSError:  # gone, or a link to nowhere
+                    continue
+                # empty files are left out
+                if length != 0 and not hidden(os.fsdecode(entry.name), inside):
+                    yield entry.path, length
+
+    def batch(rows: list[tuple[bytes, int | None]]) -> pa.RecordBatch:
+        at, length = zip(*rows, strict=True) if rows else ((), ())
+        return pa.RecordBatch.from_pydict({"at": pa.array(at, pa.binary()), "length": pa.array(length, pa.int64())})
+
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[bytes, int | None]] = []
+        for folders in batches:
+            for folder in folders.column(0).to_pylist():
+                for row in entries(folder):
+                    rows.append(row)
+                    if len(rows) >= 10_000:
+                        yield batch(rows)
+                        rows = []
+        yield batch(rows)
+
+    return listed
+
+
+def _listed(spark: SparkSession, base: str) -> DataFrame:
+    """Files below a folder of a ``file:`` store as ``at, path, length``, listed by tasks and stored level by level.
+
+    The driver sees the number of a level's folders, not their names.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    folders, n, levels = spark.range(1).select(F.lit(os.fsencode(base)).alias("at")), 1, []
+    while n:
+        spread_out = folders.repartition(min(4 * cores, -(-n // TASK_FOLDERS)))
+        level = kept(spread_out.mapInArrow(_lister(bool(levels)), "at binary, length long"))
+        levels.append(level.where("length is not null"))
+        folders = level.where("length is null").select("at")
+        n = folders.count()
+    path = F.concat(F.lit("file:"), F.make_valid_utf8(F.col("at").cast("string")))
+    return reduce(DataFrame.unionAll, levels).select("at", path.alias("path"), "length")
+
+
+def _loader(most: int, missing: bool, corrupt: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``path, length`` and content of listed files; files that are ``missing`` or ``corrupt`` may be passed over."""
+
+    def fits(data: bytes, sums: bytes) -> bool:
+        """Whether data has the checksums stored next to it; a file of another kind counts as none."""
+        if len(sums) < 8 or sums[:4] != b"crc\0":
+            return True
+        step, view = int.from_bytes(sums[4:8], "big"), memoryview(data)
+        if step < 1 or len(sums) - 8 < 4 * -(-len(data) // step):
+            return False
+        want = (sums[i : i + 4] for i in range(8, len(sums), 4))
+        return all(zlib.crc32(view[i : i + step]).to_bytes(4, "big") == w for i, w in zip(range(0, len(data), step), want))
+
+    def content(at: bytes) -> bytes:
+        with open(at, "rb") as file:
+            if os.fstat(file.fileno()).st_size > most:
+                raise OSError(errno.EFBIG, "cannot read a file longer than spark.sql.sources.binaryFile.maxLength", at)
+            data = file.read()
+        folder, name = os.path.split(at)
+        try:
+            with open(os.path.join(folder, b"." + name + b".crc"), "rb") as file:
+                sums = file.read()
+        except OSError:
+            return data
+        if not fits(data, sums):
+            raise OSError(errno.EIO, "cannot read a file that differs from its checksum", at)
+        return data
+
+    def batch(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        path, data = zip(*rows, strict=True) if rows else ((), ())
+        length = pa.array([len(d) for d in data], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), length, pa.array(data, pa.binary())], names=["path", "length", "content"])
+
+    def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for files in batches:
+            rows, size = [], 0
+            for at, path in zip(files.column(0).to_pylist(), files.column(1).to_pylist(), strict=True):
+                try:
+                    data = content(at)
+                except (FileNotFoundError, PermissionError):
+                    if missing:
+                        continue
+                    raise
+                except OSError:
+                    if corrupt:
+                        continue
+                    raise
+                if rows and size + len(data) > BATCH_BYTES:
+                    yield batch(rows)
+                    rows, size = [], 0
+                rows.append((path, data))
+                size += len(data)
+            yield batch(rows)
+
+    return load
+
+
+def _loaded(files: DataFrame, missing: bool, corrupt: bool) -> DataFrame:
+    """Listed files with their content: ``path, length, content``. They are opened only when the rows are asked for."""
+    spark = files.sparkSession
+    n, size = files.agg(F.count("*"), F.sum("length")).first()
+    tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES))))
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    load = _loader(most, missing, corrupt)
+    return files.select("at", "path").repartition(tasks).mapInArrow(load, "path string, length long, content binary")
+
+
 def read_text_file(spark: SparkSession, path: str, hint: str = "auto", recursive: bool = False) -> DataFrame:
     """One row per file: ``source, text, format``.  A value is never cut.
 
@@ -96,15 +249,21 @@ def read_text_file(spark: SparkSession, path: str, hint: str = "auto", recursive
     )
 
 
-def _tree(spark: SparkSession, root: str, tolerant: bool = False) -> DataFrame:
-    """Supported files below a folder as ``path, length, content, rel_path``."""
+def _tree(spark: SparkSession, root: str, tolerant: bool = False, opened: bool = True) -> DataFrame:
+    """Supported files below a folder as ``path, length, rel_path`` and, if they are ``opened``, ``content``."""
     base = root.rstrip("/")
     name = F.lower(F.substring_index("path", "/", -1))
     # as with a path's suffix, ".env" alone has none and "x.env" has one
     kind = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
-    files = _whole_files(
-        spark, base, recursiveFileLookup=True, ignoreCorruptFiles=tolerant, ignoreMissingFiles=tolerant
-    ).where(kind.isin(list(EXTENSIONS)))
+    supported = kind.isin(list(EXTENSIONS))
+    plain = _plain_folder(spark, base)
+    if plain is None:
+        files = _whole_files(
+            spark, base, recursiveFileLookup=True, ignoreCorruptFiles=tolerant, ignoreMissingFiles=tolerant
+        ).where(supported)
+    else:
+        files = _listed(spark, plain).where(supported)
+        files = _loaded(files, tolerant, tolerant) if opened else files
     folder = spark._jvm.org.apache.hadoop.fs.Path(base)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     prefix = system.makeQualified(folder).toString()
@@ -113,7 +272,7 @@ def _tree(spark: SparkSession, root: str, tolerant: bool = False) -> DataFrame:
 
 def list_tree(spark: SparkSession, root: str, hint: str = "auto") -> DataFrame:
     """The supported files below a folder, ``source, rel_path, format, length``; no file is opened."""
-    return _tree(spark, root).select(
+    return _tree(spark, root, opened=False).select(
         F.col("path").alias("source"), "rel_path", format_of(F.col("path"), hint).alias("format"), "length"
     )
 
@@ -124,8 +283,12 @@ def read_tree(spark: SparkSession, root: str, hint: str = "auto", unreadable: st
     ``unreadable`` says what becomes of a file that cannot be read, or that is longer than one value can be: ``fail``
     stops the job; ``skip`` leaves it out, to be found by an anti-join with :func:`list_tree` (see
     ``audit.batch_totals``); ``keep`` stores what could be read and adds a column ``error``, with a null text where it is
-    not null. Spark leaves out names that start with ``_`` or ``.``. Denials that a cluster's file system reports as
-    such stop the job in any case.
+    not null. Names that start with ``_`` or ``.`` and empty files are left out. Denials that a cluster's file system
+    reports as such stop the job in any case.
+
+    The files are listed now and opened when the rows are asked for. A folder of a ``file:`` store is listed and read by
+    tasks, the listing stored in the checkpoint folder; in other stores Spark's reader does both, and the driver holds
+    the listing.
     """
     if unreadable not in ("fail", "skip", "keep"):
         raise ValueError("unreadable is 'fail', 'skip' or 'keep'")

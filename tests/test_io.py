@@ -2,6 +2,7 @@
 
 import json
 import os
+import zlib
 
 import pytest
 from brute import resolve
@@ -211,6 +212,62 @@ def test_very_many_small_files_are_read_by_few_tasks(spark, tmp_path):
     assert {r.rel_path: r.text for r in tree.collect()} == {f"key={i}/part.txt": f"mail a@b.io {i}\n" for i in range(1400)}
 
 
+def test_the_driver_does_not_hold_the_listing_of_a_tree(spark, tmp_path):
+    rows = spark.range(1400).select(F.col("id").alias("key"), F.lit("mail a@b.io").alias("text"))
+    root = str(tmp_path / "many")
+    WR.write_folders(rows, "key", "text", root)
+    for files in (RD.list_tree(spark, root), RD.read_tree(spark, root), RD.read_tree(spark, root, unreadable="skip")):
+        # files that plans name: stored listings, not the tree
+        assert len(files.inputFiles()) < 50 and files.count() == 1400
+
+
+def test_a_tree_is_read_as_by_spark(spark, tmp_path):
+    root = str(tmp_path / "a b%20c")
+    for name in ("x.txt", "a+b.txt", "é.md", "deep/er/and/y.log", "_k=1/z.txt", "_hidden/z.txt", ".hid/z.txt", "_metadata/z.txt", "_h.txt", "_h=1.txt", ".h.txt", "h.txt._COPYING_", "no.bin"):
+        put(f"{root}/{name}", f"mail a@b.com {name}\r\n" * 60)
+    put(f"{root}/empty.txt", "")
+    put(f"{tmp_path}/other/o.txt", "elsewhere")
+    os.symlink(f"{tmp_path}/other", f"{root}/linked")
+    os.symlink(f"{root}/x.txt", f"{root}/same.txt")
+    os.symlink(f"{root}/nowhere", f"{root}/broken.txt")
+    spark.createDataFrame([("sums " * 500,)], "v string").coalesce(1).write.text(f"{root}/spark")
+    theirs = {r.path: bytes(r.content) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).collect()}
+    theirs[f"file:{root}/é.md"] = "mail a@b.com é.md\r\n".encode() * 60  # Java reads such names only in a locale that has them
+    assert len(theirs) == 11 and any("/spark/part-" in p for p in theirs)
+    want = {p: b.decode().replace("\r\n", "\n") for p, b in theirs.items()}
+    one = RD.read_text_file(spark, f"file://{root}/", recursive=True)
+    assert one.count() == len(want) and {r.source: r.text for r in one.collect()} == want
+    some = {p: t for p, t in want.items() if not p.endswith(".bin")}
+    tree = RD.read_tree(spark, f"{root}/").collect()
+    assert {r.source: r.text for r in tree} == some and len(tree) == len(some)
+    assert {r.rel_path for r in tree} == {p.removeprefix(f"file:{root}/") for p in some}
+    assert {r.source: r.length for r in RD.list_tree(spark, root).collect()} == {p: len(theirs[p]) for p in some}
+    assert [r.rel_path for r in RD.read_tree(spark, f"{root}/deep").collect()] == ["er/and/y.log"]
+    os.mkdir(f"{tmp_path}/none")
+    assert RD.read_tree(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        RD.read_tree(spark, f"{tmp_path}/gone").collect()
+    tree = RD.read_tree(spark, root)
+    os.remove(f"{root}/a+b.txt")
+    with pytest.raises(Exception, match=r"a\+b.txt"):
+        tree.collect()
+
+
+def test_checksums_next_to_files_are_heeded(spark, tmp_path):
+    root, data = str(tmp_path / "tree"), b"0123456789" * 100
+    sums = b"crc\0" + (512).to_bytes(4, "big") + b"".join(zlib.crc32(data[i : i + 512]).to_bytes(4, "big") for i in (0, 512))
+    for name, stored in {"fits": sums, "other": b"no checksums", "less": sums[:-4], "wrong": sums[:-1] + b"?"}.items():
+        put(f"{root}/{name}.txt", data)
+        put(f"{root}/.{name}.txt.crc", stored)
+    assert {r.rel_path for r in RD.read_tree(spark, root, unreadable="skip").collect()} == {"fits.txt", "other.txt"}
+    theirs = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).load(root).select("path", "content").collect()
+    assert {r.path.rsplit("/", 1)[1] for r in theirs} == {"fits.txt", "other.txt"}
+    with pytest.raises(Exception, match="(?i)checksum"):
+        RD.read_text_file(spark, root, recursive=True).collect()
+    with RD._setting(spark, "spark.sql.files.ignoreCorruptFiles", "true"):
+        assert RD.read_text_file(spark, root, recursive=True).count() == 2
+
+
 def test_folders_hold_the_rows_of_a_key(spark, tmp_path):
     rows = spark.createDataFrame([(1, "ä"), (2, None), (1, "b"), (None, "c"), (3, "")], "key long, text string")
     root = str(tmp_path / "folders")
