@@ -238,9 +238,16 @@ def read_text_file(spark: SparkSession, path: str, hint: str = "auto", recursive
     """One row per file: ``source, text, format``.  A value is never cut.
 
     ``recursive`` takes all files below a folder; a pattern over very many folders would be looked up on the driver.
+    See :func:`read_tree` for who lists it.
     """
+    base = _plain_folder(spark, path) if recursive else None
+    if base is None:
+        files = _whole_files(spark, path, recursiveFileLookup=recursive)
+    else:
+        unread = (spark.conf.get(f"spark.sql.files.ignore{kind}Files") == "true" for kind in ("Missing", "Corrupt"))
+        files = _loaded(_listed(spark, base), *unread)
     return (
-        _whole_files(spark, path, recursiveFileLookup=recursive)
+        files
         .select(
             F.col("path").alias("source"),
             decoded(F.col("content")).alias("text"),

@@ -216,7 +216,7 @@ def test_the_driver_does_not_hold_the_listing_of_a_tree(spark, tmp_path):
     rows = spark.range(1400).select(F.col("id").alias("key"), F.lit("mail a@b.io").alias("text"))
     root = str(tmp_path / "many")
     WR.write_folders(rows, "key", "text", root)
-    for files in (RD.list_tree(spark, root), RD.read_tree(spark, root), RD.read_tree(spark, root, unreadable="skip")):
+    for files in (RD.list_tree(spark, root), RD.read_tree(spark, root), RD.read_tree(spark, root, unreadable="skip"), RD.read_text_file(spark, root, "text", recursive=True)):
         # files that plans name: stored listings, not the tree
         assert len(files.inputFiles()) < 50 and files.count() == 1400
 
