@@ -54,7 +54,8 @@ def running(items: str, state: str, step: Callable[[str, str], str], out_ddl: st
     merge = let(
         step("_acc.state", "_x"),
         "_next",
-        "struct(_next.state AS state, concat(_acc.out, _next.emit) AS out)",
+        # to append nothing would copy the block
+        "struct(_next.state AS state, if(size(_next.emit) = 0, _acc.out, concat(_acc.out, _next.emit)) AS out)",
     )
 
     def fold(block: str, start: str) -> str:
